@@ -14,6 +14,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import ring_shards
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = ring_shards(docs, ["doc_id", "text_crc32", "size"], shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks", kept.alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    out = archive(spark, _table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import pack
 
@@ -21,6 +45,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import unigram_encode
 
@@ -28,8 +58,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ring": op1_ring,
+    "op3_lines": op3_lines,
+    "op6_warc": op6_warc,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+from . import lines, warc  # noqa: E402
+
+ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op6_warc": warc.ORACLE}

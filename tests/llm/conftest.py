@@ -22,7 +22,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, DOCS)
-    return df.withColumns({c: F.lit("clash") for c in ("score", "length", "component_id", "shard", "_cell", "ids", "n", "a", "b", "u", "v", "size", "start", "h")})
+    return df.withColumns({c: F.lit("clash") for c in ("score", "length", "component_id", "shard", "ids", "n", "a", "b", "u", "v", "size", "start", "h")})
 
 
 @pytest.fixture(scope="session")
