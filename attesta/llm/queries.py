@@ -31,6 +31,19 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks", kept.alias("kept_sha256"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
@@ -38,6 +51,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import pack
 
@@ -60,12 +79,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
     "op3_lines": op3_lines,
+    "op4_jaccard": op4_jaccard,
+    "op5_nearest": op5_nearest,
     "op6_warc": op6_warc,
+    "op7_vectors": op7_vectors,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-from . import lines, warc  # noqa: E402
+from . import jaccard, lines, warc  # noqa: E402
 
-ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op6_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op4_jaccard": jaccard.ORACLE, "op6_warc": warc.ORACLE}
