@@ -23,6 +23,13 @@ def op1_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -78,6 +85,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
+    "op2_suffix": op2_suffix,
     "op3_lines": op3_lines,
     "op4_jaccard": op4_jaccard,
     "op5_nearest": op5_nearest,

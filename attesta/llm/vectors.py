@@ -63,7 +63,7 @@ class Codebooks:
         return np.einsum("qd,mkd->qmk", queries, self.words, optimize=True).astype(np.float32)
 
 
-def train(x: np.ndarray, stages: int = 8, words: int = 256, rounds: int = 8, seed: int = 7) -> Codebooks:
+def train(x: np.ndarray, stages: int = 16, words: int = 256, rounds: int = 6, seed: int = 7) -> Codebooks:
     """Residual k-means for a start, then all words at once by least squares on beam-searched codes."""
     rng = np.random.default_rng(seed)
     k, left, books = min(words, len(x)), x.copy(), []
@@ -81,23 +81,71 @@ def train(x: np.ndarray, stages: int = 8, words: int = 256, rounds: int = 8, see
     books = Codebooks(np.stack(books))
     if len(x) > 4 * k:
         codes = np.concatenate([books.encode(p) for p in np.array_split(x, len(x) // 1024 + 1)])
-        at = codes + np.arange(stages) * k
-        gram, right = np.zeros((stages * k, stages * k)), np.zeros((stages * k, x.shape[1]))
+        codes = codes.astype(int)
+        gram, right = np.zeros((stages, k, stages, k)), np.zeros((stages, k, x.shape[1]))
         for a in range(stages):
-            np.add.at(right, at[:, a], x)
+            np.add.at(right[a], codes[:, a], x)
             for b in range(stages):
-                gram += np.bincount(at[:, a] * (stages * k) + at[:, b], minlength=(stages * k) ** 2).reshape(gram.shape)
+                gram[a, :, b] = np.bincount(codes[:, a] * k + codes[:, b], minlength=k * k).reshape(k, k)
+        gram, right = gram.reshape(stages * k, -1), right.reshape(stages * k, -1)
         solved = np.linalg.solve(gram + 0.1 * np.eye(len(gram)), right + 0.1 * books.words.reshape(-1, x.shape[1]))
         books = Codebooks(solved.reshape(stages, k, -1))
     return books
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 256, sample: int = 16_384, stages: int = 8, query_block: int = 512, code_block: int = 16_384) -> DataFrame:
+def needed_depth(v: DataFrame, codes: DataFrame, queries: DataFrame, books: Codebooks, dim: int, k: int, recall: float, audit: int) -> int:
+    """How many of the best by looked-up distance hold ``recall`` of the true ``k`` nearest, measured by brute force.
+
+    At most ``audit`` queries (by hash of the id) are compared with every vector; then the codes with a smaller looked-up
+    distance than each true neighbour's are counted. Only audit * k rows reach the driver.
+    """
+    asked = queries.orderBy(F.xxhash64(F.lit("audit"), "vec_id")).limit(audit).toPandas()
+    if not len(asked):
+        return k
+    qid, x = asked["vec_id"].to_numpy(), np.array(asked["embedding"].tolist())
+
+    def exact(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, y = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
+            d = ((x**2).sum(1)[:, None] - 2 * x @ y.T) + (y**2).sum(1)
+            d[qid[:, None] == ids] = np.inf
+            top = np.argpartition(d, min(k, len(ids)) - 1, axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(x)), top.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids[top.ravel()]), pa.array(d[rows, top.ravel()])], ["q", "vec_id", "d"])
+
+    best = Window.partitionBy("q").orderBy("d", "vec_id")
+    true = v.mapInArrow(exact, "q long, vec_id long, d double").where("d < double('inf')").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    true = true.join(codes, "vec_id").select("q", "code", "norm").toPandas()
+    if not len(true):
+        return k
+    tables, q = books.tables(x), true["q"].to_numpy()
+    near = lambda t, c, norm: norm - 2 * sum(t[..., m, c[:, m]] for m in range(c.shape[1]))
+    own = np.frombuffer(b"".join(true["code"]), np.uint8).reshape(len(true), -1)
+    edge = true["norm"].to_numpy() - 2 * sum(tables[q, m, own[:, m]] for m in range(own.shape[1]))
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(len(edge), np.int64)
+        for batch in batches:
+            c = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            d = np.sort(near(tables, c, batch.column(2).to_numpy()), axis=1)
+            total += np.array([np.searchsorted(d[i], e - 1e-6) for i, e in zip(q, edge, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edge))), pa.array(total)], ["i", "n"])
+
+    depths = codes.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()["n"]
+    return int(np.quantile(depths, recall)) + 1 if len(depths) else k
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 256, recall: float = 0.97, audit: int = 64, sample: int = 16_384, stages: int = 16, query_block: int = 512, code_block: int = 16_384) -> DataFrame:
     """The ``k`` nearest of ``vectors`` to each of ``queries`` by Euclidean distance, itself left out.
 
     Both have vec_id and embedding; returns query_id, rank (from 1), vec_id, score. Codebooks are trained on at most
     ``sample`` vectors (by hash of the id); every vector is encoded and every query meets every code, in blocks. Each
-    query's ``rerank`` best by looked-up distance are measured exactly, in double precision; ties go to the smaller id.
+    query's best by looked-up distance are measured exactly, in double precision; ties go to the smaller id. How many
+    they are is found by an audit against brute force (``needed_depth``), with ``rerank`` the least.
     Vectors that are null, zero, not finite or of another length than most, and rows without id, take no part. Of rows
     that share an id each is a candidate of its own.
     """
@@ -124,6 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 2
 
     codes = staged(v.mapInArrow(encode, "vec_id long, code binary, norm double"), "codes")
     q = staged(q, "queries")
+    rerank = max(rerank, needed_depth(v, codes, q, books.value, dim, k, recall, audit))
     n_q, n_c = -(-q.count() // query_block) or 1, -(-n // code_block)
     block = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(m)).cast("int")
     qs = q.withColumn("qb", block("vec_id", n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
