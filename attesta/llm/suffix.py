@@ -19,7 +19,7 @@ from .common import buffers, mix, powers, rolling, slices, span_hash, staged
 
 GRAM = 32  # bytes of an anchor
 BLOCK = 1 << 21  # bytes in a transform, about
-HOT = 256  # different segments of an anchor from which on its windows are dealt out one by one
+HOT = 4096  # different segments of an anchor from which on its windows are dealt out one by one
 END = 0xFF  # never a byte of UTF-8 text; the largest symbol, behind each segment
 
 
@@ -143,7 +143,7 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, size, zip): texts as compressed bytes, with a hash that tells rows of one id apart."""
+    """(doc_id, th, zip, rest): texts as compressed bytes; th tells rows of one id apart, rest holds the other columns."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -155,14 +155,14 @@ def _zipped(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             for i, j in slices(offsets, 1 << 23):
                 texts = [raw[offsets[k] : offsets[k + 1]] for k in range(i, j)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([c.compress(t) for t in texts], pa.binary())], ["doc_id", "th", "zip"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([c.compress(t) for t in texts], pa.binary()), batch.column(3).slice(i, j - i)], ["doc_id", "th", "zip", "rest"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, zip binary")
+    return docs.mapInArrow(run, f"doc_id long, th long, zip binary, rest {docs.schema['rest'].dataType.simpleString()}")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit("t"), text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit("t"), text).alias("th"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("_")]).alias("rest"))
 
 
 def same_row(a: DataFrame, b: DataFrame):
@@ -182,7 +182,7 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo.astype(np.int64)), pa.array(many.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "th", "lo", "many", "anchor", "whole"])
 
-    seg = staged(keyed(docs).mapInArrow(cut, "doc_id long, th long, lo long, many int, anchor long, whole long"), "segments")
+    seg = staged(keyed(docs).select("doc_id", "th", "text").mapInArrow(cut, "doc_id long, th long, lo long, many int, anchor long, whole long"), "segments")
     shared = staged(seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     seg = staged(seg.join(shared, "anchor"), "shared-segments")
 
@@ -191,7 +191,7 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     several = staged(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed-anchors")
     mixed = kinds.join(several, "anchor").select("anchor", "whole", "many", "n", "kinds", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.lo").alias("lo"))
     per_doc = mixed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "whole", "many", "kinds", "lo")).alias("cuts"))
-    d = _zipped(keyed(docs).dropDuplicates(["doc_id", "th"]))
+    d = _zipped(keyed(docs.select("doc_id", "text")).dropDuplicates(["doc_id", "th"]))
     held = d.join(per_doc, same_row(d, per_doc)).select("zip", "cuts")
 
     def fetch(batches: Iterator) -> Iterator:
@@ -273,16 +273,17 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     return out.select("doc_id", "th", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j") + (length - 1)).alias("hi"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row: ``kept`` are the bytes that no repeated string covers.
+def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, rest) of each row: ``kept`` are the bytes that no repeated string covers,
+    ``rest`` is a struct of the other columns. With ``whole_characters`` what is left of a cut character goes as well.
 
     Strings are judged on the input: every byte in a string of ``length`` bytes that also starts elsewhere in the table,
-    the same row included, goes. A null text is empty. Rows that are equal in id and text repeat each other. Other
-    columns are dropped, and an empty table gives no rows.
+    the same row included, goes. A null text is empty. Rows that are equal in id and text repeat each other. An
+    empty table gives no rows.
     """
     gone = removed_ranges(docs, length).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
     d = _zipped(keyed(docs))
-    full = d.join(gone, same_row(d, gone), "left").select(d["doc_id"], "zip", F.transform("gone", lambda g: g["lo"]).alias("lo"), F.transform("gone", lambda g: g["hi"]).alias("hi"))
+    full = d.join(gone, same_row(d, gone), "left").select(d["doc_id"], "zip", "rest", F.transform("gone", lambda g: g["lo"]).alias("lo"), F.transform("gone", lambda g: g["hi"]).alias("hi"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 while at < batch.num_rows and held < 1 << 23:
                     raw = batch.column(1)[at].as_py()
                     text = z.decompress(raw)
-                    lo, hi = batch.column(2)[at].values, batch.column(3)[at].values
+                    lo, hi = batch.column(3)[at].values, batch.column(4)[at].values
                     if lo is None or not len(lo):
                         out.append((len(text), 0, 0, text))
                     else:
@@ -305,10 +306,11 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                         np.add.at(edge, hi.to_numpy(), -1)
                         covered = np.cumsum(edge[:-1]) > 0
                         kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
+                        kept = kept.decode("utf-8", "ignore").encode() if whole_characters else kept
                         out.append((len(text), int(covered.sum()), len(runs(covered)), kept))
                     held += len(text)
                     at += 1
                 cols = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), *(pa.array(c, k) for c, k in cols)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), *(pa.array(c, k) for c, k in cols), batch.column(2).slice(start, at - start)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
-    return full.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return full.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {d.schema['rest'].dataType.simpleString()}")
