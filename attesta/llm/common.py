@@ -23,11 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+STAGED: list[str] = []  # folders of staged tables, in order of time
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: it cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/attesta/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    STAGED.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # the job's shuffle files go when the driver has no reference to them
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables from which every later table has been staged."""
+    release(tables[0].sparkSession, [t._staged_at for t in tables if t._staged_at in STAGED])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that no frame needs any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        STAGED.remove(path)
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -61,6 +82,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     """
     cur = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     for _ in range(max_rounds):
+        old = cur
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -73,6 +95,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         many = new.groupBy("u").count().where("count > 1")
         done = loose.isEmpty() and many.isEmpty()
         cur = new
+        discard(old)
         if done:
             break
     else:
@@ -100,7 +123,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_POWER[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         inverse = pow(_BASE, -1, 2**64)
         for k, b in enumerate((_BASE, inverse)):
             p = np.full(size, b, np.uint64)
@@ -134,7 +157,7 @@ def buffers(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 22):
+def slices(offsets: np.ndarray, size: int = 1 << 21):
     """Ranges [i, j) of rows with about ``size`` bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, components, mix, slices, staged, word_hashes
+from .common import buffers, components, discard, mix, slices, staged, word_hashes
 
 ORDER_BITS = 20  # buckets of the frequency table, 2**20: its size does not grow with the data
 BLOCK = 16  # classes in a group at most, about
@@ -113,17 +113,21 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets reach the threshold, from the texts (id, text) themselves."""
+    """Those of the distinct pairs (a, b) whose sets reach the threshold, from the whole texts (id, zip) themselves."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard as z
+
+        def text(column):
+            raw = [z.decompress(x) for x in column.to_pylist()]
+            return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
 
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            both = [buffers(batch.column(c)) for c in (2, 3)]
             good = np.zeros(len(a), bool)
-            for i, j in slices(both[0][1] + both[1][1]):
-                sets = [shingle_sets(d[o[i] : o[j]], o[i : j + 1] - o[i], k) for d, o in both]
+            for i, j in slices(buffers(batch.column(2))[1] + buffers(batch.column(3))[1], 1 << 20):
+                sets = [shingle_sets(*text(batch.column(c).slice(i, j - i)), k) for c in (2, 3)]
                 size = [np.bincount(r, minlength=j - i) for r, _ in sets]
                 keys = [mix(h ^ mix(r.astype(np.uint64))) for r, h in sets]
                 _, at, _ = np.intersect1d(*keys, assume_unique=True, return_indices=True)
@@ -131,11 +135,26 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 good[i:j] = 100 * common >= percent * (size[0] + size[1] - common)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
+    ta, tb = (texts.select(F.col("id").alias(c), F.col("zip").alias(f"zip_{c}")) for c in "ab")
+    full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "zip_a", "zip_b")
     return full.mapInArrow(run, "a long, b long").distinct()
 
 
+def zipped(docs: DataFrame) -> DataFrame:
+    """(id, zip): compressed texts of documents that have an id and a text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard as z
+
+        c = z.ZstdCompressor(level=1)
+        for batch in batches:
+            for i, j in slices(buffers(batch.column(1))[1], 1 << 23):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([c.compress(t.as_buffer()) for t in batch.column(1).slice(i, j - i)], pa.binary())], ["id", "zip"])
+
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "id long, zip binary")
+
+
 def fits(x: str, lo: str, hi: str, percent: int):
     """A set of size x can reach the threshold with one of a size in [lo, hi]."""
     return (F.col(x) * 100 >= F.col(lo) * percent) & (F.col(hi) * 100 >= F.col(x) * percent)
@@ -153,24 +172,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     sig = staged(signatures(docs, k, percent), "signatures")
     used = sig.where("n > 0 and doc_id is not null")
     classes = used.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = staged(classes, "classes")
-    post = classes.select(F.col("rep").alias("id"), "n", F.explode("prefix").alias("token"))
+    full = staged(classes, "classes-with-prefix")
+    classes = staged(full.drop("prefix"), "classes")
+    sizes = staged(sig.drop("prefix"), "sizes")
+    discard(sig)
+    post = full.select(F.col("rep").alias("id"), "n", F.explode("prefix").alias("token"))
     # tokens that stand in one class alone lead nowhere
-    tokens = staged(post.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("low"), F.max("id").alias("high")).where("many > 1"), "tokens")
-    post = staged(post.join(tokens.select("token", "many", "low", "high"), "token"), "postings")
-
-    leaders = post.select(F.col("low").alias("a"), F.col("id").alias("b")).where("a <> b")
-    pairs = staged(leaders.distinct(), "pairs")
-    near = staged(post.select("id").distinct(), "near")
-    texts = docs.join(near, docs["doc_id"] == near["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").where("text is not null")
-    texts = staged(texts, "texts")
+    tokens = staged(post.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("low")).where("many > 1"), "tokens")
+    post = staged(post.join(tokens, "token"), "postings")
+    discard(full, tokens)
+
+    size = classes.groupBy(F.col("rep").alias("low")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    leaders = post.where("low <> id").select("low", "id", "n").distinct().join(size, "low").where(fits("n", "lo", "hi", percent))
+    pairs = staged(leaders.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    near = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(post.where("many > 2").select("id")).distinct(), "near")
+    texts = staged(zipped(docs).join(near, "id", "left_semi"), "texts")
     links = staged(verified(pairs, texts, k, percent), "links")
 
+    first = post
     post = post.where("many > 2").select("id", "n", "token")
     for r in range(stars + 1):
         comp = components(links)
         post = post.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
         post = staged(post, "postings")
+        discard(first)
+        first = post
         mixed = post.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2")
         mixed = staged(mixed, "tokens")
         if mixed.isEmpty():
@@ -189,7 +215,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
 
     found = classes.join(comp, classes["rep"] == comp["node"], "left").select("h1", "h2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("cid"))
     found = staged(found, "class-components")
-    s = sig.withColumns({"g1": F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("h1")), "g2": F.col("h2")}).drop("h1", "h2", "prefix")
+    s = sizes.withColumns({"g1": F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("h1")), "g2": F.col("h2")}).drop("h1", "h2")
     out = s.join(found, (s["g1"] == found["h1"]) & (s["g2"] == found["h2"]) & (s["n"] == found["cn"]), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("cid", "doc_id").alias("component_id"))
     return out
