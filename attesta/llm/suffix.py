@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import buffers, mix, powers, rolling, slices, span_hash, staged
 
 GRAM = 32  # bytes of an anchor
-BLOCK = 1 << 21  # bytes in a transform, about
+BLOCK = 1 << 20  # bytes in a transform, about
 HOT = 4096  # different segments of an anchor from which on its windows are dealt out one by one
 END = 0xFF  # never a byte of UTF-8 text; the largest symbol, behind each segment
 
@@ -177,7 +177,7 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
 
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 20):
                 row, lo, many, anchor, whole = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo.astype(np.int64)), pa.array(many.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "th", "lo", "many", "anchor", "whole"])
@@ -206,7 +206,7 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
                 for c in cuts.as_py():
                     rows.append((c["anchor"], c["whole"], c["many"], c["kinds"], text[c["lo"] : c["lo"] + c["many"] + length - 1]))
                     held += len(rows[-1][4])
-                if held > 1 << 22:
+                if held > 1 << 21:
                     yield pack(rows)
                     rows, held = [], 0
             if rows:
@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
             while at < batch.num_rows:
                 out: list[tuple] = []
                 held, start = 0, at
-                while at < batch.num_rows and held < 1 << 23:
+                while at < batch.num_rows and held < 1 << 22:
                     raw = batch.column(1)[at].as_py()
                     text = z.decompress(raw)
                     lo, hi = batch.column(3)[at].values, batch.column(4)[at].values
