@@ -105,15 +105,19 @@ def split_documents(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 2, keep_ids: bool = True, gapless: bool = True) -> DataFrame:
     """Power-of-two packing: every piece is a sequence of its own, and sequences of equal length form one bucket.
 
-    Adds sequence_id (gapless over all pieces, in order of bucket), offset (always 0), bucket (log2 of the length) and
-    ids_crc32 to ``split_documents``. No sequence crosses documents, and none is padded.
+    Adds sequence_id, offset (always 0), bucket (log2 of the length) and ids_crc32 to ``split_documents``. No sequence
+    crosses documents, and none is padded. sequence_id is gapless over all pieces, in order of bucket, for which the
+    pieces are staged; else it is unique and follows the layout of the input.
     """
     pieces = split_documents(docs, tokenizer, limit, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = staged(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    pieces = pieces if keep_ids else pieces.drop("ids")
     bucket = F.log2(F.col("length")).cast("int")
+    if not gapless:
+        return pieces.withColumns({"bucket": bucket, "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = staged(pieces, "pieces")
     cells = 1 << 8
     cell = bucket * cells + F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)).cast("int")
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
