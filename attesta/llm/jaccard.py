@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import buffers, components, discard, mix, slices, staged, word_hashes
 
 ORDER_BITS = 20  # buckets of the frequency table, 2**20: its size does not grow with the data
-BLOCK = 16  # classes in a group at most, about
+BLOCK = 64  # classes in a block of the matrix, about
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +87,31 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def parity(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Per set a bitmap of a power of two of bits, twice its size at least, each bit the parity of the tokens on it. The
+    bits that differ between two bitmaps, folded to one length, are no more than the tokens that one set alone has."""
+    size = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    at = np.concatenate(([0], np.cumsum(size)))
+    bits = np.bincount(at[row] + (mix(h) & (size[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(at[-1])).astype(np.uint8) & 1
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many bits differ in each pair of bitmaps, the longer one folded."""
+    out = np.zeros(len(a), np.int64)
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for key in set(zip(la.tolist(), lb.tolist(), strict=True)):
+        at = np.flatnonzero((la == key[0]) & (lb == key[1]))
+        least = min(key)
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([v[i] for i in at]), np.uint64).reshape(len(at), -1, least // 8), axis=1) for v in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix): the set's size, a 128-bit hash of it, and its prefix tokens in the global order."""
+    """(doc_id, n, h1, h2, prefix, bits): the set's size, a 128-bit hash of it, its prefix tokens in the global order and
+    its parity bitmap."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def run(batches: Iterator) -> Iterator:
@@ -107,9 +130,27 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 keep = np.arange(len(h)) - np.repeat(ends[:-1], n) < np.repeat(length, n)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(h[order][keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), prefix], ["doc_id", "n", "h1", "h2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), prefix, pa.array(parity(row, h, n), pa.binary())], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits binary")
+
+
+def possible(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the bitmaps (id, n, bits) do not rule out: a link of sizes x and y leaves
+    x + y - 2 * ceil(percent * (x + y) / (100 + percent)) tokens at most that one set alone has."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            keep = apart(batch.column(3).to_pylist(), batch.column(5).to_pylist()) <= most
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], ["a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    sa, sb = (shapes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    full = pairs.join(sa, "a").join(sb, "b").where(fits("n_a", "n_b", "n_b", percent)).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return full.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -171,46 +212,51 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = staged(signatures(docs, k, percent), "signatures")
     used = sig.where("n > 0 and doc_id is not null")
-    classes = used.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = used.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     full = staged(classes, "classes-with-prefix")
-    classes = staged(full.drop("prefix"), "classes")
-    sizes = staged(sig.drop("prefix"), "sizes")
+    classes = staged(full.drop("prefix", "bits"), "classes")
+    shapes = staged(full.select(F.col("rep").alias("id"), "n", "bits"), "shapes")
+    sizes = staged(sig.drop("prefix", "bits"), "sizes")
     discard(sig)
     post = full.select(F.col("rep").alias("id"), "n", F.explode("prefix").alias("token"))
     # tokens that stand in one class alone lead nowhere
-    tokens = staged(post.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("low")).where("many > 1"), "tokens")
-    post = staged(post.join(tokens, "token"), "postings")
+    tokens = staged(post.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "tokens")
+    post = staged(post.join(tokens, "token").select("token", "id", "n"), "postings")
     discard(full, tokens)
-
-    size = classes.groupBy(F.col("rep").alias("low")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    leaders = post.where("low <> id").select("low", "id", "n").distinct().join(size, "low").where(fits("n", "lo", "hi", percent))
-    pairs = staged(leaders.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    near = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(post.where("many > 2").select("id")).distinct(), "near")
-    texts = staged(zipped(docs).join(near, "id", "left_semi"), "texts")
-    links = staged(verified(pairs, texts, k, percent), "links")
-
-    first = post
-    post = post.where("many > 2").select("id", "n", "token")
+    # the share of its prefix that a class has in common with others: copies gather round those with a high share
+    shared = post.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("share", F.col("c") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    shared = staged(shared.select("id", "share"), "shares")
+    post = staged(post.join(shared, "id").select("token", "id", "n", "share", F.col("id").alias("group")), "postings")
+    texts = staged(zipped(docs).join(shared.select("id"), "id", "left_semi"), "texts")
+    links = asked = None
     for r in range(stars + 1):
-        comp = components(links)
-        post = post.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-        post = staged(post, "postings")
-        discard(first)
-        first = post
-        mixed = post.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2")
-        mixed = staged(mixed, "tokens")
-        if mixed.isEmpty():
-            break
-        post = post.join(mixed, "token")
         if r < stars:
-            # another leader: the class of the token that comes first in this round's order
-            lead = staged(post.groupBy("token").agg(F.min_by(F.struct("id", "group", "n"), F.xxhash64(F.lit(r), "id")).alias("lead")), "leaders")
-            more = post.select("token", "id", "n", "group").join(lead, "token").where("group <> lead.group").withColumn("ln", F.col("lead.n")).where(fits("n", "ln", "ln", percent))
-            new = more.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+            # the leader of a token: a high share, and chance in every round anew
+            place = F.col("share") + F.pmod(F.xxhash64(F.lit(r), "id"), F.lit(1000)) / 1000 * (0.001 if r == 0 else 0.25)
+            lead = staged(post.groupBy("token").agg(F.max_by(F.struct("id", "group", "n"), F.struct(place, "id")).alias("lead")), "leaders")
+            new = post.join(lead, "token").where("group <> lead.group").withColumn("ln", F.col("lead.n")).where(fits("n", "ln", "ln", percent))
+            new = new.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         else:
-            new = opened_groups(post.select("token", "id", "n", "group"), percent)
-        links = staged(links.union(verified(staged(new, "pairs"), texts, k, percent)).distinct(), "links")
-        post = post.select("id", "n", "token")
+            new = opened_groups(post.select("token", "id", "n", "group"), shapes, percent)
+        if asked is not None:
+            new = new.join(asked, ["a", "b"], "left_anti")
+        if r < stars:
+            new = possible(staged(new, "pairs"), shapes, percent)
+        new = staged(new, "possible")
+        asked = new if asked is None else staged(asked.union(new), "asked")
+        more = verified(new, texts, k, percent)
+        links = staged(more if links is None else links.union(more).distinct(), "links")
+        if r < stars:
+            comp = components(links).withColumnRenamed("node", "id")
+            old = post
+            post = staged(post.drop("group").join(comp, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"), "postings")
+            # a token whose classes are all of one group has nothing left to tell
+            mixed = staged(post.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("token"), "tokens")
+            rest = staged(post.join(mixed, "token"), "postings")
+            discard(old, post, mixed)
+            post = rest
+            if post.isEmpty():
+                break
     comp = components(links)
 
     found = classes.join(comp, classes["rep"] == comp["node"], "left").select("h1", "h2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("cid"))
@@ -221,21 +267,48 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     return out
 
 
-def opened_groups(post: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes to compare, from postings (token, id, n, group).
+def opened_groups(post: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different groups to compare, from postings (token, id, n, group).
 
-    Groups are cut into blocks of about ``BLOCK`` classes. The matrix has a row for each (token, block) with the sizes
-    in it; a class meets a block of a higher group if one of its prefix tokens is there and its size fits.
+    Classes are partitioned by the commonest of their tokens, and where many share it into blocks of about ``BLOCK``. The
+    matrix has a row per token and block, with the sizes and groups in it. A class meets a block that has one of its
+    prefix tokens, a size that fits and another group; only such blocks are opened, and in them the bitmaps bound the
+    overlap with each member. So what two tables' rows meet in is classes by blocks, and never all pairs.
     """
-    members = post.select("id", "n", "group").distinct()
-    blocks = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = staged(members.join(blocks, "group").select("id", "n", "group", F.pmod(F.xxhash64("id"), "blocks").alias("block")), "members")
-    matrix = post.join(members.select("id", "block"), "id").groupBy("token", F.col("group").alias("of"), "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    many = post.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
+    members = post.join(many, "token").groupBy("id", "n", "group").agg(F.max_by("token", F.struct("many", "token")).alias("home"))
+    members = staged(members, "members")
+    cut = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cut"))
+    members = staged(members.join(cut, "home").select("id", "n", "group", "home", F.pmod(F.xxhash64("id"), "cut").alias("block")), "members")
+    post = staged(post.select("token", "id").join(members, "id"), "postings")
+    matrix = post.groupBy("token", F.col("home").alias("to"), F.col("block").alias("to_block")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("group").alias("g1"), F.max("group").alias("g2"))
     matrix = staged(matrix, "matrix")
-    asked = post.join(matrix, "token").where(F.col("group") < F.col("of")).where(fits("n", "lo", "hi", percent))
-    asked = staged(asked.groupBy("id", "n", "of", "block").agg(F.count(F.lit(1)).alias("overlap")), "asked")
-    m = members.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("group").alias("of"), "block")
-    return asked.join(m, ["of", "block"]).where(fits("n", "m", "m", percent)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    asked = post.join(matrix, "token").where(fits("n", "lo", "hi", percent) & ~((F.col("g1") == F.col("group")) & (F.col("g2") == F.col("group"))))
+    asked = asked.where((F.col("home") < F.col("to")) | (F.col("home") == F.col("to")) & (F.col("block") <= F.col("to_block")))
+    asked = staged(asked.groupBy("id", "group", "to", "to_block").agg(F.count(F.lit(1)).alias("overlap")), "asked")
+    filled = members.join(shapes.select("id", "bits"), "id").groupBy(F.col("home").alias("to"), F.col("block").alias("to_block")).agg(F.collect_list(F.struct("id", "n", "group", "bits")).alias("members"))
+    filled = staged(filled, "blocks")
+
+    def open_(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                ids, groups, sizes = (part.column(c).to_numpy() for c in range(3))
+                inner = part.column(4).flatten()
+                b_id, b_n, b_group = (inner.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                row = np.repeat(np.arange(part.num_rows), part.column(4).value_lengths().to_numpy())
+                low, high = np.minimum(sizes[row], b_n), np.maximum(sizes[row], b_n)
+                go = np.flatnonzero((b_group != groups[row]) & (100 * low >= percent * high))
+                total = sizes[row[go]] + b_n[go]
+                bits, own = inner.field(3).take(pa.array(go)).to_pylist(), part.column(3).take(pa.array(row[go])).to_pylist()
+                keep = go[apart(own, bits) <= total - 2 * -(-percent * total // (100 + percent))]
+                x, y = ids[row[keep]], b_id[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    full = asked.join(shapes, "id").join(filled, ["to", "to_block"]).select("id", "group", "n", "bits", "members")
+    return full.mapInArrow(open_, "a long, b long").distinct()
 
 
 #: The same rows in DuckDB SQL, for the parameters of the registered query.
