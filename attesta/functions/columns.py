@@ -255,7 +255,8 @@ def parse_published(c: ColumnOrName) -> Column:
     n = F.length(t)
     date = F.when(n == 4, year).when(n == 7, month).when(n >= 10, day)
     kind = F.when(n == 4, "YEAR").when(n == 7, "MONTH").otherwise("DATE")
-    return F.struct(date.alias("date"), F.when(date.isNull(), "UNDATED").otherwise(kind).alias("granularity"))
+    out = F.struct(date.alias("date"), F.when(date.isNull(), "UNDATED").otherwise(kind).alias("granularity"))
+    return out.cast("struct<date:date,granularity:string>")
 
 
 def staleness(observed: ColumnOrName, horizon: ColumnOrName, as_of: ColumnOrName) -> Column:

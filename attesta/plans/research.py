@@ -159,7 +159,7 @@ def run_rules(texts: DataFrame, rules: list[PhraseRule], text: str = "text") ->
 def extract_postings(texts: DataFrame, text: str = "text") -> DataFrame:
     schema = "job_id string, employer string, title string, location string, posted_at string, description string, responsibilities array<string>, requirements array<string>"
     p = texts.where(fn.canonical_json(text).isNotNull()).withColumn("p", F.from_json(text, schema)).where("p.job_id is not null")
-    return p.select(*[c for c in texts.columns if c != text], "p.job_id", "p.employer", "p.title", fn.parse_published("p.posted_at").alias("posted"), F.posexplode_outer("p.responsibilities").alias("position", "responsibility"))
+    return p.withColumn("posted", fn.parse_published("p.posted_at")).select(*[c for c in texts.columns if c != text], "p.job_id", "p.employer", "p.title", "posted", F.posexplode_outer("p.responsibilities").alias("position", "responsibility"))
 
 
 def extract_registry(texts: DataFrame, text: str = "text") -> DataFrame:
