@@ -49,8 +49,8 @@ def normalize_name(c: ColumnOrName, suffixes: list[str] = cfg.LEGAL_SUFFIXES) ->
     return F.nullif(out, F.lit(""))
 
 
-def normalize_address(*parts: ColumnOrName) -> Column:
-    joined = F.concat_ws(", ", *[F.nullif(F.trim(F.lower(_c(p))), F.lit("")) for p in parts])
+def normalize_address(address: ColumnOrName, postal_code: ColumnOrName, city: ColumnOrName, country: ColumnOrName) -> Column:
+    joined = F.concat_ws(" ", *[F.nullif(F.trim(F.lower(_c(p))), F.lit("")) for p in (address, postal_code, city, country)])
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("unknown"))
 
 
@@ -220,12 +220,11 @@ def sam_scale(c: ColumnOrName) -> Column:
 
 
 def ticket_overlap(ticket: ColumnOrName, low: ColumnOrName, high: ColumnOrName) -> Column:
-    """1 inside the range, falling linearly to 0 at half the lower or twice the upper bound; bounds in either order."""
+    """1 inside the range, falling linearly to 0 at the range's own width (1 at least) from it; bounds in either order."""
     t, lo, hi = _c(ticket), F.least(_c(low), _c(high)), F.greatest(_c(low), _c(high))
-    below = F.greatest(F.lit(0.0), 1 - (lo - t) / F.nullif(lo * 0.5, F.lit(0.0)))
-    above = F.greatest(F.lit(0.0), 1 - (t - hi) / F.nullif(hi, F.lit(0.0)))
     known = t.isNotNull() & _c(low).isNotNull() & _c(high).isNotNull()
-    return F.when(known, F.when((t >= lo) & (t <= hi), 1.0).when(t < lo, F.coalesce(below, F.lit(0.0))).otherwise(F.coalesce(above, F.lit(0.0))))
+    outside = F.greatest(lo - t, t - hi)
+    return F.when(known, F.when(outside <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - outside / F.greatest(hi - lo, F.lit(1.0)))))
 
 
 def clamp(c: Column) -> Column:
@@ -373,9 +372,9 @@ def explain(component: ColumnOrName, earned: ColumnOrName, weight: ColumnOrName,
 
 def fetch_outcome(status: ColumnOrName, media: ColumnOrName, size: ColumnOrName, body: ColumnOrName, max_bytes: int = 5_000_000) -> Column:
     s, m = _c(status), F.lower(F.trim(F.split(_c(media), ";")[0]))
-    login = m.isin("text/html", "application/xhtml+xml") & F.lower(_c(body)).rlike("""type=["']password["']""") & (F.length(html_text(body)) < 400)
+    login = m.isin("text/html", "application/xhtml+xml") & F.lower(_c(body)).rlike("""(type|name)=(["'])password\\2""") & (F.length(_c(body)) < 40_000)
     return (
-        F.when(s == 304, "NOT_MODIFIED").when(s == 404, "NOT_FOUND").when(s == 410, "GONE").when(s.isin(401, 403, 407, 429, 451), "DENIED").when(s >= 400, "TRANSPORT_ERROR")
+        F.when(s == 304, "NOT_MODIFIED").when(s == 404, "NOT_FOUND").when(s == 410, "GONE").when(s.isin(401, 402, 403, 405, 406, 423, 429, 451), "DENIED").when(s >= 400, "TRANSPORT_ERROR")
         .when(_c(size) > max_bytes, "TOO_LARGE").when((m != "") & ~m.isin(cfg.ACCEPTED_MEDIA), "MIME_MISMATCH").when(login, "LOGIN_WALL").otherwise("OK")
     )
 

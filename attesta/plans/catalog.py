@@ -180,7 +180,7 @@ def _(t):
 @query(
     "fn19_ladders",
     """select p_partkey, round(case when p_retailprice > 0 then ln(p_retailprice) end, 9) logged, case when s <= 100 then 0.1 when s <= 500 then 0.25 when s <= 2000 then 0.45 when s <= 10000 then 0.65 when s <= 30000 then 0.85 when s <= 60000 then 0.95 else 1.0 end::double ladder,
-round(case when p_retailprice between 1000 and 1400 then 1.0 when p_retailprice < 1000 then greatest(0, 1 - (1000 - p_retailprice) / 500) else greatest(0, 1 - (p_retailprice - 1400) / 1400) end, 9)::double overlap
+round(case when p_retailprice between 1000 and 1400 then 1.0 else greatest(0, 1 - greatest(1000 - p_retailprice, p_retailprice - 1400) / 400) end, 9)::double overlap
 from (select *, p_size * 1300 s from part)""",
 )
 def _(t):
@@ -666,7 +666,7 @@ _CTX = "(values ('a', 'email', 1200.0, false, 0.5), ('b', 'multichannel', 700.0,
 lad(v) as (select 1), j as (select *, (vlo + vhi) / 2 vm, sm * 2 im from m cross join {_CTX}),
 k as (select *, greatest(0, least(1, bs / 100)) v1, coalesce(fit, case when vm <= 100 then 0.1 when vm <= 500 then 0.25 when vm <= 2000 then 0.45 when vm <= 10000 then 0.65 when vm <= 30000 then 0.85 when vm <= 60000 then 0.95 else 1 end) v2,
  case when im is null then null when im <= 100 then 0.1 when im <= 500 then 0.25 when im <= 2000 then 0.45 when im <= 10000 then 0.65 else 0.85 end v3,
- case when ticket is null or tlo is null then null when ticket between tlo and thi then 1.0 when ticket < tlo then greatest(0, 1 - (tlo - ticket) / (tlo * 0.5)) else greatest(0, 1 - (ticket - thi) / thi) end v4,
+ case when ticket is null or tlo is null then null when ticket between tlo and thi then 1.0 else greatest(0, 1 - greatest(tlo - ticket, ticket - thi) / greatest(thi - tlo, 1)) end v4,
  case ch when 'email' then (coalesce(em * 0.7, 0) + lang * 0.3) / (case when em is null then 0 else 0.7 end + 0.3) when 'phone' then (lang * 0.4 + coalesce(tz * 0.6, 0)) / (0.4 + case when tz is null then 0 else 0.6 end)
   else (coalesce(em * 0.4, 0) + lang * 0.35 + coalesce(tz * 0.25, 0)) / (case when em is null then 0 else 0.4 end + 0.35 + case when tz is null then 0 else 0.25 end) end v5,
  case ch when 'email' then case when em is null then 0 else 0.7 end + 0.3 when 'phone' then 0.4 + case when tz is null then 0 else 0.6 end else case when em is null then 0 else 0.4 end + 0.35 + case when tz is null then 0 else 0.25 end end seen5,
@@ -788,22 +788,22 @@ def _(t):
 
 @query(
     "er25_presences",
-    """with o as (select o_custkey company_id, o_orderpriority p, o_orderkey claim_id, o_orderdate::date vf, case when o_orderkey % 3 = 0 then (o_orderdate + interval 90 day)::date end vt, case when o_orderstatus = 'P' and o_orderkey % 5 = 0 then 'RETRACTS' else 'ASSERTS' end a from orders)
-select company_id, p as market, min(vf) effective_from, arg_max(vt, claim_id) filter (vt is not null) effective_to from o where a = 'ASSERTS' and not exists (select 1 from o x where x.company_id = o.company_id and x.p = o.p and x.a = 'RETRACTS') group by 1, 2""",
+    """with o as (select o_custkey company_id, o_orderpriority p, o_orderkey claim_id, case when o_orderkey % 4 <> 0 then date_trunc('year', o_orderdate)::date else date '1900-01-01' end vf, case when o_orderkey % 3 = 0 then (o_orderdate + interval 90 day)::date end vt, case when o_orderstatus = 'P' and o_orderkey % 5 = 0 then 'RETRACTS' else 'ASSERTS' end a from orders)
+select company_id, p as market, vf effective_from, arg_max(vt, claim_id) filter (vt is not null) effective_to from o where a = 'ASSERTS' and not exists (select 1 from o x where x.company_id = o.company_id and x.p = o.p and x.vf = o.vf and x.a = 'RETRACTS') group by 1, 2, 3""",
 )
 def _(t):
     k = F.col("o_orderkey")
-    d = t("orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderpriority").alias("market"), k.alias("claim_id"), F.to_date("o_orderdate").alias("valid_from"), F.when(k % 3 == 0, F.date_add(F.to_date("o_orderdate"), 90)).alias("valid_to"), F.when((F.col("o_orderstatus") == "P") & (k % 5 == 0), "RETRACTS").otherwise("ASSERTS").alias("assertion"))
+    d = t("orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderpriority").alias("market"), k.alias("claim_id"), F.when(k % 4 != 0, F.to_date(F.date_trunc("year", "o_orderdate"))).alias("valid_from"), F.when(k % 3 == 0, F.date_add(F.to_date("o_orderdate"), 90)).alias("valid_to"), F.when((F.col("o_orderstatus") == "P") & (k % 5 == 0), "RETRACTS").otherwise("ASSERTS").alias("assertion"))
     return ent.project_presences(d, ["company_id", "market"])
 
 
 @query(
     "er27_relationships",
     """with r as (select o_orderkey claim_id, least(o_custkey, o_custkey % 97) f, greatest(o_custkey, o_custkey % 97) t, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) prev from orders)
-select f from_id, t to_id, 'SISTER_OF' edge_type, min(claim_id) claim_id from r where claim_id not in (select prev from r where prev is not null) group by 1, 2""",
+select f from_id, t to_id, 'SISTER_OF' edge_type, date '1900-01-01' effective_from, null::date effective_to, min(claim_id) claim_id from r where claim_id not in (select prev from r where prev is not null) group by 1, 2""",
 )
 def _(t):
-    d = t("orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("from_id"), (F.col("o_custkey") % 97).alias("to_id"), F.lit("SISTER_OF").alias("edge_type"), F.lit("ASSERTS").alias("assertion"), "o_custkey")
+    d = t("orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("from_id"), (F.col("o_custkey") % 97).alias("to_id"), F.lit("SISTER_OF").alias("edge_type"), F.lit("ASSERTS").alias("assertion"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), "o_custkey")
     d = rel.number_in_group(d, ["o_custkey"], [F.col("claim_id")], "claim_id").withColumnRenamed("supersedes", "supersedes_claim_id")
     return ent.project_relationships(ent.relationship_claims(d))
 
@@ -923,14 +923,14 @@ def _(t):
 
 @query(
     "rs29_gaps",
-    """with p as (select user_id c, event_type a, round(avg(value) / 20, 4) conf, count(*) % 2 = 0 bad from events group by 1, 2), t as (select distinct user_id c, unnest(['view', 'click', 'refund']) a from events), f as (select *, case when conf is null and c % 2 = 0 then 'UNRESOLVABLE' when conf is null then 'NO_EVIDENCE' when conf < 0.6 then 'INSUFFICIENT' end k from t left join p using (c, a))
-select c company_id, a attribute_key, unnest(list_filter([k, case when c % 5 = 0 then 'STALE' end, case when bad then 'CONTRADICTED' end], lambda x: x is not null)) gap_kind from f""",
+    """with p as (select user_id c, event_type a, count(*) % 2 = 0 bad from events where event_type <> 'click' group by 1, 2), t as (select distinct user_id c, unnest(['view', 'click', 'refund']) a from events), f as (select *, case when bad is not null then null when c % 2 = 0 then 'UNRESOLVABLE_SOURCE' when c % 3 = 0 then 'INSUFFICIENT_EVIDENCE' else 'NO_EVIDENCE' end k from t left join p using (c, a))
+select c company_id, a attribute_key, unnest(list_filter([k, case when c % 5 = 0 then 'STALE_EVIDENCE' end, case when bad then 'CONTRADICTED' end], lambda x: x is not null)) gap_kind from f""",
 )
 def _(t):
-    e = t("events").select(F.col("user_id").alias("company_id"), F.col("event_type").alias("attribute_key"), "value")
-    p = e.groupBy("company_id", "attribute_key").agg(F.round(F.avg("value") / 20, 4).alias("confidence"), (F.count(F.lit(1)) % 2 == 0).alias("contradicted"))
+    e = t("events").select(F.col("user_id").alias("company_id"), F.col("event_type").alias("attribute_key"))
+    p = e.where("attribute_key <> 'click'").groupBy("company_id", "attribute_key").agg((F.count(F.lit(1)) % 2 == 0).alias("contradicted"))
     targets = e.select("company_id").distinct().withColumn("attribute_key", F.explode(F.array(*[F.lit(x) for x in ("view", "click", "refund")])))
-    return res.raise_gaps(targets, p, targets.where("company_id % 2 = 0"), targets.where("company_id % 5 = 0"))
+    return res.raise_gaps(targets, p, targets.where("company_id % 3 = 0"), targets.where("company_id % 2 = 0"), targets.where("company_id % 5 = 0"))
 
 
 @query(
@@ -986,6 +986,15 @@ def _(t):
     return res.retention_plan(b, f, F.to_date(F.lit("2024-05-15"))).select("body_sha256", "media_type", "cutoff")
 
 
+@query(
+    "fn03_addresses",
+    """select c_custkey, lower(trim(c_name)) || case when c_custkey % 3 <> 0 then ' ' || c_nationkey else '' end || ' ' || lower(c_mktsegment) address from customer""",
+)
+def _(t):
+    zip_ = F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey").cast("string"))
+    return t("customer").select("c_custkey", fn.normalize_address("c_name", zip_, F.lit(None).cast("string"), "c_mktsegment").alias("address"))
+
+
 @query("rs44_claim_list", "select o_custkey claim_id, array_to_string(list_sort(list(distinct o_orderkey)), ',') evidence_ids from orders group by 1")
 def _(t):
     o = t("orders").select(F.col("o_custkey").alias("claim_id"), F.col("o_orderkey").alias("evidence_id"))

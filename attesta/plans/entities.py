@@ -166,20 +166,23 @@ def project_domains(claims: DataFrame) -> DataFrame:
     return rel.single_owner(v, "domain", "company_id")
 
 
+def _intervals(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Half-open intervals, one per key and start: a retraction removes its own, and only a stated end closes one (that
+    of the highest claim with an end); a missing start is 1900-01-01."""
+    c = claims.withColumn("effective_from", F.coalesce("valid_from", F.to_date(F.lit("1900-01-01"))))
+    by = [*keys, "effective_from"]
+    gone = c.where("assertion = 'RETRACTS'").select(*by).distinct()
+    c = c.where("assertion <> 'RETRACTS'").join(gone, by, "left_anti")
+    return c.groupBy(*by).agg(F.max_by("valid_to", F.when(F.col("valid_to").isNotNull(), F.col("claim_id"))).alias("effective_to"), F.min("claim_id").alias("claim_id"))
+
+
 def project_presences(claims: DataFrame, by: list[str]) -> DataFrame:
-    """Half-open intervals per key: a retraction removes the key, and only a stated end closes one."""
-    gone = claims.where("assertion = 'RETRACTS'").select(*by).distinct()
-    c = claims.where("assertion <> 'RETRACTS'").join(gone, by, "left_anti")
-    start = F.coalesce(F.min("valid_from"), F.to_date(F.lit("1900-01-01")))
-    return c.groupBy(*by).agg(start.alias("effective_from"), F.max_by("valid_to", F.when(F.col("valid_to").isNotNull(), F.col("claim_id"))).alias("effective_to"))
+    return _intervals(claims, by).drop("claim_id")
 
 
 def project_relationships(rels: DataFrame) -> DataFrame:
-    """Edges that are neither superseded nor retracted; the lowest claim of an edge stands for it."""
-    live = rel.heads(rels, "claim_id", "supersedes_claim_id")
-    gone = rels.where("assertion = 'RETRACTS'").select("from_id", "to_id", "edge_type").distinct()
-    live = live.where("assertion <> 'RETRACTS'").join(gone, ["from_id", "to_id", "edge_type"], "left_anti")
-    return live.groupBy("from_id", "to_id", "edge_type").agg(F.min("claim_id").alias("claim_id"))
+    """Intervals of edges over claims that nothing supersedes; the lowest claim of an interval stands for it."""
+    return _intervals(rel.heads(rels, "claim_id", "supersedes_claim_id"), ["from_id", "to_id", "edge_type"])
 
 
 def projection_report(tables: dict[str, DataFrame]) -> DataFrame:

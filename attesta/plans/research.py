@@ -344,12 +344,16 @@ def unreachable(pursued: DataFrame, fetches: DataFrame) -> DataFrame:
     return rel.every(j, ["company_id", "attribute_key"], F.coalesce("dead", F.lit(False))).where("all").select("company_id", "attribute_key")
 
 
-def raise_gaps(targets: DataFrame, profile: DataFrame, dead: DataFrame, stale: DataFrame) -> DataFrame:
-    """At most one of UNRESOLVABLE, INSUFFICIENT and NO_EVIDENCE per target, and STALE and CONTRADICTED beside it."""
+def raise_gaps(targets: DataFrame, profile: DataFrame, weak: DataFrame, dead: DataFrame, stale: DataFrame) -> DataFrame:
+    """Of a target that no claim evidences exactly one of UNRESOLVABLE_SOURCE, INSUFFICIENT_EVIDENCE (observed, but too
+    weak) and NO_EVIDENCE; beside it STALE_EVIDENCE, and CONTRADICTED for one that is held."""
     k = ["company_id", "attribute_key"]
-    j = targets.join(profile.select(*k, "confidence", "contradicted"), k, "left").join(dead.select(*k).withColumn("_dead", F.lit(True)), k, "left").join(stale.select(*k).withColumn("_stale", F.lit(True)), k, "left")
-    main = F.when(F.col("confidence").isNull() & F.coalesce("_dead", F.lit(False)), "UNRESOLVABLE").when(F.col("confidence").isNull(), "NO_EVIDENCE").when(F.col("confidence") < 0.60, "INSUFFICIENT")
-    kinds = F.array_compact(F.array(main, F.when(F.coalesce("_stale", F.lit(False)), "STALE"), F.when(F.coalesce("contradicted", F.lit(False)), "CONTRADICTED")))
+    mark = lambda d, name: d.select(*k).distinct().withColumn(name, F.lit(True))
+    j = targets.join(profile.select(*k, F.lit(True).alias("_held"), "contradicted"), k, "left")
+    for d, name in ((weak, "_weak"), (dead, "_dead"), (stale, "_stale")):
+        j = j.join(mark(d, name), k, "left")
+    main = F.when(F.col("_held").isNotNull(), None).when(F.col("_dead"), "UNRESOLVABLE_SOURCE").when(F.col("_weak"), "INSUFFICIENT_EVIDENCE").otherwise("NO_EVIDENCE")
+    kinds = F.array_compact(F.array(main, F.when(F.col("_stale"), "STALE_EVIDENCE"), F.when(F.coalesce("contradicted", F.lit(False)), "CONTRADICTED")))
     return j.withColumn("gap_kind", F.explode(kinds)).select(*k, "gap_kind")
 
 
@@ -385,10 +389,10 @@ def confirmed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def reconcile(gaps: DataFrame, claims: DataFrame) -> DataFrame:
-    """RESOLVED events for open INSUFFICIENT gaps that a confirmed claim answers."""
+    """RESOLVED events for open INSUFFICIENT_EVIDENCE gaps that a confirmed claim answers."""
     k = ["company_id", "attribute_key"]
     c = claims.groupBy(*k).agg(F.min("claim_id").alias("resolving_claim_id"))
-    return gaps.where("gap_kind = 'INSUFFICIENT' and status in ('RAISED', 'ATTEMPTED')").join(c, k).select("gap_id", F.lit("RESOLVED").alias("event_kind"), "resolving_claim_id")
+    return gaps.where("gap_kind = 'INSUFFICIENT_EVIDENCE' and status in ('RAISED', 'ATTEMPTED')").join(c, k).select("gap_id", F.lit("RESOLVED").alias("event_kind"), "resolving_claim_id")
 
 
 def raise_signals(new: DataFrame, occurrences: DataFrame, events: DataFrame) -> DataFrame:

@@ -133,14 +133,16 @@ def context_handlers() -> dict[str, tuple[Column, Column]]:
     """component: (value in [0, 1] or null, confidence). Extend the dictionary to add a component."""
     density = F.coalesce("vertical_fit_score", fn.sam_scale((F.col("vertical_sam_min") + F.col("vertical_sam_max")) / 2))
     ticket = F.coalesce("ticket_usd", (F.col("offer_low") + F.col("offer_high")) / 2)
-    aligned = F.when(F.col("recommended_channel").contains(F.col("channel_key")), 1.0).when((F.col("channel_key") == "multichannel") & F.col("recommended_channel").contains("+"), 1.0).otherwise(0.4)
+    motion = F.lower("recommended_channel")
+    aligned = F.when(motion.contains(F.lower("channel_key")) | (F.col("channel_key") == "multichannel") & motion.contains("+"), 1.0).otherwise(0.4)
+    compared = motion.isNotNull() & F.col("channel_key").isNotNull()
     return {
         "base_prior": (F.col("base_score") / 100, F.lit(0.90)),
         "vertical_density": (density, F.coalesce("vertical_confidence", F.lit(0.5))),
         "icp_availability": (fn.sam_scale((F.col("sam_min") + F.col("sam_max")) / 2), F.when(F.col("sam_fact_type") == "ESTIMATE", 0.65).otherwise(0.5)),
         "ticket_fit": (fn.ticket_overlap(ticket, "ticket_min", "ticket_max"), F.lit(0.65)),
         "channel_access": (_channel("value"), _channel("seen") * 0.5),
-        "reuse": (F.col("language") * 0.75 + aligned * 0.25, F.when(F.col("channel_key").isNotNull(), 0.6).otherwise(0.5)),
+        "reuse": (F.when(compared, F.col("language") * 0.75 + aligned * 0.25).otherwise(F.col("language")), F.when(compared, 0.6).otherwise(0.5)),
     }
 
 

@@ -107,10 +107,11 @@ def test_snapshots(spark):
 
 
 def test_intervals(spark):
-    day = lambda c: F.to_date(c)
-    c = spark.createDataFrame([(1, "x", "2020-01-01", None, "ASSERTS", 1), (1, "x", "2021-01-01", "2022-01-01", "ASSERTS", 2), (1, "x", "2023-01-01", None, "ASSERTS", 3), (1, "y", "2020-01-01", None, "ASSERTS", 4), (1, "y", None, None, "RETRACTS", 5), (2, "x", None, None, "ASSERTS", 6)], "company_id int, market string, f string, t string, assertion string, claim_id int")
-    got = rows(ent.project_presences(c.withColumns({"valid_from": day("f"), "valid_to": day("t")}), ["company_id", "market"]).selectExpr("company_id", "market", "string(effective_from) f", "string(effective_to) t"), "company_id", "market", "f", "t")
-    assert got == [(1, "x", "2020-01-01", "2022-01-01"), (2, "x", "1900-01-01", None)]  # silence closes nothing
+    rows_ = [(1, "x", "2020-01-01", None, "ASSERTS", 1), (1, "x", "2020-01-01", "2022-01-01", "ASSERTS", 2), (1, "x", "2020-01-01", None, "ASSERTS", 3), (1, "y", "2020-01-01", None, "ASSERTS", 4), (1, "y", "2020-01-01", None, "RETRACTS", 5), (1, "y", "2021-01-01", None, "ASSERTS", 6), (2, "x", None, None, "ASSERTS", 7)]
+    c = spark.createDataFrame(rows_, "company_id int, market string, f string, t string, assertion string, claim_id int").withColumns({"valid_from": F.to_date("f"), "valid_to": F.to_date("t")})
+    got = rows(ent.project_presences(c, ["company_id", "market"]).selectExpr("company_id", "market", "string(effective_from) f", "string(effective_to) t"), "company_id", "market", "f", "t")
+    # silence closes nothing, and a retraction takes its own interval alone
+    assert got == [(1, "x", "2020-01-01", "2022-01-01"), (1, "y", "2021-01-01", None), (2, "x", "1900-01-01", None)]
 
 
 def test_resolution_tiers(spark):
