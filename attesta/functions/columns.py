@@ -384,8 +384,8 @@ def fetch_outcome(status: ColumnOrName, media: ColumnOrName, size: ColumnOrName,
 
 def resolve_country(df: DataFrame, col: str, countries: DataFrame) -> DataFrame:
     """Add ``country_key`` by normalised name or alias from (alias, country_key); unmatched rows get null."""
-    key = F.trim(F.regexp_replace(F.lower(F.col(col)), "[^a-z]+", " "))
-    dim = countries.select(F.trim(F.regexp_replace(F.lower("alias"), "[^a-z]+", " ")).alias("_a"), "country_key").groupBy("_a").agg(F.min("country_key").alias("country_key"))
+    key = F.trim(F.regexp_replace(F.lower(F.col(col)), "[^a-z0-9]+", " "))
+    dim = countries.select(F.trim(F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", " ")).alias("_a"), "country_key").groupBy("_a").agg(F.min("country_key").alias("country_key"))
     return df.withColumn("_a", key).join(dim, "_a", "left").drop("_a")
 
 
