@@ -59,23 +59,37 @@ def _query_pairs(query: Column, dropped: list[str]) -> Column:
     return F.array_join(F.array_sort(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_locator(c: ColumnOrName, dropped: list[str] = cfg.TRACKING_PARAMS) -> Column:
     """Scheme and host in lower case; no default port, fragment, trailing slash or tracking parameter; sorted query."""
-    u = F.regexp_replace(F.trim(_c(c)), "#.*$", "")
-    scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit("")), F.lit("https"))
-    rest = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
-    query = _query_pairs(F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1), dropped)
-    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+    def parts(u: Column) -> Column:
+        scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lit("")), F.lit("https"))
+        return F.named_struct(F.lit("scheme"), scheme, F.lit("rest"), F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://", ""))
+
+    def join(x: Column) -> Column:
+        scheme, rest = x["scheme"], x["rest"]
+        host = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
+        host = let(host, lambda h: F.when(scheme == "http", F.regexp_replace(h, ":80$", "")).when(scheme == "https", F.regexp_replace(h, ":443$", "")).otherwise(h))
+        path = let(F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+        query = let(_query_pairs(F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1), dropped), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        return F.concat(scheme, F.lit("://"), host, path, query)
+
+    return let(F.regexp_replace(F.trim(_c(c)), "#.*$", ""), lambda u: let(parts(u), join))
 
 
 def strip_presentation(c: ColumnOrName) -> Column:
     """Drop parameters that change how a page looks and not which page it is."""
-    u = _c(c)
-    query = _query_pairs(F.regexp_extract(u, r"\?([^#]*)", 1), cfg.PRESENTATION_PARAMS)
-    return F.concat(F.regexp_extract(u, r"^([^?#]*)", 1), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), F.regexp_extract(u, "(#.*)$", 1))
+
+    def build(u: Column) -> Column:
+        query = let(_query_pairs(F.regexp_extract(u, r"\?([^#]*)", 1), cfg.PRESENTATION_PARAMS), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        return F.concat(F.regexp_extract(u, r"^([^?#]*)", 1), query, F.regexp_extract(u, "(#.*)$", 1))
+
+    return let(_c(c), build)
 
 
 def host_of(c: ColumnOrName) -> Column:
