@@ -226,7 +226,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     # the share of its prefix that a class has in common with others: copies gather round those with a high share
     shared = post.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("share", F.col("c") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
     shared = staged(shared.select("id", "share"), "shares")
-    post = staged(post.join(shared, "id").select("token", "id", "n", "share", F.col("id").alias("group")), "postings")
+    first = post
+    post = staged(first.join(shared, "id").select("token", "id", "n", "share", F.col("id").alias("group")), "postings")
+    discard(first)
     texts = staged(zipped(docs).join(shared.select("id"), "id", "left_semi"), "texts")
     links = asked = None
     for r in range(stars + 1):
