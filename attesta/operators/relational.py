@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.functions import columns as fn
+from attesta.sources import io
 
 # --- filters (FLT) ----------------------------------------------------------------------------------------------------
 
@@ -107,13 +108,23 @@ def compare(a: DataFrame, b: DataFrame, key: str, score: str = "score", rank: st
     return j.select(key, F.round(F.abs(F.col("_sa") - F.col("_sb")), 6).alias("delta"), (~F.col("_ra").eqNullSafe(F.col("_rb"))).alias("rank_moved"))
 
 
-def chain(decisions: DataFrame, id_col: str = "decision_id", parent: str = "supersedes_decision_id", max_depth: int = 64) -> DataFrame:
-    """(id, root, depth) by pointer doubling: the number of joins is the logarithm of the longest chain."""
-    cur = decisions.select(F.col(id_col).alias("id"), F.coalesce(parent, id_col).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
-    hop = 1
-    while hop < max_depth:
-        up = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        cur = cur.join(up, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+def chain(decisions: DataFrame, id_col: str = "decision_id", parent: str = "supersedes_decision_id") -> DataFrame:
+    """(id, root, depth) by pointer doubling: the number of joins is the logarithm of the longest chain.
+
+    Rounds go on until every pointer stands on a root, and each is staged. A row whose pointer is known to stand on a
+    root takes part no more, so a long chain does not gather at its root. A parent that is no row is a root. A cycle is
+    an error.
+    """
+    cur = decisions.select(F.col(id_col).alias("id"), F.coalesce(parent, id_col).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"), F.col(parent).isNull().alias("top"))
+    cur = io.staged(cur, "chain")
+    rows, hop = cur.count(), 1
+    while not cur.where("not top").isEmpty():
+        if hop > rows:
+            raise ValueError(f"{parent} runs in a cycle")
+        up = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("top").alias("top2"))
+        moved = cur.where("not top").join(up, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("top2", F.lit(True)).alias("top"))
+        old, cur = cur, io.staged(cur.where("top").unionByName(moved), "chain")
+        io.discard(old)
         hop *= 2
     return cur.select(F.col("id").alias(id_col), F.col("up").alias("root"), "depth")
 

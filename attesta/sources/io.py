@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,3 +91,18 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """Parquet written to a shared folder and read back, to cut a plan."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Parquet under a new name in ``spark.checkpoint.dir`` (a temporary folder in local tests), read back; see ``discard``."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{root.rstrip('/')}/attesta/{name}-{uuid.uuid4().hex}"
+    out = write_and_read(df, path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table from which every later table has been staged."""
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

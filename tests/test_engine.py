@@ -75,6 +75,15 @@ def test_chain_and_heads(spark):
     assert all((r["root"], r["depth"]) == (r["decision_id"] // 10 * 10, r["decision_id"] % 10) for r in rel.chain(d).collect())
 
 
+def test_long_chain(spark):
+    n = 700
+    d = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(5001, 9000), (5002, 5001)], "decision_id int, supersedes_decision_id int")
+    got = {r["decision_id"]: (r["root"], r["depth"]) for r in rel.chain(d).collect()}
+    assert got == {**{i: (0, i) for i in range(n)}, 5001: (9000, 1), 5002: (9000, 2)}
+    with pytest.raises(ValueError, match="cycle"):
+        rel.chain(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], d.schema))
+
+
 def test_vocabulary():
     assert rel.coerce_vocab(" high ", ["HIGH", "LOW"]) == "HIGH"
     with pytest.raises(ValueError, match="none of"):
