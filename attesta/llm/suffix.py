@@ -19,12 +19,25 @@ from .common import buffers, mix, powers, rolling, slices, span_hash, staged
 
 GRAM = 32  # bytes of an anchor
 BLOCK = 1 << 20  # bytes in a transform, about
+PIECE = 1 << 22  # window starts that are looked at in one go; positions there must fit into 24 bits
 HOT = 4096  # different segments of an anchor from which on its windows are dealt out one by one
 END = 0xFF  # never a byte of UTF-8 text; the largest symbol, behind each segment
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window start within the row, number of windows, anchor hash, segment hash) of all rows."""
+    """(row, first window start within the row, number of windows, anchor hash, segment hash) of all rows.
+
+    Long data are cut into pieces that overlap by ``length - 1`` bytes, so each window start is in one piece.
+    """
+    parts = []
+    for s in range(0, max(1, len(data) - length + 1), PIECE):
+        piece = data[s : s + PIECE + length - 1]
+        row, start, *rest = _piece_segments(piece, np.clip(offsets - s, 0, len(piece)), length)
+        parts.append((row, start + np.maximum(s - offsets[row], 0), *rest))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _piece_segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     w = length - GRAM + 1
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
@@ -33,6 +46,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     h = rolling(data)
     gram = mix((h[GRAM:] - h[:-GRAM]) * powers(len(h))[1][: len(h) - GRAM])
     m = len(gram)
+    if m > 1 << 24:
+        raise ValueError(f"length {length} is too great")
     # the least hash in each window, the leftmost on a tie: minima from block starts and from block ends
     key = (gram >> np.uint64(24) << np.uint64(24)) | np.arange(m, dtype=np.uint64)
     pad = np.full(-(-m // w) * w, np.iinfo(np.uint64).max)

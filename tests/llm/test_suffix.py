@@ -64,6 +64,33 @@ def test_small_blocks(spark, monkeypatch):
     assert got(spark, docs) == expected(docs, 200)
 
 
+def test_text_above_16_mib(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    one, two, three = letters(1000), letters(700), letters(400)
+    at_edge = letters((1 << 22) - 300)
+    long = at_edge + "1" + one + "2" + letters((17 << 20) - len(at_edge)) + "3" + two + "4" + three + "5"
+    docs = [(1, long), (2, "6" + one + "7" + letters(50)), (3, letters(50) + "8" + two + "9"), (4, "A" + three + "B")]
+    removed = {d: (n, k) for d, _, n, k, _ in got(spark, docs)}
+    assert removed == {1: (2100, 3), 2: (1000, 1), 3: (700, 1), 4: (400, 1)}
+
+
+def test_pieces_give_each_window_once(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(5))
+    offsets = np.cumsum([0, 10, 900, 0, 199, 200, 2500, 201])
+    data = rng.integers(97, 99, offsets[-1]).astype(np.uint8)
+
+    def windows():
+        row, start, many, anchor, _ = suffix.segments(data, offsets, 200)
+        return sorted((r, i, a) for r, s, k, a in zip(row.tolist(), start.tolist(), many.tolist(), anchor.tolist(), strict=True) for i in range(s, s + k))
+
+    whole = windows()
+    assert len(whole) == 701 + 1 + 2301 + 2
+    for size in (1, 77, 1000):
+        monkeypatch.setattr(suffix, "PIECE", size)
+        assert windows() == whole
+
+
 def test_interval_expansion_alone():
     rng = random.Random(1)
     for _ in range(200):
