@@ -129,6 +129,25 @@ def chain(decisions: DataFrame, id_col: str = "decision_id", parent: str = "supe
     return cur.select(F.col("id").alias(id_col), F.col("up").alias("root"), "depth")
 
 
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) of an undirected edge list: the smallest node reachable, by large-star and small-star rounds."""
+    cur = io.staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while True:
+        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, cur = cur, io.staged(small.union(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        io.discard(old)
+        # every node points at one node, which points nowhere
+        loose = cur.join(cur.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        if loose.isEmpty() and cur.groupBy("u").count().where("count > 1").isEmpty():
+            break
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+
+
 def provenance_violations(walk: DataFrame, evidence: str, owner: str) -> DataFrame:
     """Evidence that a provenance walk leads to no owner or to several."""
     return walk.groupBy(evidence).agg(F.countDistinct(owner).alias("owners")).where("owners <> 1")

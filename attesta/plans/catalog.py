@@ -883,8 +883,8 @@ def _(t):
 
 @query("rs23_witnesses")
 def _(t):
-    e = t("documents").select("lang", F.col("source").alias("publisher"), F.md5("text").alias("document"), (F.col("doc_id") % 40).alias("bucket"))
-    return res.independent_witnesses(e, ["lang", "bucket"])
+    e = t("documents").select("lang", F.col("source").alias("publisher"), F.sha2("text", 256).alias("document"))
+    return res.independent_witnesses(e, ["lang"])
 
 
 @query(
