@@ -11,7 +11,7 @@ from attesta.operators import validate as val
 from attesta.plans import entities as ent
 from attesta.plans import research as res
 from attesta.plans import scoring as sc
-from attesta.plans.catalog import _CLAIMS, _LIFE, _LOC, _REC, _TEXT, lifecycle, page_claims, provider_records, query, web_records
+from attesta.plans.catalog import _CLAIMS, _LIFE, _LINK, _LOC, _REC, _TEXT, lifecycle, page_claims, provider_records, query, web_records
 from attesta.sources import io
 
 # --- sinks ------------------------------------------------------------------------------------------------------------
@@ -265,6 +265,18 @@ def _(t):
     return res.expand(links, seeds, 2).select("locator", "depth")
 
 
+@query(
+    "rs04_pages",
+    f"""with recursive {_LOC}, {_LINK}, e as (select distinct l.locator u, k.locator v from k join pages using (url) join l using (page_id)),
+w as (select host, min(locator) n, 0 depth from l group by 1 union select w.host, e.v, depth + 1 from w join e on e.u = w.n where depth < 2) select host, n locator, min(depth)::int depth from w group by 1, 2""",
+)
+def _(t):
+    """The links of the stored pages, from the first locator of each host."""
+    links = res.extract_links(t("pages")).where("in_scope").select(fn.normalize_locator("url").alias("url"), "locator").distinct()
+    seeds = res.sources(t("pages").select("url", F.col("page_id").alias("seen_at"))).groupBy(F.col("host").alias("company_id")).agg(F.min("locator").alias("locator"))
+    return res.expand(links, seeds, 2).select(F.col("company_id").alias("host"), "locator", "depth")
+
+
 @query("rs08_bodies", "with f as (select event_id, user_id, ts, case event_type when 'view' then 'OK' when 'click' then 'NOT_MODIFIED' else 'GONE' end o from events) select event_id, case when o in ('OK', 'NOT_MODIFIED') then last_value(case when o = 'OK' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) end body_ref from f")
 def _(t):
     e = F.col("event_type")

@@ -301,3 +301,11 @@ def test_stream_status_folds_and_refuses(spark, tmp_path):
 def test_entry_points_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(catalog.QUERIES) > 60
+
+
+def test_expansion_of_stored_pages(spark, tmp_path):
+    page = lambda i, url, *hrefs: (i, url, "".join(f'<a href="{h}">x</a>' for h in hrefs))
+    pages = [page(1, "https://a.com/", "/b", "https://b.com/"), page(2, "https://a.com/b", "/c"), page(3, "https://a.com/c", "/d"), page(4, "https://z.org/q", "/r")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = entry.queries()["rs04_pages"](spark, str(tmp_path))
+    assert rows(got, "host", "locator", "depth") == [("a.com", "https://a.com/", 0), ("a.com", "https://a.com/b", 1), ("a.com", "https://a.com/c", 2), ("z.org", "https://z.org/q", 0), ("z.org", "https://z.org/r", 1)]
