@@ -309,3 +309,11 @@ def test_expansion_of_stored_pages(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = entry.queries()["rs04_pages"](spark, str(tmp_path))
     assert rows(got, "host", "locator", "depth") == [("a.com", "https://a.com/", 0), ("a.com", "https://a.com/b", 1), ("a.com", "https://a.com/c", 2), ("z.org", "https://z.org/q", 0), ("z.org", "https://z.org/r", 1)]
+
+
+def test_edges_of_and_require_nonempty(spark):
+    d = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (2, 3)], "from_id int, to_id int")
+    assert rows(rel.edges_of(d, 1), "from_id", "to_id") == [(1, 1), (1, 2), (2, 1)]
+    assert sc.require_nonempty(d, "no edges") is d
+    with pytest.raises(ValueError, match="no edges"):
+        sc.require_nonempty(d.limit(0), "no edges")
