@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file; it is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +73,7 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import pack
 
-    out = pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", limit=4096, end_id=2, keep_ids=False)
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=4096, end_id=2, keep_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
@@ -80,7 +86,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import unigram_encode
 
-    return unigram_encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep_ids=False)
+    return unigram_encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

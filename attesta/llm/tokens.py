@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +30,36 @@ def _byte_chars() -> dict[int, str]:
 class WordIds(dict):
     """Ids, as little-endian uint32 bytes, of a word without ASCII white space; new words go through the tokenizer.
 
-    The vocabulary drops white space and never joins tokens across it, so a text's ids are its words' ids in a row.
+    The vocabulary drops white space, never joins tokens across it, and none of its added tokens holds any, so a text's
+    ids are its words' ids in a row. A string that is an added token's is that token, as the tokenizer has it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.chars = _byte_chars()
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def part(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, text.encode())))]
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token; printable ASCII stands for itself in byte-level BPE."""
+        text = text if text.isascii() else "".join(map(self.chars.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.tokenize(text)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         core = text.rstrip(".,;:!?|")
         # one run of Latin letters, then one run of marks: two pre-tokens, unchanged by NFC, that need no regex
-        if core.isalpha() and max(core) < "ɐ" and "İ" not in core and (core.isascii() or unicodedata.normalize("NFC", core) == core):
-            ids = self.part(core.lower())
-            if len(core) < len(text):
-                ids = ids + self.part(text[len(core) :])
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core)):
+            tail = text[len(core) :]
+            if tail not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[tail] = self.part(tail)
+            out = self.part(core.lower()) + self.marks[tail]
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) < CACHE:
             self[word] = out
         return out
@@ -71,8 +77,10 @@ def piece_lengths(n: int, limit: int) -> list[int]:
 def split_documents(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 2) -> DataFrame:
     """Each document's ids (with ``end_id`` behind them) cut into pieces of power-of-two length, one row per piece.
 
-    Returns doc_id, start, length, doc_tokens and ids (binary, little-endian uint32). A null or empty text has the end
-    id alone. Other columns of ``docs`` are dropped.
+    Returns doc_id, start, length, doc_tokens and ids (binary, little-endian uint32). The ids are those of the tokenizer
+    with add_special_tokens=False: a string in the text that spells an added token is that token. A null or empty text
+    has the end id alone. Rows that are equal in id and text, or in id alone, have each their own pieces, and so do rows
+    without id. Other columns of ``docs`` are dropped; an empty table gives no rows.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -110,7 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 2, ke
 
     Adds sequence_id, offset (always 0), bucket (log2 of the length) and ids_crc32 to ``split_documents``. No sequence
     crosses documents, and none is padded. sequence_id is gapless over all pieces, in order of bucket, for which the
-    pieces are staged; else it is unique and follows the layout of the input.
+    pieces are staged; else it is unique and follows the layout of the input. Pieces of equal rows tie in that order, and
+    which of them comes first is of no account, for they are equal.
     """
     pieces = split_documents(docs, tokenizer, limit, end_id).withColumn("ids_crc32", F.crc32("ids"))
     pieces = pieces if keep_ids else pieces.drop("ids")
@@ -201,17 +210,13 @@ class Unigram:
 
     @classmethod
     def load(cls, path: str) -> Unigram:
-        """Pieces of a SentencePiece model file. The public file lists its pieces by rank and has no probabilities, so the
-        log score of rank r is Zipf's: -ln(r + 1)."""
+        """Pieces of a SentencePiece model file, with the log scores that the file states."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
-        ranked = [i for i in range(n) if i not in skip]
-        scores = [0.0] * n
-        for r, i in enumerate(ranked):
-            scores[i] = -float(np.log(r + 1.0))
+        scores = [0.0 if i in skip else sp.get_score(i) for i in range(n)]
         return cls([sp.id_to_piece(i) for i in range(n)], scores, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], skip)
 
     def encode_many(self, chunks: list[bytes]) -> list[np.ndarray]:

@@ -8,15 +8,14 @@ import pytest
 from attesta.llm import queries as q
 from attesta.llm import tokens
 
-BPE = "/opt/tokenizers/word_bpe_49k.json"
-SP = "/opt/tokenizers/piece_bpe_32k.model"
+BPE = q.tokenizer("word_bpe_49k.json")
+SP = q.tokenizer("piece_bpe_32k.model")
 
 
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -55,6 +54,15 @@ def test_packing_odd(spark, odd, none):
     assert tokens.pack(none, BPE).count() == 0
 
 
+def test_strings_of_added_tokens(spark):
+    """They are what the plain tokenizer makes of them: one id each, alone, glued to words, in a row and across words."""
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y.", "<|endoftext|><|startoftext|>", "<|endof text|>", "<|ENDOFTEXT|> é<|endoftext|>", "<|endoftext|>, <|endoftext"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(9, texts[1]), (9, texts[1]), (None, texts[2])]
+    rows = tokens.pack(spark.createDataFrame(docs, "doc_id long, text string"), BPE).collect()
+    check_packing(rows, docs)
+    assert {r["doc_tokens"] for r in rows if r["doc_id"] == 1} == {4}
+
+
 def test_word_ids_match_whole_texts():
     words = tokens.WordIds(BPE)
     texts = ["Don't stop, I'll go.", "ÀB ΣΑΣ İI été ́x", "a\x1cb\xa0c d", "x<|endoftext|>y", "!!!...;; 12ab3 | |", "STRAẞE ǅ ŉ"]
@@ -63,7 +71,7 @@ def test_word_ids_match_whole_texts():
 
 
 def unigram_model():
-    """The public model file with the model type turned to Unigram and Zipf's log scores, for the library to run."""
+    """The public model file with the model type turned to Unigram and the file's own scores, for the library to run."""
 
     def varint(n):
         out = b""
@@ -87,15 +95,23 @@ def unigram_model():
 
 
 def test_unigram_matches_the_library(spark, data):
+    """The library adds in single precision, where pieces of -1e9 swallow differences of up to 64; so its best path may be
+    worse than ours by such a step, never better. Its n-best list, which has no such pieces in it, has our score first."""
     uni, sp = unigram_model()
     texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(150).collect()]
+    words = sorted({w for t in texts[:40] for w in t.split()})[::7]
     texts += ["  two  spaces ", "a\n\n b\n", "漢字 🙂\t\x00 tab", " ", "\n", "▁x", "1,234.50€"]
+    byte_ids = set(uni.byte_ids)
+    score = lambda x: sum(uni.scores[i] if i not in byte_ids else 0 for i in x)
     for text in texts:
         ids = [int(i) for a in uni.encode_many(uni.chunks(text)) for i in a]
         want = sp.encode(text)
-        score = lambda x: sum(uni.scores[i] if i not in set(uni.byte_ids) else 0 for i in x)
-        assert ids == want or abs(score(ids) - score(want)) < 1e-3, text[:80]
+        same = [i for i in ids if i in byte_ids] == [i for i in want if i in byte_ids]
+        assert same and (ids == want or score(ids) >= score(want)), text[:80]
         assert uni.decode(ids) == text.replace("▁", " ")
+    for word in words:
+        ids = [int(i) for a in uni.encode_many(uni.chunks(word)) for i in a]
+        assert score(ids) >= score(sp.nbest_encode(word, 1)[0]), word
 
 
 def test_viterbi_is_the_best_segmentation():
