@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, mix, staged
+from .common import components, discard, literal_rows, mix, staged
 
 
 def usable(c: Column) -> Column:
@@ -95,16 +95,34 @@ def train(x: np.ndarray, stages: int = 24, words: int = 256, rounds: int = 6, se
     return books
 
 
-def needed_depth(v: DataFrame, codes: DataFrame, queries: DataFrame, books: Codebooks, dim: int, k: int, recall: float, audit: int) -> int:
-    """How many of the best by looked-up distance hold ``recall`` of the true ``k`` nearest, measured by brute force.
+def coarse(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """``lists`` centroids of ``x`` by k-means."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.permutation(len(x))[:lists]].copy()
+    for _ in range(rounds if len(c) > 1 else 0):
+        own = np.concatenate([((c**2).sum(1) - 2 * p @ c.T).argmin(1) for p in np.array_split(x, len(x) // 4096 + 1)])
+        count, sums = np.bincount(own, minlength=len(c)), np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], x[rng.integers(len(x), size=len(c))])
+    return c
+
+
+def list_order(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The lists in the order of their centroid's distance to each row of ``x``."""
+    return np.argsort((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1, kind="stable")
+
 
-    At most ``audit`` queries (by hash of the id) are compared with every vector; then the codes with a smaller looked-up
-    distance than each true neighbour's are counted. Only audit * k rows reach the driver.
+def probe_and_depth(classes: DataFrame, codes: DataFrame, queries: DataFrame, books: Codebooks, centroids: np.ndarray, dim: int, k: int, recall: float, audit: int) -> tuple[int, int]:
+    """How many lists to look into, and how many of the best by looked-up distance there to measure, so that ``recall`` of
+    the true ``k`` nearest classes are found; by brute force.
+
+    At most ``audit`` queries (by hash) are compared with every class; then the codes with a smaller looked-up distance
+    than each true neighbour's are counted in the lists looked into. Only audit * k rows reach the driver.
     """
-    asked = queries.orderBy(F.xxhash64(F.lit("audit"), "vec_id")).limit(audit).toPandas()
+    asked = queries.orderBy(F.xxhash64(F.lit("audit"), "c1"), "c2", "query_id").limit(audit).toPandas()
     if not len(asked):
-        return k
-    qid, x = asked["vec_id"].to_numpy(), np.array(asked["embedding"].tolist())
+        return 1, k
+    own, x = asked["own"].fillna(-1).to_numpy(), np.array(asked["embedding"].tolist())
 
     def exact(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -112,90 +130,137 @@ def needed_depth(v: DataFrame, codes: DataFrame, queries: DataFrame, books: Code
         for batch in batches:
             ids, y = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
             d = ((x**2).sum(1)[:, None] - 2 * x @ y.T) + (y**2).sum(1)
-            d[qid[:, None] == ids] = np.inf
+            d[own[:, None] == ids] = np.inf
             top = np.argpartition(d, min(k, len(ids)) - 1, axis=1)[:, :k]
             rows = np.repeat(np.arange(len(x)), top.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids[top.ravel()]), pa.array(d[rows, top.ravel()])], ["q", "vec_id", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids[top.ravel()]), pa.array(d[rows, top.ravel()])], ["q", "cid", "d"])
 
-    best = Window.partitionBy("q").orderBy("d", "vec_id")
-    true = v.mapInArrow(exact, "q long, vec_id long, d double").where("d < double('inf')").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    true = true.join(codes, "vec_id").select("q", "code", "norm").toPandas()
+    best = Window.partitionBy("q").orderBy("d", "cid")
+    true = classes.select("cid", "embedding").mapInArrow(exact, "q long, cid long, d double").where("d < double('inf')").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    true = true.join(codes, "cid").select("q", "code", "norm", "list").toPandas()
     if not len(true):
-        return k
+        return 1, k
+    share = 1 - (1 - recall) / 2
+    place = np.argsort(list_order(x, centroids), axis=1)  # (query, list) -> how many lists are nearer
     tables, q = books.tables(x), true["q"].to_numpy()
+    probes = int(np.quantile(place[q, true["list"].to_numpy()], share, method="higher")) + 1
     near = lambda t, c, norm: norm - 2 * sum(t[..., m, c[:, m]] for m in range(c.shape[1]))
-    own = np.frombuffer(b"".join(true["code"]), np.uint8).reshape(len(true), -1)
-    edge = true["norm"].to_numpy() - 2 * sum(tables[q, m, own[:, m]] for m in range(own.shape[1]))
+    code = np.frombuffer(b"".join(true["code"]), np.uint8).reshape(len(true), -1)
+    edge = true["norm"].to_numpy() - 2 * sum(tables[q, m, code[:, m]] for m in range(code.shape[1]))
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         total = np.zeros(len(edge), np.int64)
         for batch in batches:
-            c = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            d = np.sort(near(tables, c, batch.column(2).to_numpy()), axis=1)
+            c = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            d = np.where(place[:, batch.column(2).to_numpy()] < probes, near(tables, c, batch.column(1).to_numpy()), np.inf)
+            d = np.sort(d, axis=1)
             total += np.array([np.searchsorted(d[i], e - 1e-6) for i, e in zip(q, edge, strict=True)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edge))), pa.array(total)], ["i", "n"])
 
-    depths = codes.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()["n"]
-    return int(np.quantile(depths, recall)) + 1 if len(depths) else k
+    depths = codes.select("code", "norm", "list").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()["n"]
+    return probes, (int(np.quantile(depths, share, method="higher")) + 1 if len(depths) else k)
+
 
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 128, recall: float = 0.97, audit: int = 64, sample: int = 16_384, stages: int = 24,
+    list_rows: int = 8192, max_lists: int = 4096, query_block: int = 2048, code_block: int = 65_536,
+) -> DataFrame:
+    """The ``k`` nearest of the rows of ``vectors`` to each row of ``queries`` by Euclidean distance, its own row left out.
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 128, recall: float = 0.97, audit: int = 64, sample: int = 16_384, stages: int = 24, query_block: int = 512, code_block: int = 16_384) -> DataFrame:
-    """The ``k`` nearest of ``vectors`` to each of ``queries`` by Euclidean distance, itself left out.
+    Both have vec_id and embedding; returns query_id, rank (from 1), vec_id, score. Equal vectors form a class with one
+    code. Codebooks and the centroids of coarse lists (one for about ``list_rows`` classes, at most ``max_lists``) are
+    learned from at most ``sample`` and 16 * ``max_lists`` classes by hash; every class is encoded and put into the list of
+    the nearest centroid. A query looks its distances up in the nearest lists, those of many rows block by block, and its
+    best there are measured exactly, in double precision. How many lists and how many of the best is found by an audit
+    against brute force (``probe_and_depth``), with ``rerank`` the least; a query goes on to further lists until they hold
+    that many classes.
 
-    Both have vec_id and embedding; returns query_id, rank (from 1), vec_id, score. Codebooks are trained on at most
-    ``sample`` vectors (by hash of the id); every vector is encoded and every query meets every code, in blocks. Each
-    query's best by looked-up distance are measured exactly, in double precision; ties go to the smaller id. How many
-    they are is found by an audit against brute force (``needed_depth``), with ``rerank`` the least.
-    Vectors that are null, zero, not finite or of another length than most, and rows without id, take no part. Of rows
-    that share an id each is a candidate of its own.
+    Every row is a candidate of its own, whether or not it shares its id or its vector with others; only one row with the
+    query's id and vector is left out, the query itself. Ties go to the smaller id. Equal query rows give equal answers,
+    each its own; different query rows that share an id are ranked apart. Vectors that are null, zero, not finite or of
+    another length than most, and rows without id, take no part.
     """
-    good = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    spark = vectors.sparkSession
+    vec = F.col("embedding").cast("array<double>")
+    good = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumns({"c1": F.xxhash64("embedding"), "c2": F.xxhash64(F.lit("v"), "embedding")})
     v, q = good(vectors), good(queries)
-    dim, n = common_length(v), v.count()
+    dim = common_length(v)
     v, q = v.where(F.size("embedding") == dim), q.where(F.size("embedding") == dim)
-    share = min(1.0, 0.95 * sample / max(1, n))
-    picked = v.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("vec_id").limit(sample).toPandas()
-    out = "query_id long, vec_id long, near float"
-    if not len(picked):
-        return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = v.sparkSession.sparkContext.broadcast(train(np.array(picked["embedding"].tolist()), stages))
+    classes = v.groupBy("c1", "c2").agg(F.min("vec_id").alias("id"), F.first("embedding").alias("embedding"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    n = classes.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # no answer needs more than the k + 1 smallest ids of a class
+    first = Window.partitionBy("c1", "c2").orderBy("vec_id")
+    members = v.select("c1", "c2", "vec_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
+    members = staged(members.join(classes.select("c1", "c2", "cid"), ["c1", "c2"]).select("cid", "vec_id", F.col("_r").alias("place")), "class-members")
+    q = q.groupBy("vec_id", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.first("embedding").alias("embedding")).withColumnRenamed("vec_id", "query_id")
+    q = q.join(classes.select("c1", "c2", F.col("cid").alias("own")), ["c1", "c2"], "left").withColumn("qid", F.monotonically_increasing_id())
+    q = staged(q, "queries")
+
+    lists = min(max_lists, -(-n // list_rows))
+    size = max(sample, 16 * lists)
+    share = min(1.0, 0.95 * size / n)
+    picked = classes.where(F.pmod(F.xxhash64(F.lit("fit"), "c1", "c2"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).orderBy(F.xxhash64(F.lit("order"), "c1"), "c2").limit(size).select("embedding").toPandas()
+    x = np.array((picked if len(picked) else classes.limit(1).select("embedding").toPandas())["embedding"].tolist())
+    fitted = spark.sparkContext.broadcast((train(x[:sample], stages), coarse(x, lists)))
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        books, centroids = fitted.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                codes = books.value.encode(matrix(part.column(1), dim))
-                norms = (books.value.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes]), pa.array(norms)], ["vec_id", "code", "norm"])
+                y = matrix(part.column(1), dim)
+                codes = books.encode(y)
+                norms = (books.decode(codes) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list_order(y, centroids)[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(norms)], ["cid", "list", "code", "norm"])
+
+    codes = staged(classes.select("cid", "embedding").mapInArrow(encode, "cid long, list int, code binary, norm double"), "codes")
+    sizes = np.zeros(len(fitted.value[1]), np.int64)
+    for r in codes.groupBy("list").count().collect():  # a row per list, ``max_lists`` at most
+        sizes[r["list"]] = r["count"]
+    probes, depth = probe_and_depth(classes, codes, q, *fitted.value, dim, k, recall, audit)
+    depth = max(rerank, depth)
+
+    def probe(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    codes = staged(v.mapInArrow(encode, "vec_id long, code binary, norm double"), "codes")
-    q = staged(q, "queries")
-    rerank = max(rerank, needed_depth(v, codes, q, books.value, dim, k, recall, audit))
-    n_q, n_c = -(-q.count() // query_block) or 1, -(-n // code_block)
-    block = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(m)).cast("int")
-    # codes are dealt to blocks by hash: this many of a block hold all of the best but for odds of about 1e-9
-    mean = rerank / n_c
-    per_block = min(rerank, int(mean + 6 * mean**0.5 + 16))
-    qs = q.withColumn("qb", block("vec_id", n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    cs = codes.withColumn("cb", block("vec_id", n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+        centroids = fitted.value[1]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                order = list_order(matrix(part.column(1), dim), centroids)
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                r, c = np.nonzero(((np.arange(len(sizes)) < probes) | (before <= depth)) & (sizes[order] > 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(order[r, c].astype(np.int32))], ["qid", "list"])
+
+    asked = staged(q.select("qid", "embedding").mapInArrow(probe, "qid long, list int"), "probes")
+    blocks = [{"list": r["list"], "cbs": int(-(-sizes[r["list"]] // code_block)), "qbs": int(-(-r["count"] // query_block))} for r in asked.groupBy("list").count().collect()]
+    blocks = F.broadcast(literal_rows(spark, blocks, "list int, cbs int, qbs int"))
+    block = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    qs = asked.join(blocks, "list").join(q.select("qid", "embedding"), "qid").withColumn("qb", block("qid", "qbs")).withColumn("cb", every("cbs")).drop("cbs", "qbs")
+    cs = codes.join(blocks, "list").withColumn("cb", block("cid", "cbs")).withColumn("qb", every("qbs")).drop("cbs", "qbs")
 
     def scan(queries_, codes_):
         import pyarrow as pa
 
-        ids, qid = codes_.column("vec_id").to_numpy(), queries_.column("vec_id").to_numpy()
+        ids, qid = codes_.column("cid").to_numpy(), queries_.column("qid").to_numpy()
         found = ([], [], [])
         if len(ids) and len(qid):
             order = np.argsort(ids, kind="stable")
             ids, c = ids[order], np.frombuffer(b"".join(codes_.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             norm = codes_.column("norm").to_numpy()[order].astype(np.float32)
             x = matrix(queries_.column("embedding").combine_chunks(), dim)
-            keep = min(per_block + 1, len(ids))
-            for i in range(0, len(x), 64):
-                t = books.value.tables(x[i : i + 64])
+            keep = min(depth, len(ids))
+            step = max(1, min(64, (1 << 22) // len(ids)))
+            for i in range(0, len(x), step):
+                t = fitted.value[0].tables(x[i : i + step])
                 d = np.broadcast_to(norm, (len(t), len(ids))).copy()
                 for m in range(c.shape[1]):
                     d -= 2 * t[:, m, c[:, m]]
@@ -203,29 +268,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 1
                 for r in range(len(t)):
                     at = np.flatnonzero(d[r] <= top[r])  # in order of id, with all ties at the edge
                     at = at[np.argsort(d[r][at], kind="stable")][:keep]
-                    at = at[ids[at] != qid[i + r]]
                     found[0].append(np.full(len(at), qid[i + r]))
                     found[1].append(ids[at])
                     found[2].append(d[r][at])
         flat = [np.concatenate(f) if f else np.zeros(0) for f in found]
-        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float32())], ["query_id", "vec_id", "near"])
+        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float32())], ["qid", "cid", "near"])
 
-    near = qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInArrow(scan, out)
-    per_query = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    near = near.withColumn("_r", F.row_number().over(per_query)).where(F.col("_r") <= rerank).select("query_id", "vec_id").distinct()
-    near = staged(near, "near")
+    near = qs.groupBy("list", "qb", "cb").cogroup(cs.groupBy("list", "qb", "cb")).applyInArrow(scan, "qid long, cid long, near float")
+    per_query = Window.partitionBy("qid").orderBy("near", "cid")
+    near = staged(near.withColumn("_r", F.row_number().over(per_query)).where(F.col("_r") <= depth).select("qid", "cid"), "near")
+    discard(codes, asked)
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            d = np.sqrt(((matrix(batch.column(2), dim) - matrix(batch.column(3), dim)) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query_id", "vec_id", "score"])
-
-    full = near.join(v.withColumnRenamed("embedding", "y"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), "query_id")
-    exact = full.select("query_id", "vec_id", "x", "y").mapInArrow(measure, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            d = np.sqrt(((matrix(batch.column(3), dim) - matrix(batch.column(4), dim)) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(d)], ["qid", "cid", "id", "score"])
+
+    full = near.join(classes.select("cid", "id", F.col("embedding").alias("y")), "cid").join(q.select("qid", F.col("embedding").alias("x")), "qid")
+    exact = full.select("qid", "cid", "id", "x", "y").mapInArrow(measure, "qid long, cid long, id long, score double")
+    close = Window.partitionBy("qid").orderBy("score", "id", "cid")
+    exact = exact.withColumn("_r", F.row_number().over(close)).where(F.col("_r") <= k + 1)
+    rows = exact.join(members, "cid").join(q.select("qid", "query_id", "own", "times"), "qid")
+    same = Window.partitionBy("qid", "cid", "vec_id").orderBy("place")
+    rows = rows.withColumn("_nth", F.row_number().over(same)).where(~(F.col("cid").eqNullSafe(F.col("own")) & (F.col("vec_id") == F.col("query_id")) & (F.col("_nth") == 1)))
+    best = Window.partitionBy("qid").orderBy("score", "vec_id", "cid", "place")
+    out = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
 # --- operator 7 -------------------------------------------------------------------------------------------------------

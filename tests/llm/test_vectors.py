@@ -44,6 +44,23 @@ def test_search_odd(spark):
     assert vectors.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_by_row(spark):
+    """Repeated ids, repeated rows and ties, against brute force over rows: 3 lists, so some of them are looked into."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(700, 6)), 1).astype(np.float32)  # coarse values: many equal distances
+    rows = [(i % 300, e) for i, e in enumerate(x)] + [(100, x[4])] * 2 + [(200, x[0])] + [(100, x[100])] + [(600 + i, x[5]) for i in range(40)]
+    df = frame(spark, rows)
+    got = {}
+    for r in vectors.nearest(df, df.where("vec_id % 100 = 0"), k=10, rerank=400, recall=1.0, list_rows=250).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    want, m, ids = {}, np.stack([e for _, e in rows]).astype(float), np.array([i for i, _ in rows])
+    for at in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((m - m[at]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, d)) if j != at][:10]
+        want.setdefault(int(ids[at]), []).extend((r + 1, int(ids[j]), round(float(d[j]), 9)) for r, j in enumerate(order))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def links(rows, cosine):
     ok = [(i, np.array(e, float)) for i, e in rows if i is not None and e is not None and len(e) == len(rows[0][1]) and np.isfinite(e).all() and np.any(e)]
     u = np.stack([e / np.sqrt((e * e).sum()) for _, e in ok])
