@@ -302,9 +302,13 @@ def nearest(
 
 
 class Graph:
-    """A hierarchical navigable small world over unit vectors: all queries of a call walk it together, in blocks."""
+    """A hierarchical navigable small world over unit vectors: all queries of a call walk it together, in blocks.
 
-    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 40):
+    A vector as near to one in the graph as ``near`` is not inserted: that one leads it (``lead``; a leader leads itself).
+    So a crowd of near vectors is a few nodes with balls around them.
+    """
+
+    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 40, near: float = 2.0):
         """``links`` per node and layer, twice that at the bottom; ``ef`` is the beam while building."""
         self.x, self.m, self.ef = x.astype(np.float32), links, ef
         n = len(x)
@@ -313,14 +317,32 @@ class Graph:
         self.level = level
         self.layers = [np.full((n, links * (1 if k else 2)), -1, np.int32) for k in range(level.max(initial=0) + 1)]
         self.order = np.argsort(-level, kind="stable")  # the top node first: it is the entry
+        self.lead = np.arange(n)
         done, size = 1, 1
         while done < n:
             batch = self.order[done : done + size]
-            self._insert(batch, done)
             done += len(batch)
+            self._insert(self._leaders(batch, near) if near <= 1 else batch)
             size = min(512, done)
 
-    def _insert(self, batch: np.ndarray, done: int) -> None:
+    def _leaders(self, batch: np.ndarray, near: float) -> np.ndarray:
+        """Those of the batch that no leader found, nor an earlier one among themselves, is near to."""
+        q = self.x[batch]
+        ids, sims = self.search(q, 8)
+        covered = sims[:, 0] >= near
+        self.lead[batch[covered]] = ids[covered, 0]
+        batch, q = batch[~covered], q[~covered]
+        own = np.tril(q @ q.T, -1) >= near
+        led = np.zeros(len(batch), bool)
+        for i in np.flatnonzero(own.any(1)):
+            by = np.flatnonzero(own[i] & ~led)
+            if len(by):
+                led[i], self.lead[batch[i]] = True, batch[by[0]]
+        return batch[~led]
+
+    def _insert(self, batch: np.ndarray) -> None:
+        if not len(batch):
+            return
         q = self.x[batch]
         at = np.full((len(batch), 1), self.order[0])
         for k in range(len(self.layers) - 1, -1, -1):
@@ -439,78 +461,154 @@ class Graph:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def pack(self) -> list[bytes]:
-        return [self.x.tobytes(), self.level.astype(np.int32).tobytes(), self.order.astype(np.int32).tobytes(), *(a.tobytes() for a in self.layers)]
+        return [self.x.tobytes(), self.level.astype(np.int32).tobytes(), self.order.astype(np.int32).tobytes(), self.lead.astype(np.int32).tobytes(), *(a.tobytes() for a in self.layers)]
 
     @classmethod
     def unpack(cls, parts: list[bytes], dim: int, links: int = 12) -> Graph:
         g = cls.__new__(cls)
         g.m = links
         g.x = np.frombuffer(parts[0], np.float32).reshape(-1, dim)
-        g.level, g.order = np.frombuffer(parts[1], np.int32), np.frombuffer(parts[2], np.int32)
-        g.layers = [np.frombuffer(p, np.int32).reshape(len(g.x), -1) for p in parts[3:]]
+        g.level, g.order, g.lead = (np.frombuffer(p, np.int32) for p in parts[1:4])
+        g.layers = [np.frombuffer(p, np.int32).reshape(len(g.x), -1) for p in parts[4:]]
         return g
 
 
-def close_pairs(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, ef: int = 24, audit: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, node) with cosine at least ``cosine`` in double precision; ``x`` and ``q`` are the original vectors.
-
-    A query whose whole beam is that near walks again with a beam twice as wide. Then up to ``audit`` evenly chosen
-    queries, half of them among those with links, are compared with all nodes; if the graph missed any of their pairs,
-    every query walks with a wider beam, until the audit passes or the beam holds all nodes.
+class Balls:
+    """The balls of a graph: each leader's members by their angle to it, with the weights of members added up."""
+
+    def __init__(self, graph: Graph, unit: np.ndarray, weight: np.ndarray):
+        self.unit, self.lead, self.weight = unit, graph.lead.astype(np.int64), weight
+        cos = (unit * unit[self.lead]).sum(1)
+        self.angle = np.where(self.lead == np.arange(len(unit)), 0.0, np.arccos(np.clip(cos, -1, 1)))
+        self.order = np.lexsort((self.angle, self.lead))
+        self.key = 4.0 * self.lead[self.order] + self.angle[self.order]  # an angle is below 4
+        self.sums = np.concatenate(([0], np.cumsum(weight[self.order])))
+        n = len(unit)
+        self.lo = np.searchsorted(self.lead[self.order], np.arange(n), "left")
+        self.hi = np.searchsorted(self.lead[self.order], np.arange(n), "right")
+        self.radius = np.zeros(n)
+        some = self.hi > self.lo
+        self.radius[some] = self.angle[self.order[self.hi[some] - 1]]
+
+    def links(self, uq: np.ndarray, rows: np.ndarray, leads: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each (query row, leader): the weight of the ball's members within the threshold, and whether there are any.
+
+        By the triangle inequality of angles the members next to the leader are within it and those far off are not; the
+        ones between are compared, in blocks.
+        """
+        eps, most = 1e-6, np.arccos(np.clip(cosine, -1, 1))
+        beta = np.arccos(np.clip((uq[rows] * self.unit[leads]).sum(1), -1, 1))
+        lo, hi = self.lo[leads], self.hi[leads]
+        at = lambda limit: np.clip(np.searchsorted(self.key, 4.0 * leads + np.clip(limit, -1, 3.9)), lo, hi)
+        sure = np.where(beta + eps < most, at(most - beta - eps), lo)
+        start = np.maximum(sure, at(beta - most - eps))
+        end = np.maximum(at(beta + most + eps), start)
+        total = (self.sums[sure] - self.sums[lo]).astype(np.int64)
+        many = end - start
+        for i, j in _spans(np.concatenate(([0], np.cumsum(many))), 1 << 16):
+            pair = np.repeat(np.arange(i, j), many[i:j])
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j]) + start[pair]
+            for k in range(0, len(pair), 1 << 16):
+                p, m = pair[k : k + (1 << 16)], self.order[place[k : k + (1 << 16)]]
+                good = (uq[rows[p]] * self.unit[m]).sum(1) >= cosine
+                np.add.at(total, p[good], self.weight[m[good]])
+        return total, total > 0
+
+
+def _spans(offsets: np.ndarray, size: int):
+    """Ranges of rows with about ``size`` entries each; a longer row stands alone."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def linked_balls(graph: Graph, balls: Balls, uq: np.ndarray, own: np.ndarray, cosine: float, ef: int = 24, audit: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, leader, weight linked in its ball) wherever that is positive; ``own`` is a query's node here, or -1.
+
+    A query whose whole beam is near walks again with a beam twice as wide. Then up to ``audit`` evenly chosen queries, half
+    of them among those with links, are compared with all nodes; if the graph missed any of their links, every query walks
+    with a wider beam, until the audit passes or the beam holds all nodes.
     """
-    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
-    ux, uq = unit(x), unit(q)
-    edge = cosine - 1e-5  # single precision walks, double precision decides
+    n, at_home = len(balls.unit), np.flatnonzero(own >= 0)
+    edge = np.cos(min(np.pi, np.arccos(np.clip(cosine, -1, 1)) + balls.radius.max(initial=0.0))) - 1e-5  # single precision walks, double decides
     while True:
-        rows, nodes, todo, width = [], [], np.arange(len(q)), min(ef, len(x))
+        rows, nodes, todo, width = [at_home], [balls.lead[own[at_home]]], np.arange(len(uq)), min(ef, n)
         while len(todo):
             ids, sims = graph.search(uq[todo], width)
-            full = (sims[:, -1] >= edge) & (width < len(x))
+            full = (sims[:, -1] >= edge) & (width < n)
             r, c = np.nonzero((sims >= edge) & (ids >= 0) & ~full[:, None])
             rows.append(todo[r])
-            nodes.append(ids[r, c])
-            todo, width = todo[full], min(2 * width, len(x))
-        rows, nodes = np.concatenate(rows), np.concatenate(nodes)
-        keep = (uq[rows] * ux[nodes]).sum(1) >= cosine
-        rows, nodes = rows[keep], nodes[keep]
-        if ef >= len(x):
-            return rows, nodes
+            nodes.append(ids[r, c].astype(np.int64))
+            todo, width = todo[full], min(2 * width, n)
+        pairs = np.unique(np.concatenate(rows) * n + np.concatenate(nodes))
+        rows, nodes = pairs // n, pairs % n
+        total, some = balls.links(uq, rows, nodes, cosine)
+        rows, nodes, total = rows[some], nodes[some], total[some]
+        if ef >= n:
+            return rows, nodes, total
         linked = np.unique(rows)
-        some = np.unique(np.concatenate([np.linspace(0, len(q) - 1, min(audit // 2, len(q))).astype(int), linked[np.linspace(0, len(linked) - 1, min(audit // 2, len(linked))).astype(int)]]))
-        sims = np.concatenate([uq[some[i : i + 8]] @ ux.T for i in range(0, len(some), 8)])
-        want = (sims >= cosine + 1e-12).sum()
-        got = np.isin(rows, some).sum()
-        if got >= want:
-            return rows, nodes
+        asked = np.unique(np.concatenate([np.linspace(0, len(uq) - 1, min(audit // 2, len(uq))).astype(int), linked[np.linspace(0, len(linked) - 1, min(audit // 2, len(linked))).astype(int)]]))
+        got = np.bincount(rows, weights=total, minlength=len(uq))[asked]
+        want = np.concatenate([(uq[asked[i : i + 8]] @ balls.unit.T >= cosine + 1e-12) @ balls.weight for i in range(0, len(asked), 8)]) if len(asked) else got
+        if (got >= want).all():
+            return rows, nodes, total
         ef *= 2
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, shards: int = 8, shard_rows: int = 200_000, query_block: int = 16_384) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of any ids as links of the same components: each id with the least of its component, once."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[x], low[y])
+        for end in (x, y):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, low[end], least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    more = low != np.arange(len(ids))
+    return ids[more], ids[low[more]]
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, shards: int = 8, shard_rows: int = 200_000, query_block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Equal vectors form a class; classes are dealt to shards by hash, each shard builds a graph, and every class queries
-    every shard. The number of shards is ``shards``, or more where a shard would pass ``shard_rows``. Links have a cosine
-    of ``cosine`` or more, checked on the original vectors. Vectors that are null, zero, not finite or of another length
-    than most link with nothing: 0 links, own component. A row without id has a null component and is not kept. Of rows
-    that share an id, each has its own links and counts as another vector.
+    every shard. In a shard, vectors within a quarter of the threshold's angle of one in the graph are its ball and no
+    nodes; links with the members of a ball are counted from angles to its leader, and only members that these leave open
+    are compared. A task returns each query's number of links and a spanning forest of its links, never the pairs. The
+    number of shards is ``shards``, or more where a shard would pass ``shard_rows``; queries come in blocks of
+    ``query_block`` (a sixteenth of all, from 16,384 to 131,072). Links have a cosine of ``cosine`` or more on the original
+    vectors. Vectors that are null, zero, not finite or of another length than most link with nothing: 0 links, own
+    component. A row without id has a null component and is not kept. Of rows that share an id, each has its own links and
+    its own component, and counts as another vector; equal rows have equal results.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     dim = common_length(good)
     good = good.where(F.size("embedding") == dim).withColumns({"c1": F.xxhash64("embedding"), "c2": F.xxhash64(F.lit("v"), "embedding")})
-    classes = staged(good.groupBy("c1", "c2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("embedding").alias("embedding")), "vector-classes")
+    classes = good.groupBy("c1", "c2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("embedding").alias("embedding"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    n_shards, n_q = max(min(shards, n), -(-n // shard_rows), 1), -(-n // query_block) or 1
+    n_shards, n_q = max(min(shards, n), -(-n // shard_rows), 1), -(-n // (query_block or min(131_072, max(16_384, n // 16)))) or 1
     part = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "c1", "c2"), F.lit(m)).cast("int")
-    members = classes.select("id", "embedding", part("shard", n_shards).alias("shard"))
+    members = classes.select("cid", "w", "embedding", part("shard", n_shards).alias("shard"))
+    ball = float(np.cos(np.arccos(np.clip(cosine, -1, 1)) / 4))
+    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
 
     def build(table):
         import pyarrow as pa
 
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        order = np.argsort(table.column("cid").to_numpy(), kind="stable")
         x = matrix(table.column("embedding").combine_chunks(), dim)[order]
-        g = Graph(x / np.sqrt((x * x).sum(1))[:, None])
-        parts = [table.column("id").to_numpy()[order].tobytes(), x.tobytes(), *g.pack()]
+        g = Graph(unit(x), near=ball)
+        parts = [table.column("cid").to_numpy()[order].tobytes(), table.column("w").to_numpy()[order].tobytes(), x.tobytes(), *g.pack()]
         return pa.table([table.column("shard").slice(0, 1), pa.array([parts], pa.list_(pa.binary()))], ["shard", "parts"])
 
     graphs = staged(members.groupBy("shard").applyInArrow(build, "shard int, parts array<binary>"), "graphs")
@@ -518,26 +616,36 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, shards: int = 8, shar
     def ask(queries, graph):
         import pyarrow as pa
 
-        a = b = np.zeros(0, np.int64)
+        a = b = many = np.zeros(0, np.int64)
         if queries.num_rows and graph.num_rows:
             parts = graph.column("parts")[0].as_py()
-            ids, x = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1]).reshape(-1, dim)
-            r, c = close_pairs(Graph.unpack(parts[2:], dim), x, matrix(queries.column("embedding").combine_chunks(), dim), cosine)
-            a, b = queries.column("id").to_numpy()[r], ids[c]
-        return pa.table([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], ["a", "b"])
-
-    qs = classes.select("id", "embedding", part("block", n_q).alias("qb")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+            ids, weight, x = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int64), np.frombuffer(parts[2]).reshape(-1, dim)
+            g = Graph.unpack(parts[3:], dim)
+            balls = Balls(g, unit(x), weight)
+            qid = queries.column("cid").to_numpy()
+            own = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
+            own = np.where(ids[own] == qid, own, -1)
+            r, c, total = linked_balls(g, balls, unit(matrix(queries.column("embedding").combine_chunks(), dim)), own, cosine)
+            led = np.flatnonzero(balls.lead != np.arange(len(ids))) if graph.column("qb")[0].as_py() == 0 else a
+            a, b = _forest(np.concatenate([qid[r], ids[led]]), np.concatenate([ids[c], ids[balls.lead[led]]]))
+            counts = np.bincount(r, weights=total, minlength=len(qid)).astype(np.int64)
+            some = np.flatnonzero(counts)
+            a, b, many = np.concatenate([a, qid[some]]), np.concatenate([b, np.full(len(some), -1)]), np.concatenate([np.zeros(len(a), np.int64), counts[some]])
+        return pa.table([pa.array(a), pa.array(b), pa.array(many)], ["a", "b", "many"])
+
+    qs = classes.select("cid", "embedding", part("block", n_q).alias("qb")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     gs = graphs.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    links = qs.groupBy("shard", "qb").cogroup(gs.groupBy("shard", "qb")).applyInArrow(ask, "a long, b long")
-    links = staged(links.distinct(), "vector-links")
-
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    weight = classes.select(F.col("id").alias("other"), "w")
-    others = both.join(weight, "other").groupBy("id").agg(F.sum("w").alias("o"))
-    comp = components(links).withColumnRenamed("node", "id")
-    known = classes.select("c1", "c2", "id", "w").join(others, "id", "left").join(comp, "id", "left")
-    known = known.select("c1", "c2", (F.col("w") - 1 + F.coalesce("o", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("comp"))
+    found = staged(qs.groupBy("shard", "qb").cogroup(gs.groupBy("shard", "qb")).applyInArrow(ask, "a long, b long, many long"), "vector-links")
+    discard(graphs)
+
+    counts = found.where("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("many").alias("many"))
+    comp = components(found.where("b >= 0").select("a", "b").distinct()).withColumnRenamed("node", "cid")
+    known = classes.select("c1", "c2", "cid", "id", "w").join(counts, "cid", "left").join(comp, "cid", "left")
+    known = known.select("c1", "c2", "id", (F.greatest(F.coalesce("many", "w"), "w") - 1).alias("links"), F.coalesce("component", "cid").alias("comp"))
     known = staged(known, "vector-classes")
+    low = known.groupBy("comp").agg(F.min("id").alias("low"))
+    known = staged(known.join(low, "comp").select("c1", "c2", "links", F.col("low").alias("comp")), "vector-components")
+    discard(classes, found)
 
     ok = usable(F.col("embedding")) & (F.size("embedding") == dim) & F.col("vec_id").isNotNull()
     tagged = rows.withColumn("ok", ok).select("vec_id", F.when(F.col("ok"), F.xxhash64("embedding")).alias("c1"), F.when(F.col("ok"), F.xxhash64(F.lit("v"), "embedding")).alias("c2"))

@@ -85,6 +85,21 @@ def test_graph_links_match_brute_force(spark):
     assert all(got[i]["kept"] == (comp[i] == i) for i in got)
 
 
+def test_graph_by_row(spark):
+    """Repeated ids with equal and with other vectors: links and components are those of rows."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6, 8))
+    x = np.concatenate([b + s * rng.normal(size=(25, 8)) for b, s in zip(base, (0, 0.01, 0.05, 0.1, 0.2, 0.4), strict=True)]).astype(np.float32)
+    ids = [i % 60 for i in range(len(x))]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(frame(spark, zip(ids, x, strict=True)), 0.95, shards=3, query_block=40).collect())
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    near = u @ u.T >= 0.95
+    low = list(ids)
+    for _ in x:
+        low = [min(low[j] for j in np.flatnonzero(near[i])) for i in range(len(x))]
+    assert got == sorted((ids[i], int(near[i].sum()) - 1, low[i], ids[i] == low[i]) for i in range(len(x)))
+
+
 def test_graph_odd(spark):
     got = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(frame(spark, ODD)).collect() if r["vec_id"] is not None)
     assert got == [(0, 2, 0, True), (1, 2, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (100, 2, 0, False), (200, 0, 200, True)]
