@@ -13,17 +13,23 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode a temporary one stands in."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-STAGED: list[str] = []  # folders of staged tables, in order of time
+#: Folders of staged tables, in order of time. Operators delete what later tables have been staged from (``discard``); what a
+#: lazy result still reads stays until its owner calls ``release`` with the folders that came since ``mark``.
+STAGED: list[str] = []
+
+
+def mark() -> int:
+    return len(STAGED)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -31,12 +37,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/attesta/{name}-{uuid.uuid4().hex}"
     STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # the job's shuffle files go when the driver has no reference to them
+    forget_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs: its cleaner acts when the driver's JVM has dropped their handles,
+    which else waits for ``spark.cleaner.periodicGC.interval``. Without a JVM at hand (Spark Connect) that is all."""
+    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables from which every later table has been staged."""
     release(tables[0].sparkSession, [t._staged_at for t in tables if t._staged_at in STAGED])
@@ -187,7 +201,41 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word, with A-Z lower-cased."""
+_PLACE = np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**64, (64, 256), dtype=np.uint64).ravel()
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of each word, with A-Z lower-cased.
+
+    A hash adds up a random number for each byte at its place in the word, so no pattern of bytes cancels out.
+    """
     start, end, row = word_spans(data, offsets)
-    return span_hash(rolling(data, _BYTE[_LOWER]), start, end), row
+    if not len(start):
+        return np.zeros(0, np.uint64), row, start, end
+    size = end - start
+    first = np.cumsum(size) - size
+    shift = np.repeat(start - first, size)
+    place = np.arange(len(shift))
+    byte = _LOWER[data[place + shift]]
+    place -= np.repeat(first, size)
+    value = _PLACE[(place & 63) << 8 | byte]
+    long = np.flatnonzero(place >= 64)
+    if len(long):
+        value[long] = mix(value[long] + (place[long] >> 6).astype(np.uint64) * _GOLD)
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _GOLD), row, start, end
+
+
+def true_to_bytes(data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+    """Whether equal hashes are equal words, byte for byte with A-Z lower-cased."""
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    a, b = order[same], order[same + 1]
+    size = end[a] - start[a]
+    if not (size == end[b] - start[b]).all():
+        return False
+    for i, j in slices(np.concatenate(([0], np.cumsum(size)))):
+        n = size[i:j]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not (_LOWER[data[np.repeat(start[a[i:j]], n) + step]] == _LOWER[data[np.repeat(start[b[i:j]], n) + step]]).all():
+            return False
+    return True

@@ -1,10 +1,11 @@
 """Operator 4: an exact Jaccard self-join on word n-grams by a token-group matrix.
 
-Documents with equal sets form a class. A class is queried by its prefix: the tokens of which any set within the
-threshold must hold at least one, rare tokens first. Rounds of star links (every class of a token against that token's
-leader) partition similar classes into groups; the matrix then holds each group's union of prefix tokens, a class asks
-only for groups other than its own that share a token and whose sizes can fit, and only those groups are opened. Work is
-bounded by tokens and groups: classes that are linked already are never compared again.
+Documents with equal sets form a class. A class is queried by its prefix: rare tokens first, so many that any set within the
+threshold holds at least ``EXTRA`` of them in its own prefix (or all that its size asks for). Rounds of star links (every
+class of a token against that token's leader) partition similar classes into groups; the matrix then holds each group's
+union of prefix tokens. How many of a class's tokens are in a group's union bounds its overlap with every member; only
+groups that reach what a link needs, and whose sizes can fit, are opened. Work is bounded by tokens and groups: classes
+that are linked already are never compared again. What is opened is compared word by word.
 """
 
 from __future__ import annotations
@@ -15,33 +16,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, components, discard, mix, slices, staged, word_hashes
+from .common import buffers, components, discard, mix, slices, staged, true_to_bytes, word_hashes
 
-ORDER_BITS = 20  # buckets of the frequency table, 2**20: its size does not grow with the data
+BITS = (20, 24)  # log2 of the least and the most buckets of the frequency table
 BLOCK = 64  # classes in a block of the matrix, about
+EXTRA = 3  # tokens that prefixes of a link have in common
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash), unique and sorted by row then hash, of the ``k``-word shingles; fewer words are one shingle."""
-    w, row = word_hashes(data, offsets)
-    n = len(offsets) - 1
+def _shingles(w: np.ndarray, row: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first word, number of words) of every ``k``-word shingle of ``n`` rows; fewer words are one shingle."""
     count = np.bincount(row, minlength=n)
     h = np.zeros(max(0, len(w) - k + 1), np.uint64)
-    step = np.uint64(0xD6E8FEB86659FD93)
     for i in range(k):
-        h = mix(h * step + w[i : len(w) - k + 1 + i]) if len(h) else h
-    whole = row[: len(h)] == row[k - 1 :] if len(h) else np.zeros(0, bool)
-    rows, hashes = [row[: len(h)][whole]], [h[whole]]
+        h = mix(h * _STEP + w[i : len(w) - k + 1 + i]) if len(h) else h
+    whole = np.flatnonzero(row[: len(h)] == row[k - 1 :]) if len(h) else np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < k))
-    if len(short):
-        at = np.concatenate(([0], np.cumsum(count)))[short]
-        s = np.zeros(len(short), np.uint64)
-        for i in range(k - 1):
-            go = i < count[short]
-            s[go] = mix(s[go] * step + w[at[go] + i])
-        rows.append(short)
-        hashes.append(mix(s + count[short].astype(np.uint64)))
-    row, h = np.concatenate(rows), np.concatenate(hashes)
+    at = np.concatenate(([0], np.cumsum(count)))[short]
+    s = np.zeros(len(short), np.uint64)
+    for i in range(k - 1):
+        go = i < count[short]
+        s[go] = mix(s[go] * _STEP + w[at[go] + i])
+    s = mix(s + count[short].astype(np.uint64))
+    return np.concatenate([row[whole], short]), np.concatenate([h[whole], s]), np.concatenate([whole, at]), np.concatenate([np.full(len(whole), k), count[short]])
+
+
+def _unique(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     fresh = np.ones(len(h), bool)
@@ -49,44 +49,78 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return row[fresh], h[fresh]
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash), unique and sorted by row then hash, of the ``k``-word shingles; fewer words are one shingle."""
+    w, row, _, _ = word_hashes(data, offsets)
+    return _unique(*_shingles(w, row, len(offsets) - 1, k)[:2])
+
+
+def exact_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, with equal numbers for equal shingles alone: words are compared byte by byte and shingles word by
+    word; where hashes would lie, tuples of words are numbered instead."""
+    w, row, start, end = word_hashes(data, offsets)
+    r, h, first, size = _shingles(w, row, len(offsets) - 1, k)
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    a, b = order[same], order[same + 1]
+    true = true_to_bytes(data, w, start, end) and (size[a] == size[b]).all()
+    for i in range(k if true else 0):
+        go = i < size[a]
+        true = true and (w[first[a[go]] + i] == w[first[b[go]] + i]).all()
+    if not true:
+        raw, known = data.tobytes(), {}
+        words = [raw[s:e].lower() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        h = np.array([known.setdefault(tuple(words[f : f + n]), len(known)) for f, n in zip(first.tolist(), size.tolist(), strict=True)], np.uint64)
+    return _unique(r, h)
 
 
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """log2 of how many documents' tokens fall into each bucket of hashes, over all documents: a table of fixed size."""
-    size, blocks = 1 << ORDER_BITS, 256
+    """log2 of how many documents' tokens fall into each bucket of hashes, over all documents. The number of buckets, a power
+    of two, grows with the bytes of the texts within ``BITS``. Tables of tasks are added up in two rounds, block by block."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, blocks = min(BITS[1], max(BITS[0], int(n_bytes).bit_length() - 9)), 256
+    size = 1 << bits
 
     def count(batches: Iterator) -> Iterator:
         import zlib
 
         import pyarrow as pa
+        from pyspark import TaskContext
 
         total = np.zeros(size, np.uint32)
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             for i, j in slices(offsets):
                 _, h = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                total += np.bincount(_bucket(h), minlength=size).astype(np.uint32)
+                np.add.at(total, _bucket(h, bits), np.uint32(1))
         if total.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(total, blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts)], ["block", "counts"])
+            parts = [zlib.compress(x.astype(np.uint64).tobytes(), 1) for x in np.split(total, blocks)]
+            task = TaskContext.get().partitionId() // 512
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([task] * blocks, pa.int32()), pa.array(parts)], ["block", "tasks", "counts"])
 
     def add(pdf):
         import zlib
 
-        import pandas as pd
+        total = sum(np.frombuffer(zlib.decompress(c), np.uint64) for c in pdf["counts"])
+        return pdf.iloc[:1].assign(counts=[zlib.compress(total.tobytes(), 1)])
 
-        total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "levels": [np.log2(total + 1).astype(np.uint8).tobytes()]})
+    def level(pdf):
+        import zlib
 
-    sums = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, levels binary")
+        return add(pdf).assign(counts=lambda d: [np.log2(np.frombuffer(zlib.decompress(c), np.uint64) + 1.0).astype(np.uint8).tobytes() for c in d["counts"]])
+
+    schema = "block int, tasks int, counts binary"
+    some = docs.select("text").mapInArrow(count, schema).groupBy("block", "tasks").applyInPandas(add, schema)
     out = np.zeros(size, np.uint8)
-    for r in sums.collect():
-        out[r["block"] * (size // blocks) :][: size // blocks] = np.frombuffer(r["levels"], np.uint8)
+    for r in some.groupBy("block").applyInPandas(level, schema).collect():  # 2**24 bytes at most
+        out[r["block"] * (size // blocks) :][: size // blocks] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def parity(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Per set a bitmap of a power of two of bits, twice its size at least, each bit the parity of the tokens on it. The
     bits that differ between two bitmaps, folded to one length, are no more than the tokens that one set alone has."""
@@ -113,6 +147,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, h1, h2, prefix, bits): the set's size, a 128-bit hash of it, its prefix tokens in the global order and
     its parity bitmap."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
+    bits = len(levels.value).bit_length() - 1
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -126,8 +161,8 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pick = np.minimum(ends[:-1], max(0, len(h) - 1))
                 h1 = np.where(n > 0, np.add.reduceat(mix(h), pick), 0) if len(h) else np.zeros(j - i, np.uint64)
                 h2 = np.where(n > 0, np.bitwise_xor.reduceat(mix(h ^ np.uint64(0x5BD1E995)), pick), 0) if len(h) else h1
-                order = np.lexsort((h, levels.value[_bucket(h)], row))
-                length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                order = np.lexsort((h, levels.value[_bucket(h, bits)], row))
+                length = np.minimum(n, n - (percent * n + 99) // 100 + EXTRA)
                 keep = np.arange(len(h)) - np.repeat(ends[:-1], n) < np.repeat(length, n)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(h[order][keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), prefix, pa.array(parity(row, h, n), pa.binary())], ["doc_id", "n", "h1", "h2", "prefix", "bits"])
@@ -154,26 +189,23 @@ def possible(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets reach the threshold, from the whole texts (id, zip) themselves."""
+    """Those of the distinct pairs (a, b) whose sets of words reach the threshold, from the whole texts (id, zip)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard as z
 
-        def text(column):
-            raw = [z.decompress(x) for x in column.to_pylist()]
-            return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             good = np.zeros(len(a), bool)
-            for i, j in slices(buffers(batch.column(2))[1] + buffers(batch.column(3))[1], 1 << 20):
-                sets = [shingle_sets(*text(batch.column(c).slice(i, j - i)), k) for c in (2, 3)]
-                size = [np.bincount(r, minlength=j - i) for r, _ in sets]
-                keys = [mix(h ^ mix(r.astype(np.uint64))) for r, h in sets]
-                _, at, _ = np.intersect1d(*keys, assume_unique=True, return_indices=True)
-                common = np.bincount(sets[0][0][at], minlength=j - i)
-                good[i:j] = 100 * common >= percent * (size[0] + size[1] - common)
+            for i, j in slices(buffers(batch.column(2))[1] + buffers(batch.column(3))[1], 1 << 19):
+                raw = [z.decompress(x) for c in (2, 3) for x in batch.column(c).slice(i, j - i).to_pylist()]
+                row, key = exact_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64), k)
+                m = j - i
+                size = np.bincount(row, minlength=2 * m)
+                row, key = _pairs(row % m, key)
+                common = np.bincount(row[:-1][(row[1:] == row[:-1]) & (key[1:] == key[:-1])], minlength=m)
+                good[i:j] = 100 * common >= percent * (size[:m] + size[m:] - common)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     ta, tb = (texts.select(F.col("id").alias(c), F.col("zip").alias(f"zip_{c}")) for c in "ab")
@@ -181,6 +213,11 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return full.mapInArrow(run, "a long, b long").distinct()
 
 
+def _pairs(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, row))
+    return row[order], key[order]
+
+
 def zipped(docs: DataFrame) -> DataFrame:
     """(id, zip): compressed texts of documents that have an id and a text."""
 
@@ -224,7 +261,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     post = staged(post.join(tokens, "token").select("token", "id", "n"), "postings")
     discard(full, tokens)
     # the share of its prefix that a class has in common with others: copies gather round those with a high share
-    shared = post.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("share", F.col("c") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    shared = post.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("share", F.col("c") / F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + EXTRA))
     shared = staged(shared.select("id", "share"), "shares")
     first = post
     post = staged(first.join(shared, "id").select("token", "id", "n", "share", F.col("id").alias("group")), "postings")
@@ -272,14 +309,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
 def opened_groups(post: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different groups to compare, from postings (token, id, n, group).
 
-    Classes are partitioned by the commonest of their tokens, and where many share it into blocks of about ``BLOCK``. The
-    matrix has a row per token and block, with the sizes and groups in it. A class meets a block that has one of its
-    prefix tokens, a size that fits and another group; only such blocks are opened, and in them the bitmaps bound the
-    overlap with each member. So what two tables' rows meet in is classes by blocks, and never all pairs.
+    Classes that stars have linked are in the group of their component, a class on its own in that of its commonest token;
+    groups of many are cut into blocks of about ``BLOCK``. The matrix has a row per token and block: the block's union of
+    tokens, with the sizes and groups in it. A class of n tokens opens a block only if at least ``EXTRA`` of its tokens are
+    in the union (or as many as any set linked to it must share, if fewer), with sizes that fit and another group; in it
+    the bitmaps bound the overlap with each member. What two tables' rows meet in is classes by blocks, never all pairs.
     """
     many = post.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
     members = post.join(many, "token").groupBy("id", "n", "group").agg(F.max_by("token", F.struct("many", "token")).alias("home"))
     members = staged(members, "members")
+    crowd = members.groupBy("group").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    members = staged(members.join(crowd, "group", "left").withColumn("home", F.when(F.col("crowd").isNotNull(), F.col("group")).otherwise(F.col("home"))).drop("crowd"), "members")
     cut = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cut"))
     members = staged(members.join(cut, "home").select("id", "n", "group", "home", F.pmod(F.xxhash64("id"), "cut").alias("block")), "members")
     post = staged(post.select("token", "id").join(members, "id"), "postings")
@@ -287,9 +327,12 @@ def opened_groups(post: DataFrame, shapes: DataFrame, percent: int) -> DataFrame
     matrix = staged(matrix, "matrix")
     asked = post.join(matrix, "token").where(fits("n", "lo", "hi", percent) & ~((F.col("g1") == F.col("group")) & (F.col("g2") == F.col("group"))))
     asked = asked.where((F.col("home") < F.col("to")) | (F.col("home") == F.col("to")) & (F.col("block") <= F.col("to_block")))
-    asked = staged(asked.groupBy("id", "group", "to", "to_block").agg(F.count(F.lit(1)).alias("overlap")), "asked")
+    need = F.least(F.lit(EXTRA), F.ceil(F.col("n") * percent / 100))
+    asked = asked.groupBy("id", "n", "group", "to", "to_block").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= need)
+    asked = staged(asked.drop("n", "overlap"), "asked")
+    discard(post, matrix)
     filled = members.join(shapes.select("id", "bits"), "id").groupBy(F.col("home").alias("to"), F.col("block").alias("to_block")).agg(F.collect_list(F.struct("id", "n", "group", "bits")).alias("members"))
-    filled = staged(filled, "blocks")
+    filled = staged(filled.join(asked.select("to", "to_block").distinct(), ["to", "to_block"], "left_semi"), "blocks")
 
     def open_(batches: Iterator) -> Iterator:
         import pyarrow as pa

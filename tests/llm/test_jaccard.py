@@ -67,6 +67,37 @@ def test_without_star_rounds_the_matrix_finds_all(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(docs, 4, 85)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64, and nothing in common here."""
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    docs = [(1, x), (2, y), (3, " ".join([x] * 9)), (4, " ".join([y] * 9)), (5, x.upper())]
+    rows = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(docs, 4, 85)
+
+
+def test_exact_where_hashes_lie(monkeypatch):
+    """With a word hash of two bits all sets are still exact."""
+    real = jaccard.word_hashes
+
+    def poor(data, offsets):
+        h, row, start, end = real(data, offsets)
+        return h & np.uint64(3), row, start, end
+
+    monkeypatch.setattr(jaccard, "word_hashes", poor)
+    texts = [t.encode() for _, t in corpus(5, 40)] + [b"", b"A b", b"a B"]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    row, key = jaccard.exact_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, 4)
+    mine = [set(key[row == i].tolist()) for i in range(len(texts))]
+    want = [shingles(t.decode(), 4) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(mine[i] & mine[j]) == len(want[i] & want[j])
+
+
 def test_odd(spark, odd, none):
     rows = jaccard.jaccard_components(odd, 4, 85).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"] is not None) == [
