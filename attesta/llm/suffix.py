@@ -2,9 +2,10 @@
 
 A string of ``length`` bytes is found through its anchor, the least hash of the ``GRAM``-byte strings in it: equal
 strings have equal anchors at equal places. Windows in a row with one anchor form a segment; segments meet by anchor
-hash. Equal segments are one entry with a count. The different segments of an anchor go, block by block, into a
-Burrows-Wheeler transform, and a breadth-first backward extension sets their common prefixes by increasing value up to
-``length``: what is left unset repeats. Texts travel compressed and are cut where the segments lie.
+hash. Equal segments (equal in anchor hash, place of the anchor, length and BLAKE2b of their bytes) are one entry with a
+count. The different segments of an anchor go, block by block, into a Burrows-Wheeler transform, and a breadth-first
+backward extension sets their common prefixes by increasing value up to ``length``: what is left unset repeats. Texts travel
+compressed and are cut where the segments lie.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, powers, rolling, slices, span_hash, staged
+from .common import buffers, digests, discard, mix, powers, rolling, slices, staged
 
 GRAM = 32  # bytes of an anchor
 BLOCK = 1 << 20  # bytes in a transform, about
@@ -67,7 +68,7 @@ def _piece_segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     many = np.minimum(nxt, offsets[r + 1] - length + 1) - start
     a = anchor[start]
     where = (a - start).astype(np.uint64)
-    whole = span_hash(h, start, start + many + length - 1) ^ mix(where * np.uint64(0x9E3779B97F4A7C15) + many.astype(np.uint64))
+    whole = digests(data.tobytes(), start, start + many + length - 1) ^ mix(where * np.uint64(0x9E3779B97F4A7C15) + many.astype(np.uint64))
     return r, start - offsets[r], many, gram[a], whole
 
 
@@ -199,7 +200,8 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
 
     seg = staged(keyed(docs).select("doc_id", "th", "text").mapInArrow(cut, "doc_id long, th long, lo long, many int, anchor long, whole long"), "segments")
     shared = staged(seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    seg = staged(seg.join(shared, "anchor"), "shared-segments")
+    cut_all, seg = seg, staged(seg.join(shared, "anchor"), "shared-segments")
+    discard(cut_all)
 
     kinds = seg.groupBy("anchor", "whole", "many").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("at"))
     kinds = staged(kinds, "segment-kinds")
@@ -272,7 +274,7 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
             row = np.repeat(np.arange(len(many)), many)
             i = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             start = offsets[row] + i
-            h = span_hash(rolling(data), start, start + length)
+            h = digests(data.tobytes(), start, start + length)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(i.astype(np.int32)), pa.array(h.view(np.int64))], ["anchor", "whole", "many", "i", "h"])
 
@@ -284,8 +286,12 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
         found = found.union(single.join(twice, ["anchor", "h"]).select("anchor", "whole", "many", "i", (F.col("i") + 1).alias("j")))
     copies = kinds.where("n > 1").select("anchor", "whole", "many", F.lit(0).alias("i"), F.col("many").alias("j"))
     hits = staged(copies.union(found.join(kinds.where("n = 1").select("anchor", "whole", "many"), ["anchor", "whole", "many"])), "hits")
+    discard(bits, kinds, several, shared)
     out = seg.join(hits, ["anchor", "whole", "many"])
-    return out.select("doc_id", "th", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j") + (length - 1)).alias("hi"))
+    out = out.select("doc_id", "th", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j") + (length - 1)).alias("hi"))
+    out = staged(out, "repeated-ranges")
+    discard(seg, hits)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False) -> DataFrame:

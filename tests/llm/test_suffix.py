@@ -114,3 +114,11 @@ def test_odd(spark, odd, none):
     df = odd.unionByName(spark.createDataFrame(docs[-2:], "doc_id long, text string"), allowMissingColumns=True)
     assert got(spark, df) == expected(docs, 200)
     assert suffix.remove_repeats(none).count() == 0
+
+
+def test_strings_that_a_polynomial_confuses(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64; no string of 200 bytes of theirs repeats
+    across the two documents beyond what brute force finds."""
+    word = lambda a, b, n: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    docs = [(1, "x" * 40 + word("a", "b", 2048)), (2, "y" * 40 + word("b", "a", 2048)), (3, word("c", "d", 1024))]
+    assert got(spark, docs) == expected(docs, 200)
