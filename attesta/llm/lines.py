@@ -5,99 +5,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 BASE, PRIME = 257, 1_000_003  # of the rolling hash
 
 
-def chunk_column(text: Column, divisor: int) -> Column:
-    """A text's chunks: array<struct<text, n_lines>>.
+def chunk_column(text: Column, divisor: int, min_lines: int = 2) -> Column:
+    """A text's chunks of ``min_lines`` lines or more: array<struct<lo, n, text>>, lo the first line from 0.
 
-    A line's hash is the first 28 bits of its MD5. The rolling hash of a line covers it and the two lines before it;
-    a chunk ends where that is a multiple of ``divisor``, and at the end of the text. So a boundary depends on three
-    lines alone and survives insertions elsewhere.
+    A line's hash is the first 28 bits of its MD5. The rolling hash of a line covers it and the line before it; its rest by
+    ``divisor`` names the one of ``divisor`` cuttings of the text in which a chunk ends there. All of them end with the text.
+    So a boundary depends on two lines alone and survives insertions elsewhere; and since every line ends a chunk in one
+    cutting, a passage is covered by chunks from its second line to its last whatever stands around it.
     """
     lines = F.split(text, "\n")
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
-    both = F.transform(F.array(F.struct(lines.alias("lines"), hashes.alias("hashes"))), _chunks_of(divisor))
-    return F.element_at(both, 1)
+    marks = lambda h: F.transform(h, lambda x, i: (x + F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0)) * BASE) % PRIME % divisor)
+    both = F.struct(lines.alias("lines"), F.element_at(F.transform(F.array(hashes), marks), 1).alias("marks"))
+    return F.array_distinct(F.element_at(F.transform(F.array(both), _chunks_of(divisor, min_lines)), 1))
 
 
-def _chunks_of(divisor: int):
+def _chunks_of(divisor: int, min_lines: int):
     def build(x: Column) -> Column:
-        lines, h = x["lines"], x["hashes"]
+        lines, marks = x["lines"], x["marks"]
         n = F.size(lines)
-        at = lambda i, k: F.when(i >= k, F.get(h, i - k)).otherwise(F.lit(0).cast("long"))
-        roll = lambda i: (at(i, 0) + at(i, 1) * BASE + at(i, 2) * BASE * BASE) % PRIME
-        ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (roll(i) % divisor == 0))
-        cut = lambda e: F.transform(e, lambda end, k: F.struct(F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1).alias("lo"), end.alias("hi")))
-        return F.transform(
-            F.element_at(F.transform(F.array(ends), cut), 1),
-            lambda s: F.struct(F.array_join(F.slice(lines, s["lo"] + 1, s["hi"] - s["lo"] + 1), "\n").alias("text"), (s["hi"] - s["lo"] + 1).alias("n_lines")),
-        )
+
+        def cutting(s: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get(marks, i) == s))
+            spans = lambda e: F.transform(e, lambda end, k: F.struct(F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1).alias("lo"), end.alias("hi")))
+            long = F.filter(F.element_at(F.transform(F.array(ends), spans), 1), lambda c: c["hi"] - c["lo"] >= min_lines - 1)
+            return F.transform(long, lambda c: F.struct(c["lo"].alias("lo"), (c["hi"] - c["lo"] + 1).alias("n"), run_of(lines, c["lo"], c["hi"] - c["lo"] + 1).alias("text")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(divisor - 1)), cutting))
 
     return build
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every chunk of ``min_lines`` lines or more that stood in the table before.
+def run_of(lines: Column, lo: Column, n: Column) -> Column:
+    return F.array_join(F.slice(lines, lo + 1, n), "\n")
+
+
+def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove the lines of every chunk of ``min_lines`` lines or more that stood in the table before.
 
-    The first place of a chunk (smallest document id, nulls first, then text hash, then position) stays. Chunks are
-    equal when their bytes are: they are grouped by their text, their hashes only carry the verdict back. Returns the
-    columns of ``docs`` with the text replaced, and n_lines, n_removed_lines, n_chunks, n_removed_chunks. The text of a
+    The first place of a chunk (smallest document id, nulls first, then text hash, then line) stays, so every line that goes
+    has a copy that stays. Hashes find chunks that may repeat; then their bytes are compared, by grouping their texts.
+    Returns the columns of ``docs`` with the text replaced, and n_lines, n_removed_lines and n_removed_chunks. The text of a
     document that loses everything is empty. A null text stays null with all counts 0; an empty text is one line. Rows
     that are equal in id and text count as one document, so both keep or lose the same chunks. Columns with the names of
     the new ones are replaced.
     """
-    base = docs.drop("n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks").withColumn("_th", F.xxhash64(F.lit("text"), text_col))
-    chunks = base.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), "_th", F.posexplode(chunk_column(F.col(text_col), divisor)).alias("_pos", "_c")
-    )
-    chunks = chunks.where(F.col("_c.n_lines") >= min_lines).select("_id", "_th", "_pos", F.col("_c.text").alias("_t"))
-    chunks = chunks.withColumns({"_c1": F.xxhash64("_t"), "_c2": F.xxhash64(F.lit("b"), "_t")})
+    base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks").withColumn("_th", F.xxhash64(F.lit("text"), text_col))
+    pick = [F.col(id_col).alias("_id"), "_th"]
+    places = base.where(F.col(text_col).isNotNull()).select(*pick, F.explode(chunk_column(F.col(text_col), divisor, min_lines)).alias("_c"))
+    places = places.select("_id", "_th", F.col("_c.lo").alias("_lo"), F.col("_c.n").alias("_n"), F.xxhash64("_c.text").alias("_c1"), F.xxhash64(F.lit("b"), "_c.text").alias("_c2"))
+    places = staged(places, "chunk-places")
+    often = places.groupBy("_c1", "_c2").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("_c1", "_c2")
+    again = staged(places.join(often, ["_c1", "_c2"]), "repeated-places")
+    discard(places)
 
     # the comparison of bytes: equal texts meet in one group; a hash pair with two texts would say nothing
-    equal = chunks.groupBy("_c1", "_c2", "_t").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = equal.groupBy("_c1", "_c2").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_texts")).where("_n > 1 and _texts = 1")
-    repeated = staged(repeated.select("_c1", "_c2"), "repeated-chunks")
-    places = staged(chunks.drop("_t").join(repeated, ["_c1", "_c2"]), "chunk-places")
-    first = staged(places.groupBy("_c1", "_c2").agg(F.min(F.struct("_id", "_th", "_pos")).alias("_first")), "first-chunks")
-    gone = places.join(first, ["_c1", "_c2"]).where(~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first")))
-    gone = gone.select("_id", "_th", "_pos").distinct().groupBy("_id", "_th").agg(F.collect_list("_pos").alias("_gone"))
-
-    g = gone.select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_gone")
-    out = base.join(g, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
-    cut = chunk_column(F.col(text_col), divisor)
-    out = out.withColumn("_cut", F.when(F.col(text_col).isNotNull(), cut))
-    lost = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    out = out.withColumns({"_keep": F.filter("_cut", lambda c, i: ~F.array_contains(lost, i)), "_drop": F.filter("_cut", lambda c, i: F.array_contains(lost, i))})
-    total = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + x["n_lines"]), F.lit(0)).cast("long")
+    held = again.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_n", "_c1", "_c2")).alias("_held"))
+    text = base.select(*pick, F.col(text_col).alias("_t")).join(held.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), "_held"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth")))
+    text = text.select(F.split("_t", "\n").alias("_l"), "_held").select("_l", F.explode("_held").alias("_h"))
+    text = text.select("_h._c1", "_h._c2", run_of(F.col("_l"), F.col("_h._lo"), F.col("_h._n")).alias("_t"))
+    one = text.groupBy("_c1", "_c2", "_t").agg(F.count(F.lit(1)).alias("_many")).groupBy("_c1", "_c2").agg(F.count(F.lit(1)).alias("_texts"))
+    one = staged(one.where("_texts = 1").select("_c1", "_c2"), "equal-chunks")
+
+    first = again.join(one, ["_c1", "_c2"]).groupBy("_c1", "_c2").agg(F.min(F.struct("_id", "_th", "_lo")).alias("_first"))
+    gone = again.join(first, ["_c1", "_c2"]).where(~F.struct("_id", "_th", "_lo").eqNullSafe(F.col("_first")))
+    gone = gone.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_n")).alias("_gone"))
+    gone = staged(gone.select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_gone"), "lost-chunks")
+    discard(again, one)
+
+    out = base.join(gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    lost = F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["_lo"], g["_lo"] + g["_n"] - 1))))
+    out = out.withColumn("_lost", F.when(F.col("_gone").isNotNull(), lost)).withColumn("_l", F.when(F.col(text_col).isNotNull(), F.split(text_col, "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_lost"))
     many = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     return out.withColumns(
         {
-            text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_keep", lambda c: c["text"]), "\n")),
-            "n_lines": total("_cut"),
-            "n_removed_lines": total("_drop"),
-            "n_chunks": many("_cut"),
-            "n_removed_chunks": many("_drop"),
+            text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("_l", i)), "\n")),
+            "n_lines": many("_l"),
+            "n_removed_lines": many("_lost"),
+            "n_removed_chunks": many("_gone"),
         }
-    ).drop("_th", "_gid", "_gth", "_gone", "_cut", "_keep", "_drop")
+    ).drop("_th", "_gid", "_gth", "_gone", "_lost", "_l")
 
 
 #: The same rules in DuckDB SQL.
 ORACLE = """
-with d as (select doc_id, text, string_split(text, chr(10)) l from documents),
+with d as (select doc_id, string_split(text, chr(10)) l from documents),
 h as (select *, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 7))::bigint) hs, len(l) n from d),
-e as (select *, list_filter(range(1, n + 1), lambda i: i = n or ((hs[i] + case when i > 1 then hs[i-1] else 0 end * 257
-  + case when i > 2 then hs[i-2] else 0 end * 66049) % 1000003) % 4 = 0) ends from h),
-c as (select doc_id, text, k - 1 pos, case when k = 1 then 1 else ends[k-1] + 1 end lo, ends[k] hi, l
-  from e, unnest(range(1, len(ends) + 1)) u(k)),
-t as (select doc_id, pos, hi - lo + 1 n_lines, array_to_string(l[lo:hi], chr(10)) chunk from c),
-m as (select *, count(*) over (partition by chunk) many,
-  row_number() over (partition by chunk order by doc_id, pos) place from t where n_lines >= 2),
-g as (select t.*, coalesce(m.place > 1, false) gone from t left join m using (doc_id, pos))
-select doc_id, sum(n_lines)::bigint n_lines, coalesce(sum(n_lines) filter (gone), 0)::bigint n_removed_lines, count(*)::bigint n_chunks,
-  count(*) filter (gone)::bigint n_removed_chunks,
-  sha256(coalesce(string_agg(chunk, chr(10) order by pos) filter (not gone), '')) kept_sha256
-from g group by doc_id
+m as (select *, list_transform(range(1, n + 1), lambda i: (hs[i] + case when i > 1 then hs[i-1] else 0 end * 257) % 1000003 % 2) marks from h),
+e as (select doc_id, l, s, list_filter(range(1, n + 1), lambda i: i = n or marks[i] = s) ends from m, unnest([0, 1]) u(s)),
+c as (select doc_id, l, case when k = 1 then 1 else ends[k-1] + 1 end lo, ends[k] hi from e, unnest(range(1, len(ends) + 1)) u(k)),
+t as (select doc_id, lo, hi, array_to_string(l[lo:hi], chr(10)) chunk from c where hi > lo),
+g as (select doc_id, lo, hi, row_number() over (partition by chunk order by doc_id, lo) > 1 gone from t),
+r as (select doc_id, count(*) many, list_distinct(flatten(list(range(lo, hi + 1)))) lost from g where gone group by doc_id)
+select doc_id, coalesce(n, 0)::bigint n_lines, coalesce(len(lost), 0)::bigint n_removed_lines, coalesce(many, 0)::bigint n_removed_chunks,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: not list_contains(coalesce(lost, []), i)), lambda i: l[i]), chr(10)), '')) kept_sha256
+from h left join r using (doc_id)
 """

@@ -41,7 +41,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return out.select("doc_id", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks", kept.alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", kept.alias("kept_sha256"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

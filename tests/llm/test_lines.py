@@ -1,34 +1,37 @@
 import hashlib
+import random
 
 import pytest
 
 from attesta.llm import lines
 
 
-def chunks(text):
+def chunks(text, min_lines=2):
+    """(first line, lines) of the chunks of two cuttings: a line ends a chunk of one or of the other."""
     ls = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
-    at = lambda i: h[i] if i >= 0 else 0
-    out, lo = [], 0
-    for i in range(len(ls)):
-        if i == len(ls) - 1 or (at(i) + at(i - 1) * 257 + at(i - 2) * 66049) % 1_000_003 % 4 == 0:
-            out.append((i - lo + 1, "\n".join(ls[lo : i + 1])))
-            lo = i + 1
+    mark = [(h[i] + (h[i - 1] * 257 if i else 0)) % 1_000_003 % 2 for i in range(len(ls))]
+    out = []
+    for s in (0, 1):
+        lo = 0
+        for i in range(len(ls)):
+            if i == len(ls) - 1 or mark[i] == s:
+                if i - lo + 1 >= min_lines:
+                    out.append((lo, ls[lo : i + 1]))
+                lo = i + 1
     return out
 
 
 def brute(docs):
+    """doc -> (text, lines removed), by a dictionary of chunks in order of place."""
     seen, out = set(), {}
     for doc, text in sorted(docs, key=lambda d: d[0]):
-        kept, lost = [], 0
-        for n, c in chunks(text):
-            if n >= 2 and c in seen:
-                lost += n
-            else:
-                kept.append(c)
-                if n >= 2:
-                    seen.add(c)
-        out[doc] = ("\n".join(kept), lost)
+        lost = set()
+        for lo, run in sorted(chunks(text)):
+            if tuple(run) in seen:
+                lost |= set(range(lo, lo + len(run)))
+            seen.add(tuple(run))
+        out[doc] = ("\n".join(x for i, x in enumerate(text.split("\n")) if i not in lost), len(lost))
     return out
 
 
@@ -59,11 +62,32 @@ def test_odd(spark, odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 5])
-def test_chunks_make_up_the_text(spark, n):
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_chunks_are_those_of_the_rule(spark, n):
     text = "\n".join(f"l{i}" for i in range(n))
-    got = spark.createDataFrame([(text,)], "t string").select(lines.chunk_column(spark_col(), 4).alias("c")).first()["c"]
-    assert [(c["n_lines"], c["text"]) for c in got] == chunks(text)
+    for least in (1, 2):
+        got = spark.createDataFrame([(text,)], "t string").select(lines.chunk_column(spark_col(), 2, least).alias("c")).first()["c"]
+        assert sorted((c["lo"], c["text"].split("\n")) for c in got) == sorted({(lo, tuple(run)): (lo, run) for lo, run in chunks(text, least)}.values())
+
+
+@pytest.mark.parametrize(("m", "least"), [(3, 0.1), (5, 0.3), (10, 0.6), (25, 0.8)])
+def test_recall_of_planted_passages(m, least):
+    """Passages of ``m`` lines in two documents with other lines around them: the share of lines that go from the second."""
+    rng, gone = random.Random(m), 0
+    line = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    for _ in range(300):
+        passage = [line() for _ in range(m)]
+        docs = [(i, "\n".join([line() for _ in range(6)] + passage + [line() for _ in range(6)])) for i in range(2)]
+        gone += brute(docs)[1][1]
+    assert gone / (300 * m) >= least
+
+
+def test_few_kinds_of_lines(spark):
+    """Every line that goes has a copy that stays."""
+    rng = random.Random(1)
+    docs = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    rows = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: t for d, t in rows.items()} == {d: t for d, (t, _) in brute(docs).items()}
 
 
 def spark_col():
