@@ -10,75 +10,72 @@ from .common import discard, staged
 BASE, PRIME = 257, 1_000_003  # of the rolling hash
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lit("line"), line)
+
+
 def chunk_column(text: Column, divisor: int, min_lines: int = 2) -> Column:
-    """A text's chunks of ``min_lines`` lines or more: array<struct<lo, n, text>>, lo the first line from 0.
+    """A text's chunks of ``min_lines`` lines or more: array<struct<lo, key>>, lo the first line from 0, key its lines' hashes.
 
-    A line's hash is the first 28 bits of its MD5. The rolling hash of a line covers it and the line before it; its rest by
-    ``divisor`` names the one of ``divisor`` cuttings of the text in which a chunk ends there. All of them end with the text.
-    So a boundary depends on two lines alone and survives insertions elsewhere; and since every line ends a chunk in one
-    cutting, a passage is covered by chunks from its second line to its last whatever stands around it.
+    The rolling hash of a line covers the first 28 bits of its MD5 and of the line's before it; its rest by ``divisor`` names
+    the one of ``divisor`` cuttings of the text in which a chunk ends there. All of them end with the text. So a boundary
+    depends on two lines alone and survives insertions elsewhere; and every line ends a chunk in one of the cuttings.
     """
     lines = F.split(text, "\n")
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
     marks = lambda h: F.transform(h, lambda x, i: (x + F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0)) * BASE) % PRIME % divisor)
-    both = F.struct(lines.alias("lines"), F.element_at(F.transform(F.array(hashes), marks), 1).alias("marks"))
+    both = F.struct(F.transform(lines, line_hash).alias("keys"), F.element_at(F.transform(F.array(hashes), marks), 1).alias("marks"))
     return F.array_distinct(F.element_at(F.transform(F.array(both), _chunks_of(divisor, min_lines)), 1))
 
 
 def _chunks_of(divisor: int, min_lines: int):
     def build(x: Column) -> Column:
-        lines, marks = x["lines"], x["marks"]
-        n = F.size(lines)
+        keys, marks = x["keys"], x["marks"]
+        n = F.size(keys)
 
         def cutting(s: Column) -> Column:
             ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (F.get(marks, i) == s))
             spans = lambda e: F.transform(e, lambda end, k: F.struct(F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1).alias("lo"), end.alias("hi")))
             long = F.filter(F.element_at(F.transform(F.array(ends), spans), 1), lambda c: c["hi"] - c["lo"] >= min_lines - 1)
-            return F.transform(long, lambda c: F.struct(c["lo"].alias("lo"), (c["hi"] - c["lo"] + 1).alias("n"), run_of(lines, c["lo"], c["hi"] - c["lo"] + 1).alias("text")))
+            return F.transform(long, lambda c: F.struct(c["lo"].alias("lo"), F.slice(keys, c["lo"] + 1, c["hi"] - c["lo"] + 1).alias("key")))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(divisor - 1)), cutting))
 
     return build
 
 
-def run_of(lines: Column, lo: Column, n: Column) -> Column:
-    return F.array_join(F.slice(lines, lo + 1, n), "\n")
-
-
 def dedup_lines(docs: DataFrame, divisor: int = 2, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove the lines of every chunk of ``min_lines`` lines or more that stood in the table before.
 
     The first place of a chunk (smallest document id, nulls first, then text hash, then line) stays, so every line that goes
-    has a copy that stays. Hashes find chunks that may repeat; then their bytes are compared, by grouping their texts.
+    has a copy that stays. Chunks are equal when the hashes of their lines are and each of these hashes is of one text: lines
+    of equal hashes are compared byte for byte, by grouping, and chunks with a line whose hash lies stay. Joins with lists
+    per chunk or document, which grow with the table, are merge joins at every size.
     Returns the columns of ``docs`` with the text replaced, and n_lines, n_removed_lines and n_removed_chunks. The text of a
     document that loses everything is empty. A null text stays null with all counts 0; an empty text is one line. Rows
     that are equal in id and text count as one document, so both keep or lose the same chunks. Columns with the names of
     the new ones are replaced.
     """
     base = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks").withColumn("_th", F.xxhash64(F.lit("text"), text_col))
-    pick = [F.col(id_col).alias("_id"), "_th"]
-    places = base.where(F.col(text_col).isNotNull()).select(*pick, F.explode(chunk_column(F.col(text_col), divisor, min_lines)).alias("_c"))
-    places = places.select("_id", "_th", F.col("_c.lo").alias("_lo"), F.col("_c.n").alias("_n"), F.xxhash64("_c.text").alias("_c1"), F.xxhash64(F.lit("b"), "_c.text").alias("_c2"))
-    places = staged(places, "chunk-places")
-    often = places.groupBy("_c1", "_c2").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("_c1", "_c2")
-    again = staged(places.join(often, ["_c1", "_c2"]), "repeated-places")
+    texts = base.where(F.col(text_col).isNotNull())
+    places = texts.select(F.col(id_col).alias("_id"), "_th", F.explode(chunk_column(F.col(text_col), divisor, min_lines)).alias("_c"))
+    places = staged(places.select("_id", "_th", F.col("_c.lo").alias("_lo"), F.col("_c.key").alias("_key")), "chunk-places")
+    often = places.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("_key")
+    again = staged(places.join(often.hint("merge"), "_key"), "repeated-places")
     discard(places)
 
-    # the comparison of bytes: equal texts meet in one group; a hash pair with two texts would say nothing
-    held = again.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_n", "_c1", "_c2")).alias("_held"))
-    text = base.select(*pick, F.col(text_col).alias("_t")).join(held.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), "_held"), F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_th") == F.col("_hth")))
-    text = text.select(F.split("_t", "\n").alias("_l"), "_held").select("_l", F.explode("_held").alias("_h"))
-    text = text.select("_h._c1", "_h._c2", run_of(F.col("_l"), F.col("_h._lo"), F.col("_h._n")).alias("_t"))
-    one = text.groupBy("_c1", "_c2", "_t").agg(F.count(F.lit(1)).alias("_many")).groupBy("_c1", "_c2").agg(F.count(F.lit(1)).alias("_texts"))
-    one = staged(one.where("_texts = 1").select("_c1", "_c2"), "equal-chunks")
-
-    first = again.join(one, ["_c1", "_c2"]).groupBy("_c1", "_c2").agg(F.min(F.struct("_id", "_th", "_lo")).alias("_first"))
-    gone = again.join(first, ["_c1", "_c2"]).where(~F.struct("_id", "_th", "_lo").eqNullSafe(F.col("_first")))
-    gone = gone.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_n")).alias("_gone"))
+    # the comparison of bytes: equal lines meet in one group; a hash with two texts would say nothing
+    line = texts.select(F.explode(F.split(text_col, "\n")).alias("_t")).select(line_hash(F.col("_t")).alias("_h"), "_t")
+    lies = line.groupBy("_h", "_t").agg(F.count(F.lit(1)).alias("_many")).groupBy("_h").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_h")
+    lies = staged(lies, "lying-hashes")
+    bad = again.select("_key", F.explode("_key").alias("_h")).join(lies, "_h", "left_semi").select("_key").distinct()
+    first = again.join(bad, "_key", "left_anti").groupBy("_key").agg(F.min(F.struct("_id", "_th", "_lo")).alias("_first"))
+    gone = again.join(first.hint("merge"), "_key").where(~F.struct("_id", "_th", "_lo").eqNullSafe(F.col("_first")))
+    gone = gone.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", F.size("_key").alias("_n"))).alias("_gone"))
     gone = staged(gone.select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_gone"), "lost-chunks")
-    discard(again, one)
+    discard(again, lies)
 
-    out = base.join(gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    out = base.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     lost = F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["_lo"], g["_lo"] + g["_n"] - 1))))
     out = out.withColumn("_lost", F.when(F.col("_gone").isNotNull(), lost)).withColumn("_l", F.when(F.col(text_col).isNotNull(), F.split(text_col, "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_lost"))
