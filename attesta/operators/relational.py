@@ -71,7 +71,8 @@ def pending(candidates: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
 def pairs_within(df: DataFrame, group: str, order: str, differs: str) -> DataFrame:
     """Unordered pairs of a group whose ``differs`` columns are not equal.
 
-    One row per (group, order, differs) goes in; groups of documents that share an artifact are small by nature.
+    For groups of a bounded size, such as the versions of one record: the pairs of a group grow with its square. Copies of a
+    text have no such bound; ``plans.research.mirrors`` keeps representatives instead.
     """
     d = df.select(group, order, differs).distinct()
     a, b = d.select(group, F.col(order).alias("left"), F.col(differs).alias("_da")), d.select(group, F.col(order).alias("right"), F.col(differs).alias("_db"))
@@ -82,10 +83,13 @@ def fuzzy_join(left: DataFrame, right: DataFrame, lid: str, ltext: str, rid: str
     """(lid, rid, similarity): trigram similarity above the threshold, the best ``k`` per left row, ties to the lower id.
 
     Equal texts are joined once. A pair above the threshold shares one of the ``n - ceil(threshold * n) + 1`` rarest
-    trigrams of each side, so only those meet in the equi-join; the similarity is then taken from the whole sets.
+    trigrams of each side, so only those meet in the equi-join; the similarity is then taken from the whole sets. Of a right
+    text no more than its ``k`` lowest ids can be among a left row's best, and the best are chosen per left text before
+    they are given to its rows; so a common text multiplies nothing.
     """
-    lt, rt = (d.select(F.col(t).alias("text")).distinct().withColumn("grams", fn.trigrams("text")).where(F.size("grams") > 0) for d, t in ((left, ltext), (right, rtext)))
+    lt, rt = (io.staged(d.select(F.col(t).alias("text")).distinct().withColumn("grams", fn.trigrams("text")).where(F.size("grams") > 0), "texts") for d, t in ((left, ltext), (right, rtext)))
     freq = lt.select(F.explode("grams").alias("g")).union(rt.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    freq = io.staged(freq, "gram-counts")
 
     def prefix(d: DataFrame, name: str) -> DataFrame:
         rows = d.select("text", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(freq, "g")
@@ -95,10 +99,14 @@ def fuzzy_join(left: DataFrame, right: DataFrame, lid: str, ltext: str, rid: str
 
     lo, hi = F.least("lt_size", "rt_size"), F.greatest("lt_size", "rt_size")
     met = prefix(lt, "lt").join(prefix(rt, "rt"), "g").where(lo >= F.lit(threshold) * hi).select("lt", "rt").distinct()
-    met = met.withColumn("similarity", fn.trigram_similarity("lt", "rt")).where(F.col("similarity") > threshold)
-    out = left.select(F.col(lid).alias("_l"), F.col(ltext).alias("lt")).join(met, "lt").join(right.select(F.col(rid).alias("_r"), F.col(rtext).alias("rt")), "rt")
-    best = Window.partitionBy("_l").orderBy(F.desc("similarity"), "_r")
-    return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select(F.col("_l").alias(lid), F.col("_r").alias(rid), "similarity")
+    met = met.join(lt.select(F.col("text").alias("lt"), F.col("grams").alias("lg")), "lt").join(rt.select(F.col("text").alias("rt"), F.col("grams").alias("rg")), "rt")
+    both = F.size(F.array_intersect("lg", "rg"))
+    met = met.select("lt", "rt", (both / (F.size("lg") + F.size("rg") - both)).alias("similarity")).where(F.col("similarity") > threshold)
+    low = Window.partitionBy("rt").orderBy("_r")
+    ids = right.select(F.col(rtext).alias("rt"), F.col(rid).alias("_r")).withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k).drop("_n")
+    best = Window.partitionBy("lt").orderBy(F.desc("similarity"), "_r")
+    top = met.join(ids, "rt").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("lt", "_r", "similarity")
+    return left.select(F.col(lid).alias(lid), F.col(ltext).alias("lt")).join(top, "lt").select(lid, F.col("_r").alias(rid), "similarity")
 
 
 def compare(a: DataFrame, b: DataFrame, key: str, score: str = "score", rank: str = "rank") -> DataFrame:
@@ -209,9 +217,11 @@ def product_of(terms: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """(rows, digest) of a table whatever its order: count, sum and xor of row hashes."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(1_000_003)))).alias("digest"))
+    """(rows, digest) of a table whatever its order: count, xor and sum of the first 32 bits of each row's MD5. A row is its
+    columns as text, in order of name."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x01")) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
+    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", F.count(F.lit(1)), F.bit_xor("h"), F.sum("h")).alias("digest"))
 
 
 def every(df: DataFrame, by: list[str], predicate: Column) -> DataFrame:
@@ -225,12 +235,37 @@ def _part(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
+def positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n, below, total): how many rows of a key hold a value, how many a smaller one, and how many any.
+
+    For keys of any size, or none: values are counted, dealt by range, added up within each part, and put on the sums of
+    the parts before; no window holds more than a part, or more rows than there are parts. Nulls take no part.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    parts = io.staged(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "positions")
+    sums = parts.groupBy(*by, "_part").agg(F.sum("n").alias("_s"))
+    past = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(past(_part(by), "_part")), F.lit(0)), "total": F.sum("_s").over(_part(by))}).drop("_s")
+    out = parts.withColumn("_c", F.coalesce(F.sum("n").over(past(Window.partitionBy(*by, "_part"), value)), F.lit(0))).join(sums, [*by, "_part"])
+    return out.select(*by, value, "n", (F.col("_before") + F.col("_c")).alias("below"), "total")
+
+
 def competition_rank(df: DataFrame, score: str, by: list[str], out: str = "rank") -> DataFrame:
-    return df.withColumn(out, F.rank().over(_part(by).orderBy(F.desc(score))))
+    """1 for the best score of a key; equal scores share a rank, and the next one counts them. A null score has no rank."""
+    p = positions(df, by, score).select(*by, score, (F.col("total") - F.col("below") - F.col("n") + 1).cast("int").alias(out))
+    return df.join(p, [*by, score], "left").select(*df.columns, out)
+
+
+def with_percentile(df: DataFrame, value: str, by: list[str], out: str, declared: int | None = None) -> DataFrame:
+    """``df`` with the mid-rank percentile of a value in its key, as ``percentile`` has it, for keys of any size."""
+    rest = F.lit(declared) if declared else F.col("total")
+    p = positions(df, by, value).select(*by, value, ((F.col("below") + (F.col("n") - 1) / 2) / F.nullif(rest - 1, F.lit(0))).alias(out))
+    return df.join(p, [*by, value], "left").select(*df.columns, out)
 
 
 def percentile(value: str, by: list[str], method: str = "midrank", declared: int | None = None) -> Column:
-    """Percentile of a non-null value among the non-null values of its key, by one of the named methods."""
+    """Percentile of a non-null value among the non-null values of its key, by one of the named methods. A window per key:
+    for keys that fit into a task; ``with_percentile`` has no such bound."""
     w = _part(by)
     v = F.col(value)
     below = F.rank().over(w.orderBy(F.asc_nulls_last(value))) - 1
@@ -249,38 +284,12 @@ def percentile(value: str, by: list[str], method: str = "midrank", declared: int
 PERCENTILE_METHODS = ["midrank", "strict_below", "weak_below", "midpoint", "percentrank_inc"]
 
 
-def wide_midrank(df: DataFrame, key: str, value: str, folder: str) -> DataFrame:
-    """(key, value, percentile) by mid-rank for keys of any size, without a window over a whole key.
-
-    Values are counted, dealt by range, and summed up within each part; only the sums of parts, as many as there are
-    partitions and keys, reach the driver. Equal to ``percentile`` with the method midrank.
-    """
-    from attesta.sources.io import write_and_read
-
-    spark = df.sparkSession
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    parts = write_and_read(counts.repartitionByRange(key, value).withColumn("part", F.spark_partition_id()), folder)
-    sums, seen = parts.groupBy(key, "part").agg(F.sum("n").alias("s")).orderBy(key, "part").collect(), {}
-    rows = []
-    for r in sums:
-        rows.append((r[key], r["part"], seen.get(r[key], 0)))
-        seen[r[key]] = seen.get(r[key], 0) + r["s"]
-    kind = dict(df.dtypes)[key]
-    offsets = spark.createDataFrame([(*r, seen[r[0]]) for r in rows], f"{key} {kind}, part int, before long, total long")
-    w = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = parts.withColumn("_c", F.sum("n").over(w)).join(offsets, [key, "part"])
-    below = F.col("before") + F.col("_c") - F.col("n")
-    return out.select(key, value, ((below + (F.col("n") - 1) / 2) / F.nullif(F.col("total") - 1, F.lit(0))).alias("percentile"))
-
-
 def gated_rank(df: DataFrame, by: list[str], score: str = "score", coverage: str = "coverage", home: str = "is_home_market", minimum: float | Column = 0.5) -> DataFrame:
     """Rank of the rows that may be ranked, with the reason for those that may not; the others leave no gap."""
     minimum = minimum if isinstance(minimum, Column) else F.lit(minimum)
     reason = F.when(F.coalesce(F.col(home), F.lit(False)), "HOME_MARKET").when(F.col(score).isNull(), "NO_SCORE").when(F.col(coverage) < minimum, "LOW_COVERAGE")
     d = df.withColumn("unranked_reason", reason)
-    eligible = F.col("unranked_reason").isNull()
-    w = Window.partitionBy(*by, eligible).orderBy(F.desc(score))
-    return d.withColumn("rank", F.when(eligible, F.rank().over(w)))
+    return competition_rank(d.withColumn("_eligible", F.when(F.col("unranked_reason").isNull(), F.col(score))), "_eligible", by).drop("_eligible")
 
 
 def first_per_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -139,6 +139,12 @@ def table_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, t in tables.items()])
 
 
+def fingerprint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Row counts of protected tables before and after, and whether they changed; a table of one side alone changed."""
+    b, a = before.withColumnRenamed("rows", "rows_before"), after.withColumnRenamed("rows", "rows_after")
+    return b.join(a, "table", "full").withColumn("changed", ~F.col("rows_before").eqNullSafe(F.col("rows_after")))
+
+
 def confidence_divergence(claims: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Claims whose stored confidence is not the derived one."""
     r = recomputed.select("claim_id", F.col("confidence").alias("derived"))

@@ -342,7 +342,8 @@ def _(t):
 
 @query(
     "jn07_mirrors",
-    """with d as (select distinct md5(text) g, doc_id, source from documents) select a.g artifact_id, a.doc_id as "left", b.doc_id as "right" from d a join d b using (g) where a.doc_id < b.doc_id and a.source <> b.source""",
+    """with d as (select distinct md5(text) g, doc_id, source from documents), r as (select g, source, min(doc_id) loc, count(*) copies from d group by 1, 2)
+select g artifact_id, source as "domain", loc locator, copies, min(loc) over (partition by g) origin from r qualify count(*) over (partition by g) > 1""",
 )
 def _(t):
     d = t("documents").select(F.md5("text").alias("artifact_id"), F.col("doc_id").alias("locator"), F.col("source").alias("domain"))
@@ -479,9 +480,10 @@ def _(t):
     return rel.frontier(d, "host", 2).select("locator", "host", "fetched")
 
 
-@query("so04_differences", "select c_custkey key from customer except select o_custkey from orders")
+@query("so04_differences", "select c_custkey key from customer except select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O'")
 def _(t):
-    return rel.except_keys(t("customer").select(F.col("c_custkey").alias("key")), t("orders").select(F.col("o_custkey").alias("key")), "key")
+    urgent = t("orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'")
+    return rel.except_keys(t("customer").select(F.col("c_custkey").alias("key")), urgent.select(F.col("o_custkey").alias("key")), "key")
 
 
 @query("so06_rebuild_diff", "select o_orderkey, o_orderstatus, 'a' only_in from orders where o_orderstatus = 'P' union all select o_orderkey, 'Q', 'b' from orders where o_orderstatus = 'P'")
@@ -565,9 +567,10 @@ def _(t):
     return val.illegal_transitions(lifecycle(t), "gap_id", cfg.GAP_GRAPH, cfg.GAP_RANK).select("gap_id", "event_id", "violation")
 
 
-@query("val17_fingerprints", "select 'orders' as \"table\", count(*) as \"rows\" from orders union all select 'pages', count(*) from pages")
+@query("val17_fingerprints", "select 'orders' as \"table\", count(*) filter (o_orderstatus <> 'P') rows_before, count(*) rows_after, count(*) filter (o_orderstatus = 'P') > 0 changed from orders union all select 'pages', count(*), count(*), false from pages")
 def _(t):
-    return val.table_fingerprint({"orders": t("orders"), "pages": t("pages")})
+    before = val.table_fingerprint({"orders": t("orders").where("o_orderstatus <> 'P'"), "pages": t("pages")})
+    return val.fingerprint_changes(before, val.table_fingerprint({"orders": t("orders"), "pages": t("pages")}))
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------------
@@ -676,7 +679,7 @@ g as (select market_key, context_key, home, allow, least, round(e / w * 100 + 1e
 h as (select *, case when home then 'HOME_MARKET' when coverage < case when allow then 0 else least end then 'LOW_COVERAGE' end unranked_reason from g)
 select market_key, context_key, score, coverage, confidence, comparable, unranked_reason, case when unranked_reason is null then rank() over (partition by context_key, unranked_reason is null order by score desc) end::int as "rank" from h""",
 )
-def _(t):
+def contextual(t: Tables) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     m = t("supplier").select(
         k.alias("market_key"), (k == 7).alias("is_home_market"), F.round((F.col("s_acctbal") + 1000) / 110, 4).alias("base_score"), F.when(k % 3 == 0, k % 10 / 10.0).alias("vertical_fit_score"), (k * 20.0).alias("vertical_sam_min"), (k * 60.0).alias("vertical_sam_max"),
@@ -699,10 +702,10 @@ def provider_records(t: Tables) -> DataFrame:
     """Documents as records of their source: the id capability goes by the source's number."""
     n = F.regexp_extract("provider", "([0-9]+)$", 1).cast("int") % 3
     d = t("documents").select("doc_id", F.col("source").alias("provider"), "lang", F.col("text").alias("body"), F.col("doc_id").alias("seen_at"), F.lit("q").alias("query_id"))
-    return ent.assign_identity(d, F.when(n == 0, "NATIVE").when(n == 1, "DERIVED").otherwise("CONTENT"), "doc_id", ["lang", F.substring("body", 1, 40)], "body")
+    return ent.assign_identity(d, F.when(n == 0, "NATIVE").when(n == 1, "DERIVED").otherwise("CONTENT"), "doc_id", ["lang", "body"], "body")
 
 
-_REC = "r as (select doc_id, source provider, sha256(text) ch, case regexp_extract(source, '([0-9]+)$', 1)::int % 3 when 0 then doc_id::varchar when 1 then case when nullif(trim(left(text, 40)), '') is not null and nullif(trim(lang), '') is not null then sha256('1|' || lower(trim(lang)) || '|' || lower(trim(left(text, 40)))) else sha256(text) end else sha256(text) end ext from documents)"
+_REC = "r as (select doc_id, source provider, sha256(text) ch, case regexp_extract(source, '([0-9]+)$', 1)::int % 3 when 0 then doc_id::varchar when 1 then case when nullif(trim(text), '') is not null and nullif(trim(lang), '') is not null then sha256('1|' || lower(trim(lang)) || '|' || lower(trim(text))) else sha256(text) end else sha256(text) end ext from documents)"
 
 
 @query("er01_identity", f"with {_REC} select doc_id, ext external_id, ch content_hash from r")
@@ -870,12 +873,12 @@ def _(t):
 
 @query(
     "rs19_locators",
-    """with q as (select doc_id, substr(text, 1 + doc_id % 3, 20) q, doc_id % 3 + case when doc_id % 4 = 0 then 1 else 0 end s, case when doc_id % 5 = 0 then 'gone' else text end t from documents where length(text) > 40)
+    """with q as (select doc_id, substr(text, 1 + doc_id % 3, 20) q, doc_id % 3 + case when doc_id % 4 = 0 then 1 else 0 end s, case when doc_id % 5 = 0 then 'gone' else text end t from documents)
 select doc_id, case when substr(t, s + 1, 20) = q then 'EXACT' when strpos(t, q) > 0 then 'REHOMED' else 'ROTTED' end resolution, case when substr(t, s + 1, 20) = q or strpos(t, q) > 0 then 1.0 else 0.5 end::double weight from q""",
 )
 def _(t):
     k = F.col("doc_id")
-    d = t("documents").where("length(text) > 40")
+    d = t("documents")
     e = d.select(k, k.alias("text_id"), F.substring(F.col("text"), (k % 3 + 1).cast("int"), F.lit(20)).alias("quote"), (k % 3 + F.when(k % 4 == 0, 1).otherwise(0)).cast("int").alias("start")).withColumn("end", F.col("start") + 20)
     texts = d.select(k.alias("text_id"), F.when(k % 5 == 0, "gone").otherwise(F.col("text")).alias("text"))
     return res.resolve_locators(e, texts).select("doc_id", "resolution", "weight")

@@ -70,8 +70,12 @@ def declared_edges(pages: DataFrame, html: str = "html", url: str = "url") -> Da
 
 
 def mirrors(derivations: DataFrame) -> DataFrame:
-    """Locators with one artifact on different registrable domains, as unordered pairs."""
-    return rel.pairs_within(derivations, "artifact_id", "locator", "domain")
+    """(artifact_id, domain, locator, copies, origin) of artifacts that stand on several domains: of each domain the lowest
+    locator and how many there are, and the artifact's lowest. Representatives stand for their copies, so a text that is
+    everywhere makes a row per domain and not one per pair."""
+    r = derivations.distinct().groupBy("artifact_id", "domain").agg(F.min("locator").alias("locator"), F.count(F.lit(1)).alias("copies"))
+    a = r.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("_n"), F.min("locator").alias("origin")).where("_n > 1").drop("_n")
+    return r.join(a, "artifact_id")
 
 
 def web_bodies(fetches: DataFrame) -> DataFrame:

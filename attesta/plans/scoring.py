@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.operators import relational as rel
-from attesta.sources.io import append_absent
+from attesta.sources.io import append_absent, staged
 
 _TERM = "struct<component:string,weight:double,kind:string,term_weight:double,metric_key:string,transform:string,inverted:boolean,native:boolean>"
 
@@ -66,7 +66,7 @@ def component_scores(obs: DataFrame, model: list[tuple] = cfg.BASE_MODEL, by: st
     kinds = {(r[4], r[5]) for r in model}
     logged = [m for m, t in sorted(kinds) if t == "log"]
     v = seen.withColumn("x", F.when(F.col("metric_key").isin(logged), fn.log_transform("value")).otherwise(F.col("value")))
-    v = v.withColumn("p", rel.percentile("x", ["metric_key"], "midrank", declared))
+    v = rel.with_percentile(v, "x", ["metric_key"], "p", declared)
     v = v.withColumn("conf", fn.evidence_confidence("fact_type", "granularity", "label")).select(by, "metric_key", "x", "p", "conf")
     t = term_rows(seen.select(by).distinct(), model).join(v, [by, "metric_key"], "left")
     part = F.when(F.col("kind") == "linear", F.col("x")).when(F.col("inverted"), 1 - F.col("p")).otherwise(F.col("p"))
@@ -80,7 +80,8 @@ def component_scores(obs: DataFrame, model: list[tuple] = cfg.BASE_MODEL, by: st
     )
     whole = (F.col("gaps") == 0) & F.col("native")
     g = g.withColumn("whole", whole).withColumn("pp", F.when(whole & (F.col("kind") == "percentile_product"), F.round("product", 12)))
-    g = g.withColumn("pp", F.when(F.col("pp").isNotNull(), rel.percentile("pp", ["component"])))
+    g = staged(g, "components")  # read again for its percentiles
+    g = rel.with_percentile(g.withColumnRenamed("pp", "product_"), "product_", ["component"], "pp")
     earned = F.when(whole, F.when(F.col("kind") == "percentile_product", F.col("weight") * F.col("pp")).otherwise(F.col("sum")))
     return g.select(by, "component", "weight", F.round(earned, 6).alias("earned"), F.round("confidence", 6).alias("confidence"), "missing", "native")
 
@@ -88,7 +89,7 @@ def component_scores(obs: DataFrame, model: list[tuple] = cfg.BASE_MODEL, by: st
 def native_recalculation(obs: DataFrame, home: Column, model: list[tuple] = cfg.BASE_MODEL, minimum: float = cfg.MIN_COVERAGE, by: str = "market_key", scope: list[str] | None = None) -> DataFrame:
     """Score, coverage, confidence and gated rank of every market with an observation."""
     s = rel.coverage_score(component_scores(obs, model, by), [by], confidence="confidence")
-    return rel.gated_rank(s.withColumn("is_home_market", home), scope or [], minimum=minimum)
+    return rel.gated_rank(staged(s.withColumn("is_home_market", home), "scores"), scope or [], minimum=minimum)
 
 
 def engine_gaps(components: DataFrame, by: str = "market_key") -> DataFrame:
@@ -158,6 +159,7 @@ def contextual_scores(markets: DataFrame, contexts: list[dict], minimum: float =
     total = sum(weights.values())
     for name, (value, conf) in context_handlers().items():
         d = d.withColumns({f"v_{name}": fn.clamp(value), f"c_{name}": conf})
+    d = staged(d, "context-values")  # else each value's expression stands in every sum below
     z = F.lit(0.0)
     seen = sum((F.when(F.col(f"v_{n}").isNotNull(), w).otherwise(0.0) for n, w in weights.items()), z)
     earned = sum((F.coalesce(F.round(F.col(f"v_{n}") * w, 6), z) for n, w in weights.items()), z)
@@ -166,7 +168,7 @@ def contextual_scores(markets: DataFrame, contexts: list[dict], minimum: float =
     d = d.select("market_key", "is_home_market", "context_key", "allow_low_coverage", F.round(earned / F.nullif(seen, z) * 100 + 1e-9, 4).alias("score"), F.round(seen / total, 4).alias("coverage"), F.round(fn.clamp(conf / F.nullif(seen, z) * seen / total + 1e-9), 4).alias("confidence"), least.alias("_least"))
     d = d.withColumn("comparable", F.col("coverage") >= F.col("_least"))
     gate = F.when(F.coalesce("allow_low_coverage", F.lit(False)), 0.0).otherwise(F.col("_least"))
-    return rel.gated_rank(d, ["context_key"], minimum=gate).drop("_least", "allow_low_coverage")
+    return rel.gated_rank(staged(d, "context-scores"), ["context_key"], minimum=gate).drop("_least", "allow_low_coverage")
 
 
 def comparable_contexts(scores: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def record_gaps(items: DataFrame, existing: DataFrame, dims: dict[str, str]) ->
     """New gaps: scoped fingerprint, first of each, none that is known. context.* inputs are no gaps."""
     d = items.where(~F.startswith(F.col("metric_key"), F.lit("context.")))
     d = d.withColumns({"fingerprint": fn.gap_fingerprint("metric_key", dims), "priority": fn.gap_priority("metric_key")})
-    return append_absent(d, existing, ["fingerprint"])
+    return append_absent(d, existing, ["fingerprint"], [F.col("metric_key")])
 
 
 def derive_profiles(deep_dives: DataFrame, sizes: DataFrame, aliases: dict[str, str], by: str = "market_key") -> DataFrame:

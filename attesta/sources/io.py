@@ -65,9 +65,12 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("body"), F.sha2("content", 256).alias("body_sha256"), F.col("length").alias("size"))
 
 
-def append_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``new`` whose key is not there yet, one per key: an append of them is idempotent."""
-    return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+def append_absent(new: DataFrame, existing: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The rows of ``new`` whose key is not there yet, one per key: an append of them is idempotent. The first of a key in
+    ``order`` (all columns in turn, if not given) is the one that stays, whatever the order of rows."""
+    order = order or [F.col(f"`{c}`") for c in new.columns if c not in keys and "map<" not in dict(new.dtypes)[c]]
+    first = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)])))).where("_r = 1").drop("_r")
+    return first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def rebuild(df: DataFrame, path: str) -> None:
@@ -93,10 +96,19 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; in local mode a temporary folder stands in where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/attesta/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Parquet under a new name in ``spark.checkpoint.dir`` (a temporary folder in local tests), read back; see ``discard``."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{root.rstrip('/')}/attesta/{name}-{uuid.uuid4().hex}"
+    """Parquet under a new name in the shared folder, read back; see ``scratch`` and ``discard``."""
+    path = scratch(df.sparkSession, name)
     out = write_and_read(df, path)
     out._staged_at = path
     return out

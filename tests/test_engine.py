@@ -42,12 +42,49 @@ def test_percentiles(spark, method):
         assert r["p"] == (None if r["v"] is None else pytest.approx(want(r["v"])))
 
 
-def test_wide_midrank_equals_the_window(spark, tmp_path):
+def test_positions_equal_the_windows(spark):
+    """Percentiles and ranks dealt by range are those of a window, with ties, nulls, one value for most rows, and no key."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
     rng = random.Random(1)
-    df = spark.createDataFrame([(rng.choice("ab"), float(rng.randrange(40))) for _ in range(500)], "k string, v double")
-    plain = {(r["k"], r["v"]): r["p"] for r in df.withColumn("p", rel.percentile("v", ["k"])).collect()}
-    wide = {(r["k"], r["v"]): r["percentile"] for r in rel.wide_midrank(df, "k", "v", f"{tmp_path}/w").collect()}
-    assert wide.keys() == plain.keys() and all(wide[k] == pytest.approx(plain[k]) for k in wide)
+    rows = [(i, rng.choice("ab"), None if i % 11 == 0 else 7.0 if i % 3 else float(rng.randrange(40))) for i in range(900)] + [(901, "c", 1.0), (902, "d", None)]
+    df = spark.createDataFrame(rows, "i long, k string, v double").repartition(7)
+    for by in (["k"], []):
+        plain = df.select("i", rel.percentile("v", by).alias("p"), F.when(F.col("v").isNotNull(), F.rank().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("v")))).alias("r"))
+        want = {r["i"]: (r["p"], r["r"]) for r in plain.collect()}
+        got = {r["i"]: (r["p"], r["rank"]) for r in rel.with_percentile(rel.competition_rank(df, "v", by), "v", by, "p").collect()}
+        assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and got[i][0] == (None if want[i][0] is None else pytest.approx(want[i][0])) for i in got)
+    assert rel.positions(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_common_texts_multiply_nothing(spark):
+    left = spark.createDataFrame([(i, "north air") for i in range(40)], "a long, x string")
+    right = spark.createDataFrame([(100 - i, "north air") for i in range(60)] + [(500, "north airs")], "b long, y string")
+    got = rel.fuzzy_join(left, right, "a", "x", "b", "y").collect()
+    assert len(got) == 40 * 25 and {r["b"] for r in got} == set(range(41, 66)) and all(r["similarity"] == 1.0 for r in got)
+
+
+def test_first_of_a_key_is_appended(spark):
+    from pyspark.sql import functions as F
+
+    new = spark.createDataFrame([(1, 5), (1, 3), (2, 9), (3, None), (3, 1)], "k long, v long").repartition(5)
+    got = io.append_absent(new, new.where("k = 2"), ["k"], [F.desc("v")]).collect()
+    assert sorted((r["k"], r["v"]) for r in got) == [(1, 5), (3, 1)]
+
+
+def test_refusals(spark):
+    from attesta.plans import scoring
+
+    with pytest.raises(ValueError, match="nothing observed"):
+        scoring.require_nonempty(spark.range(0), "nothing observed")
+    assert scoring.require_nonempty(spark.range(2), "").count() == 2
+
+
+def test_provider_json(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[{"external_id": "e1", "payload": {"legal_name": "A", "employees": {"min": 2}, "location": {"city": "X"}, "phone": "1"}}]')
+    r = io.read_provider_json(spark, f"file://{tmp_path}/p.json").first()
+    assert (r["external_id"], r["legal_name"], r["employees_min"], r["employees_max"], r["city"], r["website_domain"]) == ("e1", "A", 2, None, "X", None)
 
 
 def test_fuzzy_join_is_exact(spark):
