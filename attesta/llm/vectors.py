@@ -456,7 +456,7 @@ class Graph:
         for i in range(0, len(q), step):
             at = np.full((len(q[i : i + step]), 1), self.order[0])
             for k in range(len(self.layers) - 1, 0, -1):
-                at = self._walk(k, q[i : i + step], at, 1)[0]
+                at = self._walk(k, q[i : i + step], at, 8)[0]
             parts.append(self._walk(0, q[i : i + step], at, ef))
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -524,10 +524,10 @@ def _spans(offsets: np.ndarray, size: int):
         i = j
 
 
-def linked_balls(graph: Graph, balls: Balls, uq: np.ndarray, own: np.ndarray, cosine: float, ef: int = 24, audit: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linked_balls(graph: Graph, balls: Balls, uq: np.ndarray, own: np.ndarray, cosine: float, ef: int = 64, audit: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, leader, weight linked in its ball) wherever that is positive; ``own`` is a query's node here, or -1.
 
-    A query whose whole beam is near walks again with a beam twice as wide. Then up to ``audit`` evenly chosen queries, half
+    A query with near nodes in half of its beam walks again with a beam twice as wide. Then up to ``audit`` evenly chosen queries, half
     of them among those with links, are compared with all nodes; if the graph missed any of their links, every query walks
     with a wider beam, until the audit passes or the beam holds all nodes.
     """
@@ -537,7 +537,7 @@ def linked_balls(graph: Graph, balls: Balls, uq: np.ndarray, own: np.ndarray, co
         rows, nodes, todo, width = [at_home], [balls.lead[own[at_home]]], np.arange(len(uq)), min(ef, n)
         while len(todo):
             ids, sims = graph.search(uq[todo], width)
-            full = (sims[:, -1] >= edge) & (width < n)
+            full = (sims[:, width // 2] >= edge) & (width < n)
             r, c = np.nonzero((sims >= edge) & (ids >= 0) & ~full[:, None])
             rows.append(todo[r])
             nodes.append(ids[r, c].astype(np.int64))
