@@ -314,6 +314,13 @@ def canonical_json(c: ColumnOrName) -> Column:
     return F.to_json(F.try_parse_json(_c(c)))
 
 
+def json_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Whether two JSON texts are one value, whatever the order of their keys and their spaces. Two nulls are equal; a text
+    that is no JSON equals the same text alone."""
+    same = lambda c: F.coalesce(canonical_json(c), _c(c))
+    return same(a).eqNullSafe(same(b))
+
+
 def canonical_csv(m: ColumnOrName) -> Column:
     """A CSV row as JSON: trimmed lower-case headers in order, blanks as null."""
     entries = F.transform(F.map_entries(_c(m)), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), F.nullif(F.trim(e["value"]), F.lit("")).alias("value")))

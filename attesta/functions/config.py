@@ -79,3 +79,16 @@ def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
         "channel_weights": spark.createDataFrame([(k, *v) for k, v in CHANNEL_WEIGHTS.items()], "channel string, email double, language double, timezone double"),
         "inverse_edge": spark.createDataFrame(list(INVERSE_EDGE.items()), "edge_type string, inverse_type string"),
     }
+
+
+def seed_tables(spark: SparkSession, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What each stored registry lacks: rows of ``config_tables`` that are not in the table of that name. Appending them twice
+    adds nothing; a table that is not stored yet gets all its rows."""
+    out = {}
+    for name, rows in config_tables(spark).items():
+        d = rows.dropDuplicates()
+        if name in stored:
+            there = [d[c].eqNullSafe(stored[name][c]) for c in d.columns]
+            d = d.join(stored[name], there, "left_anti")
+        out[name] = d
+    return out

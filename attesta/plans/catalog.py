@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import columns as fn
@@ -355,16 +355,17 @@ _TRI = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lowe
 
 @query(
     "jn08_fuzzy",
-    f"""with h as (select distinct regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) x from pages), p as (select page_id, {_TITLE} x from pages where page_id % 2 = 0),
-n as (select page_id company_id, {_TITLE} x from pages where page_id % 2 = 1), a as (select page_id, {_TRI} g from p where x is not null), b as (select company_id, {_TRI} g from n where x is not null),
+    f"""with h as (select distinct regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) x from pages), p as (select page_id, {_TITLE} x from pages),
+n as (select page_id company_id, {_TITLE} x from pages), a as (select page_id, {_TRI} g from p where x is not null), b as (select company_id, {_TRI} g from n where x is not null),
 s as (select page_id, company_id, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::double similarity from a, b where len(a.g) > 0 and len(b.g) > 0)
-select page_id, company_id, round(similarity, 9) similarity from s where similarity > 0.55 qualify row_number() over (partition by page_id order by similarity desc, company_id) <= 25""",
+select page_id, company_id, round(similarity, 9) similarity from (from s where similarity > 0.55 qualify row_number() over (partition by page_id order by similarity desc, company_id) <= 25) where page_id <> company_id""",
 )
 def _(t):
+    """Every title against every page's; a page itself takes a place among its best and is left out."""
     r = web_records(t).where("name is not null")
-    left = r.where("record_id % 2 = 0").select(F.col("record_id").alias("page_id"), "name")
-    right = r.where("record_id % 2 = 1").select(F.col("record_id").alias("company_id"), F.col("name").alias("other"))
-    return rel.fuzzy_join(left, right, "page_id", "name", "company_id", "other").withColumn("similarity", F.round("similarity", 9))
+    left = r.select(F.col("record_id").alias("page_id"), "name")
+    right = r.select(F.col("record_id").alias("company_id"), F.col("name").alias("other"))
+    return rel.fuzzy_join(left, right, "page_id", "name", "company_id", "other").where("page_id <> company_id").withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -640,6 +641,14 @@ def _(t):
     return sc.engine_gaps(sc.component_scores(observations(t)))
 
 
+@query("flt06_json_equal", "with x as (select event_id, user_id, (props->>'$.k')::int k, lag((props->>'$.k')::int) over (partition by user_id order by ts, event_id) p from events) select event_id, user_id, k from x where k = p")
+def _(t):
+    """Events that repeat the properties of the user's event before, which a provider writes with its own spaces."""
+    before = F.lag(F.regexp_replace("props", ":", "   :  ")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = t("events").select("event_id", "user_id", "ts", "props").withColumn("before", before)
+    return e.where(fn.json_equal("props", "before")).select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
 @query("sc27_recorded_gaps", _COMP_SQL + ", x as (select distinct market_key, unnest(missing) metric_key from e) select market_key, metric_key, sha256(metric_key || '|channel=|icp=|market=' || market_key || '|model=|offer=|snapshot=1998|vertical=') fingerprint, case when metric_key = 'population' then 'HIGH' else 'MEDIUM' end priority from x where market_key % 2 = 1")
 def _(t):
     gaps = sc.engine_gaps(sc.component_scores(observations(t)))
@@ -729,31 +738,34 @@ def _(t):
 
 
 def companies(t: Tables) -> DataFrame:
-    """Domains of the even pages as known companies; the odd ones are to be resolved."""
-    d = web_records(t).where("record_id % 2 = 0").select(fn.normalize_domain("domain").alias("domain"), "record_id", "name")
+    """Domains of all pages as known companies, each with the lowest page of it as its id and its lowest title as its name."""
+    d = web_records(t).select(fn.normalize_domain("domain").alias("domain"), "record_id", "name")
     return d.groupBy("domain").agg(F.min("record_id").alias("company_id"), F.min("name").alias("name")).withColumns({"lifecycle": F.lit("ACTIVE"), "role": F.when(F.col("domain") == "example.org", "GROUP").otherwise("IDENTITY")})
 
 
 _DOM = f"array_to_string(string_split(regexp_replace({_NORM}, '^www\\.', ''), '.')[-2:], '.')"
 
 
-@query("er11_domain_match", f"with c as (select {_DOM} d, min(page_id) company_id from pages where page_id % 2 = 0 group by 1) select page_id record_id, company_id from pages join c on c.d = {_DOM} where page_id % 2 = 1 and c.d <> 'example.org'")
+@query("er11_domain_match", f"with c as (select {_DOM} d, min(page_id) company_id from pages group by 1) select page_id record_id, company_id from pages join c on c.d = {_DOM} where page_id <> company_id and c.d <> 'example.org'")
 def _(t):
-    return ent.match_domain(web_records(t).where("record_id % 2 = 1"), companies(t))
+    return ent.match_domain(web_records(t), companies(t)).where("record_id <> company_id")
 
 
 @query(
     "er13_resolution",
-    f"""with c as (select {_DOM} d, min(page_id) company_id, min({_TITLE}) nm from pages where page_id % 2 = 0 group by 1), r as (select page_id record_id, {_DOM} d, {_TITLE} n from pages where page_id % 2 = 1),
+    f"""with {_LOC}, c as (select {_DOM} d, min(page_id) company_id, min({_TITLE}) nm from pages group by 1), h as (select host, min(page_id) page_id, count(distinct {_TITLE}) > 1 hit from pages join l using (page_id) group by 1),
+r as (select page_id record_id, {_DOM} d, {_TITLE} n, hit from pages join l using (page_id) join h using (host) where h.page_id <> pages.page_id),
 x as (select r.*, case when r.d <> 'example.org' then c.company_id end m, coalesce(lower(n) in (select lower(nm) from c where nm is not null), false) same from r left join c using (d))
-select record_id, case when m is not null then 'MATCHED' when same then 'AMBIGUOUS' else 'CREATED_NEW' end decision, case when m is not null then 'domain' when same then 'candidate' else 'new' end as "method",
-case when m is not null then m::varchar when same then null else sha256(record_id::varchar) end company_id from x""",
+select record_id, case when m is not null then 'MATCHED' when hit or same then 'AMBIGUOUS' else 'CREATED_NEW' end decision, case when m is not null then 'domain' when hit then 'key_collision' when same then 'candidate' else 'new' end as "method",
+case when m is not null then m::varchar when hit or same then null else sha256(record_id::varchar) end company_id from x""",
 )
 def _(t):
-    r, c = web_records(t).where("record_id % 2 = 1").drop("html"), companies(t)
-    none = r.select("record_id").limit(0)
+    """All pages: the first of each host has its decision already, and a host of several titles is a derived key that collides."""
+    r, c = web_records(t).drop("html"), companies(t)
+    known = r.groupBy("domain").agg(F.min("record_id").alias("record_id"), (F.countDistinct("name") > 1).alias("hit"))
+    collided = r.join(known.where("hit").select("domain"), "domain").select("record_id")
     cand = ent.score_candidates(r, c.select("company_id", "name"), c.select("domain", "company_id", "role"))
-    return ent.resolve(r, none, ent.match_domain(r, c), cand, none).select("record_id", "decision", "method", "company_id")
+    return ent.resolve(r, known, ent.match_domain(r, c), cand, collided).select("record_id", "decision", "method", "company_id")
 
 
 def page_claims(t: Tables) -> DataFrame:
@@ -811,10 +823,10 @@ def _(t):
     return ent.project_relationships(ent.relationship_claims(d))
 
 
-@query("er29_cohort", f"with p as (select page_id, {_DOM} d from pages), k as (select distinct d from p where page_id % 10 = 0 and d <> 'example.org') select page_id, case when k.d is not null then 'ALREADY_PRESENT' when row_number() over (partition by p.d order by page_id) > 1 then 'DUPLICATE' else 'LOADED' end status from p left join k on k.d = p.d")
+@query("er29_cohort", f"with p as (select page_id, {_DOM} d from pages), k as (select distinct {_DOM} d from pages where regexp_extract(html, '(?i)<html[^>]*\\blang=[\"'']([^\"'']+)[\"'']', 1) = 'de' and {_DOM} <> 'example.org') select page_id, case when k.d is not null then 'ALREADY_PRESENT' when row_number() over (partition by p.d order by page_id) > 1 then 'DUPLICATE' else 'LOADED' end status from p left join k on k.d = p.d")
 def _(t):
     rows = t("pages").select("page_id", F.format_string("%012d", "page_id").alias("company_name"), F.col("url").alias("canonical_domain"))
-    known = t("pages").where("page_id % 10 = 0").select(fn.normalize_domain("url").alias("domain")).where("domain <> 'example.org'").withColumn("role", F.lit("IDENTITY"))
+    known = t("pages").where(fn.html_language("html") == "de").select(fn.normalize_domain("url").alias("domain")).where("domain <> 'example.org'").withColumn("role", F.lit("IDENTITY"))
     return ent.classify_cohort(rows, known).select("page_id", "status")
 
 

@@ -11,7 +11,7 @@ from attesta.operators import validate as val
 from attesta.plans import entities as ent
 from attesta.plans import research as res
 from attesta.plans import scoring as sc
-from attesta.plans.catalog import _CLAIMS, _LIFE, _LINK, _LOC, _REC, _TEXT, lifecycle, page_claims, provider_records, query, web_records
+from attesta.plans.catalog import _CLAIMS, _DOM, _LIFE, _LINK, _LOC, _REC, _TEXT, lifecycle, page_claims, provider_records, query, web_records
 from attesta.sources import io
 
 # --- sinks ------------------------------------------------------------------------------------------------------------
@@ -113,12 +113,14 @@ def _(t):
 @query("ag13_claim_dates", "select o_custkey, max(o_orderdate) last_seen, min(o_orderdate) first_seen, max(l_shipdate) last_retrieved from orders join lineitem on l_orderkey = o_orderkey group by 1")
 def _(t):
     j = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_seen"), F.min("o_orderdate").alias("first_seen"), F.max("l_shipdate").alias("last_retrieved"))
+    seen = rel.envelope(j, ["o_custkey"], "o_orderdate", "o_orderdate").select("o_custkey", F.col("min").alias("first_seen"), F.col("max").alias("last_seen"))
+    return seen.join(rel.envelope(j, ["o_custkey"], "l_shipdate", "l_shipdate").select("o_custkey", F.col("max").alias("last_retrieved")), "o_custkey")
 
 
 @query("ag17_provenance", "select o_orderpriority source, count(*) n, array_to_string(list_sort(list(distinct o_orderstatus || ':' || year(o_orderdate))), ',') provenance from orders group by 1")
 def _(t):
-    return t("orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "o_orderstatus", F.year("o_orderdate")))), ",").alias("provenance"))
+    o = t("orders").select(F.col("o_orderpriority").alias("source"), F.concat_ws(":", "o_orderstatus", F.year("o_orderdate")).alias("origin"))
+    return rel.counts_by(o, "source").join(rel.scalar_envelope(o, ["source"], "origin"), "source").select("source", "n", F.array_join("values", ",").alias("provenance"))
 
 
 @query("ag22_assertions", "select user_id company_id, event_type attribute_key, props::json->>'$.k' as \"value\", count(distinct event_id) n_evidence from events group by all")
@@ -190,13 +192,12 @@ def _(t):
 # --- scoring views ----------------------------------------------------------------------------------------------------
 
 
-@query("sc01_snapshots", "select o_orderkey, case when d in (select md5(o_orderpriority || o_orderstatus) from orders where o_orderkey < 40) then 'NOOP' when o_orderpriority in (select o_orderpriority from orders where o_orderkey < 3) then 'CONFLICT' else 'NEW' end status from (select *, md5(o_orderpriority || o_orderstatus || case when o_orderkey % 2 = 0 then 'x' else '' end) d from orders)")
+@query("sc01_snapshots", "with x as (select *, md5(o_custkey || '|' || o_orderpriority || '|' || o_orderstatus) d from orders), s as (from x where o_orderdate < '1998-01-01') select o_orderkey, case when d in (select d from s) then 'NOOP' when o_custkey in (select o_custkey from s) then 'CONFLICT' else 'NEW' end status from x where o_orderdate >= '1998-01-01'")
 def _(t):
-    o = t("orders")
-    d = o.select("o_orderkey", F.col("o_orderpriority").alias("snapshot_key"), F.md5(F.concat("o_orderpriority", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise(""))).alias("digest"))
-    keys = o.where("o_orderkey < 3").select(F.col("o_orderpriority").alias("snapshot_key"), F.lit("-").alias("digest"))
-    stored = o.where("o_orderkey < 40").select(F.lit("-").alias("snapshot_key"), F.md5(F.concat("o_orderpriority", "o_orderstatus")).alias("digest"))
-    return sc.classify_snapshots(d, stored.union(keys)).select("o_orderkey", "status")
+    """Orders of a customer as snapshots of one key: those before 1998 are stored, the later ones come in."""
+    o = t("orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("snapshot_key"), F.md5(F.concat_ws("|", "o_custkey", "o_orderpriority", "o_orderstatus")).alias("digest"))
+    day = F.lit("1998-01-01").cast("timestamp")
+    return sc.classify_snapshots(o.where(F.col("o_orderdate") >= day), o.where(F.col("o_orderdate") < day)).select("o_orderkey", "status")
 
 
 @query("sc03_growth", "select p_partkey, case when p_size % 4 <> 0 and p_type <> 'PROMO' then p_size::double end as \"value\", case when p_size % 4 <> 0 and p_type <> 'PROMO' then 'OBSERVED' else 'NOT_AVAILABLE' end availability, case when p_size % 3 = 0 then 'YEAR' when p_size % 3 = 1 then 'SNAPSHOT' else 'UNDATED' end granularity from part")
@@ -241,10 +242,12 @@ def _(t):
     return ent.collisions(d)
 
 
-@query("er23_domains", f"with {_CLAIMS}, d as (select distinct page_id % 9 company_id, company_id as \"domain\" from k) select company_id, \"domain\", case when row_number() over (partition by \"domain\" order by company_id) > 1 then 'GROUP' else 'IDENTITY' end as \"role\" from d")
+@query("er23_domains", f"with d as (select distinct regexp_extract(html, '(?i)<html[^>]*\\blang=[\"'']([^\"'']+)[\"'']', 1) company_id, {_DOM} as \"domain\" from pages) select company_id, \"domain\", case when row_number() over (partition by \"domain\" order by company_id) > 1 then 'GROUP' else 'IDENTITY' end as \"role\" from d where company_id <> ''")
 def _(t):
-    d = web_records(t).select((F.col("record_id") % 9).alias("company_id"), fn.normalize_domain("domain", ["example.com", "example.org", "example.net"]).alias("domain"), F.lit("IDENTITY").alias("role")).distinct()
-    return rel.single_owner(d, "domain", "company_id")
+    """Publishers of a language that claim a page's domain: the first keeps it, the others are demoted."""
+    value = F.to_json(F.struct(fn.host_of("url").alias("value")))
+    c = t("pages").select(fn.html_language("html").alias("company_id"), F.lit("website_domain").alias("attribute_key"), value.alias("value_json")).where("company_id is not null")
+    return ent.project_domains(c)
 
 
 @query("er32_versions", f"with {_REC} select provider, ext external_id, ch content_hash, 1::bigint n_bodies, count(*) over (partition by ext, ch) n_seen from (select distinct provider, ext, ch from r)")
@@ -268,13 +271,15 @@ def _(t):
 
 @query(
     "rs04_expansion",
-    f"""with recursive {_LOC}, k as (select distinct page_id, host, page_id % 50 u, (page_id * 7 + 3) % 50 v from l), e as (select distinct u, v from k),
-x as (select 0 n, 0 depth union select e.v, depth + 1 from x join e on e.u = x.n where depth < 2) select n locator, min(depth)::int depth from x group by 1""",
+    f"""with recursive {_LOC}, {_LINK}, o as (select distinct l.locator u, k.locator v from k join pages using (url) join l using (page_id)), e as (select u, v from o union select v, u from o),
+w as (select host, min(locator) n, 0 depth from l group by 1 union select w.host, e.v, depth + 1 from w join e on e.u = w.n where depth < 3) select host, n locator, min(depth)::int depth from w group by 1, 2""",
 )
 def _(t):
-    links = t("pages").select((F.col("page_id") % 50).alias("url"), ((F.col("page_id") * 7 + 3) % 50).alias("locator")).distinct()
-    seeds = links.where("url = 0").select(F.lit(1).alias("company_id"), F.lit(0).cast("long").alias("locator")).distinct()
-    return res.expand(links, seeds, 2).select("locator", "depth")
+    """Links and back links of the stored pages, three steps from the first locator of each host."""
+    out = res.extract_links(t("pages")).where("in_scope").select(fn.normalize_locator("url").alias("url"), "locator").distinct()
+    links = out.union(out.select("locator", "url")).distinct()
+    seeds = res.sources(t("pages").select("url", F.col("page_id").alias("seen_at"))).groupBy(F.col("host").alias("company_id")).agg(F.min("locator").alias("locator"))
+    return res.expand(links, seeds, 3).select(F.col("company_id").alias("host"), "locator", "depth")
 
 
 @query(

@@ -60,13 +60,17 @@ def sitemap_urls(docs: DataFrame, url: str = "url", body: str = "body") -> DataF
     return direct.union(below).distinct()
 
 
-def declared_edges(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+def declared_edges(pages: DataFrame, html: str = "html", url: str = "url", fetches: DataFrame | None = None) -> DataFrame:
+    """CANONICAL and LANGUAGE edges that pages declare, and REDIRECT edges of ``fetches`` (url, redirect_to); no edge leads to itself."""
     canon = F.regexp_extract(html, """(?i)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']+)["']""", 1)
     alts = F.regexp_extract_all(html, F.lit("""(?i)<link[^>]+hreflang=["'][^"']+["'][^>]+href=["']([^"']+)["']"""), F.lit(1))
     me = fn.normalize_locator(url)
     one = pages.where(canon != "").select(me.alias("from_locator"), fn.normalize_locator(canon).alias("to_locator"), F.lit("CANONICAL").alias("edge_type"))
     many = pages.select(me.alias("from_locator"), F.explode(alts).alias("x")).select("from_locator", fn.normalize_locator("x").alias("to_locator"), F.lit("LANGUAGE").alias("edge_type"))
-    return one.union(many).where("from_locator <> to_locator").distinct()
+    edges = one.union(many)
+    if fetches is not None:
+        edges = edges.union(fetches.select(fn.normalize_locator("url").alias("from_locator"), fn.normalize_locator("redirect_to").alias("to_locator"), F.lit("REDIRECT").alias("edge_type")))
+    return edges.where("from_locator <> to_locator").distinct()
 
 
 def mirrors(derivations: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.operators import relational as rel
 from attesta.operators import validate as val
@@ -354,3 +355,24 @@ def test_edges_of_and_require_nonempty(spark):
     assert sc.require_nonempty(d, "no edges") is d
     with pytest.raises(ValueError, match="no edges"):
         sc.require_nonempty(d.limit(0), "no edges")
+
+
+def test_json_equality_ignores_order_and_spaces(spark):
+    d = spark.createDataFrame([('{"a":1,"b":[1,2]}', '{ "b":[1, 2], "a":1 }'), ('{"a":1}', '{"a":2}'), (None, None), (None, "{}"), ("{x", "{x"), ("[1,2]", "[2,1]")], "a string, b string")
+    assert [r[0] for r in d.select(fn.json_equal("a", "b")).collect()] == [True, False, True, False, True, False]
+
+
+def test_redirects_are_edges(spark):
+    pages = spark.createDataFrame([("https://a.com/x", '<link rel="canonical" href="https://a.com/y">')], "url string, html string")
+    fetches = spark.createDataFrame([("https://a.com/o", "https://a.com/n"), ("https://a.com/s", "https://a.com/s#t"), ("https://a.com/z", None)], "url string, redirect_to string")
+    got = res.declared_edges(pages, fetches=fetches)
+    assert rows(got, "from_locator", "to_locator", "edge_type") == [("https://a.com/o", "https://a.com/n", "REDIRECT"), ("https://a.com/x", "https://a.com/y", "CANONICAL")]
+
+
+def test_seeding_twice_adds_nothing(spark):
+    first = cfg.seed_tables(spark, {})
+    again = cfg.seed_tables(spark, first)
+    assert all(d.isEmpty() for d in again.values())
+    part = cfg.seed_tables(spark, {**first, "trust": first["trust"].where("source_class <> 'NEWS'")})
+    assert rows(part["trust"], "source_class", "trust") == [("NEWS", 0.7)]
+    assert first["base_model"].count() == len(set(cfg.BASE_MODEL))
