@@ -213,6 +213,11 @@ def domain_scope(domains: DataFrame) -> DataFrame:
     return domains.groupBy("company_id").agg(F.min(F.when(use, F.col("domain"))).alias("primary_domain"), F.array_sort(F.collect_set(F.when(use, F.col("domain")))).alias("researchable"), F.array_sort(F.collect_set(F.when(~use, F.concat_ws(":", "domain", why)))).alias("excluded"))
 
 
+def run_versions(sightings: DataFrame) -> DataFrame:
+    """The distinct versions that each run saw, and how often."""
+    return sightings.groupBy("run_id", "external_id", "content_hash").agg(F.count(F.lit(1)).alias("n_seen"))
+
+
 def version_view(v: DataFrame, body: DataFrame, seen: DataFrame) -> DataFrame:
     b = body.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_bodies"))
     s = seen.groupBy("external_id", "content_hash").agg(F.count(F.lit(1)).alias("n_seen"))
