@@ -40,15 +40,18 @@ def extract_links(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
 
 
 def expand(links: DataFrame, seeds: DataFrame, max_depth: int = 2, budget: int | None = None) -> DataFrame:
-    """(company_id, locator, depth) reached over stored links; each level asks only for what no level before has."""
-    seen = seeds.select("company_id", "locator", F.lit(0).alias("depth"))
-    level = seen
+    """(company_id, locator, depth) reached over stored links; each level asks only for what no level before has. Links and
+    levels are staged, so that none is worked out again for the next one."""
+    links = io.staged(links.select("url", "locator").distinct(), "links")
+    seen = level = io.staged(seeds.select("company_id", "locator", F.lit(0).alias("depth")).distinct(), "level")
     for depth in range(1, max_depth + 1):
-        nxt = level.select("company_id", F.col("locator").alias("url")).join(links.select("url", "locator"), "url").select("company_id", "locator").distinct()
+        nxt = level.select("company_id", F.col("locator").alias("url")).join(links, "url").select("company_id", "locator").distinct()
         nxt = nxt.join(seen.select("company_id", "locator"), ["company_id", "locator"], "left_anti").withColumn("depth", F.lit(depth))
         if budget:
             nxt = rel.frontier(nxt.withColumn("hint", fn.relevance_hint("locator")), "company_id", budget).where("fetched").select("company_id", "locator", "depth")
-        seen, level = seen.unionByName(nxt), nxt
+        level = io.staged(nxt, "level")
+        seen = seen.unionByName(level)
+    io.discard(links)
     return seen
 
 
