@@ -62,6 +62,16 @@ def test_limited_movement(spark):
     assert sum(a[k] != b[k] for k in a) < 0.25 * len(a)
 
 
+def test_limited_movement_with_equal_counts(spark):
+    """The registered query's setting: no slack. One shard more has to move a 17th of the keys."""
+    df = spark.range(20000).select(F.col("id").alias("doc_id"))
+    a, b = ({r["doc_id"]: r["shard"] for r in sharding.ring_shards(df, ["doc_id"], n).collect()} for n in (16, 17))
+    for got in (a, b):
+        sizes = Counter(got.values())
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert 1 / 17 - 0.001 <= sum(a[k] != b[k] for k in a) / len(a) < 0.15
+
+
 def test_odd(spark, odd, none):
     rows = sharding.ring_shards(odd, ["doc_id", "text"], 4).collect()
     sizes = Counter(r["shard"] for r in rows)
