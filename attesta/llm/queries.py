@@ -89,6 +89,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import contaminated_words
+
+    out = contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, gram=5)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
     "op2_suffix": op2_suffix,
@@ -100,8 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_winnowing": op13_winnowing,
 }
 
-from . import jaccard, lines, warc  # noqa: E402
+from . import jaccard, lines, warc, winnowing  # noqa: E402
 
-ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op4_jaccard": jaccard.ORACLE, "op6_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op4_jaccard": jaccard.ORACLE, "op6_warc": warc.ORACLE, "op13_winnowing": winnowing.ORACLE}
