@@ -89,6 +89,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import contaminated_words
 
@@ -108,9 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_negatives": op12_negatives,
     "op13_winnowing": op13_winnowing,
 }
 
-from . import jaccard, lines, warc, winnowing  # noqa: E402
+from . import jaccard, lines, negatives, warc, winnowing  # noqa: E402
 
-ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op4_jaccard": jaccard.ORACLE, "op6_warc": warc.ORACLE, "op13_winnowing": winnowing.ORACLE}
+ORACLES: dict[str, str] = {"op3_lines": lines.ORACLE, "op4_jaccard": jaccard.ORACLE, "op6_warc": warc.ORACLE, "op12_negatives": negatives.ORACLE, "op13_winnowing": winnowing.ORACLE}

@@ -89,13 +89,13 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     found = staged(found.distinct(), "item-windows")
     entry = F.md5(F.concat_ws(" ", F.col("length").cast("string"), F.col("window")).cast("binary"))
 
-    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("_key"), words(F.col("text")).alias("words")).where("_key is not null")
+    texts = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("_key"), words(F.col("text")).alias("words"))
     prints = fingerprints(texts, lengths, gram)
     seen = prints.select("_key", F.explode_outer(F.array_distinct(F.concat(*(F.col(f"f{m}") for m in lengths)))).alias("f"))
     hits = seen.join(found.select("f").distinct(), "f", "left_semi").groupBy("_key").agg(F.collect_set("f").alias("_hits"))
     hits = staged(hits, "fingerprint-hits")
 
-    suspects = docs.select(F.md5(F.col("text").cast("binary")).alias("_key"), "text").where("_key is not null").join(hits, "_key")
+    suspects = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("_key"), "text").join(hits, "_key")
     suspects = suspects.select("_key", "_hits", words(F.col("text")).alias("words"))
     opened = _windows(fingerprints(suspects, lengths, gram), lengths, F.col("_hits"))
     spans = opened.join(found.select("length", "window").distinct(), ["length", "window"]).select("_key", "start", "length", entry.alias("entry")).distinct()
