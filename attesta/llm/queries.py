@@ -89,6 +89,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_tokenizers
+
+    out = align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), keep_groups=False)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .negatives import hard_negatives
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_alignment": op11_alignment,
     "op12_negatives": op12_negatives,
     "op13_winnowing": op13_winnowing,
 }
