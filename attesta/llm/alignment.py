@@ -6,8 +6,8 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ CACHE_BYTES = 1 << 25
 ROWS = 8192  # documents of a container: the reach of one bitmap
 POSTINGS = 1 << 22  # a container is closed earlier when it holds so many
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A chunk starts with a space or line end behind something that is not white space: no token of either kind crosses that.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -45,11 +46,16 @@ class Aligner:
         self.raw_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(name)]
         self.space = self.b.piece_to_id("▁")
         self.whole = any("▁" in p.lstrip("▁") or "\n" in p for p in name)  # then pieces may cross the cuts, and texts stay whole
-        self.number = list(map(str, range(max(len(self.raw_a), len(self.raw_b)))))
+        self.len_a, self.len_b = np.array(list(map(len, self.raw_a))), np.array(list(map(len, self.raw_b)))
+        self.tokenize, self.chars = self.a.model.tokenize, _byte_chars()
+        #: ids in decimal, with what may follow them: the same group's next id, its ids of the other kind, a new group, nothing
+        self.span = max(len(self.raw_a), len(self.raw_b))
+        self.number = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.span)]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.tails = {}
         self.groups: list[str] = []
         #: of each chunk: tokens of both kinds, groups, links, and whether its bytes differ; then its pairs and their times
         self.stats, self.ends, self.pairs, self.times, self.held = array("q"), array("q", [0]), array("q"), array("q"), 0
@@ -57,47 +63,82 @@ class Aligner:
     def chunks(self, text: str) -> list[str]:
         return [" " + text] if self.whole else _CUT.split(" " + text)
 
+    def ids_a(self, chunks: list[str]) -> list[list[int]]:
+        """A's tokens of each chunk. A space, Latin letters and ASCII marks are two pre-tokens, which need no regex."""
+        out: list[list[int]] = [[]] * len(chunks)
+        rest = []
+        for i, c in enumerate(chunks):
+            core = c.rstrip(_MARKS)
+            word = core[1:]
+            if c[0] == " " and word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+                tail = c[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.part(tail) if tail else []
+                out[i] = self.part(core) + self.tails[tail]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.a.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def part(self, text: str) -> list[int]:
+        return [t.id for t in self.tokenize("Ġ" + text[1:] if text.isascii() and text[0] == " " else text if text.isascii() else "".join(map(self.chars.__getitem__, text.encode())))]
+
     def learn(self, chunks: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # a leading space is the one that the encoder adds; behind a line end it adds one that goes again
+        """Tokens, groups and pairs of new chunks, all at once: tokens of both kinds lie in one row of bytes each."""
+        ids_a = self.ids_a(chunks)
+        # a leading space is the one that the encoder adds; in front of a line end it adds one that goes again
         ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        raw_a, raw_b, number = self.raw_a, self.raw_b, self.number
-        for c, xa, xb in zip(chunks, ids_a, ids_b, strict=True):
-            xb = xb[1:] if c[0] != " " else xb or [self.space]
-            raw = c.encode()
-            self.known[c] = len(self.groups)
-            self.held += len(raw)
-            text, pairs, n_groups, n_links = [], Counter(), 0, 0
-            same = b"".join([raw_a[x] for x in xa]) == raw == b"".join([raw_b[x] for x in xb])
-            if same:
-                i = j = ea = eb = 0
-                while i < len(xa):
-                    fa, fb = i, j
-                    while True:
-                        if ea <= eb:
-                            ea += len(raw_a[xa[i]])
-                            i += 1
-                        else:
-                            eb += len(raw_b[xb[j]])
-                            j += 1
-                        if ea == eb:
-                            break
-                    n_groups += 1
-                    n_links += (i - fa) * (j - fb)
-                    if i - fa == 1 == j - fb:
-                        text.append(f"{number[xa[fa]]}|{number[xb[fb]]}")
-                        pairs[xa[fa] << 32 | xb[fb]] += 1
-                    else:
-                        text.append(",".join([number[x] for x in xa[fa:i]]) + "|" + ",".join([number[x] for x in xb[fb:j]]))
-                        other = Counter(xb[fb:j]).items()
-                        for x, m in Counter(xa[fa:i]).items():
-                            for y, n in other:
-                                pairs[x << 32 | y] += m * n
-            self.groups.append(";".join(text))
-            self.stats.extend((len(xa), len(xb), n_groups, n_links, not same))
-            self.pairs.extend(pairs.keys())
-            self.times.extend(pairs.values())
-            self.ends.append(len(self.pairs))
+        ids_b = [x[1:] if c[0] != " " else x or [self.space] for c, x in zip(chunks, ids_b, strict=True)]
+        raw = [c.encode() for c in chunks]
+        size = np.array(list(map(len, raw)))
+        self.known.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True))
+        self.held += int(size.sum())
+        flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        good = np.ones(len(chunks), bool)
+        if not b"".join([self.raw_a[x] for x in chain.from_iterable(ids_a)]) == b"".join(raw) == b"".join([self.raw_b[x] for x in chain.from_iterable(ids_b)]):
+            good = np.array([b"".join([self.raw_a[x] for x in xa]) == c == b"".join([self.raw_b[x] for x in xb]) for c, xa, xb in zip(raw, ids_a, ids_b, strict=True)])
+            empty: list[int] = []
+            ids_a, ids_b = ([x if g else empty for g, x in zip(good, ids, strict=True)] for ids in (ids_a, ids_b))
+        xa, xb = flat(ids_a), flat(ids_b)
+        na, nb = np.array(list(map(len, ids_a))), np.array(list(map(len, ids_b)))
+        ends_a, ends_b = np.cumsum(self.len_a[xa]), np.cumsum(self.len_b[xb])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # the ends of groups; every chunk ends one
+        ga, gb = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        many_a, many_b = np.bincount(ga, minlength=len(cuts)), np.bincount(gb, minlength=len(cuts))
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+        chunk = np.searchsorted(np.cumsum(np.where(good, size, 0)), cuts)
+        links = many_a * many_b
+        total = lambda v: np.bincount(chunk, v, len(chunks)).astype(np.int64)  # noqa: E731  exact below 2**53
+        self.stats.extend(np.stack([na, nb, total(np.ones(len(cuts))), total(links), ~good], axis=1).ravel().tolist())
+
+        order = np.argsort(np.concatenate([2 * ga, 2 * gb + 1]), kind="stable")
+        key, ids = np.concatenate([2 * ga, 2 * gb + 1])[order], np.concatenate([xa, xb])[order]
+        last = np.cumsum(na + nb) - 1
+        after = np.where(key[1:] == key[:-1], 0, np.where(key[1:] >> 1 == key[:-1] >> 1, 1, 2))
+        after = np.append(after, 3)
+        after[last[na > 0]] = 3
+        words = list(map(self.number.__getitem__, (after * self.span + ids).tolist()))
+        ends = np.cumsum(na + nb).tolist()
+        self.groups += ["".join(words[i:j]) for i, j in zip([0, *ends], ends)]
+
+        wide = np.flatnonzero(links > 4096)  # groups so wide repeat ids, which are counted before they are paired
+        plain = np.where(links > 4096, 0, links)
+        group = np.repeat(np.arange(len(cuts)), plain)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(plain) - plain, plain)
+        pair = xa[first_a[group] + k // many_b[group]] << 32 | xb[first_b[group] + k % many_b[group]]
+        owner, times = [chunk[group]], [np.ones(len(group), np.int64)]
+        pairs = [pair]
+        for g in wide:
+            (ia, ta), (ib, tb) = (np.unique(x[f[g] : f[g] + m[g]], return_counts=True) for x, f, m in ((xa, first_a, many_a), (xb, first_b, many_b)))
+            pairs.append((ia[:, None] << 32 | ib).ravel())
+            times.append((ta[:, None] * tb).ravel())
+            owner.append(np.full(len(pairs[-1]), chunk[g]))
+        owner, pairs, times = (np.concatenate(x) for x in (owner, pairs, times))
+        by = np.argsort(owner, kind="stable")
+        self.pairs.extend(pairs[by].tolist())
+        self.times.extend(times[by].tolist())
+        self.ends.extend((self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(chunks)))).tolist())
 
     def align(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """For each text (n_a, n_b, n_groups, n_links, groups), and the postings of all as (text, pair, times)."""

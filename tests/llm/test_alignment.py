@@ -38,7 +38,10 @@ def plain(docs, tools):
         ea, eb = np.cumsum([len(x) for x in ra]), np.cumsum([len(x) for x in rb])
         cuts = sorted(set(ea.tolist()) & set(eb.tolist()))
         ga, gb = np.searchsorted(cuts, ea), np.searchsorted(cuts, eb)
-        groups = [([x for x, g in zip(a, ga, strict=True) if g == k], [x for x, g in zip(b, gb, strict=True) if g == k]) for k in range(len(cuts))]
+        groups = [([], []) for _ in cuts]
+        for side, ids, own in ((0, a, ga), (1, b, gb)):
+            for x, g in zip(ids, own.tolist(), strict=True):
+                groups[g][side].append(x)
         links = [(x, y) for p, q in groups for x in p for y in q]
         count.update(set(links))
         found.append((doc, len(a), len(b), groups, links))
