@@ -92,6 +92,41 @@ def strip_presentation(c: ColumnOrName) -> Column:
     return let(_c(c), build)
 
 
+def resolve_reference(base: ColumnOrName, reference: ColumnOrName) -> Column:
+    """The absolute URL that a reference means on the page ``base``, by RFC 3986 section 5.2: scheme, authority, path and query
+    are taken from the reference as far as it has them, relative paths are merged with the folder of the page, and dot segments
+    are a stack. The fragment goes. A reference with a scheme of its own that has no authority (``mailto:x``) stays as it is."""
+
+    def parts(u: Column) -> Column:
+        rest = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*:", "")
+        return F.struct(
+            F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"), rest.startswith("//").alias("has_host"), F.regexp_extract(rest, "^//([^/?]*)", 1).alias("host"),
+            F.regexp_extract(rest, "^(?://[^/?]*)?([^?]*)", 1).alias("path"), rest.contains("?").alias("has_query"), F.regexp_extract(rest, r"\?(.*)$", 1).alias("query"),
+        )
+
+    def no_dots(path: Column) -> Column:
+        segments = F.slice(F.split(path, "/"), 2, 1 << 30)  # what follows the first slash
+        push = lambda stack, x: F.when(x == ".", stack).when(x == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(x)))
+        folder = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(segments, F.expr("cast(array() as array<string>)"), push), folder), "/"))
+
+    def clean(path: Column) -> Column:
+        return let(path, lambda p: F.when(p.startswith("/"), no_dots(p)).otherwise(p))
+
+    def build(b: Column, r: Column) -> Column:
+        merged = F.when(b["path"] == "", F.concat(F.lit("/"), r["path"])).otherwise(F.concat(F.regexp_extract(b["path"], "^(.*/)", 1), r["path"]))
+        path = F.when(r["has_host"], clean(r["path"])).when(r["path"] == "", b["path"]).otherwise(clean(F.when(r["path"].startswith("/"), r["path"]).otherwise(merged)))
+        own_query = r["has_query"] | r["has_host"] | (r["path"] != "")
+        query = F.when(own_query & r["has_query"], F.concat(F.lit("?"), r["query"])).when(~own_query & b["has_query"], F.concat(F.lit("?"), b["query"])).otherwise("")
+        joined = F.concat(b["scheme"], F.lit("://"), F.when(r["has_host"], r["host"]).otherwise(b["host"]), path, query)
+        absolute = F.concat(r["scheme"], F.lit("://"), r["host"], clean(r["path"]), F.when(r["has_query"], F.concat(F.lit("?"), r["query"])).otherwise(""))
+        alone = F.concat(r["scheme"], F.lit(":"), r["path"], F.when(r["has_query"], F.concat(F.lit("?"), r["query"])).otherwise(""))
+        return F.when(r["scheme"] == "", joined).when(r["has_host"], absolute).otherwise(alone)
+
+    bare = lambda c: F.regexp_replace(F.trim(_c(c)), "#.*$", "")
+    return let(F.struct(parts(bare(base)).alias("b"), parts(bare(reference)).alias("r")), lambda x: build(x["b"], x["r"]))
+
+
 def host_of(c: ColumnOrName) -> Column:
     return F.lower(F.regexp_extract(_c(c), "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # --- fixed values: results depend on these names, weights and lists --------------------------------------------------
 
@@ -81,14 +83,24 @@ def config_tables(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+#: What tells the rows of each registry apart; the other columns are its values.
+REGISTRY_KEYS = {
+    "base_model": ["component", "metric_key", "transform"], "fact_factor": ["fact_type"], "recency_factor": ["granularity"], "label_factor": ["label"], "trust": ["source_class"],
+    "gap_graph": ["previous", "event_kind"], "signal_graph": ["previous", "event_kind"], "context_weights": ["component"], "channel_weights": ["channel"], "inverse_edge": ["edge_type"],
+}
+
+
+def absent_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is not stored, one per key (the first by its other columns); a null key is a key. A stored key keeps
+    its values, so appending the result twice, or after a value was changed by hand, adds nothing."""
+    order = [F.col(c) for c in rows.columns if c not in keys]
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)])))).where("_r = 1").drop("_r")
+    there = stored.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    return first.join(there, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+
+
 def seed_tables(spark: SparkSession, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What each stored registry lacks: rows of ``config_tables`` that are not in the table of that name. Appending them twice
-    adds nothing; a table that is not stored yet gets all its rows."""
-    out = {}
-    for name, rows in config_tables(spark).items():
-        d = rows.dropDuplicates()
-        if name in stored:
-            there = [d[c].eqNullSafe(stored[name][c]) for c in d.columns]
-            d = d.join(stored[name], there, "left_anti")
-        out[name] = d
-    return out
+    """What each stored registry lacks: rows of ``config_tables`` whose key is not in the table of that name. Appending them
+    twice adds nothing; a table that is not stored yet gets all its rows."""
+    tables = config_tables(spark)
+    return {name: absent_rows(rows, stored.get(name, rows.limit(0)), REGISTRY_KEYS[name]) for name, rows in tables.items()}

@@ -28,15 +28,30 @@ def discoveries(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("context_hash", fn.fingerprint("method", "parent", "pursued_for")).dropDuplicates(["locator", "context_hash"])
 
 
+def link_report(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """Every reference of the pages' anchors with what became of it: (url, href, locator, in_scope, relevant, reason).
+
+    A reference is resolved against its page as a browser does; the locator is null where it names no web page. The reason is
+    null for a link to follow, else FRAGMENT (a place on the same page), SCHEME (mail, scripts, files), HOST (none), SELF,
+    OUT_OF_SCOPE (another registrable domain) or IRRELEVANT. References that a page repeats count once.
+    """
+    base = fn.normalize_locator(url)
+    hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit("""(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["']\\s*([^"'>\\s]+)"""), F.lit(1)))
+    d = pages.select(F.col(url).alias("url"), base.alias("base"), F.explode(hrefs).alias("href")).distinct()
+    d = d.withColumn("full", fn.resolve_reference("base", "href"))
+    web, host = F.col("full").rlike("^https?:"), fn.host_of("full") != ""
+    d = d.withColumn("locator", F.when(web & host & ~F.col("href").startswith("#"), fn.normalize_locator(fn.strip_presentation("full"))))
+    d = d.withColumns({"in_scope": fn.registrable_domain(fn.host_of("locator")) == fn.registrable_domain(fn.host_of("base")), "relevant": fn.is_relevant("locator")})
+    reason = (
+        F.when(F.col("href").startswith("#"), "FRAGMENT").when(~web, "SCHEME").when(~host, "HOST").when(~F.col("in_scope"), "OUT_OF_SCOPE").when(~F.col("relevant"), "IRRELEVANT")
+        .when(F.col("locator") == F.col("base"), "SELF")
+    )
+    return d.select("url", "href", "locator", "in_scope", "relevant", reason.alias("reason"))
+
+
 def extract_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(url, locator, in_scope, relevant) of the pages' anchors; relative links are put on the page's host."""
-    base = F.regexp_extract(fn.normalize_locator(url), "^([a-z]+://[^/?]+)", 1)
-    hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit("""(?i)<a\\s[^>]*href=["']([^"'#]+)["']"""), F.lit(1)))
-    d = pages.select(F.col(url).alias("url"), base.alias("base"), F.explode(hrefs).alias("href"))
-    full = F.when(F.col("href").rlike("^[a-zA-Z]+://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat("base", "href")).otherwise(F.concat("base", F.lit("/"), "href"))
-    d = d.withColumn("locator", fn.normalize_locator(fn.strip_presentation(full))).select("url", "base", "locator").distinct()
-    same = fn.registrable_domain(fn.host_of("locator")) == fn.registrable_domain(fn.host_of("base"))
-    return d.select("url", "locator", same.alias("in_scope"), fn.is_relevant("locator").alias("relevant"))
+    """(url, locator, in_scope, relevant) of the pages' anchors that name a web page."""
+    return link_report(pages, html, url).where("locator is not null").select("url", "locator", "in_scope", "relevant").distinct()
 
 
 def expand(links: DataFrame, seeds: DataFrame, max_depth: int = 2, budget: int | None = None) -> DataFrame:
