@@ -896,12 +896,6 @@ def _(t):
     return res.resolve_locators(e, texts).select("doc_id", "resolution", "weight")
 
 
-@query("rs23_witnesses")
-def _(t):
-    e = t("documents").select("lang", F.col("source").alias("publisher"), F.sha2("text", 256).alias("document"))
-    return res.independent_witnesses(e, ["lang"])
-
-
 @query(
     "rs24_claim_confidence",
     f"""with k as (select user_id claim_id, event_type d from events), p as (select claim_id, count(distinct d) w from k group by 1)

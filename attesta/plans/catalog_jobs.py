@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
+from attesta.plans import witnesses as wit
 from attesta.plans.catalog import _LOC, query
 
 # --- references and seeds ---------------------------------------------------------------------------------------------
@@ -45,3 +46,37 @@ def _(t):
     c = t("customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), "c_custkey")
     stored = c.where("c_custkey % 5 = 0").select("nation", "segment", (F.col("balance") + 1).alias("balance"))
     return cfg.absent_rows(c.drop("c_custkey"), stored, ["nation", "segment"])
+
+
+# --- witnesses --------------------------------------------------------------------------------------------------------
+
+#: The deficiency formula: the greatest matching misses as many publishers as some set of them exceeds its documents by. Sets
+#: are bits, over documents counted by the set of publishers that have them.
+_DEFICIENCY = """with e as (select distinct lang, source p, sha256(text) d from documents where source is not null and text is not null),
+b as (select *, dense_rank() over (partition by lang order by p) - 1 bit from e), n as (select lang, max(bit) + 1 n from b group by 1),
+m as (select lang, bits, count(*) n_docs from (select lang, d, sum(1::bigint << bit::int)::bigint bits from b group by 1, 2) group by 1, 2),
+s as (select lang, unnest(range(0, 1::bigint << n::int)) s from n),
+x as (select s.lang, s, bit_count(s) - sum(case when bits & s <> 0 then n_docs else 0 end) missed from s join m on m.lang is not distinct from s.lang group by 1, 2)"""
+
+
+@query("rs23_witnesses", _DEFICIENCY + " select x.lang, (any_value(n) - max(missed))::bigint witnesses from x join n on n.lang is not distinct from x.lang group by 1")
+def _(t):
+    e = t("documents").select("lang", F.col("source").alias("publisher"), F.sha2("text", 256).alias("document"))
+    return res.independent_witnesses(e, ["lang"])
+
+
+@query(
+    "rs23_contested",
+    """with d as (select distinct user_id % 12 p, event_type g, user_id // 12 % 7 d from events),
+n as (select g, count(distinct p) n from d group by 1), b as (select *, dense_rank() over (partition by g order by p) - 1 bit from d),
+m as (select g, bits, count(*) n_docs from (select g, d, sum(1::bigint << bit::int)::bigint bits from b group by 1, 2) group by 1, 2),
+s as (select g, unnest(range(0, 1::bigint << n::int)) s from n), x as (select s.g, s, bit_count(s) - sum(case when bits & s <> 0 then n_docs else 0 end) missed from s join m using (g) group by 1, 2)
+select x.g event_type, (any_value(n) - max(missed))::bigint witnesses, true proven from x join n using (g) group by 1""",
+)
+def _(t):
+    """Many publishers that share few documents, with the cover that proves the count."""
+    e = t("events").select("event_type", (F.col("user_id") % 12).alias("publisher"), F.expr("(user_id div 12) % 7").alias("document"))
+    pairs, edges = wit.witness_pairs(e, ["event_type"])
+    cover = wit.witness_cover(pairs, edges).groupBy("g").agg(F.count(F.lit(1)).alias("cover"))
+    d = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("witnesses")).join(cover, "g")
+    return d.select(F.get_json_object("g", "$.event_type").alias("event_type"), "witnesses", (F.col("witnesses") == F.col("cover")).alias("proven"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.operators import relational as rel
+from attesta.plans.witnesses import independent_witnesses
 from attesta.sources import io
 
 # --- sources and documents (RS01-RS11) --------------------------------------------------------------------------------
@@ -242,69 +243,6 @@ def resolve_locators(evidence: DataFrame, texts: DataFrame) -> DataFrame:
 # --- witnesses and claims (RS19-RS27) ---------------------------------------------------------------------------------
 
 
-def independent_witnesses(edges: DataFrame, by: list[str], publisher: str = "publisher", document: str = "document") -> DataFrame:
-    """(by, witnesses): the greatest number of publishers each with a document of its own, per group.
-
-    A publisher with a document that no other has is a witness at once and leaves with its documents; so does a document
-    with a publisher that has no other. Some greatest matching has these pairs. Rounds of this go on while they take a
-    quarter of the pairs. What is left is matched by connected components of the publisher-document graph, one a task.
-    """
-    key = F.struct(*by).alias("g")
-    e = edges.select(key, F.col(publisher).cast("string").alias("p"), F.col(document).cast("string").alias("d")).where("p is not null and d is not null").distinct()
-    cur, parts = io.staged(e, "witness-pairs"), []
-    left = cur.count()
-    while True:
-        own = cur.groupBy("g", "d").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p")).where("n = 1").select("g", "p").distinct()
-        rest = cur.join(own, ["g", "p"], "left_anti")
-        lone = rest.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d")).where("n = 1").select("g", "d").distinct()
-        parts += [d.groupBy("g").agg(F.count(F.lit(1)).alias("m")) for d in (own, lone)]
-        cur = io.staged(rest.join(lone, ["g", "d"], "left_anti"), "witness-pairs")
-        before, left = left, cur.count()
-        if not left or left > 0.75 * before:
-            break
-
-    def match(pdf):
-        import pandas as pd
-
-        docs: dict[str, list[str]] = {}
-        for p, d in zip(pdf["p"], pdf["d"], strict=True):
-            docs.setdefault(p, []).append(d)
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "m": [matching(docs)]})
-
-    if left:
-        # equal hashes of two nodes only join two components, which changes no result
-        cur = cur.withColumns({"_a": F.xxhash64(F.lit("p"), "g", "p"), "_b": F.xxhash64(F.lit("d"), "g", "d")})
-        part = rel.components(cur, "_a", "_b").withColumnRenamed("node", "_a").withColumnRenamed("component", "_component")
-        kinds = ", ".join(f"{b} {dict(edges.dtypes)[b]}" for b in by)
-        found = cur.join(part, "_a").select("g.*", "p", "d", "_component").groupBy(*by, "_component").applyInPandas(match, f"{kinds}, m long")
-        parts.append(found.select(key, "m"))
-    return reduce(DataFrame.unionAll, parts).groupBy("g").agg(F.sum("m").alias("witnesses")).select("g.*", "witnesses")
-
-
-def matching(docs: dict[str, list[str]]) -> int:
-    """The size of a greatest matching of publishers to their documents: augmenting paths, breadth first."""
-    owner: dict[str, str] = {}
-    for start in sorted(docs):
-        came: dict[str, str] = {}
-        queue, free = [start], None
-        for p in queue:
-            for d in docs[p]:
-                if d not in came:
-                    came[d] = p
-                    if d not in owner:
-                        free = d
-                        break
-                    queue.append(owner[d])
-            if free:
-                break
-        held = {p: d for d, p in owner.items()}
-        while free is not None:
-            p = came[free]
-            owner[free] = p
-            free = held.get(p) if p != start else None
-    return len(owner)
-
-
 def claims_from_observations(obs: DataFrame, by: list[str] = ("company_id",)) -> DataFrame:
     """Assertions: observations grouped by what they say, with a fingerprint that leaves out who extracted them."""
     keys = [*by, "attribute_key", "value_json", "unit", "fact_type"]

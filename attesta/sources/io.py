@@ -118,3 +118,18 @@ def discard(df: DataFrame) -> None:
     """Delete a staged table from which every later table has been staged."""
     p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Owner:
+    """Staged tables of one piece of work, deleted together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        while self.tables:
+            discard(self.tables.pop())

@@ -192,46 +192,6 @@ def test_append_and_prune(spark):
 # --- research ---------------------------------------------------------------------------------------------------------
 
 
-def brute_matching(edges):
-    best = 0
-    for n in range(len(edges), 0, -1):
-        if any(len({p for p, _ in s}) == n == len({d for _, d in s}) for s in itertools.combinations(edges, n)):
-            best = n
-            break
-    return best
-
-
-def test_witnesses(spark):
-    groups = {"known": [("A", "1"), ("A", "2"), ("B", "2"), ("B", "3"), ("C", "3")], "one": [("A", "1")], "star": [("A", str(i)) for i in range(5)], "copy": [(p, "1") for p in "ABCD"]}
-    rng = random.Random(3)
-    for i in range(25):
-        groups[f"g{i}"] = list({(rng.choice("ABCDE"), rng.choice("12345")) for _ in range(rng.randint(1, 9))})
-    df = spark.createDataFrame([(g, p, d) for g, es in groups.items() for p, d in es], "g string, publisher string, document string")
-    got = {r["g"]: r["witnesses"] for r in res.independent_witnesses(df.union(df), ["g"]).collect()}
-    assert got["known"] == 3 and got == {g: brute_matching(es) for g, es in groups.items()}
-
-
-def test_witnesses_by_component(spark, monkeypatch):
-    sizes = []
-    monkeypatch.setattr(res.rel, "components", lambda e, a, b, f=rel.components: sizes.append(f(e, a, b)) or sizes[-1])
-    # 30 parts of 3 publishers that share 2 documents, in two groups, one of them without a name; and a short path
-    df = [(None if i % 2 else "x", f"p{i}-{k}", f"d{i}-{j}") for i in range(30) for k in range(3) for j in range(2)]
-    df += [("x", f"q{i // 2}", f"e{(i + 1) // 2}") for i in range(5)]
-    d = spark.createDataFrame(df, "g string, publisher string, document string")
-    assert {r["g"]: r["witnesses"] for r in res.independent_witnesses(d, ["g"]).collect()} == {None: 30, "x": 33}
-    assert sorted(r["count"] for r in sizes[0].groupBy("component").count().collect()) == [2] + [5] * 30
-    assert res.independent_witnesses(d.limit(0), ["g"]).count() == 0
-
-
-def test_witnesses_of_a_language(spark, data):
-    edges = {}
-    for r in spark.read.parquet(f"{data}/documents.parquet").where("source is not null and text is not null").select("lang", "source", "text").collect():
-        edges.setdefault(r["lang"], {}).setdefault(r["source"], set()).add(r["text"])
-    want = {lang: res.matching({p: sorted(d) for p, d in docs.items()}) for lang, docs in edges.items()}
-    got = entry.queries()["rs23_witnesses"](spark, data)
-    assert got.columns == ["lang", "witnesses"] and {r["lang"]: r["witnesses"] for r in got.collect()} == want
-
-
 def test_rules_keep_their_places(spark):
     text = "We run 12 field technicians; approximately 30 technicians; a fleet of 7 service vehicles. 12 field technicians. Preventive Maintenance."
     got = res.run_rules(spark.createDataFrame([(1, text)], "id int, text string"), res.RULES).collect()

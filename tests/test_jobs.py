@@ -1,10 +1,12 @@
+import random
 from urllib.parse import urldefrag, urljoin
 
-from pyspark.sql import functions as F
+import pytest
 
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
+from attesta.plans import witnesses as wit
 
 
 def rows(df, *cols):
@@ -47,3 +49,52 @@ def test_seeding_goes_by_key(spark):
     new = spark.createDataFrame([(None, 2), (None, 1), (1, 5), (2, 6)], "k int, v int")
     assert rows(cfg.absent_rows(new, new.where("k = 1"), ["k"]), "k", "v") == [(2, 6), (None, 1)]
     assert cfg.absent_rows(new, cfg.absent_rows(new, new.limit(0), ["k"]), ["k"]).count() == 0
+
+
+# --- witnesses --------------------------------------------------------------------------------------------------------
+
+
+def matching(edges):
+    """The size of a greatest matching: augmenting paths, one publisher after another."""
+    docs, owner = {}, {}
+    for p, d in edges:
+        docs.setdefault(p, []).append(d)
+
+    def place(p, seen):
+        for d in docs[p]:
+            if d not in seen:
+                seen.add(d)
+                if d not in owner or place(owner[d], seen):
+                    owner[d] = p
+                    return True
+        return False
+
+    return sum(place(p, set()) for p in docs)
+
+
+def test_witnesses(spark):
+    rng = random.Random(3)
+    groups = {"known": [("A", "1"), ("A", "2"), ("B", "2"), ("B", "3"), ("C", "3")], "one": [("A", "1")], "star": [("A", str(i)) for i in range(5)], "copy": [(p, "1") for p in "ABCD"], None: [("A", "1"), ("B", "1")]}
+    for i in range(20):
+        n = rng.randint(2, 12)
+        groups[f"g{i}"] = list({(f"p{rng.randrange(n)}", f"d{rng.randrange(n)}") for _ in range(rng.randint(1, 4 * n))})
+    groups["long"] = [(f"p{i}", f"d{j}") for i in range(12) for j in (i, i + 1) if j < 12] + [("x", "d0"), ("x", "d1")]  # a path that must be turned over
+    groups["dense"] = [(f"p{i}", f"d{(i * j) % 17}") for i in range(30) for j in range(1, 4)]
+    df = spark.createDataFrame([(g, p, d) for g, es in groups.items() for p, d in es] + [("void", None, "d"), ("known", "Z", None)], "g string, publisher string, document string")
+    got = {r["g"]: r["witnesses"] for r in res.independent_witnesses(df.union(df), ["g"]).collect()}
+    assert got["known"] == 3 and got == {g: matching(es) for g, es in groups.items()}
+    assert res.independent_witnesses(df.limit(0), ["g"]).count() == 0
+
+
+def test_cover_proves_the_matching(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(g, rng.randrange(12), rng.randrange(9)) for g in "ab" for _ in range(50)], "g string, publisher int, document int")
+    pairs, edges = wit.witness_pairs(df, ["g"])
+    m = pairs.collect()
+    assert len({(r["g"], r["p"]) for r in m}) == len(m) == len({(r["g"], r["d"]) for r in m})
+    every = {(r["g"], r["p"], r["d"]) for r in edges.collect()}
+    assert {(r["g"], r["p"], r["d"]) for r in m} <= every
+    cover = {(r["g"], r["side"], r["node"]) for r in wit.witness_cover(pairs, edges).collect()}
+    assert len(cover) == len(m) and all((g, "publisher", p) in cover or (g, "document", d) in cover for g, p, d in every)
+    with pytest.raises(ValueError, match="augmenting"):
+        wit.witness_cover(pairs.limit(3), edges)
