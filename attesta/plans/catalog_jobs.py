@@ -8,7 +8,10 @@ from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
 from attesta.plans import witnesses as wit
-from attesta.plans.catalog import _LOC, query
+from attesta.plans.catalog import _LIFE, _LOC, lifecycle, query
+from attesta.sources import io
+from attesta.streaming import jobs
+from attesta.streaming.sink import BucketedSink
 
 # --- references and seeds ---------------------------------------------------------------------------------------------
 
@@ -80,3 +83,94 @@ def _(t):
     cover = wit.witness_cover(pairs, edges).groupBy("g").agg(F.count(F.lit(1)).alias("cover"))
     d = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("witnesses")).join(cover, "g")
     return d.select(F.get_json_object("g", "$.event_type").alias("event_type"), "witnesses", (F.col("witnesses") == F.col("cover")).alias("proven"))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _quarters(df, at: str):
+    """A number from 0 to 3 for each row by where ``at`` (a time) lies between the table's ends."""
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    ends = df.agg(F.min(us).alias("_low"), F.max(us).alias("_high"))
+    return df.join(F.broadcast(ends)).withColumn("quarter", F.least(F.lit(3), F.floor((us - F.col("_low")) * 4 / (F.col("_high") - F.col("_low") + 1))).cast("int")).drop("_low", "_high")
+
+
+def _files(df, column: str, n: int, name: str) -> str:
+    """A folder of one Parquet part per value of ``column``, in order of time, for a file stream."""
+    path = io.scratch(df.sparkSession, name)
+    for i in range(n):
+        df.where(F.col(column) == i).drop(column).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+class _Crash(Exception):
+    pass
+
+
+class _CrashingSink(BucketedSink):
+    """Fails once between write and commit."""
+
+    crashed = False
+
+    def commit(self, batch, *rest, **more):
+        if batch.endswith("-2") and not self.crashed:
+            self.crashed = True
+            raise _Crash(batch)
+        super().commit(batch, *rest, **more)
+
+
+@query("st01_ingest", "select user_id, event_type, event_id, ts from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
+def _(t):
+    """Events in four micro-batches: the third is written, fails before its commit and is replayed; the second comes twice more,
+    before and after the batches are compacted. The first event of each user and kind stays."""
+    e = t("events").select("user_id", "event_type", "event_id", "ts")
+    spark, schema = e.sparkSession, "user_id long, event_type string, event_id long, ts timestamp_ntz"
+    parts = io.staged(_quarters(e, "ts"), "quarters")
+    sink = _CrashingSink(spark, io.scratch(spark, "ingested"), schema, ["user_id", "event_type"], buckets=16, order=[F.col("ts"), F.col("event_id")])
+    stream, checkpoint = _files(parts, "quarter", 4, "arrivals"), io.scratch(spark, "ingest-checkpoint")
+    for _ in range(2):
+        try:
+            jobs.stream_ingest(jobs.replay(spark, stream, schema), sink, checkpoint, "events").awaitTermination()
+        except Exception:
+            if not sink.crashed:
+                raise
+    again = parts.where("quarter = 1").drop("quarter")
+    sink.write(again, "events-1")
+    sink.compact()
+    sink.write(again, "events-1")
+    sink.write(again, "events-late")  # the same rows under another name: their keys are there
+    return sink.read()
+
+
+@query(
+    "st02_status",
+    f"""with recursive {_LIFE}, o as (select gap_id, event_id, k, row_number() over (partition by gap_id order by ts, l, event_id) n from r),
+w as (select gap_id, 0::bigint event_id, ''::varchar k, 0::bigint n, null::varchar previous, false accepted, null::varchar status from (select distinct gap_id from o)
+  union all select o.gap_id, o.event_id, o.k, o.n, w.status, coalesce(w.status, '-') || '>' || o.k in ('->RAISED', 'RAISED>ATTEMPTED', 'ATTEMPTED>ATTEMPTED', 'RAISED>RESOLVED', 'ATTEMPTED>RESOLVED', 'RAISED>ABANDONED', 'ATTEMPTED>ABANDONED'),
+    case when coalesce(w.status, '-') || '>' || o.k in ('->RAISED', 'RAISED>ATTEMPTED', 'ATTEMPTED>ATTEMPTED', 'RAISED>RESOLVED', 'ATTEMPTED>RESOLVED', 'RAISED>ABANDONED', 'ATTEMPTED>ABANDONED') then o.k else w.status end
+  from w join o on o.gap_id = w.gap_id and o.n = w.n + 1)
+select gap_id, event_id, k event_kind, previous, accepted from w where n > 0""",
+)
+def _(t):
+    """The events of every user in four micro-batches, a third of them a quarter late; a closing event brings the watermark past
+    all others."""
+    e = lifecycle(t).select(F.col("gap_id").cast("string").alias("key"), "event_id", "event_kind", F.col("occurred_at").cast("timestamp").alias("occurred_at"))
+    spark, schema = e.sparkSession, "key string, event_id long, event_kind string, occurred_at timestamp"
+    d = _quarters(e, "occurred_at")
+    d = d.withColumn("quarter", F.when(F.col("event_id") % 3 == 0, F.least(F.col("quarter") + 1, F.lit(3))).otherwise(F.col("quarter")))
+    span = d.agg(F.max("occurred_at").alias("last"), F.expr("(max(unix_seconds(occurred_at)) - min(unix_seconds(occurred_at))) div 2 + 1").alias("half")).first()
+    if span["last"] is None:
+        return spark.createDataFrame([], "gap_id long, event_id long, event_kind string, previous string, accepted boolean")
+    close = lambda i: spark.range(1).select(F.lit("").alias("key"), F.lit(-1).cast("long").alias("event_id"), F.lit("CLOSE").alias("event_kind"), (F.lit(span["last"]) + F.expr(f"make_dt_interval(0, 0, 0, {3 * span['half'] + i})")).cast("timestamp").alias("occurred_at"), F.lit(4 + i).alias("quarter"))
+    folder = _files(d.unionByName(close(0)).unionByName(close(1)), "quarter", 6, "happenings")
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = io.scratch(spark, "verdicts")
+    try:
+        status = jobs.stream_status(jobs.replay(spark, folder, schema), f"{span['half']} seconds")
+        status.writeStream.format("parquet").option("path", out).option("checkpointLocation", io.scratch(spark, "status-checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    d = spark.read.schema(jobs.STATUS).parquet(out).where("key <> ''")
+    return d.select(F.col("key").cast("long").alias("gap_id"), "event_id", "event_kind", "previous", "accepted")

@@ -3,61 +3,95 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from attesta.functions import columns as fn
 from attesta.functions import config as cfg
-from attesta.sources.io import append_absent
+from attesta.streaming.sink import BucketedSink
 
 
-def stream_ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, watermark: tuple[str, str] | None = None) -> StreamingQuery:
-    """Append records whose key the target has not yet; a replayed record or batch adds nothing.
+def stream_ingest(stream: DataFrame, sink: BucketedSink, checkpoint: str, source: str = "stream", watermark: tuple[str, str] | None = None) -> StreamingQuery:
+    """Append records whose key the sink has not yet; a replayed record or batch adds nothing.
 
-    Keys within a batch and of earlier batches are compared with the target itself, so the stream keeps no state of its
-    own; with a ``watermark`` (column, delay) duplicates within the delay are dropped before.
+    A batch goes to the sink under the name of its ``source`` and its number, which a restart repeats with the same rows. With
+    a ``watermark`` (column, delay) duplicates within the delay are dropped before.
     """
-    spark = stream.sparkSession
     if watermark:
-        stream = stream.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
-
-    def write(batch: DataFrame, _: int) -> None:
-        try:
-            known = spark.read.schema(batch.schema).parquet(target)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.limit(0)
-        append_absent(batch, known, keys).write.mode("append").parquet(target)
-
+        stream = stream.withWatermark(*watermark).dropDuplicatesWithinWatermark(sink.keys)
+    write = lambda batch, number: sink.write(batch, f"{source}-{number}")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 STATUS = "key string, event_id long, event_kind string, previous string, accepted boolean"
+EVENT = "at long, place int, event_id long, event_kind string"
 
 
-def stream_status(events: DataFrame, graph: list[tuple] = cfg.GAP_GRAPH, rank: dict[str, int] = cfg.GAP_RANK) -> DataFrame:
-    """Events (key, event_id, event_kind, occurred_at) with the verdict of the lifecycle: accepted ones move the key's
-    status, others leave it. Within a batch events go by time, lifecycle place and id; an event that comes in a later
-    batch is judged against the status reached by then. State per key is one word."""
-    allowed = {(a, b) for a, b in graph}
+class Lifecycle(StatefulProcessor):
+    """Per key the status reached, and events that are not older than the watermark yet, which wait in a list.
+
+    Events that the watermark has passed are judged in order of time, lifecycle place and id, whatever order they came in. A
+    timer at the earliest waiting event sees to it that they are judged without a further event of their key. The step from
+    status to status is a table.
+    """
 
-    def fold(key, pdfs: Iterator, state):
+    def __init__(self, graph: list[tuple]):
+        self.steps = {(a or "", b): b for a, b in graph}  # no status yet is the empty word
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.status = handle.getValueState("status", "status string")
+        self.waiting = handle.getListState("waiting", EVENT)
+
+    def _judge(self, key, events: list[tuple], watermark: int) -> Iterator:
         import pandas as pd
 
-        status = state.get[0] if state.exists else None
-        batch = pd.concat(list(pdfs))
-        batch["_r"] = batch["event_kind"].map(rank).fillna(99)
-        rows = []
-        for e in batch.sort_values(["occurred_at", "_r", "event_id"]).itertuples():
-            ok = (status, e.event_kind) in allowed
-            rows.append((key[0], e.event_id, e.event_kind, status, ok))
-            status = e.event_kind if ok else status
-        if status is not None:
-            state.update((status,))
-        yield pd.DataFrame(rows, columns=["key", "event_id", "event_kind", "previous", "accepted"])
-
-    return events.groupBy("key").applyInPandasWithState(fold, STATUS, "status string", "append", "NoTimeout")
+        events.sort()
+        due = [e for e in events if e[0] <= 1000 * watermark]
+        late = events[len(due) :]
+        if due:
+            status = self.status.get()[0] if self.status.exists() else ""
+            kinds = [e[3] for e in due]
+            reached = list(accumulate(kinds, lambda s, k: self.steps.get((s, k), s), initial=status))
+            if reached[-1]:
+                self.status.update((reached[-1],))
+            yield pd.DataFrame({"key": key[0], "event_id": [e[2] for e in due], "event_kind": kinds, "previous": pd.Series([s or None for s in reached[:-1]], dtype=object), "accepted": [(s, k) in self.steps for s, k in zip(reached[:-1], kinds, strict=True)]})
+        if late:
+            self.waiting.put(late)
+            self.handle.registerTimer(late[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+
+    def _held(self) -> list[tuple]:
+        return [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        new = [e for part in rows for e in zip(*(part[c].tolist() for c in ("at", "place", "event_id", "event_kind")), strict=True)]
+        yield from self._judge(key, self._held() + new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        yield from self._judge(key, self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_status(events: DataFrame, delay: str = "1 hour", graph: list[tuple] = cfg.GAP_GRAPH, rank: dict[str, int] = cfg.GAP_RANK) -> DataFrame:
+    """Events (key, event_id, event_kind, occurred_at) with the verdict of the lifecycle: an accepted one moves the key's
+    status, others leave it, and nothing follows a terminal status.
+
+    Events may come out of order by up to ``delay``: each is judged when the watermark has passed it, so stream and batch
+    agree. A later event is judged when it comes, against the status reached by then, as a database would at its insert; Spark
+    drops those that a batch before had made too late. Rows without time or id are dropped, a null key is a key. Needs the
+    RocksDB state store.
+    """
+    place = fn.lookup("event_kind", {k: float(v) for k, v in rank.items()}, 99.0).cast("int")
+    d = events.where("occurred_at is not null and event_id is not null").withWatermark("occurred_at", delay)
+    return d.select("key", "event_id", "event_kind", "occurred_at", F.unix_micros("occurred_at").alias("at"), place.alias("place")).groupBy("key").transformWithStateInPandas(Lifecycle(graph), STATUS, "Append", "EventTime")
 
 
 def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:

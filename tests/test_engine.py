@@ -15,7 +15,6 @@ from attesta.plans import entities as ent
 from attesta.plans import research as res
 from attesta.plans import scoring as sc
 from attesta.sources import io
-from attesta.streaming import jobs
 
 
 def rows(df, *cols):
@@ -278,24 +277,6 @@ def test_sources(spark, tmp_path):
     assert io.read_bodies(spark, str(tmp_path / "p.csv")).first()["size"] > 10
 
 
-def test_stream_ingest_is_idempotent(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    a = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
-    for run in range(3):
-        (a if run else a.limit(2)).coalesce(1).write.mode("append").parquet(src)
-        jobs.stream_ingest(jobs.replay(spark, src, "k int, v string"), out, ["k"], str(tmp_path / "ckpt")).awaitTermination(90)
-    assert rows(spark.read.parquet(out), "k") == [(1,), (2,)]
-
-
-def test_stream_status_folds_and_refuses(spark, tmp_path):
-    src = str(tmp_path / "ev")
-    for ev in ([("g", 1, "RAISED", 1), ("h", 2, "ATTEMPTED", 1)], [("g", 3, "RESOLVED", 5), ("g", 4, "ATTEMPTED", 6), ("h", 5, "RAISED", 7)]):
-        spark.createDataFrame(ev, "key string, event_id long, event_kind string, occurred_at long").coalesce(1).write.mode("append").parquet(src)
-    q = jobs.stream_status(jobs.replay(spark, src, "key string, event_id long, event_kind string, occurred_at long")).writeStream.format("memory").queryName("status").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert rows(spark.table("status"), "event_id", "accepted") == [(1, True), (2, False), (3, True), (4, False), (5, True)]
-
-
 def test_entry_points_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(catalog.QUERIES) > 60

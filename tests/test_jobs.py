@@ -1,12 +1,16 @@
 import random
+import re
 from urllib.parse import urldefrag, urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
 from attesta.plans import witnesses as wit
+from attesta.streaming import jobs
+from attesta.streaming.sink import BucketedSink
 
 
 def rows(df, *cols):
@@ -98,3 +102,79 @@ def test_cover_proves_the_matching(spark):
     assert len(cover) == len(m) and all((g, "publisher", p) in cover or (g, "document", d) in cover for g, p, d in every)
     with pytest.raises(ValueError, match="augmenting"):
         wit.witness_cover(pairs.limit(3), edges)
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+def test_sink_is_idempotent(spark, tmp_path):
+    out = BucketedSink(spark, f"file://{tmp_path}/out", "k int, v string", ["k"], buckets=4)
+    a = spark.createDataFrame([(1, "b"), (1, "a"), (2, "b"), (None, "n"), (None, "m")], "k int, v string")
+    assert out.read().count() == 0 and out.write(a, "s-0") and not out.write(a.limit(0), "s-0") and not out.write(a, "s-0")
+    assert rows(out.read(), "k", "v") == [(1, "a"), (2, "b"), (None, "m")]
+    assert out.write(a.withColumn("v", F.lit("z")), "s-1") and out.write(a.limit(0), "s-2")  # nothing new, nothing at all
+    assert out.read().count() == 3 and out.manifests()["s-1"]["rows"] == 0
+    more = spark.createDataFrame([(i, "x") for i in range(20)], "k int, v string")
+    assert out.write(more, "s-3") and out.read().count() == 21
+    name = out.compact()
+    assert out.live() == [name] and out.read().count() == 21 and out.compact() is None
+    assert not out.write(more, "s-3") and out.write(more, "s-4") and out.read().count() == 21
+
+
+def test_a_crash_between_write_and_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    out = BucketedSink(spark, f"file://{tmp_path}/out", "k int, v string", ["k"], buckets=4)
+    a, b = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string"), spark.createDataFrame([(2, "b"), (3, "b")], "k int, v string")
+    out.write(a.where("k = 1"), "s-00")
+    out.write(a, "s-0")
+    with monkeypatch.context() as m:
+        m.setattr(out, "commit", lambda *_, **__: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            out.write(b.union(a.withColumn("k", F.lit(9))), "s-1")
+        with pytest.raises(ZeroDivisionError):
+            out.compact()
+    assert rows(out.read(), "k", "v") == [(1, "a"), (2, "a")]
+    assert out.write(b, "s-1") and rows(out.read(), "k", "v") == [(1, "a"), (2, "a"), (3, "b")]
+
+
+def test_only_touched_buckets_are_read(spark, tmp_path):
+    out = BucketedSink(spark, f"file://{tmp_path}/out", "k int", ["k"], buckets=8)
+    out.write(spark.range(200).select(F.col("id").cast("int").alias("k")), "s-0")
+    d = out._stored([3])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+[^\]]* 3", plan) and out.read().count() == 200
+    assert {r["f"].split("bucket=")[1][0] for r in d.select(F.input_file_name().alias("f")).distinct().collect()} == {"3"}
+
+
+def test_stream_ingest_restarts(spark, tmp_path):
+    src = f"file://{tmp_path}/in"
+    out = BucketedSink(spark, f"file://{tmp_path}/out", "k int, v string", ["k"], buckets=4)
+    a = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    for run in range(3):
+        (a if run else a.limit(2)).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_ingest(jobs.replay(spark, src, "k int, v string"), out, f"file://{tmp_path}/ckpt").awaitTermination(90)
+    assert rows(out.read(), "k", "v") == [(1, "a"), (2, "b")] and set(out.manifests()) == {"stream-0", "stream-1", "stream-2"}
+
+
+def test_status_of_events_out_of_order(spark, tmp_path):
+    """A key's events in the wrong order within the delay, a terminal status, a tie broken by place, a null key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema, src = "key string, event_id long, event_kind string, minute int", f"file://{tmp_path}/ev"
+        batches = [
+            [("g", 2, "RESOLVED", 5), ("h", 3, "ATTEMPTED", 1), (None, 4, "RAISED", 2)],
+            [("g", 1, "RAISED", 3), ("g", 5, "ATTEMPTED", 5), ("h", 6, "RAISED", 7), ("g", None, "RAISED", 1)],
+            [("x", 7, "CLOSE", 100)],
+            [("g", 8, "ATTEMPTED", 101), ("h", 9, "ABANDONED", 1)],  # the second is late, yet no later event of its key is judged
+            [("x", 10, "CLOSE", 300)],
+            [("x", 11, "CLOSE", 301)],
+        ]
+        for ev in batches:
+            d = spark.createDataFrame(ev, schema)
+            d.withColumn("occurred_at", F.timestamp_seconds(F.col("minute") * 60)).drop("minute").coalesce(1).write.mode("append").parquet(src)
+        stream = jobs.replay(spark, src, "key string, event_id long, event_kind string, occurred_at timestamp")
+        q = jobs.stream_status(stream, "10 minutes").writeStream.format("memory").queryName("status").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = rows(spark.table("status").where("event_id < 10 and event_kind <> 'CLOSE'"), "event_id", "previous", "accepted")
+    assert got == [(1, None, True), (2, "ATTEMPTED", True), (3, None, False), (4, None, True), (5, "RAISED", True), (6, None, True), (8, "RESOLVED", False), (9, None, False)]
