@@ -112,16 +112,17 @@ def list_order(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argsort((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1, kind="stable")
 
 
-def probe_and_depth(classes: DataFrame, codes: DataFrame, queries: DataFrame, books: Codebooks, centroids: np.ndarray, dim: int, k: int, recall: float, audit: int) -> tuple[int, int]:
+def probe_and_depth(classes: DataFrame, codes: DataFrame, queries: DataFrame, books: Codebooks, centroids: np.ndarray, dim: int, k: int, recall: float, audit: int) -> tuple[int, int, list[dict]]:
     """How many lists to look into, and how many of the best by looked-up distance there to measure, so that ``recall`` of
     the true ``k`` nearest classes are found; by brute force.
 
     At most ``audit`` queries (by hash) are compared with every class; then the codes with a smaller looked-up distance
-    than each true neighbour's are counted in the lists looked into. Only audit * k rows reach the driver.
+    than each true neighbour's are counted in the lists looked into. Only audit * k rows reach the driver; they are returned
+    too, as rows of qid and cid, so that what is found in the end can be held against them.
     """
     asked = queries.orderBy(F.xxhash64(F.lit("audit"), "c1"), "c2", "query_id").limit(audit).toPandas()
     if not len(asked):
-        return 1, k
+        return 1, k, []
     own, x = asked["own"].fillna(-1).to_numpy(), np.array(asked["embedding"].tolist())
 
     def exact(batches: Iterator) -> Iterator:
@@ -137,9 +138,9 @@ def probe_and_depth(classes: DataFrame, codes: DataFrame, queries: DataFrame, bo
 
     best = Window.partitionBy("q").orderBy("d", "cid")
     true = classes.select("cid", "embedding").mapInArrow(exact, "q long, cid long, d double").where("d < double('inf')").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    true = true.join(codes, "cid").select("q", "code", "norm", "list").toPandas()
+    true = true.join(codes, "cid").select("q", "cid", "code", "norm", "list").toPandas()
     if not len(true):
-        return 1, k
+        return 1, k, []
     share = 1 - (1 - recall) / 2
     place = np.argsort(list_order(x, centroids), axis=1)  # (query, list) -> how many lists are nearer
     tables, q = books.tables(x), true["q"].to_numpy()
@@ -160,12 +161,41 @@ def probe_and_depth(classes: DataFrame, codes: DataFrame, queries: DataFrame, bo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(edge))), pa.array(total)], ["i", "n"])
 
     depths = codes.select("code", "norm", "list").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()["n"]
-    return probes, (int(np.quantile(depths, share, method="higher")) + 1 if len(depths) else k)
+    known = [{"qid": int(asked["qid"][i]), "cid": int(c)} for i, c in zip(true["q"], true["cid"], strict=True)]
+    return probes, (int(np.quantile(depths, share, method="higher")) + 1 if len(depths) else k), known
+
+
+def _measured(queries: DataFrame, classes: DataFrame, n_queries: int, n_classes: int, dim: int, k: int, query_block: int = 2048, class_values: int = 1 << 21) -> DataFrame:
+    """(qid, cid) of the k + 1 classes truly nearest to each query, in double precision, ties by id; block by block."""
+    qbs, cbs = max(1, -(-n_queries // query_block)), -(-n_classes * dim // class_values)
+    block = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    qs = queries.select("qid", F.col("embedding").alias("x"), block("qid", qbs).alias("qb")).withColumn("cb", every(cbs))
+    cs = classes.select("cid", "id", F.col("embedding").alias("y"), block("cid", cbs).alias("cb")).withColumn("qb", every(qbs))
+
+    def scan(queries_, classes_):
+        import pyarrow as pa
+
+        found: tuple[list, ...] = ([], [], [], [])
+        if queries_.num_rows and classes_.num_rows:
+            cid, ids, y = classes_.column("cid").to_numpy(), classes_.column("id").to_numpy(), matrix(classes_.column("y").combine_chunks(), dim)
+            for qid, x in zip(queries_.column("qid").to_pylist(), matrix(queries_.column("x").combine_chunks(), dim), strict=True):
+                with np.errstate(over="ignore"):
+                    d = np.sqrt(((x - y) ** 2).sum(1))
+                at = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+                at = at[np.lexsort((cid[at], ids[at], d[at]))][: k + 1]
+                for column, value in zip(found, ([qid] * len(at), cid[at].tolist(), ids[at].tolist(), d[at].tolist()), strict=True):
+                    column += value
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64()), pa.array(found[3], pa.float64())], ["qid", "cid", "id", "score"])
+
+    best = Window.partitionBy("qid").orderBy("score", "id", "cid")
+    out = qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInArrow(scan, "qid long, cid long, id long, score double")
+    return out.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("qid", "cid")
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 128, recall: float = 0.97, audit: int = 64, sample: int = 16_384, stages: int = 24,
-    list_rows: int = 8192, max_lists: int = 4096, query_block: int = 2048, code_block: int = 65_536,
+    list_rows: int = 8192, max_lists: int = 4096, query_block: int = 2048, code_block: int = 65_536, least: float = 0.9, scale_bits: int = 12,
 ) -> DataFrame:
     """The ``k`` nearest of the rows of ``vectors`` to each row of ``queries`` by Euclidean distance, its own row left out.
 
@@ -175,7 +205,12 @@ def nearest(
     the nearest centroid. A query looks its distances up in the nearest lists, those of many rows block by block, and its
     best there are measured exactly, in double precision. How many lists and how many of the best is found by an audit
     against brute force (``probe_and_depth``), with ``rerank`` the least; a query goes on to further lists until they hold
-    that many classes.
+    that many classes. What is found for the audited queries is held against the truth, and below ``least`` lists and depth are
+    doubled, in the end up to all; so the recall that comes out is measured and not only aimed at.
+
+    Codes are for vectors whose largest component lies within 2 ** ``scale_bits`` of the median one, either way, and are worked
+    out on the vectors divided by it. Others are off the scale: they are measured exactly against all queries, and queries
+    off the scale against all classes, in blocks. That share of the table is brute force.
 
     Every row is a candidate of its own, whether or not it shares its id or its vector with others; only one row with the
     query's id and vector is left out, the query itself. Ties go to the smaller id. Equal query rows give equal answers,
@@ -188,9 +223,14 @@ def nearest(
     v, q = good(vectors), good(queries)
     dim = common_length(v)
     v, q = v.where(F.size("embedding") == dim), q.where(F.size("embedding") == dim)
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    middle = v.agg(F.percentile_approx(largest, 0.5)).first()[0]
+    unit = 2.0 ** np.floor(np.log2(middle)) if middle else 1.0  # a power of two, so that dividing by it is exact
+    odd = (largest > middle * 2.0**scale_bits) | (largest < middle / 2.0**scale_bits) if middle else F.lit(False)
     classes = v.groupBy("c1", "c2").agg(F.min("vec_id").alias("id"), F.first("embedding").alias("embedding"))
-    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    n = classes.count()
+    classes = staged(classes.withColumns({"cid": F.monotonically_increasing_id(), "odd": odd}), "vector-classes")
+    kinds = {r["odd"]: r["count"] for r in classes.groupBy("odd").count().collect()}
+    n, n_odd = kinds.get(False, 0), kinds.get(True, 0)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # no answer needs more than the k + 1 smallest ids of a class
@@ -198,8 +238,10 @@ def nearest(
     members = v.select("c1", "c2", "vec_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
     members = staged(members.join(classes.select("c1", "c2", "cid"), ["c1", "c2"]).select("cid", "vec_id", F.col("_r").alias("place")), "class-members")
     q = q.groupBy("vec_id", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.first("embedding").alias("embedding")).withColumnRenamed("vec_id", "query_id")
-    q = q.join(classes.select("c1", "c2", F.col("cid").alias("own")), ["c1", "c2"], "left").withColumn("qid", F.monotonically_increasing_id())
+    q = q.join(classes.select("c1", "c2", F.col("cid").alias("own")), ["c1", "c2"], "left").withColumns({"qid": F.monotonically_increasing_id(), "odd": odd})
     q = staged(q, "queries")
+    every_class, every_query, on_scale = classes, q, F.transform("embedding", lambda x: x / F.lit(float(unit)))
+    classes, q = (t.where("not odd").withColumn("embedding", on_scale) for t in (classes, q))
 
     lists = min(max_lists, -(-n // list_rows))
     size = max(sample, 16 * lists)
@@ -224,60 +266,79 @@ def nearest(
     sizes = np.zeros(len(fitted.value[1]), np.int64)
     for r in codes.groupBy("list").count().collect():  # a row per list, ``max_lists`` at most
         sizes[r["list"]] = r["count"]
-    probes, depth = probe_and_depth(classes, codes, q, *fitted.value, dim, k, recall, audit)
+    probes, depth, known = probe_and_depth(classes, codes, q, *fitted.value, dim, k, recall, audit)
     depth = max(rerank, depth)
-
-    def probe(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        centroids = fitted.value[1]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                order = list_order(matrix(part.column(1), dim), centroids)
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                r, c = np.nonzero(((np.arange(len(sizes)) < probes) | (before <= depth)) & (sizes[order] > 0))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(order[r, c].astype(np.int32))], ["qid", "list"])
-
-    asked = staged(q.select("qid", "embedding").mapInArrow(probe, "qid long, list int"), "probes")
-    blocks = [{"list": r["list"], "cbs": int(-(-sizes[r["list"]] // code_block)), "qbs": int(-(-r["count"] // query_block))} for r in asked.groupBy("list").count().collect()]
-    blocks = F.broadcast(literal_rows(spark, blocks, "list int, cbs int, qbs int"))
-    block = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.col(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    qs = asked.join(blocks, "list").join(q.select("qid", "embedding"), "qid").withColumn("qb", block("qid", "qbs")).withColumn("cb", every("cbs")).drop("cbs", "qbs")
-    cs = codes.join(blocks, "list").withColumn("cb", block("cid", "cbs")).withColumn("qb", every("qbs")).drop("cbs", "qbs")
-
-    def scan(queries_, codes_):
-        import pyarrow as pa
-
-        ids, qid = codes_.column("cid").to_numpy(), queries_.column("qid").to_numpy()
-        found = ([], [], [])
-        if len(ids) and len(qid):
-            order = np.argsort(ids, kind="stable")
-            ids, c = ids[order], np.frombuffer(b"".join(codes_.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            norm = codes_.column("norm").to_numpy()[order].astype(np.float32)
-            x = matrix(queries_.column("embedding").combine_chunks(), dim)
-            keep = min(depth, len(ids))
-            step = max(1, min(64, (1 << 22) // len(ids)))
-            for i in range(0, len(x), step):
-                t = fitted.value[0].tables(x[i : i + step])
-                d = np.broadcast_to(norm, (len(t), len(ids))).copy()
-                for m in range(c.shape[1]):
-                    d -= 2 * t[:, m, c[:, m]]
-                top = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                for r in range(len(t)):
-                    at = np.flatnonzero(d[r] <= top[r])  # in order of id, with all ties at the edge
-                    at = at[np.argsort(d[r][at], kind="stable")][:keep]
-                    found[0].append(np.full(len(at), qid[i + r]))
-                    found[1].append(ids[at])
-                    found[2].append(d[r][at])
-        flat = [np.concatenate(f) if f else np.zeros(0) for f in found]
-        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float32())], ["qid", "cid", "near"])
-
-    near = qs.groupBy("list", "qb", "cb").cogroup(cs.groupBy("list", "qb", "cb")).applyInArrow(scan, "qid long, cid long, near float")
-    per_query = Window.partitionBy("qid").orderBy("near", "cid")
-    near = staged(near.withColumn("_r", F.row_number().over(per_query)).where(F.col("_r") <= depth).select("qid", "cid"), "near")
-    discard(codes, asked)
+    known = literal_rows(spark, known, "qid long, cid long") if known else None
+
+    def search(probes: int, depth: int) -> DataFrame:
+        """(qid, cid) of the ``depth`` classes nearest by code to each query in its ``probes`` nearest lists."""
+
+        def probe(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            centroids = fitted.value[1]
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1024):
+                    part = batch.slice(i, 1024)
+                    order = list_order(matrix(part.column(1), dim), centroids)
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    r, c = np.nonzero(((np.arange(len(sizes)) < probes) | (before <= depth)) & (sizes[order] > 0))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(order[r, c].astype(np.int32))], ["qid", "list"])
+
+        asked = staged(q.select("qid", "embedding").mapInArrow(probe, "qid long, list int"), "probes")
+        blocks = [{"list": r["list"], "cbs": int(-(-sizes[r["list"]] // code_block)), "qbs": int(-(-r["count"] // query_block))} for r in asked.groupBy("list").count().collect()]
+        blocks = F.broadcast(literal_rows(spark, blocks, "list int, cbs int, qbs int"))
+        block = lambda c, m: F.pmod(F.xxhash64(F.lit("block"), c), F.col(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        qs = asked.join(blocks, "list").join(q.select("qid", "embedding"), "qid").withColumn("qb", block("qid", "qbs")).withColumn("cb", every("cbs")).drop("cbs", "qbs")
+        cs = codes.join(blocks, "list").withColumn("cb", block("cid", "cbs")).withColumn("qb", every("qbs")).drop("cbs", "qbs")
+
+        def scan(queries_, codes_):
+            import pyarrow as pa
+
+            ids, qid = codes_.column("cid").to_numpy(), queries_.column("qid").to_numpy()
+            found = ([], [], [])
+            if len(ids) and len(qid):
+                order = np.argsort(ids, kind="stable")
+                ids, c = ids[order], np.frombuffer(b"".join(codes_.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+                norm = codes_.column("norm").to_numpy()[order].astype(np.float32)
+                x = matrix(queries_.column("embedding").combine_chunks(), dim)
+                keep = min(depth, len(ids))
+                step = max(1, min(64, (1 << 22) // len(ids)))
+                for i in range(0, len(x), step):
+                    t = fitted.value[0].tables(x[i : i + step])
+                    d = np.broadcast_to(norm, (len(t), len(ids))).copy()
+                    for m in range(c.shape[1]):
+                        d -= 2 * t[:, m, c[:, m]]
+                    top = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+                    for r in range(len(t)):
+                        at = np.flatnonzero(d[r] <= top[r])  # in order of id, with all ties at the edge
+                        at = at[np.argsort(d[r][at], kind="stable")][:keep]
+                        found[0].append(np.full(len(at), qid[i + r]))
+                        found[1].append(ids[at])
+                        found[2].append(d[r][at])
+            flat = [np.concatenate(f) if f else np.zeros(0) for f in found]
+            return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float32())], ["qid", "cid", "near"])
+
+        near = qs.groupBy("list", "qb", "cb").cogroup(cs.groupBy("list", "qb", "cb")).applyInArrow(scan, "qid long, cid long, near float")
+        per_query = Window.partitionBy("qid").orderBy("near", "cid")
+        near = staged(near.withColumn("_r", F.row_number().over(per_query)).where(F.col("_r") <= depth).select("qid", "cid"), "near")
+        discard(asked)
+        return near
+
+    near = search(probes, depth)
+    while known is not None and (probes < lists or depth < n) and near.join(known, ["qid", "cid"], "left_semi").count() < least * known.count():
+        discard(near)
+        probes, depth = min(lists, 2 * probes), min(n, 2 * depth)
+        near = search(probes, depth)
+    discard(codes)
+    classes, q = every_class, every_query
+    # the queries off the scale against all classes, the other queries against the classes off the scale
+    n_far = q.where("odd").count()
+    if n_far:
+        near = near.unionByName(_measured(q.where("odd"), classes, n_far, n + n_odd, dim, k))
+    if n_odd:
+        near = near.unionByName(_measured(q.where("not odd"), classes.where("odd"), q.where("not odd").count(), n_odd, dim, k))
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -104,3 +104,36 @@ def test_graph_odd(spark):
     got = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(frame(spark, ODD)).collect() if r["vec_id"] is not None)
     assert got == [(0, 2, 0, True), (1, 2, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (100, 2, 0, False), (200, 0, 200, True)]
     assert vectors.near_vectors(frame(spark, ODD).limit(0)).count() == 0
+
+
+def _recall(rows, got, k=10):
+    ids, m = np.array([i for i, _ in rows]), np.stack([e for _, e in rows]).astype(float)
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(1))
+        want = [i for i in ids[np.lexsort((ids, d))] if i != q][:k]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r for r, _, _ in mine] == list(range(1, k + 1))
+        assert all(np.isclose(s, d[ids == v][0], rtol=1e-12) for _, v, s in mine)
+        hit, total = hit + len({v for _, v, _ in mine} & set(want)), total + k
+    return hit / total
+
+
+def test_search_of_any_finite_scale(spark):
+    """Components of 1e22 and of 1e-22 among the candidates, among the queries, and in half of all rows."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 16))
+    far = np.arange(1500) % 25 == 3
+    for scale in (np.where(far, 1e22, 1), np.where(np.arange(1500) % 100 == 0, 1e22, 1), np.where(far, 1e-22, 1), np.where(np.arange(1500) % 2, 1e15, 1)):
+        rows = list(enumerate((x * scale[:, None]).astype(np.float32)))
+        df = frame(spark, rows)
+        assert _recall(rows, vectors.nearest(df, df.where("vec_id % 100 = 0")).collect()) >= 0.9
+
+
+def test_recall_of_the_search_is_enforced(spark, monkeypatch):
+    """An audit that asks for far too little is made up for."""
+    rng = np.random.default_rng(13)
+    rows = list(enumerate(rng.normal(size=(1500, 16)).astype(np.float32)))
+    df, audit = frame(spark, rows), vectors.probe_and_depth
+    monkeypatch.setattr(vectors, "probe_and_depth", lambda *a: (1, 1, audit(*a)[2]))
+    assert _recall(rows, vectors.nearest(df, df.where("vec_id % 100 = 0"), rerank=2, list_rows=200).collect()) >= 0.85
