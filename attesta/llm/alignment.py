@@ -20,7 +20,7 @@ from .tokens import _byte_chars
 CACHE = 400_000  # chunks that a Python worker remembers at most, and their bytes
 CACHE_BYTES = 1 << 25
 ROWS = 8192  # documents of a container: the reach of one bitmap
-POSTINGS = 1 << 22  # a container is closed earlier when it holds so many
+POSTINGS = 1 << 21  # a container is closed earlier when it holds so many
 
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A chunk starts with a space or line end behind something that is not white space: no token of either kind crosses that.
@@ -287,7 +287,7 @@ def inverted(docs: DataFrame, byte_bpe: str, pieces: str, keep_groups: bool) ->
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for i, j in slices(buffers(texts)[1], 1 << 22):
+            for i, j in slices(buffers(texts)[1], 1 << 21):
                 while i < j:
                     if place == ROWS or held > POSTINGS:
                         yield from close()
