@@ -9,7 +9,8 @@ from attesta.functions import config as cfg
 from attesta.plans import research as res
 from attesta.plans import witnesses as wit
 from attesta.plans.catalog import _LIFE, _LOC, lifecycle, query
-from attesta.sources import io
+from attesta.sources import io, providers
+from attesta.sources.bodies import BodyStore
 from attesta.streaming import jobs
 from attesta.streaming.sink import BucketedSink
 
@@ -174,3 +175,101 @@ def _(t):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     d = spark.read.schema(jobs.STATUS).parquet(out).where("key <> ''")
     return d.select(F.col("key").cast("long").alias("gap_id"), "event_id", "event_kind", "previous", "accepted")
+
+
+# --- file sources -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "src01_snapshots",
+    """with c as (select c_nationkey n, count(*) m, max(c_acctbal) b from customer group by 1) select n nation, case n % 6 when 1 then 'NOT_UTF8' when 2 then 'MALFORMED' when 3 then 'NOT_OBJECT' when 4 then 'NO_METADATA' end reason,
+case when n % 6 in (0, 5) then m else 0 end n_markets, case when n % 6 in (0, 5) then b end best, case when n % 6 = 1 then '2' end bad_byte from c""",
+)
+def _(t):
+    """A document for each nation with its customers as markets, four of six damaged, each in a way of its own."""
+    c = t("customer")
+    spark, n = c.sparkSession, F.col("nation")
+    market = F.struct(F.col("c_name").alias("country"), F.create_map(F.lit("gdp"), F.col("c_acctbal")).alias("raw"))
+    d = c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.collect_list(market).alias("markets"))
+    whole = F.to_json(F.struct(F.struct(F.lit("t").alias("title")).alias("metadata"), "markets"))
+    bare = F.to_json(F.struct("markets"))
+    broken = F.concat(F.expr("cast(X'7BFF' as string)"), whole)
+    value = F.when(n % 6 == 1, broken).when(n % 6 == 2, F.expr("substring(doc, 1, length(doc) - 2)")).when(n % 6 == 3, F.concat(F.lit("["), F.col("doc"), F.lit("]"))).when(n % 6 == 4, bare).otherwise(F.col("doc"))
+    path = io.scratch(spark, "snapshots")
+    d.withColumn("doc", whole).select("nation", value.alias("value")).repartition("nation").write.partitionBy("nation").text(path)
+    got = io.read_snapshot(spark, f"{path}/*/*.txt")
+    nation = F.regexp_extract("file", "nation=([0-9]+)", 1).cast("int").alias("nation")
+    markets = got["markets"].groupBy(nation).agg(F.count(F.lit(1)).alias("n_markets"), F.max(F.col("raw")["gdp"]).alias("best"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("bad_byte"))
+    bad = got["rejects"].select(nation, "reason", F.when(F.col("reason") == "NOT_UTF8", F.col("position")).alias("bad_byte"), F.lit(0).cast("long").alias("n_markets"), F.lit(None).cast("double").alias("best"))
+    return markets.unionByName(bad).select("nation", "reason", "n_markets", "best", "bad_byte")
+
+
+@query(
+    "src02_directory",
+    """select case when s_suppkey % 11 in (0, 5) then null else 'S' || s_suppkey end external_id, case s_suppkey % 11 when 0 then 'MALFORMED' when 5 then 'NO_STABLE_KEY' end problem,
+case when s_suppkey % 11 <> 0 then s_name end legal_name, case when s_suppkey % 11 <> 0 then 'n' || s_nationkey end country, case when s_suppkey % 11 <> 0 then s_suppkey % 50 end employee_count_min,
+case when s_suppkey % 11 <> 0 then sha256('{"employees":{"min":' || s_suppkey % 50 || '},"legal_name":"' || s_name || '","location":{"country":"n' || s_nationkey || '"}}')
+  else sha256('[' || s_suppkey || ']') end content_hash from supplier""",
+)
+def _(t):
+    """Suppliers as a provider's JSON lines, in two orders of keys; every eleventh is no object, and as many have no id."""
+    s, spark = t("supplier"), t("supplier").sparkSession
+    k = F.col("s_suppkey")
+    place, staff = F.struct(F.concat(F.lit("n"), "s_nationkey").alias("country")).alias("location"), F.struct((k % 50).alias("min")).alias("employees")
+    own = F.when(k % 11 != 5, F.concat(F.lit("S"), k)).alias("external_id")
+    name = F.col("s_name").alias("legal_name")
+    one, two = F.to_json(F.struct(own, F.struct(name, place, staff).alias("payload"))), F.to_json(F.struct(F.struct(staff, place, name).alias("payload"), own))
+    line = F.when(k % 11 == 0, F.concat(F.lit("["), k, F.lit("]"))).when(k % 2 == 0, one).otherwise(two)
+    path = io.scratch(spark, "directory")
+    s.select(line.alias("value")).write.text(path)
+    return providers.candidates(spark, providers.JSON_DIRECTORY, path).select("external_id", "problem", "legal_name", "country", "employee_count_min", "content_hash")
+
+
+@query(
+    "src03_export",
+    """select case when c_custkey % 9 <> 0 then sha256('1|c' || c_custkey % 1000 || '.example') end external_id, case when c_custkey % 9 = 0 then 'NO_STABLE_KEY' end problem, c_name legal_name,
+case when c_custkey % 9 <> 0 then 'c' || c_custkey % 1000 || '.example' end registrable_domain, case when c_custkey % 4 <> 0 then c_custkey % 30 end employee_count_min from customer""",
+)
+def _(t):
+    """Customers as a CSV export: blank domains have no stable key, numbers that are none are null."""
+    c, spark = t("customer"), t("customer").sparkSession
+    k = F.col("c_custkey")
+    domain = F.when(k % 9 == 0, "  ").otherwise(F.concat(F.lit(" C"), k % 1000, F.lit(".Example ")))
+    d = c.select(F.concat(F.lit(" "), "c_name").alias("company"), domain.alias("domain"), F.col("c_nationkey").cast("string").alias("country"), F.lit("").alias("city"), F.lit("1").alias("zip"), F.when(k % 4 == 0, "many").otherwise((k % 30).cast("string")).alias("staff_min"), F.lit(None).cast("string").alias("staff_max"), F.lit('a "quoted", cell').alias("other"))
+    path = io.scratch(spark, "export")
+    d.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return providers.candidates(spark, providers.CSV_EXPORT, path).select("external_id", "problem", "legal_name", "registrable_domain", "employee_count_min")
+
+
+@query(
+    "src04_targets",
+    "with n as (select *, row_number() over (order by c_custkey) + 1 line from customer) select line, case when c_custkey % 7 <> 0 then c_name end company_name, case when c_custkey % 7 <> 0 and c_custkey % 2 = 0 then 'c' || c_custkey || '.example' end canonical_domain, case when c_custkey % 7 = 0 then 'no company_name' end problem from n",
+)
+def _(t):
+    """Customers in order as a target list with an unknown column; every seventh has a blank name."""
+    c, spark = t("customer"), t("customer").sparkSession
+    k = F.col("c_custkey")
+    d = c.select(k, F.when(k % 2 == 0, F.concat(F.lit("c"), k, F.lit(".example"))).otherwise("").alias("canonical_domain"), F.lit("x, y").alias("note"), F.when(k % 7 == 0, "  ").otherwise(F.col("c_name")).alias("company_name"))
+    path = io.scratch(spark, "targets")
+    d.orderBy("c_custkey").coalesce(1).drop("c_custkey").write.option("header", True).csv(path)
+    good, bad = io.read_cohort(spark, path)
+    none = F.lit(None).cast("string")
+    return good.select("line", "company_name", "canonical_domain", none.alias("problem")).unionByName(bad.select("line", none.alias("company_name"), none.alias("canonical_domain"), "problem"))
+
+
+@query(
+    "src05_bodies",
+    "select page_id, sha256(html) body_sha256, case when substr(sha256(html), 1, 1) < '4' then 'PRUNED' else 'RETAINED' end state, case when substr(sha256(html), 1, 1) >= '4' then octet_length(encode(html)) end size, case when substr(sha256(html), 1, 1) >= '4' then sha256(html) end again from pages",
+)
+def _(t):
+    """The bodies of all pages, stored in two batches of which one comes twice; a quarter of the digests is pruned."""
+    p, spark = t("pages"), t("pages").sparkSession
+    store = BodyStore(spark, io.scratch(spark, "bodies"), buckets=8)
+    half = F.col("page_id") % 2
+    for i in (0, 1, 0):
+        store.put(p.where(half == i).select("page_id", "html"), "html", f"pages-{i}")
+    wanted = p.select("page_id", F.sha2("html", 256).alias("body_sha256"))
+    store.prune(wanted.where("body_sha256 < '4'").select("body_sha256"), F.lit("2024-05-01").cast("timestamp"), "first")
+    store.vacuum()
+    store.put(p.where(half == 0).select("page_id", "html"), "html", "pages-again")
+    return store.status(wanted).select("page_id", "body_sha256", "state", "size", F.sha2("body", 256).alias("again"))

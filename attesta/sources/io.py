@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,7 @@ SNAPSHOT = (
     "metadata struct<title:string,generated_date:string,universe_size:int,score_version:string>, source_catalog map<string,struct<title:string,url:string,publisher:string>>, "
     "markets array<struct<country:string,region:string,raw:map<string,double>,subscores:map<string,double>,market_score:double,rank:int,market_categories:array<string>,confidence_level:string,sources:array<string>>>, "
     "home_market_benchmark struct<country:string,region:string,raw:map<string,double>,subscores:map<string,double>,market_score:double,sources:array<string>>, "
-    "excluded_from_top50_but_in_normalization_universe array<struct<country:string,market_score:double>>, _corrupt_record string"
+    "excluded_from_top50_but_in_normalization_universe array<struct<country:string,market_score:double>>"
 )
 
 
@@ -22,18 +24,44 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _json_position(raw: pd.Series) -> pd.DataFrame:
+    """Where a text stops being JSON: message, line and column. It runs on rejected documents alone."""
+    rows = []
+    for x in raw:
+        try:
+            json.loads(x)
+            rows.append((None, None, None))
+        except json.JSONDecodeError as e:
+            rows.append((e.msg, e.lineno, e.colno))
+    return pd.DataFrame(rows, columns=["message", "line", "col"])
+
+
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One nested JSON document as tables: markets, home, excluded, sources, metadata and rejects."""
-    raw = spark.read.schema(SNAPSHOT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    raw = raw.withColumn("file", F.input_file_name())
-    ok = raw.where("_corrupt_record is null and metadata is not null")
+    """Nested JSON documents, one a file, as tables: markets, home, excluded, sources, metadata and rejects.
+
+    Rejects (file, reason, position) are files whose bytes are no UTF-8 (NOT_UTF8, with the first bad byte, from 1), that are no
+    JSON (MALFORMED, with line and column), that hold no object (NOT_OBJECT) or no metadata (NO_METADATA). Spark passes over
+    files without a byte.
+    """
+    d = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
+    v = F.try_parse_json("text")
+    reason = F.when(~F.is_valid_utf8("text"), "NOT_UTF8").when(v.isNull(), "MALFORMED").when(~F.schema_of_variant(v).startswith("OBJECT"), "NOT_OBJECT")
+    d = d.withColumn("reason", reason).withColumn("doc", F.when(F.col("reason").isNull(), F.from_json("text", SNAPSHOT)))
+    d = d.withColumn("reason", F.coalesce("reason", F.when(F.col("doc.metadata").isNull(), "NO_METADATA")))
+    ok = d.where("reason is null").select("file", "doc.*")
+    bad = d.where("reason is not null")
+    good_part = F.substring_index(F.make_valid_utf8("text"), "\ufffd", 1)
+    at = F.pandas_udf(_json_position, "message string, line int, col int")
+    where = lambda j: F.concat(j["message"], F.lit(" (line "), j["line"], F.lit(", column "), j["col"], F.lit(")"))
+    rejects = bad.where("reason <> 'MALFORMED'").select("file", "reason", F.when(F.col("reason") == "NOT_UTF8", (F.octet_length(good_part) + 1).cast("string")).alias("position"))
+    rejects = rejects.unionByName(bad.where("reason = 'MALFORMED'").withColumn("j", at("text")).select("file", "reason", where(F.col("j")).alias("position")))
     return {
-        "markets": ok.select(F.explode("markets").alias("m")).select("m.*"),
-        "home": ok.where("home_market_benchmark is not null").select("home_market_benchmark.*"),
-        "excluded": ok.select(F.explode("excluded_from_top50_but_in_normalization_universe").alias("m")).select("m.*"),
-        "sources": ok.select(F.explode("source_catalog").alias("source_key", "s")).select("source_key", "s.*"),
-        "metadata": ok.select("metadata.*"),
-        "rejects": raw.where("_corrupt_record is not null or metadata is null").select("file", "_corrupt_record"),
+        "markets": ok.select("file", F.explode("markets").alias("m")).select("file", "m.*"),
+        "home": ok.where("home_market_benchmark is not null").select("file", "home_market_benchmark.*"),
+        "excluded": ok.select("file", F.explode("excluded_from_top50_but_in_normalization_universe").alias("m")).select("file", "m.*"),
+        "sources": ok.select("file", F.explode("source_catalog").alias("source_key", "s")).select("file", "source_key", "s.*"),
+        "metadata": ok.select("file", "metadata.*"),
+        "rejects": rejects,
     }
 
 
@@ -50,15 +78,37 @@ def read_provider_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(text("company").alias("legal_name"), text("domain").alias("website_domain"), text("country").alias("country"), text("city").alias("city"), text("zip").alias("postal_code"), number("staff_min").alias("employees_min"), number("staff_max").alias("employees_max"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their true numbers, from 1, however the files are split.
+
+    Lines of a split stand together in their task; the counts of the splits before it in the file are summed up.
+    """
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    d = staged(d, "lines")
+    sizes = d.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "split", "first", before.alias("before"))
+    return d.join(starts, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_cohort(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems) of a target list; unknown columns are ignored, and a file without company_name is refused."""
-    raw = spark.read.option("header", True).csv(path)
-    if "company_name" not in raw.columns:
-        raise ValueError("a target list needs the column company_name")
-    known = [c for c in ("company_name", "canonical_domain", "website_url", "source_id") if c in raw.columns]
-    rows = raw.select(*[F.trim(c).alias(c) for c in known])
-    blank = F.coalesce(F.col("company_name") == "", F.lit(True))
-    return rows.where(~blank), rows.where(blank).withColumn("problem", F.lit("company_name is blank"))
+    """(rows, problems) of target lists in CSV, each with its file and line.
+
+    Every file has a header of its own; columns may stand in any order, and unknown ones are ignored. A file without
+    company_name is refused. A row without a name is a problem; blank lines are none. A record is a line.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    width = lines.where("line = 1").agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    cells = F.array(*(F.col("v")[f"c{i}"] for i in range(width)))
+    d = lines.withColumn("v", F.from_csv(F.regexp_replace("value", "^\ufeff", ""), ", ".join(f"c{i} string" for i in range(width)))).select("file", "line", F.transform(cells, lambda c: F.trim(c)).alias("cells"))
+    heads = d.where("line = 1").select("file", F.col("cells").alias("names"))
+    without = [r["file"] for r in heads.where(~F.coalesce(F.array_contains("names", "company_name"), F.lit(False))).select("file").limit(5).collect()]
+    if without:
+        raise ValueError(f"a target list needs the column company_name: {', '.join(without)}")
+    d = d.where("line > 1").join(heads, "file")
+    cell = lambda c: F.nullif(F.get(F.col("cells"), (F.array_position("names", c) - 1).cast("int")), F.lit(""))
+    rows = d.select("file", "line", *(F.when(F.array_contains("names", c), cell(c)).alias(c) for c in ("company_name", "canonical_domain", "website_url", "source_id")))
+    return rows.where("company_name is not null"), rows.where("company_name is null").select("file", "line", F.lit("no company_name").alias("problem"))
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:

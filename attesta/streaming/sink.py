@@ -95,10 +95,12 @@ class BucketedSink:
         """Rewrite the rows of all live batches as one batch. The old folders go after the commit; a crash before it leaves
         them in force. Their manifests stay, so that a late replay of one of them still adds nothing."""
         live = self.live()
-        if len(live) < 2:
-            return None
+        return self.replace(live, self._stored()) if len(live) > 1 else None
+
+    def replace(self, live: list[str], rows: DataFrame) -> str:
+        """One new batch of ``rows`` (with bucket) in place of the batches ``live``."""
         batch = f"compact-{uuid.uuid4().hex}"
-        self.commit(batch, *self._put(batch, self._stored()), replaces=live)
+        self.commit(batch, *self._put(batch, rows), replaces=live)
         for b in live:
             self._fs.delete(self._path(f"data/batch={b}"), True)
         return batch

@@ -9,6 +9,8 @@ from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
 from attesta.plans import witnesses as wit
+from attesta.sources import io, providers
+from attesta.sources.bodies import BodyStore
 from attesta.streaming import jobs
 from attesta.streaming.sink import BucketedSink
 
@@ -178,3 +180,76 @@ def test_status_of_events_out_of_order(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = rows(spark.table("status").where("event_id < 10 and event_kind <> 'CLOSE'"), "event_id", "previous", "accepted")
     assert got == [(1, None, True), (2, "ATTEMPTED", True), (3, None, False), (4, None, True), (5, "RAISED", True), (6, None, True), (8, "RESOLVED", False), (9, None, False)]
+
+
+# --- file sources -----------------------------------------------------------------------------------------------------
+
+
+def test_providers_keep_their_contract(spark, tmp_path):
+    caps = {r["provider"]: r for r in providers.capabilities(spark).collect()}
+    assert caps["csv_export"]["key_fields"] == ["registrable_domain"] and caps["json_directory"]["identity_capability"] == "NATIVE_EXTERNAL_ID" and caps["scrape"]["key_version"] is None
+    lines = ['{"external_id":" e1 ","payload":{"legal_name":"A","employees":{"min":2},"registry_ids":{"x":"1"}}}', "", '{ "payload":{"registry_ids":{"x":"1"}, "employees":{"min":2},"legal_name":"A"},"external_id":"e2"}', "{broken", "[1]", '{"payload":{"legal_name":"B"}}']
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.json").write_text("\n".join(lines))
+    d = providers.candidates(spark, providers.JSON_DIRECTORY, f"file://{tmp_path}/d")
+    assert [c for c in providers.CANDIDATE if c not in d.columns] == []
+    got = d.orderBy("body").collect()
+    by = {r["external_id"]: r for r in got}
+    assert len(got) == 5 and by["e1"]["content_hash"] == by["e2"]["content_hash"] and by["e1"]["employee_count_min"] == 2 and by["e1"]["registry_ids"] == {"x": "1"}
+    assert sorted(str(r["problem"]) for r in got) == ["MALFORMED", "MALFORMED", "NO_STABLE_KEY", "None", "None"]
+    (tmp_path / "e.csv").write_text('company,domain,country,city,zip,staff_min,staff_max\nA,"a.com ",US,,1,5,x\nB,A.COM,US,,1,5,x\nC,,US,,1,5,x\n"D, E",d.com,US,,1,5\n')
+    got = {r["legal_name"]: r for r in providers.candidates(spark, providers.CSV_EXPORT, f"file://{tmp_path}/e.csv").collect()}
+    assert got["A"]["external_id"] == got["B"]["external_id"] != got["C"]["external_id"] and got["C"]["problem"] == "NO_STABLE_KEY" and got[None]["problem"] == "MALFORMED"
+    assert (got["A"]["registrable_domain"], got["A"]["city"], got["A"]["employee_count_min"], got["A"]["employee_count_max"]) == ("a.com", None, 5, None)
+    (tmp_path / "s.json").write_text('{"title":"T","tags":["x"]}\n{"tags":["x"],"title":"T"}\n{"title":"U"}')
+    got = providers.candidates(spark, providers.SCRAPE, f"file://{tmp_path}/s.json").collect()
+    assert len({r["external_id"] for r in got}) == 2 and all(r["external_id"] == r["content_hash"] for r in got)
+
+
+def test_target_lists_have_true_lines(spark, tmp_path):
+    """Files cut into small splits, each with its own order of columns; blank lines and a byte-order mark."""
+    text = "﻿other,company_name,source_id\n" + "".join(f'"x, {i}",{" " if i % 10 == 3 else f"name {i}"},s{i}\n' + ("\n" if i % 50 == 0 else "") for i in range(1000))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.csv").write_text(text)
+    (tmp_path / "t/b.csv").write_text("company_name\nonly\n\n \n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        good, bad = io.read_cohort(spark, f"file://{tmp_path}/t")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    want = {(i + 1, line) for i, line in enumerate(text.split("\n")) if line.strip()}
+    a = {(r["line"], r["company_name"], r["source_id"]) for r in good.where("file like '%a.csv'").collect()}
+    assert a == {(n, x.split(",")[2], x.split(",")[3]) for n, x in want if n > 1 and x.split(",")[2].strip()}
+    assert {r["line"] for r in bad.collect()} == {n for n, x in want if n > 1 and not x.split(",")[2].strip()} and len(a) == 900
+    assert rows(good.where("file like '%b.csv'"), "line", "company_name", "source_id") == [(2, "only", None)]
+    (tmp_path / "t/c.csv").write_text("name\nx\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        io.read_cohort(spark, f"file://{tmp_path}/t")
+
+
+def test_snapshots_are_rejected_with_their_place(spark, tmp_path):
+    files = {"ok": b'{"metadata":{"title":"t"},"markets":[{"country":"A"}]}', "utf": b'{"metadata":{"title":"\xc3\xa9\xff"}}', "bad": b'{"metadata":\n {"title":}}', "list": b"[1]", "bare": b'{"markets":[]}', "blank": b" \n"}
+    for name, body in files.items():
+        (tmp_path / f"{name}.json").write_bytes(body)
+    t = io.read_snapshot(spark, f"file://{tmp_path}/*.json")
+    got = {r["file"].split("/")[-1][:-5]: (r["reason"], r["position"]) for r in t["rejects"].collect()}
+    assert got["utf"] == ("NOT_UTF8", "25") and got["list"] == ("NOT_OBJECT", None) and got["bare"] == ("NO_METADATA", None) and set(got) == set(files) - {"ok"}
+    assert got["bad"][0] == "MALFORMED" and "(line 2, column 11)" in got["bad"][1] and got["blank"][0] == "MALFORMED" and t["markets"].count() == 1
+
+
+def test_pruned_bodies_are_refused(spark, tmp_path):
+    store = BodyStore(spark, f"file://{tmp_path}/b", buckets=2)
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, None), (5, "")], "id int, html string")
+    put = store.put(docs, "html", "one")
+    assert put.columns == ["id", "body_sha256"] and store.bodies.read().count() == 3
+    x = put.where("id = 1").select("body_sha256")
+    assert bytes(store.require(x).first()["body"]) == b"x"
+    store.prune(x, F.lit("2024-01-02").cast("timestamp"), "p")
+    store.vacuum()
+    store.put(docs, "html", "two")
+    assert rows(store.status(put), "id", "state", "size") == [(1, "PRUNED", None), (2, "RETAINED", 1), (3, "PRUNED", None), (4, "ABSENT", None), (5, "RETAINED", 0)]
+    with pytest.raises(Exception, match="was pruned at 2024-01-02"):
+        store.require(x).collect()
+    with pytest.raises(Exception, match="no body q"):
+        store.require(spark.createDataFrame([("q",)], "body_sha256 string")).collect()
