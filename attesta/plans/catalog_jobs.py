@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
+from attesta.plans import scoring as sc
 from attesta.plans import witnesses as wit
-from attesta.plans.catalog import _LIFE, _LOC, lifecycle, query
+from attesta.plans.catalog import _LIFE, _LOC, _OBS_SQL, lifecycle, observations, query
 from attesta.sources import io, providers
 from attesta.sources.bodies import BodyStore
 from attesta.streaming import jobs
@@ -273,3 +274,64 @@ def _(t):
     store.vacuum()
     store.put(p.where(half == 0).select("page_id", "html"), "html", "pages-again")
     return store.status(wanted).select("page_id", "body_sha256", "state", "size", F.sha2("body", 256).alias("again"))
+
+
+# --- universes, thresholds, history -----------------------------------------------------------------------------------
+
+
+@query("sc14_members", _OBS_SQL + ' select metric_key, market_key from obs where "value" is not null')
+def _(t):
+    return sc.members_of(*sc.universe_members(observations(t))).select("metric_key", "market_key")
+
+
+@query(
+    "sc14_unions",
+    _OBS_SQL + """, um as (select distinct metric_key, market_key from obs where "value" is not null), k as (select distinct metric_key from um)
+select a.metric_key, b.metric_key other, count(distinct um.market_key) observed from k a, k b, um where a.metric_key < b.metric_key and um.metric_key in (a.metric_key, b.metric_key) group by 1, 2""",
+)
+def _(t):
+    """Observed markets of every two metrics together, from their bitmaps."""
+    members, _ = sc.universe_members(observations(t))
+    members = io.staged(members, "universe")
+    names = sorted(r["metric_key"] for r in members.select("metric_key").distinct().collect())
+    pair = F.array(*(F.struct(F.lit(a).alias("metric_key"), F.lit(b).alias("other")) for i, a in enumerate(names) for b in names[i + 1 :]))
+    d = members.withColumnRenamed("metric_key", "m").withColumn("p", F.explode(F.filter(pair, lambda p: (p["metric_key"] == F.col("m")) | (p["other"] == F.col("m")))))
+    return d.groupBy("p", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("members")).alias("n")).groupBy("p").agg(F.sum("n").alias("observed")).select("p.*", "observed")
+
+
+@query("sc26_thresholds", "select o_orderkey, coalesce(case when o_orderkey % 3 = 0 then (o_orderkey % 100) / 100.0 end, case when o_custkey % 2 = 0 then 0.7 end, 0.5)::double least from orders")
+def _(t):
+    k = F.col("o_orderkey")
+    request, model = F.when(k % 3 == 0, (k % 100) / 100.0), F.when(F.col("o_custkey") % 2 == 0, 0.7)
+    return t("orders").select("o_orderkey", sc.resolve_threshold(request, model, 0.5).alias("least"))
+
+
+@query(
+    "rs45_timeline",
+    """with e as (select *, case event_type when 'click' then event_id % 150 end target from events), r as (
+select user_id source_id, 'RETRIEVAL' part, event_id ref_id, null::bigint other_id, row_number() over (partition by user_id order by ts desc, event_id) place from e where event_type not in ('view', 'click')
+union all select user_id, 'DISCOVERY', event_id, null, row_number() over (partition by user_id order by ts, event_id) from e where event_type = 'view'
+union all select user_id, 'OUT', event_id, target, row_number() over (partition by user_id order by ts, event_id) from e where event_type = 'click'
+union all select target, 'IN', event_id, user_id, row_number() over (partition by target order by ts, event_id) from e where event_type = 'click' and target <> user_id) select * from r""",
+)
+def _(t):
+    """Views discover a user, clicks lead from one to another, all else retrieves."""
+    e = t("events").select("event_id", F.col("user_id").alias("source_id"), "event_type", "ts")
+    f = e.where("event_type not in ('view', 'click')").select("source_id", F.col("event_id").alias("fetch_id"), F.col("ts").alias("fetched_at"))
+    d = e.where("event_type = 'view'").select("source_id", F.col("event_id").alias("discovery_id"), F.col("ts").alias("discovered_at"))
+    g = e.where("event_type = 'click'").select(F.col("event_id").alias("edge_id"), F.col("source_id").alias("from_id"), (F.col("event_id") % 150).alias("to_id"), F.col("ts").alias("observed_at"))
+    return res.source_history(f, d, g).select("source_id", "part", "ref_id", "other_id", "place")
+
+
+_DERIVED = """d as (select 'r' || n_regionkey p, 'n' || n_nationkey c from nation union select 'n' || c_nationkey, 'c' || c_custkey from customer union select 'c' || o_custkey, 'o' || o_orderkey from orders
+union select 'o' || l_orderkey, 'p' || l_partkey from lineitem union select 'n' || s_nationkey, 's' || s_suppkey from supplier union select 's' || l_suppkey, 'p' || l_partkey from lineitem)"""
+
+
+@query("rs45_lineage", f"with recursive {_DERIVED}, w as (select distinct p root_id, p artifact_id, 0 depth from d where p like 'r%' union select root_id, c, depth + 1 from w join d on p = artifact_id) select root_id, artifact_id, min(depth)::int depth from w group by 1, 2")
+def _(t):
+    """From region to part, over customers and orders or over suppliers: a part has many parents, at unlike depths."""
+    key = lambda letter, c: F.concat(F.lit(letter), c)
+    edge = lambda table, a, p, b, c: t(table).select(key(a, p).alias("parent_id"), key(b, c).alias("child_id")).distinct()
+    d = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("customer", "n", "c_nationkey", "c", "c_custkey")).union(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
+    d = d.union(edge("lineitem", "o", "l_orderkey", "p", "l_partkey")).union(edge("supplier", "n", "s_nationkey", "s", "s_suppkey")).union(edge("lineitem", "s", "l_suppkey", "p", "l_partkey"))
+    return res.lineage_down(d, d.where("parent_id like 'r%'").select(F.col("parent_id").alias("root_id")))

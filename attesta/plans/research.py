@@ -406,5 +406,40 @@ def claim_list(claims: DataFrame, links: DataFrame) -> DataFrame:
     return claims.join(g, "claim_id", "left")
 
 
-def source_history(fetches: DataFrame, source_id) -> DataFrame:
-    return fetches.where(F.col("source_id") == source_id).orderBy(F.desc("fetched_at"), F.desc("fetch_id"))
+def source_history(fetches: DataFrame, discoveries: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """What happened to each source, in order: (source_id, part, place, ref_id, other_id, at).
+
+    ``fetches`` has source_id, fetch_id, fetched_at; ``discoveries`` source_id, discovery_id, discovered_at; ``edges`` edge_id,
+    from_id, to_id, observed_at. Retrievals come newest first, discoveries and edges oldest first, ties by id; an edge stands
+    with both of its ends (OUT and IN), one from a source to itself once (OUT). ``sources`` (source_id) narrows the history.
+    """
+    rows = [
+        fetches.select("source_id", F.lit("RETRIEVAL").alias("part"), F.col("fetch_id").alias("ref_id"), F.lit(None).cast(dict(edges.dtypes)["to_id"]).alias("other_id"), F.col("fetched_at").alias("at")),
+        discoveries.select("source_id", F.lit("DISCOVERY"), "discovery_id", F.lit(None), "discovered_at"),
+        edges.select("from_id", F.lit("OUT"), "edge_id", "to_id", "observed_at"),
+        edges.where("not from_id <=> to_id").select("to_id", F.lit("IN"), "edge_id", "from_id", "observed_at"),
+    ]
+    d = reduce(DataFrame.union, rows).where("source_id is not null")
+    if sources is not None:
+        d = d.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    newest = F.when(F.col("part") == "RETRIEVAL", F.col("at"))
+    order = Window.partitionBy("source_id", "part").orderBy(newest.desc(), "at", "ref_id", "other_id")
+    return d.withColumn("place", F.row_number().over(order))
+
+
+def lineage_down(derivations: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root_id, artifact_id, depth): all that was derived from each root, at any number of steps, over a graph in which an
+    artifact may have several parents; depth is the least. ``derivations`` has parent_id and child_id, ``roots`` root_id.
+
+    Each level asks only for what no level before has, so cycles end; levels are staged, and there is no bound on their number.
+    """
+    edges = io.staged(derivations.where("parent_id is not null and child_id is not null").select("parent_id", "child_id").distinct(), "derivations")
+    seen = level = io.staged(roots.where("root_id is not null").select("root_id", F.col("root_id").alias("artifact_id"), F.lit(0).alias("depth")).distinct(), "lineage")
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        nxt = level.select("root_id", F.col("artifact_id").alias("parent_id")).join(edges, "parent_id").select("root_id", F.col("child_id").alias("artifact_id")).distinct()
+        level = io.staged(nxt.join(seen.select("root_id", "artifact_id"), ["root_id", "artifact_id"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
+        seen = seen.unionByName(level)
+    io.discard(edges)
+    return seen

@@ -87,9 +87,10 @@ def component_scores(obs: DataFrame, model: list[tuple] = cfg.BASE_MODEL, by: st
 
 
 def native_recalculation(obs: DataFrame, home: Column, model: list[tuple] = cfg.BASE_MODEL, minimum: float = cfg.MIN_COVERAGE, by: str = "market_key", scope: list[str] | None = None) -> DataFrame:
-    """Score, coverage, confidence and gated rank of every market with an observation."""
+    """Score, coverage, confidence and gated rank of every market with an observation; none at all is refused."""
     s = rel.coverage_score(component_scores(obs, model, by), [by], confidence="confidence")
-    return rel.gated_rank(staged(s.withColumn("is_home_market", home), "scores"), scope or [], minimum=minimum)
+    s = staged(s.withColumn("is_home_market", home), "scores")
+    return refuse_empty(rel.gated_rank(s, scope or [], minimum=minimum), "no market has an observation, so nothing can be scored")
 
 
 def engine_gaps(components: DataFrame, by: str = "market_key") -> DataFrame:
@@ -102,6 +103,52 @@ def universe_definition(obs: DataFrame) -> DataFrame:
     return obs.groupBy("metric_key").agg(F.count("value").alias("observed"))
 
 
+def universe_members(obs: DataFrame, by: str = "market_key") -> tuple[DataFrame, DataFrame]:
+    """(members, index): who is in the universe of each metric, as bitmaps (metric_key, bucket, members) over the places
+    (by, bucket, bit) that the index gives every market. A bitmap holds 32,768 places, so a metric of any size is many rows.
+
+    Unions are ``bitmap_or_agg`` over the metrics, counts are sums of ``bitmap_count``; see ``union_count`` and ``members_of``.
+    """
+    seen = obs.where("value is not null").select("metric_key", by).distinct()
+    place = F.monotonically_increasing_id() + 1  # gapless within a task, so few buckets are thin
+    index = staged(seen.select(by).distinct().withColumn("place", place), "universe-index")
+    index = index.select(by, F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
+    return seen.join(index, by).groupBy("metric_key", "bucket").agg(F.bitmap_construct_agg("bit").alias("members")), index
+
+
+def union_count(members: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """(observed) of the union of some metrics' universes, or of all."""
+    d = members if metrics is None else members.where(F.col("metric_key").isin(metrics))
+    return d.groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("members")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("observed"))
+
+
+def members_of(members: DataFrame, index: DataFrame) -> DataFrame:
+    """The markets of each bitmap: (metric_key, by)."""
+    byte = F.conv(F.hex(F.substring(F.col("members"), F.expr("cast(bit div 8 as int)") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.getbit(byte, F.expr("cast(bit % 8 as int)")) == 1
+    return members.join(index, "bucket").where(inside).select("metric_key", *[c for c in index.columns if c not in ("bucket", "bit")])
+
+
+def refuse_empty(df: DataFrame, why: str) -> DataFrame:
+    """``df``, or an error with ``why`` when it is read and has no row. The check is part of the plan: nothing is collected."""
+    check = df.limit(1).agg(F.count(F.lit(1)).alias("n")).where(F.assert_true(F.col("n") > 0, why).isNotNull())
+    return df.unionByName(check.select(*(F.lit(None).cast(kind).alias(c) for c, kind in df.dtypes)))
+
+
+def resolve_threshold(request: Column, model: Column, default: float) -> Column:
+    """The least coverage to compare at: the request's, else the model's, else the default. One outside [0, 1] is refused."""
+    t = F.coalesce(request, model, F.lit(default))
+    return F.when((t >= 0) & (t <= 1), t).otherwise(F.raise_error(F.concat(F.lit("min_coverage must be between 0 and 1: "), t.cast("string"))).cast("double"))
+
+
+def refuse_incomparable(scores: DataFrame) -> DataFrame:
+    """``scores``, or an error when they are read and a context that does not allow low coverage has no comparable market."""
+    c = scores.groupBy("context_key").agg(F.bool_or("comparable").alias("_any"), F.bool_or(F.coalesce("allow_low_coverage", F.lit(False))).alias("_allowed"))
+    why = F.concat(F.lit("no market in context "), F.col("context_key"), F.lit(" reached the minimum coverage; allow low coverage to see the partial evidence"))
+    d = scores.join(c, "context_key").withColumn("comparable", F.when(F.col("_any") | F.col("_allowed"), F.col("comparable")).otherwise(F.raise_error(why).cast("boolean")))
+    return d.drop("_any", "_allowed")
+
+
 def require_nonempty(df: DataFrame, why: str) -> DataFrame:
     if df.limit(1).isEmpty():
         raise ValueError(why)
@@ -147,11 +194,12 @@ def context_handlers() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def contextual_scores(markets: DataFrame, contexts: list[dict], minimum: float = 0.5, weights: dict[str, float] = cfg.CONTEXT_WEIGHTS) -> DataFrame:
+def contextual_scores(markets: DataFrame, contexts: list[dict], minimum: float = 0.5, weights: dict[str, float] = cfg.CONTEXT_WEIGHTS, model_minimum: float | None = None, refuse: bool = False) -> DataFrame:
     """Every market in every context of a bounded list: score, confidence, coverage, comparable and rank.
 
     An unknown component leaves numerator and denominator. Ranks count comparable markets, all scored ones where the
-    context allows low coverage.
+    context allows low coverage. A context's min_coverage goes before the model's, and that before ``minimum``. With ``refuse``
+    a context without a comparable market ends the query, unless it allows low coverage.
     """
     fields = "struct<context_key:string,channel_key:string,ticket_usd:double,offer_low:double,offer_high:double,allow_low_coverage:boolean,min_coverage:double>"
     rows = F.from_json(F.lit(__import__("json").dumps(contexts)), f"array<{fields}>")
@@ -164,15 +212,17 @@ def contextual_scores(markets: DataFrame, contexts: list[dict], minimum: float =
     seen = sum((F.when(F.col(f"v_{n}").isNotNull(), w).otherwise(0.0) for n, w in weights.items()), z)
     earned = sum((F.coalesce(F.round(F.col(f"v_{n}") * w, 6), z) for n, w in weights.items()), z)
     conf = sum((F.when(F.col(f"v_{n}").isNotNull(), F.col(f"c_{n}") * w).otherwise(0.0) for n, w in weights.items()), z)
-    least = F.coalesce("min_coverage", F.lit(minimum))
+    least = resolve_threshold(F.col("min_coverage"), F.lit(model_minimum).cast("double"), minimum)
     d = d.select("market_key", "is_home_market", "context_key", "allow_low_coverage", F.round(earned / F.nullif(seen, z) * 100 + 1e-9, 4).alias("score"), F.round(seen / total, 4).alias("coverage"), F.round(fn.clamp(conf / F.nullif(seen, z) * seen / total + 1e-9), 4).alias("confidence"), least.alias("_least"))
     d = d.withColumn("comparable", F.col("coverage") >= F.col("_least"))
     gate = F.when(F.coalesce("allow_low_coverage", F.lit(False)), 0.0).otherwise(F.col("_least"))
-    return rel.gated_rank(staged(d, "context-scores"), ["context_key"], minimum=gate).drop("_least", "allow_low_coverage")
+    d = staged(d, "context-scores")
+    ranked = rel.gated_rank(refuse_incomparable(d) if refuse else d, ["context_key"], minimum=gate)
+    return ranked.drop("_least", "allow_low_coverage")
 
 
 def comparable_contexts(scores: DataFrame) -> DataFrame:
-    """Contexts with their number of comparable markets; one without any is refused."""
+    """Contexts with their number of comparable markets, and whether there is any; ``refuse_incomparable`` refuses."""
     return scores.groupBy("context_key").agg(F.bool_or("comparable").alias("answerable"), F.count_if("comparable").alias("n_comparable"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
+from attesta.plans import scoring as sc
 from attesta.plans import witnesses as wit
 from attesta.sources import io, providers
 from attesta.sources.bodies import BodyStore
@@ -253,3 +254,47 @@ def test_pruned_bodies_are_refused(spark, tmp_path):
         store.require(x).collect()
     with pytest.raises(Exception, match="no body q"):
         store.require(spark.createDataFrame([("q",)], "body_sha256 string")).collect()
+
+
+# --- universes, thresholds, refusals, history -------------------------------------------------------------------------
+
+
+def test_universe_bitmaps(spark):
+    d = spark.range(100_000).select(F.concat(F.lit("m"), "id").alias("market_key"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("metric_key"))
+    k = F.regexp_extract("market_key", "[0-9]+", 0).cast("int")
+    d = d.withColumn("value", F.when((F.col("metric_key") == "a") & (k % 3 == 0) | (F.col("metric_key") == "b") & (k % 5 == 0), 1.0))
+    members, index = sc.universe_members(d.union(d))
+    assert members.count() <= 16 and sc.union_count(members, ["a"]).first()[0] == 33_334 and sc.union_count(members).first()[0] == 46_667 and sc.union_count(members, ["z"]).first()[0] == 0
+    assert sc.members_of(members, index).exceptAll(d.where("value is not null").select("metric_key", "market_key")).count() == 0 and sc.members_of(members, index).count() == 53_334
+    assert rows(sc.universe_definition(d), "metric_key", "observed") == [("a", 33_334), ("b", 20_000)]
+
+
+def test_refusals_are_part_of_the_plan(spark):
+    d = spark.range(3)
+    assert sc.refuse_empty(d, "no rows").count() == 3
+    late = sc.refuse_empty(d.where("id > 5"), "no rows here")  # nothing happens until it is read
+    with pytest.raises(Exception, match="no rows here"):
+        late.collect()
+    t = spark.createDataFrame([(0.1, 0.2), (None, 0.2), (None, None)], "r double, m double")
+    assert [r[0] for r in t.select(sc.resolve_threshold(F.col("r"), F.col("m"), 0.5)).collect()] == [0.1, 0.2, 0.5]
+    with pytest.raises(Exception, match="between 0 and 1: 1.5"):
+        t.select(sc.resolve_threshold(F.lit(1.5), F.col("m"), 0.5)).collect()
+    s = spark.createDataFrame([("x", False, False), ("x", True, False), ("y", False, True), ("z", False, None)], "context_key string, comparable boolean, allow_low_coverage boolean")
+    assert sc.refuse_incomparable(s.where("context_key <> 'z'")).count() == 3
+    with pytest.raises(Exception, match="context z"):
+        sc.refuse_incomparable(s).collect()
+    with pytest.raises(Exception, match="no market has an observation"):
+        sc.native_recalculation(spark.createDataFrame([], "market_key string, metric_key string, value double, fact_type string, granularity string, label string"), F.lit(False)).collect()
+
+
+def test_history_and_lineage(spark):
+    f = spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 12, 7), (None, 13, 1)], "source_id int, fetch_id int, fetched_at int")
+    d = spark.createDataFrame([(1, 20, 3), (2, 21, 1), (1, 22, 2)], "source_id int, discovery_id int, discovered_at int")
+    e = spark.createDataFrame([(30, 1, 2, 4), (31, 1, 1, 5), (32, 3, 1, 1)], "edge_id int, from_id int, to_id int, observed_at int")
+    got = rows(res.source_history(f, d, e), "source_id", "part", "place", "ref_id", "other_id")
+    assert [g for g in got if g[0] == 1] == [(1, "DISCOVERY", 1, 22, None), (1, "DISCOVERY", 2, 20, None), (1, "IN", 1, 32, 3), (1, "OUT", 1, 30, 2), (1, "OUT", 2, 31, 1), (1, "RETRIEVAL", 1, 11, None), (1, "RETRIEVAL", 2, 12, None), (1, "RETRIEVAL", 3, 10, None)]
+    assert rows(res.source_history(f, d, e, d.where("source_id = 2").select("source_id")), "part", "ref_id") == [("DISCOVERY", 21), ("IN", 30)]
+    g = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 2), (7, 5), (None, 9), (1, 5)], "parent_id int, child_id int")
+    r = spark.createDataFrame([(1,), (7,), (8,), (None,)], "root_id int")
+    got = rows(res.lineage_down(g, r), "root_id", "artifact_id", "depth")
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 1), (7, 2, 2), (7, 4, 3), (7, 5, 1), (7, 7, 0), (8, 8, 0)]
