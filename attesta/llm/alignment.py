@@ -221,7 +221,7 @@ def postings(doc: np.ndarray, pair: np.ndarray, times: np.ndarray):
     order = np.lexsort((doc, pair))
     doc, pair, times = doc[order], pair[order], times[order]
     new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))[: len(pair)])
-    times = np.add.reduceat(times, new) if len(new) else times
+    times = np.add.reduceat(times, new, dtype=np.int64) if len(new) else times.astype(np.int64)
     doc, pair = doc[new], pair[new]
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[: len(pair)])
     ends = np.append(first, len(pair))
@@ -277,7 +277,9 @@ def inverted(docs: DataFrame, byte_bpe: str, pieces: str, keep_groups: bool) ->
 
         def close() -> Iterator:
             if parts:
-                pair, n_docs, links, bits, planes = postings(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                parts.clear()
+                pair, n_docs, links, bits, planes = postings(*columns)
                 step = 1 << 16
                 for i in range(0, len(pair), step):
                     cut = {"pair": pair, "pair_docs": n_docs, "pair_links": links, "docs": bits, "planes": planes}
@@ -291,10 +293,11 @@ def inverted(docs: DataFrame, byte_bpe: str, pieces: str, keep_groups: bool) ->
                 while i < j:
                     if place == ROWS or held > POSTINGS:
                         yield from close()
-                        container, place, held, parts = container + 1, 0, 0, []
+                        container, place, held = container + 1, 0, 0
                     k = min(j, i + ROWS - place)
                     found, doc, pair, times = aligner.align(texts.slice(i, k - i).to_pylist())
-                    parts.append((doc + place, pair, times))
+                    small = np.int32 if times.max(initial=0) < 1 << 31 else np.int64
+                    parts.append(((doc + place).astype(np.int16), pair, times.astype(small)))
                     held += len(doc)
                     columns = dict(zip(_DOC[1:5], (pa.array([r[c] for r in found], pa.int64()) for c in range(4)), strict=True))
                     groups = [r[4] if keep_groups or not r[0] else hashlib.sha256(r[4].encode()).hexdigest() for r in found]
