@@ -46,7 +46,8 @@ def as_of(df: DataFrame, day: Column | None, start: str = "effective_from", end:
 
 
 def with_optional(df: DataFrame, dim: DataFrame, key: str | list[str]) -> DataFrame:
-    return df.join(dim.dropDuplicates([key] if isinstance(key, str) else key), key, "left")
+    """``df`` with the columns of ``dim`` where it has the key; of a key that ``dim`` repeats, the first by its other columns."""
+    return df.join(one_per_key(dim, [key] if isinstance(key, str) else key), key, "left")
 
 
 def with_default(df: DataFrame, dim: DataFrame, key: str, col: str, default) -> DataFrame:
@@ -297,6 +298,12 @@ def first_per_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def one_per_key(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row of each key, the first by its other columns in turn, so that the order of rows decides nothing."""
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in by and not any(x in kind for x in ("map<", "variant"))]
+    return first_per_key(df, by, rest or [F.lit(0)])
+
+
 def mark_operative(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("operative", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions import columns as fn
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.plans import research as res
 from attesta.plans import scoring as sc
 from attesta.plans import witnesses as wit
-from attesta.plans.catalog import _LIFE, _LOC, _OBS_SQL, lifecycle, observations, query
+from attesta.plans.catalog import _LIFE, _LINK, _LOC, _OBS_SQL, lifecycle, observations, query
 from attesta.sources import io, providers
 from attesta.sources.bodies import BodyStore
 from attesta.streaming import jobs
@@ -41,6 +42,14 @@ def _(t):
     return d.select("page_id", "href", "locator", kept.alias("reason"))
 
 
+@query("rs02_links", f"with {_LOC}, {_LINK} select distinct k.locator, 'CRAWL_LINK' \"method\", l.locator parent from k join pages using (url) join l using (page_id)")
+def _(t):
+    """The links of all stored pages as discoveries: one per locator and the page that led to it, however often it does."""
+    links = res.extract_links(t("pages")).where("in_scope")
+    d = links.select("locator", F.lit("CRAWL_LINK").alias("method"), fn.normalize_locator("url").alias("parent"), F.lit("crawl").alias("pursued_for"))
+    return res.discoveries(d.union(d)).select("locator", "method", "parent")
+
+
 @query(
     "src07_seeds",
     """with n as (select c_nationkey nation, c_mktsegment segment, min(c_acctbal) balance from customer group by all), s as (select distinct c_nationkey, c_mktsegment from customer where c_custkey % 5 = 0)

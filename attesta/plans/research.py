@@ -26,7 +26,7 @@ def sources(urls: DataFrame, url: str = "url", seen: str = "seen_at") -> DataFra
 
 def discoveries(candidates: DataFrame) -> DataFrame:
     """One row per locator, method and context."""
-    return candidates.withColumn("context_hash", fn.fingerprint("method", "parent", "pursued_for")).dropDuplicates(["locator", "context_hash"])
+    return rel.one_per_key(candidates.withColumn("context_hash", fn.fingerprint("method", "parent", "pursued_for")), ["locator", "context_hash"])
 
 
 def link_report(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -222,7 +222,7 @@ def plan_extractions(texts: DataFrame, contracts: DataFrame, done: DataFrame) ->
 
 def evidence_items(obs: DataFrame) -> DataFrame:
     keys = ["extraction_id", "fetch_id", "text_id", "locator_hash"]
-    d = obs.withColumn("locator_hash", fn.fingerprint("start", "end", "quote")).dropDuplicates(keys)
+    d = rel.one_per_key(obs.withColumn("locator_hash", fn.fingerprint("start", "end", "quote")), keys)
     return d.withColumn("evidence_id", F.sha2(F.concat_ws("|", *keys), 256))
 
 
@@ -369,7 +369,7 @@ def reconcile(gaps: DataFrame, claims: DataFrame) -> DataFrame:
 
 def raise_signals(new: DataFrame, occurrences: DataFrame, events: DataFrame) -> DataFrame:
     """A new occurrence of a concern where none is open, numbered on from the last."""
-    c = new.withColumn("signal_id", fn.fingerprint("company_id", fn.normalize_concern("concern"))).dropDuplicates(["signal_id"])
+    c = rel.one_per_key(new.withColumn("signal_id", fn.fingerprint("company_id", fn.normalize_concern("concern"))), ["signal_id"])
     now = current_status(events, "occurrence_id", cfg.SIGNAL_RANK).select("occurrence_id", F.col("event_kind").alias("status"))
     o = occurrences.join(now, "occurrence_id", "left")
     open_ = o.where("status in ('OPEN', 'ACKNOWLEDGED')").select("signal_id").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
+from attesta.operators import relational as rel
 from attesta.plans import research as res
 from attesta.plans import scoring as sc
 from attesta.plans import witnesses as wit
@@ -298,3 +299,10 @@ def test_history_and_lineage(spark):
     r = spark.createDataFrame([(1,), (7,), (8,), (None,)], "root_id int")
     got = rows(res.lineage_down(g, r), "root_id", "artifact_id", "depth")
     assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 1), (7, 2, 2), (7, 4, 3), (7, 5, 1), (7, 7, 0), (8, 8, 0)]
+
+
+def test_one_row_of_a_key_whatever_the_order(spark):
+    d = spark.createDataFrame([(1, "b", {"x": 1}), (1, "a", {"x": 2}), (None, "c", None), (2, None, None), (2, "z", None)], "k int, v string, m map<string,int>")
+    for t in (d, d.repartition(5, "v"), d.orderBy(F.desc("v"))):
+        assert rows(rel.one_per_key(t, ["k"]), "k", "v") == [(1, "a"), (2, None), (None, "c")]
+    assert rows(rel.with_optional(spark.range(3).select(F.col("id").cast("int").alias("k")), d, "k"), "k", "v") == [(0, None), (1, "a"), (2, None)]
