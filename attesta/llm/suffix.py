@@ -4,8 +4,10 @@ A string of ``length`` bytes is found through its anchor, the least hash of the
 strings have equal anchors at equal places. Windows in a row with one anchor form a segment; segments meet by anchor
 hash. Equal segments (equal in anchor hash, place of the anchor, length and BLAKE2b of their bytes) are one entry with a
 count. The different segments of an anchor go, block by block, into a Burrows-Wheeler transform, and a breadth-first
-backward extension sets their common prefixes by increasing value up to ``length``: what is left unset repeats. Texts travel
-compressed and are cut where the segments lie.
+backward extension sets their common prefixes by increasing value up to ``length``: what is left unset repeats. Where an
+anchor has more than ``KINDS`` different segments, they are split by the place of the anchor in the window and by the bytes
+that all windows with these places have in common: 32 for all places, more for fewer, the whole string for one. Equal strings
+still meet, and every transform stays bounded. Texts travel compressed and are cut where the segments lie.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from .common import buffers, digests, discard, mix, powers, rolling, slices, sta
 GRAM = 32  # bytes of an anchor
 BLOCK = 1 << 20  # bytes in a transform, about
 PIECE = 1 << 22  # window starts that are looked at in one go; positions there must fit into 24 bits
-HOT = 4096  # different segments of an anchor from which on its windows are dealt out one by one
+KINDS = 4096  # most different segments that meet in one transform for one anchor; more are split further
+SPAN = 1 << 16  # bytes of a document whose ranges are merged in one go
 END = 0xFF  # never a byte of UTF-8 text; the largest symbol, behind each segment
 
 
@@ -185,6 +188,124 @@ def same_row(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
+def stretches(row: np.ndarray, lo: np.ndarray, many: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, times): equal segments in a row, as a run of one byte or of a short period makes them, are one entry."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (lo[1:] != lo[:-1] + many[:-1]) | (many[1:] != many[:-1]) | (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(row)))
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, many: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """(segment, first window, number of windows, group) of the parts of segments of one anchor: a part holds the windows in
+    which the anchor has one of ``width`` neighbouring places. Its group tells these places and the bytes around the anchor
+    that all windows with them share, ``length + 1 - width`` in number, so equal windows are in one group."""
+    w = length - GRAM + 1
+    h = rolling(data)
+    gram = mix((h[GRAM:] - h[:-GRAM]) * powers(len(h))[1][: len(h) - GRAM]) >> np.uint64(24)
+    at = np.argmin(gram[offsets[:-1, None] + np.arange(w)], axis=1)  # of the anchor, as ``segments`` chose it
+    raw, out = data.tobytes(), []
+    for g in range(-(-w // width)):
+        lo, hi = (np.clip(at - e * width + 1, 0, many) for e in (g + 1, g))
+        seg = np.flatnonzero(hi > lo)
+        core = offsets[seg] + at[seg] - g * width
+        out.append((seg, lo[seg], (hi - lo)[seg], digests(raw, core, core + length + 1 - width) ^ mix(np.full(len(seg), g, np.uint64))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def expanded(bits: DataFrame, length: int, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((anchor, whole, many, i, j), staged tables it reads): which windows [i, j) of the segments (anchor, whole, many, kinds,
+    bytes) repeat in other segments of their anchor."""
+
+    def expand(batches: Iterator) -> Iterator:
+        """Blocks of whole anchors; rows come in the order of their anchor."""
+        import pyarrow as pa
+
+        waiting: list[tuple] = []
+        size = 0
+
+        def solve():
+            x = np.frombuffer(b"".join([r[3] + b"\xff" for r in waiting]), np.uint8)
+            flags = repeated_starts(x, length)
+            ends = np.cumsum([len(r[3]) + 1 for r in waiting])
+            rows = [(r[0], r[1], r[2], i, j) for r, e in zip(waiting, ends.tolist(), strict=True) for i, j in runs(flags[e - len(r[3]) - 1 :][: r[2]])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["anchor", "whole", "many", "i", "j"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if size >= BLOCK and row[0] != waiting[-1][0]:
+                    yield from solve()
+                    waiting, size = [], 0
+                waiting.append(row)
+                size += len(row[3]) + 1
+        if waiting:
+            yield from solve()
+
+    calm = bits.where(F.col("kinds") <= KINDS).select("anchor", "whole", "many", "bytes")
+    found = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, "anchor long, whole long, many int, i int, j int")
+    more = bits.where(F.col("kinds") > KINDS).select("anchor", "whole", "many", "bytes")
+    if more.isEmpty():
+        return found, []
+    width = -(-width // 2)
+
+    def split(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = buffers(batch.column(3))
+            many = batch.column(2).to_numpy()
+            for a, b in slices(offsets, 1 << 20):
+                start = offsets[a : b + 1] - offsets[a]
+                block = data[offsets[a] : offsets[b]]
+                seg, i, size, group = parts(block, start, many[a:b], length, width)
+                raw, lo, hi = block.tobytes(), start[seg] + i, start[seg] + i + size + length - 1
+                own = digests(raw, lo, hi)
+                cut = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                ids = [batch.column(k).take(pa.array(seg + a)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(own.view(np.int64)), pa.array(size.astype(np.int32)), *ids, pa.array(i.astype(np.int32)), cut], ["anchor", "whole", "many", "of_anchor", "of_whole", "of_many", "from", "bytes"])
+
+    piece = staged(more.mapInArrow(split, "anchor long, whole long, many int, of_anchor long, of_whole long, of_many int, from int, bytes binary"), "segment-parts")
+    kinds = staged(piece.groupBy("anchor", "whole", "many").agg(F.count(F.lit(1)).alias("n"), F.any_value("bytes").alias("bytes")), "part-kinds")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    below = staged(kinds.join(several, "anchor").select("anchor", "whole", "many", "kinds", "bytes"), "part-bytes")
+    hits, used = all_hits(kinds, below, length, width)
+    back = piece.drop("bytes").join(hits, ["anchor", "whole", "many"])
+    back = back.select(F.col("of_anchor").alias("anchor"), F.col("of_whole").alias("whole"), F.col("of_many").alias("many"), (F.col("from") + F.col("i")).alias("i"), (F.col("from") + F.col("j")).alias("j"))
+    return found.union(back), [piece, kinds, below, *used]
+
+
+def all_hits(kinds: DataFrame, bits: DataFrame, length: int, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``expanded``, for all segments (anchor, whole, many, n): those that stand ``n > 1`` times repeat as a whole."""
+    found, used = expanded(bits, length, width)
+    copies = kinds.where("n > 1").select("anchor", "whole", "many", F.lit(0).alias("i"), F.col("many").alias("j"))
+    return copies.union(found.join(kinds.where("n = 1").select("anchor", "whole", "many"), ["anchor", "whole", "many"])), used
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """(doc_id, th, lo, hi), one row a document: its ranges as two arrays, overlapping and touching ones joined within each
+    ``SPAN`` bytes before they are collected."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[tuple] = []
+            for item in batch.column(2):
+                lo, hi = (item.values.field(c).to_numpy() for c in (0, 1))
+                order = np.argsort(lo)
+                lo, far = lo[order], np.maximum.accumulate(hi[order])
+                new = np.flatnonzero(np.concatenate(([True], lo[1:] > far[:-1])))
+                out.append((lo[new], far[np.append(new[1:], len(lo)) - 1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "th", "lo", "hi"])
+
+    near = ranges.groupBy("doc_id", "th", F.expr(f"lo div {SPAN}").alias("span")).agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
+    near = near.select("doc_id", "th", "r").mapInArrow(run, "doc_id long, th long, lo array<long>, hi array<long>")
+    return near.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("doc_id", "th", F.flatten("r.lo").alias("lo"), F.flatten("r.hi").alias("hi"))
+
+
 def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, th, lo, hi): byte ranges of each document that strings of ``length`` bytes with another start cover."""
 
@@ -195,15 +316,16 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
             data, offsets = buffers(batch.column(2))
             for i, j in slices(offsets, 1 << 20):
                 row, lo, many, anchor, whole = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo.astype(np.int64)), pa.array(many.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "th", "lo", "many", "anchor", "whole"])
+                at, times = stretches(row, lo, many, anchor, whole)
+                take = pa.array(row[at] + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo[at].astype(np.int64)), pa.array(many[at].astype(np.int32)), pa.array(times.astype(np.int32)), pa.array(anchor[at].view(np.int64)), pa.array(whole[at].view(np.int64))], ["doc_id", "th", "lo", "many", "times", "anchor", "whole"])
 
-    seg = staged(keyed(docs).select("doc_id", "th", "text").mapInArrow(cut, "doc_id long, th long, lo long, many int, anchor long, whole long"), "segments")
-    shared = staged(seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    seg = staged(keyed(docs).select("doc_id", "th", "text").mapInArrow(cut, "doc_id long, th long, lo long, many int, times int, anchor long, whole long"), "segments")
+    shared = staged(seg.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")
     cut_all, seg = seg, staged(seg.join(shared, "anchor"), "shared-segments")
     discard(cut_all)
 
-    kinds = seg.groupBy("anchor", "whole", "many").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("at"))
+    kinds = seg.groupBy("anchor", "whole", "many").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("at"))
     kinds = staged(kinds, "segment-kinds")
     several = staged(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed-anchors")
     mixed = kinds.join(several, "anchor").select("anchor", "whole", "many", "n", "kinds", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.lo").alias("lo"))
@@ -236,59 +358,12 @@ def removed_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
 
     bits = staged(held.mapInArrow(fetch, "anchor long, whole long, many int, kinds long, bytes binary"), "segment-bytes")
 
-    def expand(batches: Iterator) -> Iterator:
-        """Blocks of whole anchors; rows come in the order of their anchor."""
-        import pyarrow as pa
-
-        waiting: list[tuple] = []
-        size = 0
-
-        def solve():
-            x = np.frombuffer(b"".join([r[3] + b"\xff" for r in waiting]), np.uint8)
-            flags = repeated_starts(x, length)
-            ends = np.cumsum([len(r[3]) + 1 for r in waiting])
-            rows = [(r[0], r[1], r[2], i, j) for r, e in zip(waiting, ends.tolist(), strict=True) for i, j in runs(flags[e - len(r[3]) - 1 :][: r[2]])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["anchor", "whole", "many", "i", "j"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if size >= BLOCK and row[0] != waiting[-1][0]:
-                    yield from solve()
-                    waiting, size = [], 0
-                waiting.append(row)
-                size += len(row[3]) + 1
-        if waiting:
-            yield from solve()
-
-    ranges = "anchor long, whole long, many int, i int, j int"
-    calm = bits.where(F.col("kinds") <= HOT).select("anchor", "whole", "many", "bytes")
-    found = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(expand, ranges)
-
-    def windows(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            data, offsets = buffers(batch.column(3))
-            many = batch.column(2).to_numpy()
-            row = np.repeat(np.arange(len(many)), many)
-            i = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            start = offsets[row] + i
-            h = digests(data.tobytes(), start, start + length)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(i.astype(np.int32)), pa.array(h.view(np.int64))], ["anchor", "whole", "many", "i", "h"])
-
-    # anchors with very many kinds: equal windows stand at equal places of their anchor, so each is counted by itself
-    single = bits.where(F.col("kinds") > HOT).select("anchor", "whole", "many", "bytes").mapInArrow(windows, "anchor long, whole long, many int, i int, h long")
-    if not bits.where(F.col("kinds") > HOT).isEmpty():
-        single = staged(single, "windows")
-        twice = staged(single.groupBy("anchor", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "h"), "repeated-windows")
-        found = found.union(single.join(twice, ["anchor", "h"]).select("anchor", "whole", "many", "i", (F.col("i") + 1).alias("j")))
-    copies = kinds.where("n > 1").select("anchor", "whole", "many", F.lit(0).alias("i"), F.col("many").alias("j"))
-    hits = staged(copies.union(found.join(kinds.where("n = 1").select("anchor", "whole", "many"), ["anchor", "whole", "many"])), "hits")
-    discard(bits, kinds, several, shared)
+    hits, used = all_hits(kinds, bits, length, length - GRAM + 1)
+    hits = staged(hits, "hits")
+    discard(bits, kinds, several, shared, *used)
+    # a segment that stands several times in a row repeats as a whole
     out = seg.join(hits, ["anchor", "whole", "many"])
-    out = out.select("doc_id", "th", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("j") + (length - 1)).alias("hi"))
+    out = out.select("doc_id", "th", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + (F.col("times") - 1) * F.col("many") + F.col("j") + (length - 1)).alias("hi"))
     out = staged(out, "repeated-ranges")
     discard(seg, hits)
     return out
@@ -302,9 +377,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
     the same row included, goes. A null text is empty. Rows that are equal in id and text repeat each other. An
     empty table gives no rows.
     """
-    gone = removed_ranges(docs, length).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    gone = merged(removed_ranges(docs, length))
     d = _zipped(keyed(docs))
-    full = d.join(gone, same_row(d, gone), "left").select(d["doc_id"], "zip", "rest", F.transform("gone", lambda g: g["lo"]).alias("lo"), F.transform("gone", lambda g: g["hi"]).alias("hi"))
+    full = d.join(gone, same_row(d, gone), "left").select(d["doc_id"], "zip", "rest", "lo", "hi")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from attesta.llm import suffix
 
@@ -48,8 +49,10 @@ def test_matches_brute_force(spark):
     assert got(spark, docs) == expected(docs, 200)
 
 
-def test_very_many_kinds_of_one_anchor(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", 8)
+@pytest.mark.parametrize("kinds", [8, 1])
+def test_very_many_kinds_of_one_anchor(spark, monkeypatch, kinds):
+    """With 1 every anchor is split until its parts are single windows."""
+    monkeypatch.setattr(suffix, "KINDS", kinds)
     rng = random.Random(6)
     passage = words(rng, 90)
     docs = [(i, words(rng, 12) + " " + passage + " " + words(rng, 12)) for i in range(60)]
@@ -75,6 +78,39 @@ def test_text_above_16_mib(spark):
     assert removed == {1: (2100, 3), 2: (1000, 1), 3: (700, 1), 4: (400, 1)}
 
 
+def test_parts_hold_each_window_once_and_equal_windows_together():
+    rng = random.Random(9)
+    passage = words(rng, 120).encode()
+    texts = [words(rng, 15).encode() + passage[rng.randint(0, 300) :] for _ in range(40)]
+    row, start, many, anchor, _ = suffix.segments(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]), 200)
+    cuts = [texts[r][s : s + m + 199] for r, s, m in zip(row.tolist(), start.tolist(), many.tolist(), strict=True)]
+    data, offsets = np.frombuffer(b"".join(cuts), np.uint8), np.cumsum([0] + [len(c) for c in cuts])
+    for width in (169, 85, 11, 2, 1):
+        seg, first, size, group = suffix.parts(data, offsets, many, 200, width)
+        windows = [(s, i) for s, f, n in zip(seg.tolist(), first.tolist(), size.tolist(), strict=True) for i in range(f, f + n)]
+        assert len(set(windows)) == len(windows) == many.sum() and size.max() <= width
+        places = {}
+        for (s, i), g in zip(windows, np.repeat(group, size).tolist(), strict=True):
+            places.setdefault(cuts[s][i : i + 200], set()).add((anchor[s], g))
+        assert all(len(v) == 1 for v in places.values())
+
+
+def test_long_runs(spark):
+    """Runs of one byte and of short periods are one entry each, and their ranges are joined before they are collected."""
+    rng = random.Random(10)
+    docs = [(1, words(rng, 40) + "x" * 10_000_000 + words(rng, 40)), (2, "x" * 150), (3, "abc" * 1_000_000), (4, "y" * 200 + "bca" * 70), (5, "lorem ipsum " * 50_000)]
+    out = {d: (n, removed, spans) for d, n, removed, spans, _ in got(spark, docs)}
+    assert out == {1: (len(docs[0][1].encode()), 10_000_000, 1), 2: (150, 0, 0), 3: (3_000_000, 3_000_000, 1), 4: (410, 210, 1), 5: (600_000, 600_000, 1)}
+    rows = suffix.removed_ranges(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows.count() < 2000
+
+
+def test_runs_match_brute_force(spark):
+    rng = random.Random(11)
+    docs = [(i, words(rng, 20) + rng.choice(["z", "ab", "abc", "12345 "]) * rng.randint(30, 400) + words(rng, 20)) for i in range(30)]
+    assert got(spark, docs) == expected(docs, 200)
+
+
 def test_pieces_give_each_window_once(monkeypatch):
     rng = np.random.Generator(np.random.PCG64(5))
     offsets = np.cumsum([0, 10, 900, 0, 199, 200, 2500, 201])
