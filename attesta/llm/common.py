@@ -88,14 +88,14 @@ def dense_index(df: DataFrame, cell: Column, order: list[Column], name: str, n_c
     return ranked.join(F.broadcast(starts), "_cell").withColumn(name, F.col("_start") + F.col("_rank")).drop("_cell", "_rank", "_start")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star and small-star steps.
 
     Returns (node, component) for each node of an edge; component is the smallest node reachable. Each round is two
     joins on the node key, staged in the shared folder; only the change check reaches the driver.
     """
     cur = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:
         old = cur
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -112,8 +112,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         discard(old)
         if done:
             break
-    else:
-        raise RuntimeError("components did not converge")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

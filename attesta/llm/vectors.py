@@ -637,15 +637,16 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[more], ids[low[more]]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, shards: int = 8, shard_rows: int = 200_000, query_block: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, shards: int = 8, shard_rows: int = 200_000, query_block: int | None = None, shard_bytes: int = 1 << 30) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Equal vectors form a class; classes are dealt to shards by hash, each shard builds a graph, and every class queries
     every shard. In a shard, vectors within a quarter of the threshold's angle of one in the graph are its ball and no
     nodes; links with the members of a ball are counted from angles to its leader, and only members that these leave open
     are compared. A task returns each query's number of links and a spanning forest of its links, never the pairs. The
-    number of shards is ``shards``, or more where a shard would pass ``shard_rows``; queries come in blocks of
-    ``query_block`` (a sixteenth of all, from 16,384 to 131,072). Links have a cosine of ``cosine`` or more on the original
+    number of shards is ``shards``, or more where a shard would pass ``shard_rows`` or its graph, one row, ``shard_bytes``;
+    queries come in blocks of ``query_block`` (a sixteenth of all, from 16,384 to 131,072), or less where their vectors would
+    pass ``shard_bytes``. Links have a cosine of ``cosine`` or more on the original
     vectors. Vectors that are null, zero, not finite or of another length than most link with nothing: 0 links, own
     component. A row without id has a null component and is not kept. Of rows that share an id, each has its own links and
     its own component, and counts as another vector; equal rows have equal results.
@@ -657,11 +658,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, shards: int = 8, shar
     classes = good.groupBy("c1", "c2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("embedding").alias("embedding"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    n_shards, n_q = max(min(shards, n), -(-n // shard_rows), 1), -(-n // (query_block or min(131_072, max(16_384, n // 16)))) or 1
+    # a node holds its vector in double and single precision, 24 links at the bottom, 12 in every layer above, and ids
+    shard_rows = max(1, min(shard_rows, shard_bytes // (12 * dim + 512)))
+    query_block = max(1, min(query_block or min(131_072, max(16_384, n // 16)), shard_bytes // (8 * dim + 8)))
+    n_shards, n_q = max(min(shards, n), -(-n // shard_rows), 1), -(-n // query_block) or 1
     part = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "c1", "c2"), F.lit(m)).cast("int")
     members = classes.select("cid", "w", "embedding", part("shard", n_shards).alias("shard"))
     ball = float(np.cos(np.arccos(np.clip(cosine, -1, 1)) / 4))
-    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
+
+    def unit(x):
+        """Rows of length 1; a power of two first brings their largest components near 1, so no square leaves the range."""
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+        return x / np.sqrt((x * x).sum(1))[:, None]
 
     def build(table):
         import pyarrow as pa

@@ -100,6 +100,32 @@ def test_graph_by_row(spark):
     assert got == sorted((ids[i], int(near[i].sum()) - 1, low[i], ids[i] == low[i]) for i in range(len(x)))
 
 
+def test_wide_vectors_in_shards_by_bytes(spark, monkeypatch):
+    """1,024 dimensions: shards and blocks of queries shrink with the bytes of a vector, and the links stay those of all pairs."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([b + s * rng.normal(size=(30, 1024)) for b, s in zip(rng.normal(size=(6, 1024)), (0.05, 0.1, 0.2, 0.22, 0.3, 0.4), strict=True)]).astype(np.float32)
+    rows, built = list(enumerate(x)), []
+    staged = vectors.staged
+    monkeypatch.setattr(vectors, "staged", lambda df, name: built.append((name, staged(df, name))) or built[-1][1])
+    monkeypatch.setattr(vectors, "discard", lambda *t: None)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(frame(spark, rows), 0.95, shards=1, shard_bytes=1 << 19).collect()}
+    n, comp = links(rows, 0.95)
+    assert {i: got[i]["n_links"] for i in got} == n
+    assert {i: got[i]["component_id"] for i in got} == comp
+    sizes = [sum(map(len, r["parts"])) for r in dict(built)["graphs"].collect()]
+    assert len(sizes) == 5 and max(sizes) < 1 << 20
+
+
+def test_links_of_any_finite_scale(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([b + 0.1 * rng.normal(size=(20, 16)) for b in rng.normal(size=(5, 16))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x * np.where(np.arange(100) % 3, 1e200, 1e-200)[:, None])]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, shards=2).collect()}
+    n, comp = links(list(enumerate(x)), 0.95)
+    assert {i: got[i]["n_links"] for i in got} == n
+    assert {i: got[i]["component_id"] for i in got} == comp
+
+
 def test_graph_odd(spark):
     got = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(frame(spark, ODD)).collect() if r["vec_id"] is not None)
     assert got == [(0, 2, 0, True), (1, 2, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (100, 2, 0, False), (200, 0, 200, True)]
