@@ -254,14 +254,20 @@ def positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def competition_rank(df: DataFrame, score: str, by: list[str], out: str = "rank") -> DataFrame:
     """1 for the best score of a key; equal scores share a rank, and the next one counts them. A null score has no rank."""
     p = positions(df, by, score).select(*by, score, (F.col("total") - F.col("below") - F.col("n") + 1).cast("int").alias(out))
-    return df.join(p, [*by, score], "left").select(*df.columns, out)
+    return _with_positions(df, p, by, score, out)
 
 
 def with_percentile(df: DataFrame, value: str, by: list[str], out: str, declared: int | None = None) -> DataFrame:
     """``df`` with the mid-rank percentile of a value in its key, as ``percentile`` has it, for keys of any size."""
     rest = F.lit(declared) if declared else F.col("total")
     p = positions(df, by, value).select(*by, value, ((F.col("below") + (F.col("n") - 1) / 2) / F.nullif(rest - 1, F.lit(0))).alias(out))
-    return df.join(p, [*by, value], "left").select(*df.columns, out)
+    return _with_positions(df, p, by, value, out)
+
+
+def _with_positions(df: DataFrame, p: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Rows with the position of their value. Rows without a value match nothing: they stay spread as they lie."""
+    d = df.withColumn("_spread", F.when(F.col(value).isNull(), F.spark_partition_id()).otherwise(-1))
+    return d.join(p.withColumn("_spread", F.lit(-1)), [*by, value, "_spread"], "left").select(*df.columns, out)
 
 
 def percentile(value: str, by: list[str], method: str = "midrank", declared: int | None = None) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from operator import add, and_, mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,6 @@ from attesta.functions import config as cfg
 from attesta.operators import relational as rel
 from attesta.sources.io import append_absent, staged
 
-_TERM = "struct<component:string,weight:double,kind:string,term_weight:double,metric_key:string,transform:string,inverted:boolean,native:boolean>"
-
 
 def classify_snapshots(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """NOOP for a digest that is stored, CONFLICT for a stored key with another digest, else NEW."""
@@ -44,12 +45,6 @@ def attribute_sources(obs: DataFrame, market_sources: DataFrame, hints: dict[str
     return j.withColumn("attribution", F.when(named, "EXPLICIT").when(hint, "METRIC_HINT").otherwise("MARKET_LEVEL"))
 
 
-def term_rows(df: DataFrame, model: list[tuple] = cfg.BASE_MODEL) -> DataFrame:
-    """Each row of ``df`` with each term of the model; the model is a bounded literal."""
-    terms = F.array(*[F.struct(*[F.lit(v) for v in row]) for row in model]).cast(f"array<{_TERM}>")
-    return df.withColumn("t", F.explode(terms)).select(*df.columns, "t.*")
-
-
 def reference_reproduction(components: DataFrame, weights: dict[str, float], by: str = "market_key") -> DataFrame:
     """Sum of imported components without renormalisation; the universe is who has one, coverage what part of the weights."""
     names = [(k, v) for k, v in weights.items()]
@@ -61,28 +56,37 @@ def reference_reproduction(components: DataFrame, weights: dict[str, float], by:
 
 def component_scores(obs: DataFrame, model: list[tuple] = cfg.BASE_MODEL, by: str = "market_key", declared: int | None = None) -> DataFrame:
     """(market, component, weight, earned, confidence, missing) of every market with an observation; earned is null where
-    a required metric is missing or the component is not native. A percentile's universe is its own observed values."""
-    seen = obs.where("value is not null")
-    kinds = {(r[4], r[5]) for r in model}
-    logged = [m for m, t in sorted(kinds) if t == "log"]
-    v = seen.withColumn("x", F.when(F.col("metric_key").isin(logged), fn.log_transform("value")).otherwise(F.col("value")))
-    v = rel.with_percentile(v, "x", ["metric_key"], "p", declared)
-    v = v.withColumn("conf", fn.evidence_confidence("fact_type", "granularity", "label")).select(by, "metric_key", "x", "p", "conf")
-    t = term_rows(seen.select(by).distinct(), model).join(v, [by, "metric_key"], "left")
-    part = F.when(F.col("kind") == "linear", F.col("x")).when(F.col("inverted"), 1 - F.col("p")).otherwise(F.col("p"))
-    t = t.withColumn("part", part)
-    g = t.groupBy(by, "component", "weight", "kind", "native").agg(
-        F.sum(F.col("term_weight") * F.col("part")).alias("sum"),
-        F.product("part").alias("product"),
-        F.sum(F.col("part").isNull().cast("int")).alias("gaps"),
-        F.avg(F.coalesce("conf", F.lit(0.0))).alias("confidence"),
-        F.array_sort(F.collect_set(F.when(F.col("part").isNull(), F.col("metric_key")))).alias("missing"),
-    )
-    whole = (F.col("gaps") == 0) & F.col("native")
-    g = g.withColumn("whole", whole).withColumn("pp", F.when(whole & (F.col("kind") == "percentile_product"), F.round("product", 12)))
+    a required metric is missing or the component is not native. A percentile's universe is its own observed values. A market
+    has a metric once (``validate.uniqueness``); of several the greatest counts."""
+    logged = sorted({r[4] for r in model if r[5] == "log"})
+    ranked = sorted({r[4] for r in model if r[2] != "linear"})
+    metric = F.col("metric_key")
+    x = F.when(metric.isin(logged), fn.log_transform("value")).otherwise(F.col("value"))
+    v = obs.where("value is not null").select(by, "metric_key", x.alias("x"), F.when(metric.isin(ranked), x).alias("y"), fn.evidence_confidence("fact_type", "granularity", "label").alias("conf"))
+    v = rel.with_percentile(staged(v, "observed"), "y", ["metric_key"], "p", declared)
+    # a market's values side by side: one row of as many columns as the model has metrics, and every component a sum over it
+    names = sorted({r[4] for r in model})
+    col = lambda m, c: F.col(f"{c}{names.index(m)}")
+    wide = v.groupBy(by).agg(*(F.max(F.when(metric == m, F.col(c))).alias(f"{c}{i}") for i, m in enumerate(names) for c in ("x", "p", "conf")))
+
+    def component(name: str) -> Column:
+        terms = [r for r in model if r[0] == name]
+        _, weight, kind, _, _, _, _, native = terms[0]
+        parts = [col(r[4], "x") if kind == "linear" else 1 - col(r[4], "p") if r[6] else col(r[4], "p") for r in terms]
+        whole = functools.reduce(and_, [x.isNotNull() for x in parts], F.lit(native))
+        lacks = F.array_compact(F.array(*(F.when(x.isNull(), F.lit(r[4])) for r, x in zip(terms, parts, strict=True))))
+        return F.struct(
+            F.lit(name).alias("component"), F.lit(weight).alias("weight"), F.lit(kind).alias("kind"), F.lit(native).alias("native"), whole.alias("whole"),
+            functools.reduce(add, [F.lit(r[3]) * x for r, x in zip(terms, parts, strict=True)]).alias("sum"),
+            F.when(whole & F.lit(kind == "percentile_product"), F.round(functools.reduce(mul, parts), 12)).alias("pp"),
+            (functools.reduce(add, [F.coalesce(col(r[4], "conf"), F.lit(0.0)) for r in terms]) / len(terms)).alias("confidence"),
+            F.array_sort(F.array_distinct(lacks)).alias("missing"),
+        )
+
+    g = wide.select(by, F.inline(F.array(*(component(c) for c in dict.fromkeys(r[0] for r in model)))))
     g = staged(g, "components")  # read again for its percentiles
     g = rel.with_percentile(g.withColumnRenamed("pp", "product_"), "product_", ["component"], "pp")
-    earned = F.when(whole, F.when(F.col("kind") == "percentile_product", F.col("weight") * F.col("pp")).otherwise(F.col("sum")))
+    earned = F.when(F.col("whole"), F.when(F.col("kind") == "percentile_product", F.col("weight") * F.col("pp")).otherwise(F.col("sum")))
     return g.select(by, "component", "weight", F.round(earned, 6).alias("earned"), F.round("confidence", 6).alias("confidence"), "missing", "native")
 
 
