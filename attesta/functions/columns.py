@@ -376,6 +376,27 @@ def fingerprint(*cols: ColumnOrName) -> Column:
     return F.sha2(F.to_json(F.struct(*[_c(c).alias(f"f{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}), 256)
 
 
+def assertion_fingerprint(*said: ColumnOrName, origins: ColumnOrName) -> Column:
+    """What an assertion says and where its evidence comes from, in whatever order and however often; never who extracted it."""
+    return fingerprint(*said, F.array_sort(F.array_distinct(_c(origins))))
+
+
+def observation_fingerprint(attribute: ColumnOrName, value: ColumnOrName, unit: ColumnOrName, fact_type: ColumnOrName, locator_hash: ColumnOrName, support: ColumnOrName, lineage: ColumnOrName) -> Column:
+    """One exact reading of one place. Two readings differ by attribute, value, unit, strength, place, kind of support or lineage;
+    the quote follows from the place and takes no part."""
+    return fingerprint(attribute, value, unit, fact_type, locator_hash, support, lineage)
+
+
+def signal_fingerprint(company: ColumnOrName, concern: ColumnOrName) -> Column:
+    """A company's concern, the same whatever its case and spaces."""
+    return fingerprint(company, normalize_concern(concern))
+
+
+def plan_hash(*scope: ColumnOrName, targets: ColumnOrName) -> Column:
+    """What a research plan asks about whom; the order of its targets says nothing."""
+    return fingerprint(*scope, F.array_sort(_c(targets)))
+
+
 def contract_hash(**fields: str) -> str:
     """The hash of a contract's fields, once on the driver."""
     import hashlib

@@ -167,6 +167,13 @@ def edges_of(rel: DataFrame, node, source: str = "from_id", target: str = "to_id
     return rel.where(F.col(source) == node).union(rel.where((F.col(target) == node) & (F.col(source) != node)))
 
 
+def edges_of_each(rel: DataFrame, nodes: DataFrame, node: str, source: str = "from_id", target: str = "to_id") -> DataFrame:
+    """The edges from or to each of many nodes, with the node and ``outward``: two equi-joins, an edge to itself once."""
+    n = nodes.select(node).where(F.col(node).isNotNull()).distinct()
+    out = rel.withColumn(node, F.col(source)).join(n, node).withColumn("outward", F.lit(True))
+    return out.unionByName(rel.where(~F.col(source).eqNullSafe(F.col(target))).withColumn(node, F.col(target)).join(n, node).withColumn("outward", F.lit(False)))
+
+
 # --- aggregations (AG) ------------------------------------------------------------------------------------------------
 
 

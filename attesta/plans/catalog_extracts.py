@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
+from attesta.operators import relational as rel
 from attesta.plans import entities as ent
 from attesta.plans import research as res
 from attesta.plans.catalog import query
@@ -53,22 +54,76 @@ def _(t):
 @query("fn36_assertions", """select o_custkey, sha256('{"f0":' || o_custkey || ',"f1":"orders","f2":null,"f3":' || to_json(list_sort(list(distinct o_orderpriority)))::varchar || '}') fingerprint from orders group by 1""")
 def _(t):
     """An assertion has the sorted origins of its evidence and not the extractor."""
-    g = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("origins"))
-    return g.select("o_custkey", fn.fingerprint("o_custkey", F.lit("orders"), F.lit(None).cast("string"), "origins").alias("fingerprint"))
+    g = t("orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("origins"))
+    return g.select("o_custkey", fn.assertion_fingerprint("o_custkey", F.lit("orders"), F.lit(None).cast("string"), origins="origins").alias("fingerprint"))
 
 
-@query("fn37_observations", """select event_id, sha256('{"f0":' || event_id || ',"f1":"' || event_type || '","f2":"' || (props::json->>'$.k') || '","f3":null}') fingerprint from events""")
+@query(
+    "fn37_observations",
+    """select event_id, sha256('{"f0":"' || event_type || '","f1":"' || (props::json->>'$.k') || '","f2":null,"f3":"FACT","f4":"' || sha256('{"f0":0,"f1":' || length(props) || '}') || '","f5":"DIRECT","f6":' || case when user_id % 2 = 0 then user_id::varchar else 'null' end || '}') fingerprint from events""",
+)
 def _(t):
-    k = F.get_json_object("props", "$.k")
-    return t("events").select("event_id", fn.fingerprint("event_id", "event_type", k, F.lit(None).cast("string")).alias("fingerprint"))
+    """Events as readings of their own text: the place is all of it, every second user's share a lineage."""
+    e = t("events").withColumns({"value": F.get_json_object("props", "$.k"), "locator": fn.fingerprint(F.lit(0), F.length("props")), "lineage": F.when(F.col("user_id") % 2 == 0, F.col("user_id"))})
+    return e.select("event_id", fn.observation_fingerprint("event_type", "value", F.lit(None).cast("string"), F.lit("FACT"), "locator", F.lit("DIRECT"), "lineage").alias("fingerprint"))
 
 
 @query("fn38_signals", """select c_custkey, sha256('{"f0":' || c_nationkey || ',"f1":"' || c_mktsegment || ' LATE"}') signal, sha256('{"f0":' || c_custkey || ',"f1":["' || c_mktsegment || '","late"]}') plan from customer""")
 def _(t):
     """A signal's concern is the same whatever its case and spaces; a plan's attributes are sorted."""
-    concern = fn.normalize_concern(F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit(" \n late ")))
-    plan = fn.fingerprint("c_custkey", F.array_sort(F.array(F.lit("late"), F.col("c_mktsegment"))))
-    return t("customer").select("c_custkey", fn.fingerprint("c_nationkey", concern).alias("signal"), plan.alias("plan"))
+    concern = F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit(" \n late "))
+    plan = fn.plan_hash("c_custkey", targets=F.array(F.lit("late"), F.col("c_mktsegment")))
+    return t("customer").select("c_custkey", fn.signal_fingerprint("c_nationkey", concern).alias("signal"), plan.alias("plan"))
+
+
+@query(
+    "rs06_declared",
+    """with p as (select page_id, 'https://p' || page_id || '.example/a/b' u from pages)
+select u from_locator, 'https://p' || page_id || '.example/a/main' to_locator, 'CANONICAL' edge_type from p where page_id % 5 <> 0
+union all select u, 'https://p' || page_id || '.example/de', 'LANGUAGE' from p
+union all select u, 'https://fr.example/' || page_id, 'LANGUAGE' from p where page_id % 3 = 0
+union all select 'https://old.example/' || page_id, u, 'REDIRECT' from p where page_id % 4 = 1""",
+)
+def _(t):
+    """All pages, each with tags before its own text: attributes in three orders and quotings, relative and absolute targets,
+    every fifth page its own canonical, an alternate without a language, and redirects from an older address."""
+    i = F.col("page_id")
+    u = F.concat(F.lit("https://p"), i, F.lit(".example/a/b"))
+    href = F.when(i % 5 == 0, u).otherwise("main")
+    canonical = F.when(i % 3 == 0, F.concat(F.lit('<link rel="canonical" href="'), href, F.lit('">'))).when(i % 3 == 1, F.concat(F.lit("<LINK href='"), href, F.lit("' REL='canonical' />"))).otherwise(F.concat(F.lit("<link\nid=x rel=canonical href="), href, F.lit(">")))
+    second = F.lit('<link rel="canonical" href="/second"><link rel="alternate" href="/feed"><link hreflang="de" href="/de" rel="alternate">')
+    french = F.when(i % 3 == 0, F.concat(F.lit('<link rel="alternate" hreflang="fr" href="https://FR.example/'), i, F.lit('#top">'))).otherwise("")
+    pages = t("pages").select(u.alias("url"), F.concat(canonical, second, french, F.coalesce("html", F.lit(""))).alias("html"))
+    fetches = t("pages").where(i % 4 == 1).select(F.concat(F.lit("https://old.example/"), i).alias("url"), u.alias("redirect_to"))
+    return res.declared_edges(pages, fetches=fetches)
+
+
+@query(
+    "rs17_provenance",
+    """with o as (select l_orderkey * 8 + l_linenumber extraction_id, o_custkey + case when l_linenumber % 3 = 0 then 1 else 0 end body, o_custkey, o_orderstatus, c_nationkey from lineitem join orders on o_orderkey = l_orderkey left join customer on c_custkey = o_custkey)
+select extraction_id, 'FETCH_BODY' violation, count(*) n from o where o_orderstatus = 'P' or body <> o_custkey group by 1
+union all select extraction_id, 'DERIVATION_BODY', count(*) from o where c_nationkey is null or o_custkey + case when c_nationkey % 5 = 0 then 1 else 0 end <> body group by 1""",
+)
+def _(t):
+    """Lines as observations of their order's retrieval and their customer's text; every third cites another body, open orders
+    carried none, and the texts of every fifth nation derive from another."""
+    o = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    body = F.col("o_custkey") + F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
+    o = o.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("extraction_id"), F.col("l_orderkey").alias("fetch_id"), F.col("o_custkey").alias("text_id"), body.alias("body_id"))
+    fetches = t("orders").select(F.col("o_orderkey").alias("fetch_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("body_id"))
+    derivations = t("customer").select(F.col("c_custkey").alias("text_id"), (F.col("c_custkey") + F.when(F.col("c_nationkey") % 5 == 0, 1).otherwise(0)).alias("body_id"))
+    return rel.counts_by(res.evidence_provenance(o, fetches, derivations), "extraction_id", "violation")
+
+
+@query(
+    "jn13_edges_of",
+    """with r as (select distinct l_suppkey f, l_partkey t from lineitem), n as (select s_suppkey id from supplier where s_acctbal > 0)
+select id, f from_id, t to_id, true outward from r join n on f = id union all select id, f, t, false from r join n on t = id where f <> t""",
+)
+def _(t):
+    """The edges of all suppliers that are in credit, in a graph of suppliers and parts numbered alike."""
+    r = t("lineitem").select(F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id")).distinct()
+    return rel.edges_of_each(r, t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id")), "id")
 
 
 @query(

@@ -302,7 +302,7 @@ def _(t):
 def _(t):
     s = _signals(t)
     new = t("customer").select(F.col("c_custkey").alias("company_id"), F.lit(" Merger ").alias("concern")).union(s.select("occurrence_id", F.lit("merger")).distinct())
-    sid = fn.fingerprint("company_id", fn.normalize_concern("concern"))
+    sid = fn.signal_fingerprint("company_id", "concern")
     o = s.select(F.col("occurrence_id").alias("company_id"), F.lit("MERGER").alias("concern"), "occurrence_id").distinct().select(sid.alias("signal_id"), "occurrence_id", F.lit(1).alias("number"))
     return res.raise_signals(new, o, s).select("company_id", "number")
 

@@ -79,14 +79,24 @@ def sitemap_urls(docs: DataFrame, url: str = "url", body: str = "body") -> DataF
     return direct.union(below).distinct()
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, trimmed and without its quotes; empty where the tag has none."""
+    value = F.regexp_extract(tag, rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
 def declared_edges(pages: DataFrame, html: str = "html", url: str = "url", fetches: DataFrame | None = None) -> DataFrame:
-    """CANONICAL and LANGUAGE edges that pages declare, and REDIRECT edges of ``fetches`` (url, redirect_to); no edge leads to itself."""
-    canon = F.regexp_extract(html, """(?i)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']+)["']""", 1)
-    alts = F.regexp_extract_all(html, F.lit("""(?i)<link[^>]+hreflang=["'][^"']+["'][^>]+href=["']([^"']+)["']"""), F.lit(1))
-    me = fn.normalize_locator(url)
-    one = pages.where(canon != "").select(me.alias("from_locator"), fn.normalize_locator(canon).alias("to_locator"), F.lit("CANONICAL").alias("edge_type"))
-    many = pages.select(me.alias("from_locator"), F.explode(alts).alias("x")).select("from_locator", fn.normalize_locator("x").alias("to_locator"), F.lit("LANGUAGE").alias("edge_type"))
-    edges = one.union(many)
+    """CANONICAL and LANGUAGE edges that pages declare, and REDIRECT edges of ``fetches`` (url, redirect_to); no edge
+    leads to itself. Attributes of a tag may stand in any order, quoted or bare; a relative href is one of the page."""
+    tag = lambda x: F.struct(*(_attribute(x, a).alias(a) for a in ("rel", "hreflang", "href")))
+    tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<link\b([^>]*)>"), F.lit(1)), tag)
+    says = lambda t, word: (t["href"] != "") & F.array_contains(F.split(F.lower(t["rel"]), r"\s+"), word)
+    canonical = F.slice(F.filter("tags", lambda t: says(t, "canonical")), 1, 1)  # a page's first counts
+    alternate = F.filter("tags", lambda t: says(t, "alternate") & (t["hreflang"] != ""))
+    edge = lambda kind: lambda t: F.struct(t["href"].alias("href"), F.lit(kind).alias("edge_type"))
+    found = F.concat(F.transform(canonical, edge("CANONICAL")), F.transform(alternate, edge("LANGUAGE")))
+    edges = pages.select(F.col(url).alias("page"), tags.alias("tags")).select("page", F.inline(found))
+    edges = edges.select(fn.normalize_locator("page").alias("from_locator"), fn.normalize_locator(fn.resolve_reference("page", "href")).alias("to_locator"), "edge_type")
     if fetches is not None:
         edges = edges.union(fetches.select(fn.normalize_locator("url").alias("from_locator"), fn.normalize_locator("redirect_to").alias("to_locator"), F.lit("REDIRECT").alias("edge_type")))
     return edges.where("from_locator <> to_locator").distinct()
@@ -226,6 +236,18 @@ def evidence_items(obs: DataFrame) -> DataFrame:
     return d.withColumn("evidence_id", F.sha2(F.concat_ws("|", *keys), 256))
 
 
+def evidence_provenance(obs: DataFrame, fetches: DataFrame, derivations: DataFrame) -> DataFrame:
+    """Observations whose lineage does not agree on a body, with why: the cited ``body_id`` must be the one that the retrieval
+    carried (FETCH_BODY) and the one that the text derives from (DERIVATION_BODY). An unknown retrieval or derivation agrees
+    with nothing, nor does a null body. Rows of fetches (fetch_id, body_id) and derivations (text_id, body_id) are by key."""
+    f = fetches.select("fetch_id", F.col("body_id").alias("_fetched"))
+    d = derivations.select("text_id", F.col("body_id").alias("_derived"))
+    j = obs.join(f, "fetch_id", "left").join(d, "text_id", "left")
+    agrees = lambda c: F.coalesce(F.col(c) == F.col("body_id"), F.lit(False))
+    why = F.array_compact(F.array(F.when(~agrees("_fetched"), "FETCH_BODY"), F.when(~agrees("_derived"), "DERIVATION_BODY")))
+    return j.withColumn("violation", F.explode(why)).select(*obs.columns, "violation")
+
+
 def route(obs: DataFrame, threshold: float = 0.60) -> DataFrame:
     """REVIEW for sampled or weak observations, ASSERT for the rest."""
     return obs.withColumn("route", F.when(F.coalesce("sampled", F.lit(False)), "REVIEW_SAMPLED").when(F.col("extractor_confidence") < threshold, "REVIEW_WEAK").otherwise("ASSERT"))
@@ -247,7 +269,7 @@ def claims_from_observations(obs: DataFrame, by: list[str] = ("company_id",)) ->
     """Assertions: observations grouped by what they say, with a fingerprint that leaves out who extracted them."""
     keys = [*by, "attribute_key", "value_json", "unit", "fact_type"]
     g = obs.groupBy(*keys).agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"), F.array_sort(F.collect_set(F.struct("source_id", "artifact_id"))).alias("origins"))
-    return g.withColumn("claim_id", fn.fingerprint(*[F.col(k) for k in keys], F.col("origins")))
+    return g.withColumn("claim_id", fn.assertion_fingerprint(*keys, origins="origins"))
 
 
 def link_evidence(links: DataFrame, publishers: dict[str, str], trust: dict[str, float] = cfg.TRUST) -> DataFrame:
@@ -369,7 +391,7 @@ def reconcile(gaps: DataFrame, claims: DataFrame) -> DataFrame:
 
 def raise_signals(new: DataFrame, occurrences: DataFrame, events: DataFrame) -> DataFrame:
     """A new occurrence of a concern where none is open, numbered on from the last."""
-    c = rel.one_per_key(new.withColumn("signal_id", fn.fingerprint("company_id", fn.normalize_concern("concern"))), ["signal_id"])
+    c = rel.one_per_key(new.withColumn("signal_id", fn.signal_fingerprint("company_id", "concern")), ["signal_id"])
     now = current_status(events, "occurrence_id", cfg.SIGNAL_RANK).select("occurrence_id", F.col("event_kind").alias("status"))
     o = occurrences.join(now, "occurrence_id", "left")
     open_ = o.where("status in ('OPEN', 'ACKNOWLEDGED')").select("signal_id").distinct()
@@ -392,7 +414,7 @@ def retention_plan(bodies: DataFrame, fetches: DataFrame, as_of: Column) -> Data
 
 def questions(runs: DataFrame) -> DataFrame:
     """One question per plan, however often it was asked; ``conflict`` where an attempt is open."""
-    d = runs.withColumn("plan_hash", fn.fingerprint("company_id", "vertical", F.array_sort("targets")))
+    d = runs.withColumn("plan_hash", fn.plan_hash("company_id", "vertical", targets="targets"))
     return d.groupBy("plan_hash").agg(F.min("run_id").alias("run_id"), F.count(F.lit(1)).alias("asked"), F.bool_or(F.coalesce("attempt_open", F.lit(False))).alias("conflict"))
 
 

@@ -317,3 +317,42 @@ def test_seeding_twice_adds_nothing(spark):
     part = cfg.seed_tables(spark, {**first, "trust": first["trust"].where("source_class <> 'NEWS'")})
     assert rows(part["trust"], "source_class", "trust") == [("NEWS", 0.7)]
     assert first["base_model"].count() == len(set(cfg.BASE_MODEL))
+
+
+def test_declared_edges_in_any_order_of_attributes(spark):
+    html = """<link href=c rel='shortcut canonical'><link rel="canonical" href="/late"><LINK
+    hreflang='de' data-href="/no" href="../de" REL="alternate"><link rel=alternate href=/feed><link rel="canonical"><a rel=canonical href=/a>"""
+    pages = spark.createDataFrame([("https://a.com/x/y", html), ("https://a.com/z", '<link rel="canonical" href="#top">'), ("https://a.com/n", None), ("https://a.com/e", "")], "url string, html string")
+    assert rows(res.declared_edges(pages), "from_locator", "to_locator", "edge_type") == [("https://a.com/x/y", "https://a.com/de", "LANGUAGE"), ("https://a.com/x/y", "https://a.com/x/c", "CANONICAL")]
+
+
+def test_evidence_of_another_body_is_a_violation(spark):
+    obs = spark.createDataFrame([(1, 10, 20, 5), (2, 10, 21, 5), (3, 11, 20, 5), (4, 99, 98, 5), (5, 10, 20, None)], "extraction_id int, fetch_id int, text_id int, body_id int")
+    fetches = spark.createDataFrame([(10, 5), (11, None)], "fetch_id int, body_id int")
+    derivations = spark.createDataFrame([(20, 5), (21, 6)], "text_id int, body_id int")
+    got = rows(res.evidence_provenance(obs, fetches, derivations), "extraction_id", "violation")
+    assert got == [(2, "DERIVATION_BODY"), (3, "FETCH_BODY"), (4, "DERIVATION_BODY"), (4, "FETCH_BODY"), (5, "DERIVATION_BODY"), (5, "FETCH_BODY")]
+
+
+def test_fingerprints_own_their_rules(spark):
+    d = spark.createDataFrame([(1, ["b", "a", "a"], " Late  Pay "), (1, ["a", "b"], "late pay")], "id int, xs array<string>, concern string")
+    for c in (fn.assertion_fingerprint("id", origins="xs"), fn.signal_fingerprint("id", "concern")):
+        assert d.select(c.alias("h")).distinct().count() == 1
+    plans = spark.createDataFrame([(["x", "y"],), (["y", "x"],)], "xs array<string>").select(fn.plan_hash(F.lit(1), targets="xs").alias("h"))
+    assert plans.distinct().count() == 1
+    readings = [("a", "1", None), ("b", "1", None), ("a", "2", None), ("a", "1", "t")]
+    o = spark.createDataFrame(readings, "k string, v string, tag string")
+    assert o.select(fn.observation_fingerprint("k", "v", F.lit("u"), F.lit("FACT"), F.lit("h"), F.lit("DIRECT"), "tag").alias("h")).distinct().count() == 4
+
+
+def test_edges_of_many_nodes(spark):
+    r = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5), (None, 1)], "from_id int, to_id int")
+    n = spark.createDataFrame([(1,), (3,), (3,), (None,)], "id int")
+    got = {(x["id"], x["from_id"], x["to_id"], x["outward"]) for x in rel.edges_of_each(r, n, "id").collect()}
+    assert got == {(1, 1, 2, True), (1, 2, 1, False), (3, 3, 3, True), (1, None, 1, False)} and rel.edges_of_each(r, n, "id").count() == 4
+
+
+def test_positions_with_many_rows_without_a_value(spark):
+    d = spark.range(0, 400, 1, 8).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 8).alias("x"))
+    got = rel.with_percentile(d, "x", [], "p").groupBy("x", "p").count().collect()
+    assert {(r["x"], None if r["p"] is None else round(r["p"], 6), r["count"]) for r in got} == {(None, None, 300), (0, round(24.5 / 99, 6), 50), (4, round(74.5 / 99, 6), 50)}
