@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from attesta.llm import vectors
 
@@ -163,3 +164,30 @@ def test_recall_of_the_search_is_enforced(spark, monkeypatch):
     df, audit = frame(spark, rows), vectors.probe_and_depth
     monkeypatch.setattr(vectors, "probe_and_depth", lambda *a: (1, 1, audit(*a)[2]))
     assert _recall(rows, vectors.nearest(df, df.where("vec_id % 100 = 0"), rerank=2, list_rows=200).collect()) >= 0.85
+
+
+def test_search_audit_is_not_of_copies_alone(spark):
+    """A vector of 90 copies, which the audit's hash puts first, in a cluster of its own: the other queries still find their nearest."""
+    rng = np.random.default_rng(23)
+    rows = list(enumerate(rng.normal(size=(6000, 24)).astype(np.float32)))
+    made = frame(spark, rows).where("vec_id % 100 <> 0").withColumn("c1", F.xxhash64(F.col("embedding").cast("array<double>")))
+    copied = dict(rows)[made.orderBy(F.xxhash64(F.lit("audit"), "c1")).first()["vec_id"]]
+    rows += [(10_001 + i, e) for i, e in enumerate(copied + (1e-3 * rng.normal(size=(60, 24))).astype(np.float32))]
+    rows += [(20_000 + 100 * i, copied) for i in range(90)]
+    df = frame(spark, rows)
+    got, m, hit = vectors.nearest(df, df.where("vec_id % 100 = 0"), rerank=10, list_rows=400).collect(), np.stack([e for _, e in rows]).astype(float), 0
+    for q in range(0, 6000, 100):
+        want = {rows[i][0] for i in np.argsort(((m - m[q]) ** 2).sum(1), kind="stable")[1:11]}
+        hit += len(want & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hit / 600 >= 0.9
+
+
+def test_search_finds_copies_among_many_of_one_code(spark):
+    """300 near vectors that share a code, each there twice: the copy of a query is its nearest, whatever the codes tell apart."""
+    rng = np.random.default_rng(29)
+    x = np.concatenate([rng.normal(size=(1500, 8)), 1 + 1e-6 * rng.normal(size=(300, 8))]).astype(np.float32)
+    rows = [(i, e) for i, e in enumerate(x)] + [(5001 + i, e) for i, e in enumerate(x[1500:])]
+    df = frame(spark, rows)
+    got = vectors.nearest(df, df.where("vec_id % 100 = 0"), rerank=12, recall=0.5, least=0.0).collect()
+    same = {r["query_id"] for r in got if r["score"] == 0}
+    assert same >= {1500, 1600, 1700}
