@@ -80,34 +80,51 @@ def pairs_within(df: DataFrame, group: str, order: str, differs: str) -> DataFra
     return a.join(b, group).where((F.col("left") < F.col("right")) & (F.col("_da") != F.col("_db"))).drop("_da", "_db")
 
 
+#: Left texts of a trigram that one block holds in ``fuzzy_join``.
+_MEET = 2000
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, lid: str, ltext: str, rid: str, rtext: str, threshold: float = 0.55, k: int = 25) -> DataFrame:
     """(lid, rid, similarity): trigram similarity above the threshold, the best ``k`` per left row, ties to the lower id.
 
     Equal texts are joined once. A pair above the threshold shares one of the ``n - ceil(threshold * n) + 1`` rarest
-    trigrams of each side, so only those meet in the equi-join; the similarity is then taken from the whole sets. Of a right
-    text no more than its ``k`` lowest ids can be among a left row's best, and the best are chosen per left text before
-    they are given to its rows; so a common text multiplies nothing.
+    trigrams of each side, so only those meet in the equi-join, and each brings its whole set as numbers in order of rarity:
+    a pair is measured where it meets at the rarest trigram that both have, so pairs that fail are never written or shuffled.
+    Before, 256 bits of each set are compared: bits that differ are no more than trigrams that differ, and few pairs stay. A
+    trigram of many texts is dealt to blocks of ``_MEET`` left texts. Of a right text no more than its ``k`` lowest ids can be
+    among a left row's best, and only ``k`` texts by their lowest id; the best are chosen per left text before they are given
+    to its rows, so a common text multiplies nothing.
     """
-    lt, rt = (io.staged(d.select(F.col(t).alias("text")).distinct().withColumn("grams", fn.trigrams("text")).where(F.size("grams") > 0), "texts") for d, t in ((left, ltext), (right, rtext)))
+    lt, rt = (io.staged(d.select(F.col(t).alias("text")).distinct().withColumn("grams", fn.trigrams("text")).where(F.size("grams") > 0).withColumn("id", F.monotonically_increasing_id()), "texts") for d, t in ((left, ltext), (right, rtext)))
     freq = lt.select(F.explode("grams").alias("g")).union(rt.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    freq = io.staged(freq, "gram-counts")
+    # letters and digits have at most 37 * 37 * 37 trigrams: a numbering in one window is bounded
+    codes = F.broadcast(io.staged(freq.select("g", F.row_number().over(Window.orderBy("n", "g")).alias("code")), "gram-codes"))
 
     def prefix(d: DataFrame, name: str) -> DataFrame:
-        rows = d.select("text", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(freq, "g")
-        rows = rows.groupBy("text", "size").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+        rows = d.select("id", F.explode("grams").alias("g")).join(codes, "g").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+        bits = [F.expr(f"aggregate(codes, 0L, (a, c) -> if(c % 4 = {i}, a | shiftleft(1L, cast((c div 4) % 64 as int)), a))").alias(f"{name}_bits{i}") for i in range(4)]
+        rows = io.staged(rows.select("id", "codes", F.size("codes").alias("size"), *bits), "text-codes")
         p = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-        return rows.select(F.col("text").alias(name), F.col("size").alias(f"{name}_size"), F.explode(F.slice("gs", F.lit(1), p)).alias("x")).select(name, f"{name}_size", "x.g")
-
-    lo, hi = F.least("lt_size", "rt_size"), F.greatest("lt_size", "rt_size")
-    met = prefix(lt, "lt").join(prefix(rt, "rt"), "g").where(lo >= F.lit(threshold) * hi).select("lt", "rt").distinct()
-    met = met.join(lt.select(F.col("text").alias("lt"), F.col("grams").alias("lg")), "lt").join(rt.select(F.col("text").alias("rt"), F.col("grams").alias("rg")), "rt")
-    both = F.size(F.array_intersect("lg", "rg"))
-    met = met.select("lt", "rt", (both / (F.size("lg") + F.size("rg") - both)).alias("similarity")).where(F.col("similarity") > threshold)
+        return rows.select(F.col("id").alias(name), F.col("size").alias(f"{name}_size"), F.col("codes").alias(f"{name}_codes"), *(f"{name}_bits{i}" for i in range(4)), F.posexplode(F.slice("codes", F.lit(1), p)).alias(f"{name}_at", "g"))
+
+    lp, rp = prefix(lt, "lt"), prefix(rt, "rt")
+    blocks = F.broadcast(io.staged(lp.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / _MEET).cast("int").alias("blocks")), "gram-blocks"))
+    lp = lp.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("lt"), F.col("blocks")).cast("int")).drop("blocks")
+    rp = rp.join(blocks, "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    lo, hi, total = F.least("lt_size", "rt_size"), F.greatest("lt_size", "rt_size"), F.col("lt_size") + F.col("rt_size")
+    rest = F.least(F.col("lt_size") - F.col("lt_at"), F.col("rt_size") - F.col("rt_at"))  # no more than these can be shared from here on
+    unlike = sum(F.bit_count(F.col(f"lt_bits{i}").bitwiseXOR(F.col(f"rt_bits{i}"))) for i in range(4))
+    few = unlike * (1 + threshold) < (1 - threshold) * total + 1e-6
+    met = lp.join(rp, ["g", "block"]).where(few & (lo >= F.lit(threshold) * hi) & (rest * (1 + threshold) > F.lit(threshold) * total - 1e-6))
+    both = F.array_intersect("lt_codes", "rt_codes")  # in order of the left side
+    met = met.where(both[0] == F.col("g")).withColumn("both", F.size(both)).select("lt", "rt", (F.col("both") / (total - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
+    name = lambda d, of: d.select(F.col("text").alias("_text"), F.col("id").alias(of))
     low = Window.partitionBy("rt").orderBy("_r")
-    ids = right.select(F.col(rtext).alias("rt"), F.col(rid).alias("_r")).withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k).drop("_n")
+    ids = right.select(F.col(rtext).alias("_text"), F.col(rid).alias("_r")).join(name(rt, "rt"), "_text").select("rt", "_r").withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k)
     best = Window.partitionBy("lt").orderBy(F.desc("similarity"), "_r")
-    top = met.join(ids, "rt").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("lt", "_r", "similarity")
-    return left.select(F.col(lid).alias(lid), F.col(ltext).alias("lt")).join(top, "lt").select(lid, F.col("_r").alias(rid), "similarity")
+    top = io.staged(met.join(ids.where("_n = 1"), "rt").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("lt", "rt", "similarity"), "best-texts")
+    top = top.join(ids.drop("_n"), "rt").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("lt", "_r", "similarity").join(name(lt, "lt"), "lt")
+    return left.select(F.col(lid).alias(lid), F.col(ltext).alias("_text")).join(top, "_text").select(lid, F.col("_r").alias(rid), "similarity")
 
 
 def compare(a: DataFrame, b: DataFrame, key: str, score: str = "score", rank: str = "rank") -> DataFrame:

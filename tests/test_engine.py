@@ -370,3 +370,18 @@ def test_contextual_scores_of_large_keys(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view supplier as from '{tmp_path}/supplier.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(c.execute(catalog.ORACLES["sc24_contextual"]).fetchall())
+
+
+def test_fuzzy_join_shuffles_no_failing_pairs(spark, monkeypatch):
+    """600 texts that all share a word, in blocks of 50: the best of each, and no staged table holds pairs beyond the best."""
+    monkeypatch.setattr(rel, "_MEET", 50)
+    staged, kept = rel.io.staged, []
+    monkeypatch.setattr(rel.io, "staged", lambda df, name: kept.append((name, staged(df, name))) or kept[-1][1])
+    texts = [(i, f"common {i * 7919 % 1000:03d}x{i % 7} {i * 104729 % 997:03d}") for i in range(600)]
+    d = spark.createDataFrame(texts, "a long, x string")
+    out = rel.fuzzy_join(d, d.toDF("b", "y"), "a", "x", "b", "y", k=3)
+    g = {i: {w[j : j + 3] for w in (f"  {v} " for v in x.split()) for j in range(len(w) - 2)} for i, x in texts}
+    sim = lambda a, b: len(g[a] & g[b]) / len(g[a] | g[b])
+    want = {a: sorted((-s, b) for b in g if (s := sim(a, b)) > 0.55)[:3] for a in g}
+    assert sorted(map(tuple, out.collect())) == sorted((a, b, -s) for a in want for s, b in want[a])
+    assert dict(kept)["best-texts"].count() <= 3 * 600
