@@ -174,6 +174,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
 
 
+def spread(df: DataFrame, *keys: str, share: int = 32) -> DataFrame:
+    """``df`` dealt by key into ``share`` parts for each split of its scan, so that a task's rows do not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, share * df.rdd.getNumPartitions()), *keys)
+
+
 def provenance_violations(walk: DataFrame, evidence: str, owner: str) -> DataFrame:
     """Evidence that a provenance walk leads to no owner or to several."""
     return walk.groupBy(evidence).agg(F.countDistinct(owner).alias("owners")).where("owners <> 1")

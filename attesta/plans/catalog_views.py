@@ -106,7 +106,7 @@ def _(t):
 
 @query("jn12_provenance", "select o_orderkey, count(distinct l_suppkey) owners from orders left join lineitem on l_orderkey = o_orderkey group by 1 having count(distinct l_suppkey) <> 1")
 def _(t):
-    walk = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    walk = t("orders").join(rel.spread(t("lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return rel.provenance_violations(walk, "o_orderkey", "l_suppkey")
 
 

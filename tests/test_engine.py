@@ -385,3 +385,18 @@ def test_fuzzy_join_shuffles_no_failing_pairs(spark, monkeypatch):
     want = {a: sorted((-s, b) for b in g if (s := sim(a, b)) > 0.55)[:3] for a in g}
     assert sorted(map(tuple, out.collect())) == sorted((a, b, -s) for a in want for s, b in want[a])
     assert dict(kept)["best-texts"].count() <= 3 * 600
+
+
+def test_spread_grows_with_the_scan(spark, tmp_path):
+    """A table of more splits is dealt to more parts, rows of a key together."""
+    spark.range(4000).selectExpr("id % 50 as k", "id").repartition(6).write.parquet(f"file://{tmp_path}/t")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        d = spark.read.parquet(f"file://{tmp_path}/t")
+        assert d.rdd.getNumPartitions() >= 6
+        out = rel.spread(d, "k")
+        assert out.rdd.getNumPartitions() == 32 * d.rdd.getNumPartitions()
+        assert out.count() == 4000 and out.select("k", F.spark_partition_id()).distinct().count() == 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
