@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
+from attesta.operators import relational as rel
+from attesta.sources import io
 
 
 def broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -110,11 +112,15 @@ def research_violations(obs: DataFrame, ceilings: dict[str, str] = cfg.CLASS_CEI
 
 
 def chain_violations(d: DataFrame, id_col: str = "decision_id", parent: str = "supersedes_decision_id", entity: str = "record_id") -> DataFrame:
+    """Chains with no root or several, parents of several, rows above themselves, and parents of another entity. The links are
+    staged and dealt by parent into parts that follow the size of the table."""
+    d = io.staged(d.select(id_col, parent, entity), "chain-links")
     roots = d.groupBy(entity).agg(F.count_if(F.col(parent).isNull()).alias("n")).where("n <> 1").select(F.col(entity).cast("string").alias("key"), F.lit("roots").alias("violation"))
-    kids = d.where(F.col(parent).isNotNull()).groupBy(parent).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(parent).cast("string").alias("key"), F.lit("children").alias("violation"))
+    linked = rel.spread(d.where(F.col(parent).isNotNull()), parent)
+    kids = linked.groupBy(parent).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(parent).cast("string").alias("key"), F.lit("children").alias("violation"))
     me = d.where(F.col(id_col) == F.col(parent)).select(F.col(id_col).cast("string").alias("key"), F.lit("self").alias("violation"))
     up = d.select(F.col(id_col).alias(parent), F.col(entity).alias("_e"))
-    other = d.join(up, parent).where(F.col(entity) != F.col("_e")).select(F.col(id_col).cast("string").alias("key"), F.lit("entity").alias("violation"))
+    other = linked.join(rel.spread(up, parent), parent).where(F.col(entity) != F.col("_e")).select(F.col(id_col).cast("string").alias("key"), F.lit("entity").alias("violation"))
     return roots.union(kids).union(me).union(other)
 
 

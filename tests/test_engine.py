@@ -400,3 +400,13 @@ def test_spread_grows_with_the_scan(spark, tmp_path):
         assert out.count() == 4000 and out.select("k", F.spark_partition_id()).distinct().count() == 50
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_chain_violations_deal_their_links(spark, monkeypatch):
+    """Every kind of violation, from links that are dealt by parent into parts of their own."""
+    dealt, spread = [], rel.spread
+    monkeypatch.setattr(rel, "spread", lambda df, *keys: dealt.append(keys) or spread(df, *keys))
+    d = spark.createDataFrame([(1, None, 1), (2, 1, 1), (3, 1, 1), (4, 4, 2), (5, None, 3), (6, 5, 1)], "decision_id long, supersedes_decision_id long, record_id long")
+    got = sorted(map(tuple, val.chain_violations(d).collect()))
+    assert got == [("1", "children"), ("2", "roots"), ("4", "self"), ("6", "entity")]
+    assert dealt == [("supersedes_decision_id",)] * 2
