@@ -102,16 +102,19 @@ def _(t):
 def _quarters(df, at: str):
     """A number from 0 to 3 for each row by where ``at`` (a time) lies between the table's ends."""
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    ends = df.agg(F.min(us).alias("_low"), F.max(us).alias("_high"))
-    return df.join(F.broadcast(ends)).withColumn("quarter", F.least(F.lit(3), F.floor((us - F.col("_low")) * 4 / (F.col("_high") - F.col("_low") + 1))).cast("int")).drop("_low", "_high")
+    low, high = (F.lit(x).cast("long") for x in df.agg(F.min(us), F.max(us)).first())
+    return df.withColumn("quarter", F.least(F.lit(3), F.floor((us - low) * 4 / (high - low + 1))).cast("int"))
 
 
-def _files(df, column: str, n: int, name: str) -> str:
-    """A folder of one Parquet part per value of ``column``, in order of time, for a file stream."""
-    path = io.scratch(df.sparkSession, name)
+def _files(df, column: str, n: int, name: str) -> tuple[str, int]:
+    """A folder of Parquet files for a file stream, the values of ``column`` one after another, and the number of files of a
+    value. They are as many as ``df`` has splits, so that a file does not grow with the table."""
+    path, parts, counts = io.scratch(df.sparkSession, name), max(1, df.rdd.getNumPartitions()), [0]
     for i in range(n):
-        df.where(F.col(column) == i).drop(column).coalesce(1).write.mode("append").parquet(path)
-    return path
+        rows = df.where(F.col(column) == i).drop(column)
+        rows.repartition(parts).write.mode("append").parquet(path)
+        counts.append(len(df.sparkSession.read.schema(rows.schema).parquet(path).inputFiles()))
+    return path, max(b - a for a, b in zip(counts, counts[1:]))
 
 
 class _Crash(Exception):
@@ -138,10 +141,10 @@ def _(t):
     spark, schema = e.sparkSession, "user_id long, event_type string, event_id long, ts timestamp_ntz"
     parts = io.staged(_quarters(e, "ts"), "quarters")
     sink = _CrashingSink(spark, io.scratch(spark, "ingested"), schema, ["user_id", "event_type"], buckets=16, order=[F.col("ts"), F.col("event_id")])
-    stream, checkpoint = _files(parts, "quarter", 4, "arrivals"), io.scratch(spark, "ingest-checkpoint")
+    (stream, files), checkpoint = _files(parts, "quarter", 4, "arrivals"), io.scratch(spark, "ingest-checkpoint")
     for _ in range(2):
         try:
-            jobs.stream_ingest(jobs.replay(spark, stream, schema), sink, checkpoint, "events").awaitTermination()
+            jobs.stream_ingest(jobs.replay(spark, stream, schema, files), sink, checkpoint, "events").awaitTermination()
         except Exception:
             if not sink.crashed:
                 raise
@@ -169,16 +172,19 @@ def _(t):
     spark, schema = e.sparkSession, "key string, event_id long, event_kind string, occurred_at timestamp"
     d = _quarters(e, "occurred_at")
     d = d.withColumn("quarter", F.when(F.col("event_id") % 3 == 0, F.least(F.col("quarter") + 1, F.lit(3))).otherwise(F.col("quarter")))
-    span = d.agg(F.max("occurred_at").alias("last"), F.expr("(max(unix_seconds(occurred_at)) - min(unix_seconds(occurred_at))) div 2 + 1").alias("half")).first()
+    span = d.agg(F.max("occurred_at").alias("last"), F.expr("(max(unix_seconds(occurred_at)) - min(unix_seconds(occurred_at))) div 2 + 1").alias("half"), F.count(F.lit(1)).alias("n")).first()
     if span["last"] is None:
         return spark.createDataFrame([], "gap_id long, event_id long, event_kind string, previous string, accepted boolean")
-    close = lambda i: spark.range(1).select(F.lit("").alias("key"), F.lit(-1).cast("long").alias("event_id"), F.lit("CLOSE").alias("event_kind"), (F.lit(span["last"]) + F.expr(f"make_dt_interval(0, 0, 0, {3 * span['half'] + i})")).cast("timestamp").alias("occurred_at"), F.lit(4 + i).alias("quarter"))
-    folder = _files(d.unionByName(close(0)).unionByName(close(1)), "quarter", 6, "happenings")
+    folder, files = _files(d, "quarter", 4, "happenings")
+    for i in range(2):  # a closing event in each file of a batch
+        at = F.lit(span["last"]) + F.expr(f"make_dt_interval(0, 0, 0, {3 * span['half'] + i})")
+        close = spark.range(0, files, 1, files).select(F.lit("").alias("key"), F.lit(-1).cast("long").alias("event_id"), F.lit("CLOSE").alias("event_kind"), at.cast("timestamp").alias("occurred_at"))
+        close.write.mode("append").parquet(folder)
     kept = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = io.scratch(spark, "verdicts")
     try:
-        status = jobs.stream_status(jobs.replay(spark, folder, schema), f"{span['half']} seconds")
+        status = jobs.stream_status(jobs.replay(spark, folder, schema, files), f"{span['half']} seconds", buckets=max(64, span["n"] // 16_000))
         status.writeStream.format("parquet").option("path", out).option("checkpointLocation", io.scratch(spark, "status-checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in kept.items():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import columns as fn
 from attesta.functions import config as cfg
 from attesta.operators import relational as rel
+from attesta.plans import catalog_jobs
 from attesta.plans import research as res
 from attesta.plans import scoring as sc
 from attesta.plans import witnesses as wit
@@ -184,6 +185,52 @@ def test_status_of_events_out_of_order(spark, tmp_path):
     assert got == [(1, None, True), (2, "ATTEMPTED", True), (3, None, False), (4, None, True), (5, "RAISED", True), (6, None, True), (8, "RESOLVED", False), (9, None, False)]
 
 
+def test_state_is_by_buckets_of_keys(spark, tmp_path):
+    """Many keys, among them null, with null and unknown kinds: judged as one after another, while state has a few rows a bucket."""
+    rng, rank = random.Random(4), cfg.GAP_RANK
+    kinds = [*rank, "OTHER", None]
+    events = [(rng.choice([None, *map(str, range(700))]), i, rng.choice(kinds), rng.randint(1, 20)) for i in range(4000)]
+    batches = [[e for e in events if e[3] <= 12], [e for e in events if e[3] > 12], [("x", -1, "CLOSE", 100)], [("x", -2, "CLOSE", 300)]]
+    src, schema = f"file://{tmp_path}/ev", "key string, event_id long, event_kind string, minute int"
+    for ev in batches:
+        d = spark.createDataFrame(ev, schema)
+        d.withColumn("occurred_at", F.timestamp_seconds(F.col("minute") * 60)).drop("minute").coalesce(1).write.mode("append").parquet(src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = jobs.replay(spark, src, "key string, event_id long, event_kind string, occurred_at timestamp")
+        q = jobs.stream_status(stream, "10 minutes", buckets=5).writeStream.format("memory").queryName("many").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    status, want = {}, []
+    for key, i, kind, _ in sorted(events, key=lambda e: (e[3], rank.get(e[2], 99), e[1])):
+        accepted = (status.get(key), kind) in cfg.GAP_GRAPH
+        want.append((i, key, kind, status.get(key), accepted))
+        if accepted:
+            status[key] = kind
+    assert rows(spark.table("many").where("event_id >= 0"), "event_id", "key", "event_kind", "previous", "accepted") == sorted(want, key=repr)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 8 * 5
+
+
+def test_waiting_events_are_held_in_pieces(monkeypatch):
+    monkeypatch.setattr(jobs, "HELD_ROWS", 3)
+    t = jobs.EVENT.empty_table().from_pylist([{"key": k, "at": i, "place": 0, "event_id": i, "event_kind": None} for i, k in enumerate("abc" * 3 + "d")], schema=jobs.EVENT)
+    held = jobs._pack(t)
+
+    class State:
+        exists = staticmethod(lambda: True)
+        get = staticmethod(lambda: iter(held))
+
+    assert len(held) == 4 and jobs._unpack(State, jobs.EVENT).equals(t)
+
+
+def test_files_of_a_stream_follow_the_splits(spark):
+    d = spark.range(0, 4000, 1, 3).withColumn("q", (F.col("id") * 2 / 4000).cast("int"))
+    path, files = catalog_jobs._files(d, "q", 2, "many-files")
+    got = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("at")).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("at").collect()
+    assert files == 3 and len(got) == 6 and all(r["high"] < 2000 for r in got[:3]) and all(r["low"] >= 2000 for r in got[3:])
+
+
 # --- file sources -----------------------------------------------------------------------------------------------------
 
 
