@@ -174,10 +174,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
 
 
+def parts(df: DataFrame, share: int = 32) -> int:
+    """``share`` parts for each split of a scan, so that a part's rows do not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), share * df.rdd.getNumPartitions())
+
+
 def spread(df: DataFrame, *keys: str, share: int = 32) -> DataFrame:
-    """``df`` dealt by key into ``share`` parts for each split of its scan, so that a task's rows do not grow with the table."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, share * df.rdd.getNumPartitions()), *keys)
+    """``df`` dealt by key into ``share`` parts for each split of its scan."""
+    return df.repartition(parts(df, share), *keys)
 
 
 def provenance_violations(walk: DataFrame, evidence: str, owner: str) -> DataFrame:

@@ -346,7 +346,7 @@ union select 'o' || l_orderkey, 'p' || l_partkey from lineitem union select 'n'
 def _(t):
     """From region to part, over customers and orders or over suppliers: a part has many parents, at unlike depths."""
     key = lambda letter, c: F.concat(F.lit(letter), c)
-    edge = lambda table, a, p, b, c: t(table).select(key(a, p).alias("parent_id"), key(b, c).alias("child_id")).distinct()
+    edge = lambda table, a, p, b, c: t(table).select(key(a, p).alias("parent_id"), key(b, c).alias("child_id"))
     d = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("customer", "n", "c_nationkey", "c", "c_custkey")).union(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
     d = d.union(edge("lineitem", "o", "l_orderkey", "p", "l_partkey")).union(edge("supplier", "n", "s_nationkey", "s", "s_suppkey")).union(edge("lineitem", "s", "l_suppkey", "p", "l_partkey"))
     return res.lineage_down(d, d.where("parent_id like 'r%'").select(F.col("parent_id").alias("root_id")))

@@ -454,14 +454,18 @@ def lineage_down(derivations: DataFrame, roots: DataFrame) -> DataFrame:
     artifact may have several parents; depth is the least. ``derivations`` has parent_id and child_id, ``roots`` root_id.
 
     Each level asks only for what no level before has, so cycles end; levels are staged, and there is no bound on their number.
+    The derivations are shuffled once, into buckets by parent, and not once per level; repeated ones meet in the level they lead to.
     """
-    edges = io.staged(derivations.where("parent_id is not null and child_id is not null").select("parent_id", "child_id").distinct(), "derivations")
-    seen = level = io.staged(roots.where("root_id is not null").select("root_id", F.col("root_id").alias("artifact_id"), F.lit(0).alias("depth")).distinct(), "lineage")
-    depth = 0
-    while not level.isEmpty():
-        depth += 1
-        nxt = level.select("root_id", F.col("artifact_id").alias("parent_id")).join(edges, "parent_id").select("root_id", F.col("child_id").alias("artifact_id")).distinct()
-        level = io.staged(nxt.join(seen.select("root_id", "artifact_id"), ["root_id", "artifact_id"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
-        seen = seen.unionByName(level)
-    io.discard(edges)
+    edges = derivations.where("parent_id is not null and child_id is not null").select("parent_id", "child_id")
+    edges = io.bucketed(edges, "derivations", rel.parts(edges, share=8), "parent_id")
+    try:
+        seen = level = io.staged(roots.where("root_id is not null").select("root_id", F.col("root_id").alias("artifact_id"), F.lit(0).alias("depth")).distinct(), "lineage")
+        depth = 0
+        while not level.isEmpty():
+            depth += 1
+            nxt = level.select("root_id", F.col("artifact_id").alias("parent_id")).join(edges, "parent_id").select("root_id", F.col("child_id").alias("artifact_id")).distinct()
+            level = io.staged(nxt.join(seen.select("root_id", "artifact_id"), ["root_id", "artifact_id"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
+            seen = seen.unionByName(level)
+    finally:
+        io.discard(edges)
     return seen

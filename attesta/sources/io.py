@@ -164,8 +164,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """``df`` staged as a table in ``buckets`` by ``keys``: it is shuffled once, and no join on the keys shuffles it again.
+
+    It is an external table of a new name, which ``discard`` drops with its files.
+    """
+    path, table = scratch(df.sparkSession, name), f"attesta_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    out = df.sparkSession.table(table)
+    out._staged_at, out._table = path, table
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table from which every later table has been staged."""
+    if getattr(df, "_table", None):
+        df.sparkSession.sql(f"drop table if exists {df._table}")
     p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
