@@ -20,6 +20,7 @@ def _primes(below: int = 256) -> list[int]:
 PRIMES = _primes()
 _LOG = np.cumsum(np.log2(np.array(PRIMES, float)))
 DEPTH = 1024  # products of centred residues that add up exactly in float32: 1024 * 127 * 127 < 2**24
+HELD = 1 << 18  # products that a task holds at a time, some 50 bytes each with the work on them
 
 
 def moduli(bound: np.ndarray) -> np.ndarray:
@@ -34,43 +35,78 @@ def residues(x: np.ndarray, p: int) -> np.ndarray:
     return np.where(r > half, r - p, np.where(r < -half, r + p, r)).astype(np.float32)
 
 
-def multiply(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact inner products of the rows of ``a`` and ``b``, integers held as doubles, by ``count`` moduli.
+def multiply(ra: list[np.ndarray], rb: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Exact inner products of the rows of two matrices, given as their ``residues`` by the first moduli.
 
     Each modulus takes one float32 matrix product of centred residues. Chinese remaindering turns the residues into balanced
     mixed-radix digits, whose weighted sum is the signed product itself. Returns it as int64, and where it fits into one.
     """
     digits: list[np.ndarray] = []
+    n, m, count = len(ra[0]), len(rb[0]), len(ra)
     for i, p in enumerate(PRIMES[:count]):
-        ra, rb = residues(a, p), residues(b, p)
-        r = np.zeros((len(a), len(b)), np.int64)
-        for k in range(0, a.shape[1], DEPTH):
-            r += np.rint(ra[:, k : k + DEPTH] @ rb[:, k : k + DEPTH].T).astype(np.int64)
-        if digits:  # what the digits so far stand for goes, and the rest is divided by their weight, all modulo p
-            known, weight = np.zeros_like(r), 1
-            for d, q in zip(digits, PRIMES[:i], strict=True):
-                known += d * weight
+        dim = ra[i].shape[1]
+        r = ra[i][:, :DEPTH] @ rb[i][:, :DEPTH].T
+        for k in range(DEPTH, dim, DEPTH):
+            r = _centre(r, p, DEPTH) + _centre(ra[i][:, k : k + DEPTH] @ rb[i][:, k : k + DEPTH].T, p, DEPTH)
+        if i:
+            r = _centre(r, p, DEPTH) if dim + i > DEPTH else r
+            weight = 1
+            for d, q in zip(digits, PRIMES[:i], strict=True):  # what the digits so far stand for goes, and the rest is divided by their weight, all modulo p
+                r -= d * np.float32(weight if 2 * weight < p else weight - p)
                 weight = weight * q % p
-            r = (r - known) % p * pow(weight, -1, p)
-        r %= p
-        digits.append(np.where(r > (p - 1) // 2, r - p, r))
-    exact, near = np.zeros((len(a), len(b)), np.int64), np.zeros((len(a), len(b)))
+            weight = pow(weight, -1, p)
+            r = _centre(r, p, min(dim, DEPTH) + i)
+            r *= np.float32(weight if 2 * weight < p else weight - p)
+        digits.append(_centre(r, p, min(dim, DEPTH) + 1))
+    small = _LOG[count - 1] < 52
+    exact, near = None if small else np.zeros((n, m), np.int64), np.zeros((n, m))
     with np.errstate(over="ignore"):
         for d, p in zip(digits[::-1], PRIMES[count - 1 :: -1], strict=True):
-            exact = exact * np.int64(p) + d  # modulo 2**64, which does no harm where the end fits
-            near = near * p + d
-    return exact, np.abs(near) < 2.0**63 * (1 - 2.0**-40)
+            near *= p
+            near += d
+            if not small:
+                exact *= np.int64(p)  # modulo 2**64, which does no harm where the end fits
+                exact += d.astype(np.int64)
+    return (near.astype(np.int64), np.ones((n, m), bool)) if small else (exact, np.abs(near) < 2.0**63 * (1 - 2.0**-40))
 
 
-def scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``multiply`` with as many moduli as the norms need: rows of ``b`` that need more are multiplied by themselves."""
+def _centre(r: np.ndarray, p: int, terms: int) -> np.ndarray:
+    """Sums of ``terms`` (up to about ``DEPTH``) products of residues, held exactly in float32, modulo ``p`` and centred around 0, in place.
+
+    Of 2**21 and more, a quotient may be rounded to the wrong side: a second step mends that.
+    """
+    for _ in range(1 if terms * 127 * 127 < 2**21 else 2):
+        whole = r * np.float32(1 / p)
+        np.rint(whole, out=whole)
+        whole *= np.float32(p)
+        r -= whole
+    return r
+
+
+def strips(a: np.ndarray, b: np.ndarray, held: int = HELD):
+    """(first row, products, where they fit) of the rows of ``a`` with all of ``b``, a few rows at a time: about ``held`` products.
+
+    ``multiply`` takes as many moduli as the norms need: rows of ``b`` that need more are multiplied by themselves.
+    """
     norm = lambda x: np.abs(x).max(1, initial=0.0) * np.sqrt(x.shape[1])  # noqa: E731  at least the length of each row
     need = moduli(norm(a).max(initial=0.0) * norm(b))
-    exact, fits = np.zeros((len(a), len(b)), np.int64), np.zeros((len(a), len(b)), bool)
-    for count in np.unique(need):
-        own = np.flatnonzero(need == count)
-        exact[:, own], fits[:, own] = multiply(a, b[own], int(count))
-    return exact, fits
+    groups = [(own := np.flatnonzero(need == count), [residues(b[own], p) for p in PRIMES[:count]]) for count in np.unique(need)]
+    step = max(1, held // max(1, len(b)))
+    for i in range(0, len(a), step):
+        ra = [residues(a[i : i + step], p) for p in PRIMES[: need.max(initial=0)]]
+        if len(groups) == 1:
+            exact, fits = multiply(ra, groups[0][1])
+        else:
+            exact, fits = np.zeros((len(a[i : i + step]), len(b)), np.int64), np.zeros((len(a[i : i + step]), len(b)), bool)
+            for own, rb in groups:
+                exact[:, own], fits[:, own] = multiply(ra[: len(rb)], rb)
+        yield i, exact, fits
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All products of ``strips`` at once: for few rows."""
+    parts = [(exact, fits) for _, exact, fits in strips(a, b)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _first(mask: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -114,8 +150,9 @@ def hard_negatives(
     negative_id, positive_score, negative_score.
 
     Anchors and rows meet in blocks of about ``block_values`` components (anchors first with the rows of their own label, then
-    with those of the others), each multiplied by ``scores``; a block returns its few best, and a window over the blocks of an
-    anchor keeps the best of all. A label with a third of all rows is many blocks.
+    with those of the others), each multiplied by ``strips``, so a task holds the rows of two blocks and ``HELD`` products; a
+    block returns its few best, and a window over the blocks of an anchor keeps the best of all. A label with a third of all
+    rows is many blocks.
 
     Rows with a null id, label, vector or component, a component that is not finite or at least 2**128, or of another length
     than most take no part. Zero vectors do. A score that does not fit into 64 bits takes no part either. Rows that share an
@@ -148,12 +185,13 @@ def hard_negatives(
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             rid, ids = right.column("rid").to_numpy(), right.column("vec_id").to_numpy()
-            exact, fits = scores(_rows(left.column("v").combine_chunks(), dim), _rows(right.column("v").combine_chunks(), dim))
-            for i, r in enumerate(left.column("rid").to_numpy()):
-                at = _first(fits[i] & (rid != r), exact[i], ids, positives)
-                out[0] += [r] * len(at)
-                out[1] += ids[at].tolist()
-                out[2] += exact[i][at].tolist()
+            own = left.column("rid").to_numpy()
+            for first, exact, fits in strips(_rows(left.column("v").combine_chunks(), dim), _rows(right.column("v").combine_chunks(), dim)):
+                for i, r in enumerate(own[first : first + len(exact)]):
+                    at = _first(fits[i] & (rid != r), exact[i], ids, positives)
+                    out[0] += [r] * len(at)
+                    out[1] += ids[at].tolist()
+                    out[2] += exact[i][at].tolist()
         return pa.table([pa.array(x, pa.int64()) for x in out], ["arid", "positive_id", "positive_score"])
 
     best = Window.partitionBy("arid").orderBy(F.desc("positive_score"), "positive_id")
@@ -174,16 +212,18 @@ def hard_negatives(
         out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             ids, own = right.column("vec_id").to_numpy(), right.column("label").to_numpy()
-            exact, fits = scores(_rows(left.column("v").combine_chunks(), dim), _rows(right.column("v").combine_chunks(), dim))
-            for i, (r, label, ps) in enumerate(zip(left.column("rid").to_pylist(), left.column("label").to_pylist(), left.column("p").to_pylist(), strict=True)):
-                other = np.flatnonzero(fits[i] & (own != label))
-                score, oid = exact[i][other], ids[other]
-                for p in ps:  # low * s <= 100 * t <= high * s, in whole numbers that never overflow
-                    at = _first((score >= -(-low * p["positive_score"] // 100)) & (score <= high * p["positive_score"] // 100), score, oid, negatives)
-                    out[0] += [r] * len(at)
-                    out[1] += [p["place"]] * len(at)
-                    out[2] += oid[at].tolist()
-                    out[3] += score[at].tolist()
+            rids, marks, asks = left.column("rid").to_pylist(), left.column("label").to_pylist(), left.column("p").to_pylist()
+            for first, exact, fits in strips(_rows(left.column("v").combine_chunks(), dim), _rows(right.column("v").combine_chunks(), dim)):
+                for i in range(len(exact)):
+                    r, label, ps = rids[first + i], marks[first + i], asks[first + i]
+                    other = np.flatnonzero(fits[i] & (own != label))
+                    score, oid = exact[i][other], ids[other]
+                    for p in ps:  # low * s <= 100 * t <= high * s, in whole numbers that never overflow
+                        at = _first((score >= -(-low * p["positive_score"] // 100)) & (score <= high * p["positive_score"] // 100), score, oid, negatives)
+                        out[0] += [r] * len(at)
+                        out[1] += [p["place"]] * len(at)
+                        out[2] += oid[at].tolist()
+                        out[3] += score[at].tolist()
         return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["rid", "place", "negative_id", "negative_score"])
 
     hits = a.groupBy("ab", "cb").cogroup(c.groupBy("ab", "cb")).applyInArrow(windows, "rid long, place int, negative_id long, negative_score long")

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -86,3 +87,24 @@ def test_products_are_exact():
     exact, fits = negatives.scores(big, np.array([[1.0, 5.0, 1.0], [2.0, 0.0, 0.0], [1.0, -7.0, 0.0]]))
     assert exact[fits].tolist() == [15, 2**62 + 5, 2**62 - 7] and fits.tolist() == [[True, False, False], [True, False, True]]
     assert (negatives.moduli(np.array([65536.0])) <= 3).all()
+
+
+def test_a_task_holds_few_products():
+    """Blocks of 4,096 anchors and 8,192 rows: 34 million products, of which a task holds a few at a time."""
+    rng = np.random.default_rng(17)
+    a, b = (np.floor(256 * rng.normal(size=(n, 8))) for n in (4096, 8192))
+    tracemalloc.start()
+    for first, exact, fits in negatives.strips(a, b):
+        assert fits.all() and (exact[:, :50] == a[first : first + len(exact)] @ b[:50].T).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first + len(exact) == 4096 and peak < 64 << 20
+
+
+@pytest.mark.parametrize("terms", [1, 130, 1024])
+def test_residues_of_sums_are_centred(terms):
+    top = terms * 127 * 127
+    r = np.unique(np.concatenate([np.linspace(-top, top, 50_001).astype(np.int64), np.arange(top - 1500, top + 1), np.arange(-top, -top + 1500)]))
+    for p in negatives.PRIMES:
+        got = negatives._centre(r.astype(np.float32), p, terms).astype(np.int64)
+        assert (abs(got) <= (p - 1) // 2).all() and ((r - got) % p == 0).all()
