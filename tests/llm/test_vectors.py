@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -191,3 +193,44 @@ def test_search_finds_copies_among_many_of_one_code(spark):
     got = vectors.nearest(df, df.where("vec_id % 100 = 0"), rerank=12, recall=0.5, least=0.0).collect()
     same = {r["query_id"] for r in got if r["score"] == 0}
     assert same >= {1500, 1600, 1700}
+
+
+def test_rows_of_a_graph_are_bounded(spark, monkeypatch):
+    """A shard of 2 MiB of vectors is rows of 1 MiB at most, and its links stay those of all pairs."""
+    rng = np.random.default_rng(31)
+    x = np.concatenate([b + s * rng.normal(size=(30, 1024)) for b, s in zip(rng.normal(size=(9, 1024)), np.linspace(0.05, 0.4, 9), strict=True)]).astype(np.float32)
+    rows, built = list(enumerate(x)), []
+    staged = vectors.staged
+    monkeypatch.setattr(vectors, "staged", lambda df, name: built.append((name, staged(df, name))) or built[-1][1])
+    monkeypatch.setattr(vectors, "discard", lambda *t: None)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(frame(spark, rows), 0.95, shards=1, query_block=100).collect()}
+    n, comp = links(rows, 0.95)
+    assert {i: got[i]["n_links"] for i in got} == n
+    assert {i: got[i]["component_id"] for i in got} == comp
+    sizes = [sum(map(len, r["parts"])) for r in dict(built)["graphs"].collect()]
+    assert sum(sizes) > 270 * 1024 * 8 and max(sizes) <= 1 << 20
+
+
+def test_a_packed_graph_is_the_same():
+    x = np.random.default_rng(33).normal(size=(4000, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    g = vectors.Graph(x)
+    h = vectors.Graph.unpack([np.frombuffer(p, np.uint8) for p in g.pack()], x)
+    assert len(g.layers) > 1 and all((a == b).all() for a, b in zip(g.layers, h.layers, strict=True))
+    assert (g.search(x[:50], 20)[0] == h.search(x[:50], 20)[0]).all()
+
+
+def test_wide_beams_hold_little_at_a_time():
+    """500 vectors near one another that lead themselves: each query walks with a beam of all nodes and links with all."""
+    rng = np.random.default_rng(37)
+    x = rng.normal(size=16) + 0.02 * rng.normal(size=(500, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    g = vectors.Graph(x)
+    balls = vectors.Balls(g, x, np.ones(500, np.int64))
+    tracemalloc.start()
+    counts, a, b = vectors.linked_balls(g, balls, x, np.arange(500), 0.95, held=1 << 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    low = vectors._forest(a, b)
+    assert (counts == 500).all() and set(low[1].tolist()) == {0} and len(low[0]) == 999
+    assert peak < 30 << 20
