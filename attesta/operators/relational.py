@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,47 +81,85 @@ def pairs_within(df: DataFrame, group: str, order: str, differs: str) -> DataFra
     return a.join(b, group).where((F.col("left") < F.col("right")) & (F.col("_da") != F.col("_db"))).drop("_da", "_db")
 
 
-#: Left texts of a trigram that one block holds in ``fuzzy_join``.
-_MEET = 2000
+#: Left texts that one block holds in ``fuzzy_join``, right ones are twice as many; the most common trigrams, which are bits there.
+_MEET, _BITS = 16384, 128
+
+
+def _best_of_block(left, right, threshold: float, k: int):
+    """Of two blocks of texts (Arrow: lt, codes; rt, codes, low), the best ``k`` right texts of each left one, ties to the lower ``low``.
+
+    What two texts share of the rarer trigrams is counted by the right texts' lists. Only pairs that all common trigrams of
+    the one that has fewer could lift above the threshold are looked at, and common trigrams are counted as bits.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def codes(table):
+        c = table.column("codes").combine_chunks()
+        sizes = np.diff(np.asarray(c.offsets))
+        values = np.asarray(c.flatten())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        bit = values < _BITS
+        bits = np.zeros((len(sizes), _BITS // 64), np.uint64)
+        np.bitwise_or.at(bits, (row[bit], values[bit] >> 6), np.uint64(1) << (values[bit] & 63).astype(np.uint64))
+        return sizes, np.bincount(row[bit], minlength=len(sizes)), bits, row[~bit], values[~bit]
+
+    out: list[list] = [[], [], []]
+    if left.num_rows and right.num_rows:
+        right = right.take(pc.sort_indices(right.column("low"), null_placement="at_start"))
+        lt, rt = left.column("lt").to_numpy(), right.column("rt").to_numpy()
+        size, common, bits, row, rare = codes(left)
+        rsize, rcommon, rbits, rrow, rrare = codes(right)
+        order = np.argsort(rrare, kind="stable")
+        rrow, rrare = rrow[order], rrare[order]
+        start, end = (np.searchsorted(rrare, rare, side).tolist() for side in ("left", "right"))
+        ends = np.searchsorted(row, np.arange(len(lt) + 1)).tolist()
+        share = threshold / (1 + threshold)  # of both sizes: what texts on the threshold share
+        lacks, last = np.zeros(0), None
+        for i in np.lexsort((common, size)).tolist():
+            if (key := (size[i], common[i])) != last:
+                lacks, last = np.floor(share * (size[i] + rsize) - 1e-6).astype(np.int64) - np.minimum(common[i], rcommon), key
+            lists = [rrow[start[j] : end[j]] for j in range(ends[i], ends[i + 1])]
+            count = np.bincount(np.concatenate(lists), minlength=len(rt)) if lists else np.zeros(len(rt), np.int64)
+            at = np.flatnonzero(count > lacks)
+            if len(at):
+                both = count[at] + np.bitwise_count(rbits[at] & bits[i]).sum(1)
+                alike = both / (size[i] + rsize[at] - both)
+                at, alike = at[alike > threshold], alike[alike > threshold]
+                best = np.argsort(-alike, kind="stable")[:k]
+                out[0].append(np.full(len(best), lt[i]))
+                out[1].append(rt[at[best]])
+                out[2].append(alike[best])
+    flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
+    return pa.table([pa.array(x, t) for x, t in zip(flat, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["lt", "rt", "similarity"])
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, lid: str, ltext: str, rid: str, rtext: str, threshold: float = 0.55, k: int = 25) -> DataFrame:
     """(lid, rid, similarity): trigram similarity above the threshold, the best ``k`` per left row, ties to the lower id.
 
-    Equal texts are joined once. A pair above the threshold shares one of the ``n - ceil(threshold * n) + 1`` rarest
-    trigrams of each side, so only those meet in the equi-join, and each brings its whole set as numbers in order of rarity:
-    a pair is measured where it meets at the rarest trigram that both have, so pairs that fail are never written or shuffled.
-    Before, 256 bits of each set are compared: bits that differ are no more than trigrams that differ, and few pairs stay. A
-    trigram of many texts is dealt to blocks of ``_MEET`` left texts. Of a right text no more than its ``k`` lowest ids can be
-    among a left row's best, and only ``k`` texts by their lowest id; the best are chosen per left text before they are given
-    to its rows, so a common text multiplies nothing.
+    Equal texts are joined once. Texts are short and their trigrams common, so nearly all pairs share a rare one of theirs:
+    left and right texts are dealt to blocks, each two blocks meet in a task, and every pair is counted there, some 9 ns each. A task returns no more than ``k`` texts for each left text, and no pair is shuffled before.
+    Of a right text no more than its ``k`` lowest ids can be among a left row's best, and only ``k`` texts by their lowest id;
+    the best are chosen per left text before they are given to its rows, so a common text multiplies nothing.
     """
     lt, rt = (io.staged(d.select(F.col(t).alias("text")).distinct().withColumn("grams", fn.trigrams("text")).where(F.size("grams") > 0).withColumn("id", F.monotonically_increasing_id()), "texts") for d, t in ((left, ltext), (right, rtext)))
     freq = lt.select(F.explode("grams").alias("g")).union(rt.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     # letters and digits have at most 37 * 37 * 37 trigrams: a numbering in one window is bounded
-    codes = F.broadcast(io.staged(freq.select("g", F.row_number().over(Window.orderBy("n", "g")).alias("code")), "gram-codes"))
-
-    def prefix(d: DataFrame, name: str) -> DataFrame:
-        rows = d.select("id", F.explode("grams").alias("g")).join(codes, "g").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-        bits = [F.expr(f"aggregate(codes, 0L, (a, c) -> if(c % 4 = {i}, a | shiftleft(1L, cast((c div 4) % 64 as int)), a))").alias(f"{name}_bits{i}") for i in range(4)]
-        rows = io.staged(rows.select("id", "codes", F.size("codes").alias("size"), *bits), "text-codes")
-        p = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-        return rows.select(F.col("id").alias(name), F.col("size").alias(f"{name}_size"), F.col("codes").alias(f"{name}_codes"), *(f"{name}_bits{i}" for i in range(4)), F.posexplode(F.slice("codes", F.lit(1), p)).alias(f"{name}_at", "g"))
-
-    lp, rp = prefix(lt, "lt"), prefix(rt, "rt")
-    blocks = F.broadcast(io.staged(lp.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / _MEET).cast("int").alias("blocks")), "gram-blocks"))
-    lp = lp.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("lt"), F.col("blocks")).cast("int")).drop("blocks")
-    rp = rp.join(blocks, "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    lo, hi, total = F.least("lt_size", "rt_size"), F.greatest("lt_size", "rt_size"), F.col("lt_size") + F.col("rt_size")
-    rest = F.least(F.col("lt_size") - F.col("lt_at"), F.col("rt_size") - F.col("rt_at"))  # no more than these can be shared from here on
-    unlike = sum(F.bit_count(F.col(f"lt_bits{i}").bitwiseXOR(F.col(f"rt_bits{i}"))) for i in range(4))
-    few = unlike * (1 + threshold) < (1 - threshold) * total + 1e-6
-    met = lp.join(rp, ["g", "block"]).where(few & (lo >= F.lit(threshold) * hi) & (rest * (1 + threshold) > F.lit(threshold) * total - 1e-6))
-    both = F.array_intersect("lt_codes", "rt_codes")  # in order of the left side
-    met = met.where(both[0] == F.col("g")).withColumn("both", F.size(both)).select("lt", "rt", (F.col("both") / (total - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
+    codes = F.broadcast(io.staged(freq.select("g", (F.row_number().over(Window.orderBy(F.desc("n"), "g")) - 1).alias("code")), "gram-codes"))
+    coded = lambda d, of: d.select(F.col("id").alias(of), F.explode("grams").alias("g")).join(codes, "g").groupBy(of).agg(F.collect_list("code").alias("codes"))
     name = lambda d, of: d.select(F.col("text").alias("_text"), F.col("id").alias(of))
     low = Window.partitionBy("rt").orderBy("_r")
     ids = right.select(F.col(rtext).alias("_text"), F.col(rid).alias("_r")).join(name(rt, "rt"), "_text").select("rt", "_r").withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k)
+    ids = io.staged(ids, "lowest-ids")
+
+    n, m = lt.count(), rt.count()
+    blocks, others = max(1, -(-n // min(_MEET, max(512, n // 32)))), max(1, -(-m // (2 * _MEET)))
+    dealt = lambda of, count: F.pmod(F.xxhash64(of), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    tasks = min(blocks * others, 2048)
+    lb = coded(lt, "lt").withColumn("lb", dealt("lt", blocks)).withColumn("rb", each(others)).repartition(tasks, "lb", "rb")
+    rb = coded(rt, "rt").join(ids.where("_n = 1").select("rt", F.col("_r").alias("low")), "rt").withColumn("rb", dealt("rt", others)).withColumn("lb", each(blocks)).repartition(tasks, "lb", "rb")
+    met = lb.groupBy("lb", "rb").cogroup(rb.groupBy("lb", "rb")).applyInArrow(lambda x, y: _best_of_block(x, y, threshold, k), "lt long, rt long, similarity double")
     best = Window.partitionBy("lt").orderBy(F.desc("similarity"), "_r")
     top = io.staged(met.join(ids.where("_n = 1"), "rt").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("lt", "rt", "similarity"), "best-texts")
     top = top.join(ids.drop("_n"), "rt").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("lt", "_r", "similarity").join(name(lt, "lt"), "lt")

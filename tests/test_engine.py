@@ -410,3 +410,28 @@ def test_chain_violations_deal_their_links(spark, monkeypatch):
     got = sorted(map(tuple, val.chain_violations(d).collect()))
     assert got == [("1", "children"), ("2", "roots"), ("4", "self"), ("6", "entity")]
     assert dealt == [("supersedes_decision_id",)] * 2
+
+
+def test_fuzzy_join_counts_pairs_in_blocks(spark, monkeypatch):
+    """900 texts of few syllables against 700, in blocks, with text ids and a null one: as by brute force, and no join makes the pairs."""
+    import re
+
+    monkeypatch.setattr(rel, "_MEET", 150)
+    staged, plans = rel.io.staged, {}
+    monkeypatch.setattr(rel.io, "staged", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or staged(df, name))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["th", "an", "ed", "er", "ou", "ñ", "re"]) for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(1100)]
+    left = [(i, rng.choice(texts)) for i in range(900)] + [(900, "ñ"), (901, "")]
+    right = [(None if i == 3 else f"é{i % 650}", rng.choice(texts)) for i in range(700)]
+    got = rel.fuzzy_join(spark.createDataFrame(left, "a long, x string"), spark.createDataFrame(right, "b string, y string"), "a", "x", "b", "y", k=4).collect()
+    grams = {t: {w[j : j + 3] for v in re.split("[^a-z0-9]+", t) if v for w in [f"  {v} "] for j in range(len(w) - 2)} for _, t in left + right}
+    first = lambda b: (b is not None, (b or "").encode())
+    want, cache = [], {}
+    for a, x in left:
+        if x not in cache:
+            alike = [(len(grams[x] & grams[y]) / len(grams[x] | grams[y]), b) for b, y in right if grams[x] and grams[y]]
+            cache[x] = sorted(((-s, first(b), b) for s, b in alike if s > 0.55), key=lambda r: r[:2])[:4]
+        want += [(a, r[2] or "", -r[0]) for r in cache[x]]
+    assert len(want) > 900 and sorted((r["a"], r["b"] or "", r["similarity"]) for r in got) == sorted(want)
+    assert "FlatMapCoGroupsInArrow" in plans["best-texts"]
